@@ -1,0 +1 @@
+"""Package of the element and drawing engine."""
