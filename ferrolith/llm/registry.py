@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op10_mixing": mixing.OP10_SQL}
