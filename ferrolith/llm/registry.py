@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, toxicity
+from . import exact_dedup, mixing, near_dedup, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
