@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, pieces, quality, toxicity
+from . import exact_dedup, mixing, near_dedup, pieces, quality, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_pieces": pieces.op6_pieces,
         "op7_quality_rules": quality.op7_quality_rules,
         "op10_mixing": mixing.op10_mixing,
