@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, pieces, quality, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, pieces, quality, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -13,9 +13,10 @@ def queries() -> dict:
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_pieces": pieces.op6_pieces,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op9_licenses": licenses.op9_licenses,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op9_licenses": licenses.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
