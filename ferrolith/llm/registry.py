@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, near_dedup, pieces, quality, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, pieces, pii, quality, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_pii": pii.op3_pii,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_pieces": pieces.op6_pieces,
