@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     rounds = max(1, math.ceil(math.log(max(n, 2), fan_in)))
     carried = Carried(df)
     text = text_of(text_col)
-    bare = F.translate(text, SPACES, "")
+    bare = reduce(lambda t, c: F.replace(t, F.lit(c)), SPACES, text)
     leaf = (
         df.select(
             *carried.hide(df),
