@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, near_dedup, pieces, pii, quality, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_pieces": pieces.op6_pieces,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_secrets": secrets.op8_secrets,
         "op9_licenses": licenses.op9_licenses,
         "op10_mixing": mixing.op10_mixing,
     }
