@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rollups
+from . import rollups, searches
 
-MODULES = (rollups,)
+MODULES = (rollups, searches)
 
 
 def queries() -> dict:
