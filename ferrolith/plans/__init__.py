@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rollups, searches
+from . import drawings, rollups, searches
 
-MODULES = (rollups, searches)
+MODULES = (rollups, searches, drawings)
 
 
 def queries() -> dict:
