@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, rollups, searches
+from . import drawings, resolution, rollups, searches
 
-MODULES = (rollups, searches, drawings)
+MODULES = (rollups, searches, drawings, resolution)
 
 
 def queries() -> dict:
