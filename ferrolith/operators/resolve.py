@@ -70,7 +70,7 @@ def resolve(props: DataFrame, rules: DataFrame, convert=to_text) -> DataFrame:
     """
     fields = [r["field"] for r in rules.select("field").distinct().orderBy("field").collect()]
     key = property_key(F.col("prop"))
-    hit = F.like(F.lower("pset"), F.lower("pset_like")) & F.when(F.col("mode") == "exact", key == F.col("key")).when(F.col("mode") == "contains", key.contains(F.col("key"))).otherwise(key.rlike(F.col("key")))
+    hit = F.like(F.lower("pset"), F.lower("pset_like")) & F.when(F.col("mode") == "exact", key == F.col("key")).when(F.col("mode") == "contains", key.contains(F.col("key"))).otherwise(F.regexp_like(key, F.col("key")))
     found = props.join(F.broadcast(rules), hit).withColumn("__v", convert(F.col("value"))).where("__v IS NOT NULL")
     place = F.struct("rank", "pset_ord", "prop_ord")
     return found.groupBy(*ELEMENT).agg(*(F.min_by(F.when(F.col("field") == f, F.col("__v")), F.when(F.col("field") == f, place)).alias(f) for f in fields))

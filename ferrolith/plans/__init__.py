@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, resolution, rollups, searches
+from . import drawings, models, resolution, rollups, searches
 
-MODULES = (rollups, searches, drawings, resolution)
+MODULES = (rollups, searches, drawings, resolution, models)
 
 
 def queries() -> dict:
