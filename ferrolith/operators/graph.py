@@ -15,12 +15,13 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     The folder is the one that spark.checkpoint.dir names; only in local mode is a temporary one made.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode."""
     sc = spark.sparkContext
     if path := sc.getConf().get("spark.checkpoint.dir"):
         return path.rstrip("/")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, models, resolution, rollups, searches
+from . import drawings, models, resolution, rollups, searches, texts
 
-MODULES = (rollups, searches, drawings, resolution, models)
+MODULES = (rollups, searches, drawings, resolution, models, texts)
 
 
 def queries() -> dict:
