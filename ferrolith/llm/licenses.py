@@ -53,7 +53,7 @@ def token_counts(texts: DataFrame, tokens: frozenset[str]) -> dict[str, int]:
                 got = Counter(tokens_of(text))
                 for t in tokens & got.keys():
                     total[t] += got[t]
-        yield pd.DataFrame({"token": list(total), "n": list(total.values())}).astype({"n": "int64"})
+        yield pd.DataFrame({"token": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     rows = texts.mapInPandas(counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return dict.fromkeys(tokens, 0) | {r["token"]: r["n"] for r in rows}
@@ -111,7 +111,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", templates=TEMPLATES, ph
     @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=RESULT).astype({"first_word": "Int64", "last_word": "Int64"})
+            yield pd.DataFrame([one(t) for t in texts], columns=RESULT, dtype=object)
 
     def one(text: str) -> tuple:
         lower = text.translate(LOWER)
