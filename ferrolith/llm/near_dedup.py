@@ -193,7 +193,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = written(fingerprints(df, id_col, text_col), "simhash")
     codes = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    groups = connected_components(near_links(codes.select("fp")))
+    groups = connected_components(written(near_links(codes.select("fp")), "simhash-links"))
     known = groups.join(codes, groups.node == codes.fp)
     named = known.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = groups.join(named, "component").select(F.col("node").alias("fp"), "component_id")
