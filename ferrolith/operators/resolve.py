@@ -181,7 +181,7 @@ def multiway_pairs(members: DataFrame) -> DataFrame:
 
 def catalog_length(name: Column) -> Column:
     """The number after the last star of a bolt name."""
-    return F.try_element_at(F.regexp_extract_all(name, F.lit(r"\*\s*(\d+(?:\.\d+)?)"), F.lit(1)), F.lit(-1)).cast("double")
+    return F.replace(F.try_element_at(F.regexp_extract_all(name, F.lit(r"\*(\d+(?:[.,]\d+)?)"), F.lit(1)), F.lit(-1)), F.lit(","), F.lit(".")).cast("double")
 
 
 def length_matches(actual: Column, listed: Column) -> Column:

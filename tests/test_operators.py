@@ -242,3 +242,34 @@ def test_stream_with_resets_equals_batch(spark):
     stream = {(r["session"], r["key"], r["n_toggles"]) for r in plans.queries()["stream_reset_state"](spark, SF).collect()}
     batch = {(r["session"], r["key"], r["n_toggles"]) for r in plans.queries()["toggle_parity"](spark, SF).collect()}
     assert stream == batch
+
+
+def test_bolt_flags_and_quantity(spark):
+    from ferrolith.operators import extract
+
+    schema = "model_id int, element_id string, pset string, pset_ord int, prop string, prop_ord int, value string"
+    props = spark.createDataFrame([(1, "a", "Tekla Bolt", 0, "Nut Count", 0, "2"), (1, "b", "Tekla Bolt", 0, "Hole only", 0, "Yes"), (1, "c", "Common", 0, "Is main part", 0, "TRUE")], schema)
+    elements = spark.createDataFrame([(1, x, "M20", None, None, "IfcBeam") for x in "abc"] + [(1, "d", "Shop hole", None, None, "IfcFastener")], "model_id int, element_id string, name string, object_type string, predefined_type string, ifc_type string")
+    flags = {r["element_id"]: (r["hole"], r["hardware"]) for r in extract.bolt_flags(elements, props).collect()}
+    assert flags == {"a": (False, True), "b": (True, False), "c": (False, False), "d": (True, False)}
+    assert {r["element_id"] for r in extract.fasteners(elements, props).where("is_fastener").collect()} == {"a", "b", "d"}
+    assert {r["element_id"] for r in extract.main_part(props).where("main_part").collect()} == {"c"}
+    assert {r["element_id"]: r["quantity"] for r in extract.bolt_quantity(props).collect()} == {"a": 2.0, "b": 1.0, "c": 1.0}
+
+
+def test_walls_of_hollow_profiles(spark):
+    from ferrolith.operators import extract
+
+    rows = spark.createDataFrame([(p,) for p in ("RHS100*50*5", "TUBE273*8,5", "HEB200*3", "RHS100", None)], "p string")
+    assert [r[0] for r in rows.select(extract.wall_thickness(F.col("p"))).collect()] == [5.0, 8.5, None, None, None]
+
+
+def test_beams_wait_for_their_supports(spark):
+    from ferrolith.operators import layout
+
+    nodes = spark.createDataFrame(
+        [(1, "c1", "column", 3000.0, 0, 0), (1, "c2", "column", 3000.0, 0, 1), (1, "b1", "beam", None, None, None), (1, "b2", "beam", None, None, None), (1, "b3", "beam", None, None, None)], "model_id int, node_id string, kind string, height double, row int, col int"
+    ).withColumns({"span_x": F.lit(6000.0), "span_y": F.lit(5000.0)})
+    supports = spark.createDataFrame([(1, "b2", "b1", 0), (1, "b1", "c1", 0), (1, "b1", "c2", 1), (1, "b3", "gone", 0)], "model_id int, beam_id string, support_id string, ord int")
+    got = {r["node_id"]: (r["sx"], r["ex"]) for r in layout.place_supports(nodes, supports).collect()}
+    assert got == {"c1": (0.0, 0.0), "c2": (6000.0, 6000.0), "b1": (0.0, 6000.0), "b2": (0.0, 6000.0)}
