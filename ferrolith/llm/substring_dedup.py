@@ -261,9 +261,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = dealt.mapInPandas(_matched, "key long, a int, b int")
     hot = candidates.withColumn("found", part(True)).where(F.size("found") > 0).mapInPandas(_segments, segment)
     windows = hot.mapInPandas(_windows, "h1 long, h2 long, rank long, key long, a int")
-    lowest = windows.groupBy("h1", "h2").agg(F.min("rank").alias("low"))
+    # as tables of their own, so that Spark can split the join at windows that very many documents share
+    lowest = written(windows.groupBy("h1", "h2").agg(F.min("rank").alias("low")), "substring-windows")
     taken = windows.join(lowest, ["h1", "h2"]).where("rank > low").select("key", "a", (F.col("a") + WINDOW).cast("int").alias("b"))
-    ranges = ranges.union(taken).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = ranges.union(written(taken, "substring-taken")).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     left = candidates.select("key", "text").join(ranges, "key").mapInPandas(_kept, "key long, n_removed int, kept_text string")
     left = written(left.dropDuplicates(["key"]), "substring-kept")
     table = written(least.join(left, "key", "left").select("digest", F.col("rank").alias("low"), "n_removed", "kept_text"), "substring-result")
