@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_index")
 POINT_MM = 25.4 / 72
-#: The reference angle admits nearly every direction; strict admits 2 degrees around the axes.
+#: compat is the customary threshold and admits nearly every direction; strict admits 2 degrees around the axes.
 ORTHO = {"compat": math.cos(math.radians(88)), "strict": math.cos(math.radians(2))}
 
 

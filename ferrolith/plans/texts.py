@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolith.operators import spatial, textspec
+from ferrolith.operators import framing, spatial, textspec
 from ferrolith.sources import bindings
 from ferrolith.streaming import jobs
 
@@ -99,6 +99,31 @@ def level_pairs(spark, sf_dir):
     return textspec.level_pairs(level_table(spark, sf_dir), "p_partkey")
 
 
+def framing_rows(spark, sf_dir):
+    levels = level_table(spark, sf_dir)
+    return framing.floor_rows(levels, "p_partkey").unionByName(framing.roof_rows(levels, "p_partkey"))
+
+
+def slab_rows(spark, sf_dir):
+    return framing.slab_rows(level_table(spark, sf_dir), "p_partkey")
+
+
+def section_profile(spark, sf_dir):
+    return prompts(spark, sf_dir).select("p_partkey", framing.section_profile(F.col("text"), "width", "HEB200").alias("profile"))
+
+
+def assignments(spark, sf_dir):
+    words = F.array(*map(F.lit, ("Perimeter", "all", "y-min side", "perimeter", "unknown words")))
+    rows = bindings.table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit("vertical"), F.lit("horizontal_x")), (F.col("p_partkey") % 2 + 1).cast("int")).alias("o"), F.element_at(words, (F.col("p_partkey") % 5 + 1).cast("int")).alias("a"))
+    return rows.select("p_partkey", framing.coerced_assignment(F.col("o"), F.col("a")).alias("placement"))
+
+
+def allowed_hardware(spark, sf_dir):
+    p = bindings.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("element_id"), "p_size")
+    hops = p.select(F.col("element_id").alias("a"), (F.col("element_id") + 1).alias("b"))
+    return framing.hardware_allowed(p.where("element_id % 20 = 0"), p.where("element_id % 100 = 10"), hops, p.where("p_size > 10"), 3)
+
+
 def profile_mentions(spark, sf_dir):
     return textspec.profile_mentions(prompts(spark, sf_dir), "p_partkey")
 
@@ -172,6 +197,16 @@ QUERIES = {
     "level_table": (level_table, f"WITH {_P} SELECT * FROM levels"),
     "level_pairs": (level_pairs, f"""WITH {_P}, l AS (SELECT *, lead(name) OVER w AS n2, lead(elevation_mm) OVER w AS z2 FROM levels WHERE name <> 'Ridge' WINDOW w AS (PARTITION BY p_partkey ORDER BY elevation_mm, name))
         SELECT p_partkey, name AS start_level, n2 AS end_level, z2 - elevation_mm AS rise_mm FROM l WHERE z2 - elevation_mm > 1e-6"""),
+    "framing_rows": (framing_rows, f"""WITH {_P}, f AS (SELECT p_partkey, name, unnest([{{'g': 'girders', 'orientation': 'horizontal_x', 'assigned_to_grid': 'along_x_between_columns', 'spacing_mm': NULL}}, {{'g': 'cross_beams', 'orientation': 'horizontal_y', 'assigned_to_grid': 'along_y_per_x_station', 'spacing_mm': NULL}},
+          {{'g': 'joists', 'orientation': 'horizontal_x', 'assigned_to_grid': 'distributed_along_y', 'spacing_mm': 2000.0::DOUBLE}}], recursive := true) FROM levels WHERE name LIKE 'Level%'),
+        r AS (SELECT p_partkey, unnest([{{'group_id': 'rafters', 'o': 'inclined_dual_y', 'a': 'per_frame', 'x': 'Eave', 'y': 'Ridge'}}, {{'group_id': 'webs', 'o': 'truss_web_panels', 'a': 'warren', 'x': 'Eave', 'y': 'Ridge'}}, {{'group_id': 'purlins', 'o': 'roof_purlins_dual_slope', 'a': 'both_slopes', 'x': 'Eave', 'y': 'Ridge'}},
+          {{'group_id': 'girts', 'o': 'wall_girts_fixed_z', 'a': 'outer_walls', 'x': 'Ground', 'y': 'Eave'}}, {{'group_id': 'eave_beams', 'o': 'horizontal_x', 'a': 'along_x_between_columns', 'x': 'Eave', 'y': 'Eave'}}], recursive := true) FROM p WHERE roof)
+        SELECT p_partkey, lower(name) || '_' || g AS group_id, orientation, assigned_to_grid, name AS start_level, name AS end_level, spacing_mm FROM f UNION ALL SELECT p_partkey, group_id, o, a, x, y, NULL FROM r"""),
+    "slab_rows": (slab_rows, f"""WITH {_P} SELECT p_partkey, CASE name WHEN 'Ground' THEN 'foundation' ELSE 'deck_' || lower(name) END AS slab_id, name AS top_level, 150.0::DOUBLE AS thickness_mm FROM levels WHERE name IN ('Ground', 'Level1', 'Level2')"""),
+    "section_profile": (section_profile, "SELECT p_partkey, 'HEB' || (p_size + 100) AS profile FROM part"),
+    "assignments": (assignments, """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 5 IN (0, 3) THEN 'perimeter' WHEN p_partkey % 5 = 2 THEN 'along_all_x_at_y_min' ELSE 'all_frame_lines' END ELSE 'along_x_between_columns' END AS placement FROM part"""),
+    "allowed_hardware": (allowed_hardware, """WITH RECURSIVE w AS (SELECT p_partkey AS e, 0 AS d FROM part WHERE p_partkey % 20 = 0 OR p_partkey % 100 = 10
+          UNION SELECT p_partkey, d + 1 FROM w JOIN part ON abs(p_partkey - e) = 1 WHERE p_size > 10 AND d < 3) SELECT DISTINCT e AS element_id FROM w"""),
     "profile_mentions": (profile_mentions, f"""WITH {_P}, h AS (SELECT p_partkey, s, 'Steel warehouse, 4 columns, span of ' || (s + 5) || CASE WHEN p_partkey % 2 = 0 THEN ' m' ELSE '000 mm' END || ', width ' || (s * 100) || ' mm, ' AS a FROM p)
         SELECT p_partkey, 'family' AS kind, length(a)::INT AS place, 'HEB' || (s + 100) AS key FROM h UNION ALL SELECT p_partkey, 'box', (length(a) + length('HEB ' || (s + 100) || ' and '))::INT, '100x100x5' FROM h"""),
     "group_precedence": (group_precedence, """
