@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import written
+from ferrolith.llm.common import small_batches, written
 from ferrolith.llm.exact_dedup import exact_dedup
 from ferrolith.llm.mixing import mix_sources
 from ferrolith.llm.near_dedup import near_dedup
-from ferrolith.llm.pieces import coded, small_batches
+from ferrolith.llm.pieces import coded
 from ferrolith.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the factorization machine rejects; it learns from the labels of the data set."""
+    small_batches(spark)
     machine = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, machine).where("predicted = 0").select(*_columns(docs))
 
@@ -31,6 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked fingerprints; rows without an id stay."""
+    small_batches(spark)
     dropped = near_dedup(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(written(dropped, "near-dropped"), "doc_id", "left_anti").select(*_columns(docs))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, text_of
+from .common import Carried, small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -18,8 +18,6 @@ SPACE = "▁"
 GIANT = 65_536
 CHUNK = 32_768
 CACHED = 50_000
-#: Rows that a task gives to Python at a time; a row can be a long document and its ids.
-ROWS = 1_000
 
 
 class Pieces:
@@ -285,12 +283,6 @@ def coded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     )
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers: fewer rows a batch, for the rest of the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(ROWS, int(spark.conf.get(key)) if int(spark.conf.get(key)) > 0 else ROWS)))
-
-
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return coded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
