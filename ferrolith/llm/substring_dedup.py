@@ -219,8 +219,10 @@ def _shared(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     least = written(least, "substring-references")
     places = least.select("rank", "key", F.inline("all").alias("anchor", "at"))
     shared = places.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    shared = shared.select("anchor", (F.col("n") > MAX_GROUP).alias("hot"))
-    found = places.join(shared, "anchor").groupBy("key", "rank").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("found"))
+    # tables again, so that Spark can split the join at anchors that very many documents have
+    shared = written(shared.select("anchor", (F.col("n") > MAX_GROUP).alias("hot")), "substring-shared")
+    hits = written(places.join(shared, "anchor"), "substring-hits")
+    found = hits.groupBy("key", "rank").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("found"))
     owner = docs.withColumn("rank", F.coalesce("id", F.lit(LAST))).drop("id")
     candidates = owner.join(found, "rank").where(_same_text())
     return first, least, written(candidates.select("key", "rank", "text", "found"), "substring-candidates")
