@@ -16,6 +16,8 @@ from .common import Carried, text_of
 
 RESULT = ["score", "predicted"]
 LETTERS = re.compile(r"[^\W\d_]+")
+#: A task forgets the words it has looked up beyond this number.
+KNOWN = 200_000
 #: Hashed terms are numbers below this.
 BUCKETS = 1 << 22
 
@@ -64,7 +66,7 @@ class Machine:
                 if got:
                     found.update(got)
             rows.append(np.array(sorted(found), np.int64))
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN:
             known.clear()
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
