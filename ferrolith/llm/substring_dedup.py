@@ -101,11 +101,12 @@ class SuffixAutomaton:
             p = link[p]
         return made
 
-    def spans(self, text: list[int], least: int) -> list[tuple[int, int]]:
-        """Maximal stretches of at least so many words that occur in the added texts, as [start, end), merged."""
+    def spans(self, text: list[int], least: int) -> tuple[list[tuple[int, int]], int]:
+        """(maximal stretches of at least so many words that occur in the added texts, as [start, end), merged; number
+        of windows of so many words that occur)."""
         nxt, link, length = self.next, self.link, self.length
         out: list[tuple[int, int]] = []
-        state = size = 0
+        state = size = known = 0
         for i, c in enumerate(text):
             while state and c not in nxt[state]:
                 state = link[state]
@@ -114,12 +115,13 @@ class SuffixAutomaton:
                 state = nxt[state][c]
                 size += 1
             if size >= least:
+                known += 1
                 a, b = i + 1 - size, i + 1
                 if out and a <= out[-1][1]:
                     out[-1] = (min(out[-1][0], a), b)
                 else:
                     out.append((a, b))
-        return out
+        return out, known
 
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,9 +175,10 @@ def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((key, start, start + len(codes)))
                 continue
             text = codes.tolist()
-            found = automaton.spans(text, WINDOW)
+            found, known = automaton.spans(text, WINDOW)
             out += [(key, start + x, start + y) for x, y in found]
-            if found != [(0, len(text))]:
+            # covered words are not enough: a window across two matches can be new
+            if known < len(text) - WINDOW + 1:
                 waiting.append((text, bytes_))
         yield pd.DataFrame(out, columns=["key", "a", "b"])
 
@@ -247,7 +250,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document has name the reference shards: all segments of up to WINDOW words on both sides of an anchor meet by
     its hash, in order of id. Each is streamed through the suffix automaton of the smaller documents' segments, and
     its maximal matches of WINDOW words or more are removed; then it joins the automaton, unless it had no new
-    words. Reference shards grow with the corpus, so they are dealt out by anchor and not broadcast. An anchor of
+    window. Reference shards grow with the corpus, so they are dealt out by anchor and not broadcast. An anchor of
     more than MAX_GROUP places is decided window by window with map-side minima, which no hot passage can clog.
 
     Defined cases: a null text has no words; a null id is smaller than none, and null ids take nothing from each

@@ -240,6 +240,21 @@ def test_substrings_equal_brute_force(spark, monkeypatch, group):
     assert got == brute_substrings(rows)
 
 
+@pytest.mark.parametrize("group", [512, 4])
+def test_substrings_of_prefixes_suffixes_splices_and_inner_quotes(spark, monkeypatch, group):
+    """A whole that two smaller documents cover in parts has windows of its own, which later documents can repeat."""
+    monkeypatch.setattr(substring_dedup, "MAX_GROUP", group)
+    rng = random.Random(11)
+    rows = []
+    for p in range(30):
+        w = [f"p{p}w{rng.randrange(10_000)}" for _ in range(200)]
+        other = [f"q{p}w{i}" for i in range(80)]
+        cuts = [w[:101], w[70:], w, w[55:116], w[40:100] + other, other[10:] + w[60:130]]
+        rows += [(p * 10 + i, " ".join(c)) for i, c in enumerate(cuts)]
+    got = {r[0]: tuple(r)[1:4] for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == brute_substrings(rows)
+
+
 def test_substrings_with_missing_and_repeated_ids(spark):
     long = " ".join(f"t{i}" for i in range(60))
     got = substring_dedup.substring_dedup(frame(spark, [(1, long), (1, long), (None, long), (None, long)])).collect()
