@@ -26,6 +26,9 @@ ALPHABETS = {
     "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
+#: What tokens of one case can hold beside their alphabet: groups with dashes, prefixes, paths.
+SYMBOLS = "+/-_="
+ALPHABETS |= {f"{k}_symbols": ALPHABETS[k] + SYMBOLS for k in ("hex", "base32", "upper", "lower")}
 #: Bins of the combined statistic, and of token lengths.
 BIN, BINS, LENGTHS = 0.25, 400, 12
 
@@ -38,7 +41,9 @@ def encoding(m: Column) -> Column:
     return F.when(
         mixed,
         F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").when(body.rlike("^[0-9A-Z]+$"), "upper")
-        .when(body.rlike("^[0-9a-z]+$"), "lower").when(body.rlike("[A-Z]") & body.rlike("[a-z]"), "base64"),
+        .when(body.rlike("^[0-9a-z]+$"), "lower").when(body.rlike("[A-Z]") & body.rlike("[a-z]"), "base64")
+        .when(body.rlike("^[0-9a-f+/_=-]+$"), "hex_symbols").when(body.rlike("^[A-Z2-7+/_=-]+$"), "base32_symbols")
+        .when(body.rlike("[A-Z]"), "upper_symbols").otherwise("lower_symbols"),
     )
 
 
@@ -110,21 +115,29 @@ def candidates(text: Column) -> Column:
 def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     """The largest statistic (as a bin) by length class that counts as random, by Benjamini and Hochberg's rule.
 
-    The tokens taken for writing give the null distribution of each length class: a token's p-value is the share of
-    them that look as random as it. Only counts by class and bin come to the driver, at most 2 * 13 * 401.
+    The tokens taken for writing give the null distribution: a token's p-value is the share of them that look as
+    random as it. A length class takes those of the next shorter classes too, until even a single token of the class
+    could be added; shorter writing looks more random, so this adds no words. Where all these are too few for any
+    token to be added, the next longer classes are taken, until one could be if all tokens looked random. Only counts
+    by class and bin come to the driver, at most 2 * 13 * 401.
     """
     rows = found.select(F.explode("__spans").alias("x")).where(F.col("x.kind") == RANDOM).groupBy("x.coded", "x.size", "x.bin").count().collect()
+    return limits_of([(r["coded"], r["size"], r["bin"], r["count"]) for r in rows], rate)
+
+
+def limits_of(rows: list[tuple[bool, int, int, int]], rate: float) -> dict[int, int]:
+    """thresholds() of (coded, size, bin, count)."""
+    nulls, seens = ([[0] * (BINS + 2) for _ in range(LENGTHS + 1)] for _ in range(2))
+    for coded, size, b, n in rows:
+        (seens if coded else nulls)[size][b] += n
     out = {}
-    for size in {r["size"] for r in rows}:
-        null, seen = [0] * (BINS + 2), [0] * (BINS + 2)
-        for r in rows:
-            if r["size"] == size:
-                (seen if r["coded"] else null)[r["bin"]] += r["count"]
-        if not sum(null) and size:  # no writing is this long: that of the next shorter class decides
-            for r in rows:
-                if not r["coded"]:
-                    null[r["bin"]] += r["count"]
-        total, tokens, below, found_so_far = sum(null), sum(seen), 0, 0
+    for size, seen in enumerate(seens):
+        tokens, null = sum(seen), list(nulls[size])
+        others = [(k, tokens / rate) for k in range(size - 1, -1, -1)] + [(k, 1 / rate) for k in range(size + 1, LENGTHS + 1)]
+        for k, enough in others:
+            if sum(null) + 1 < enough:
+                null = [a + b for a, b in zip(null, nulls[k])]
+        total, below, found_so_far = sum(null), 0, 0
         for b in range(BINS + 1):
             below, found_so_far = below + null[b], found_so_far + seen[b]
             if found_so_far and (below + 1) / (total + 1) <= rate * found_so_far / tokens:
@@ -137,12 +150,12 @@ def find_secrets(df: DataFrame, text_col: str = "text", rate: float = 0.05, keep
 
     Beside the base patterns every token of 16 or more symbols is read in the narrowest alphabet it fits, and tested
     for uniform symbols, runs and serial correlation. The tests' sum is compared with that of tokens of plain
-    letters of the same length, and a false-discovery rate bounds the share of words among the tokens that are
+    letters of about the same length, and a false-discovery rate bounds the share of words among the tokens that are
     added; a token that overlaps a base span is not added. The pass over the texts is written once as a table of
     spans with the columns named in keep (all: None).
 
     Defined cases: null and empty texts have no spans; very long texts are searched whole; repeated rows get equal
-    results; an empty table, or one without words of 16 letters to compare with, adds no tokens. Input columns named
+    results; an empty table, or one with fewer than 1 / rate - 1 words of 16 letters to compare with, adds no tokens. Input columns named
     like a result column are replaced by it.
     """
     carried = Carried(df.select(*(df.columns if keep is None else keep)))
