@@ -68,6 +68,8 @@ class Templates:
 
     def __init__(self, templates, counts: dict[str, int], containment: float):
         self.rows: list[tuple[str, list[str], int]] = []
+        #: Words of the longest template.
+        self.longest = max((len(tokens_of(text)) for _, text in templates), default=0)
         self.index: dict[str, list[tuple[int, int]]] = {}
         for label, text in templates:
             ordered = sorted(set(tokens_of(text)), key=lambda t: (counts.get(t, 0), t))
@@ -78,23 +80,47 @@ class Templates:
 
     def matches(self, block: list[str]) -> Iterator[tuple[str, float]]:
         """(label, containment) of every template that the block holds to the threshold."""
+        for k, held in self.held(block):
+            label, ordered, _ = self.rows[k]
+            yield label, held / len(ordered)
+
+    def held(self, block: list[str]) -> Iterator[tuple[int, int]]:
+        """(template, number of its distinct words that the block holds), for those that are held to the threshold."""
         words = set(block)
         probed = sorted((self.rows[k], at, k) for w in self.index.keys() & words for k, at in self.index[w])
         done: set[int] = set()
-        for (label, ordered, need), at, k in sorted(probed, key=lambda p: (p[2], p[1])):
+        for (_, ordered, need), at, k in sorted(probed, key=lambda p: (p[2], p[1])):
             # length: the block has enough words; position: the rarer words before this one are missing
             if k in done or len(words) < need or len(ordered) - at < need:
                 continue
             done.add(k)
             held = sum(t in words for t in ordered[at:])
             if held >= need:
-                yield label, held / len(ordered)
+                yield k, held
+
+    def stretch(self, k: int, block: list[str]) -> int:
+        """The most distinct words of template k that any `longest` words in a row hold."""
+        mine = set(self.rows[k][1])
+        places = [(i, w) for i, w in enumerate(block) if w in mine]
+        inside: Counter[str] = Counter()
+        most = first = 0
+        for i, w in places:
+            inside[w] += 1
+            while places[first][0] <= i - self.longest:
+                gone = places[first][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                first += 1
+            most = max(most, len(inside))
+        return most
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to every row.
 
-    Phrases are counted at every place. For labels beyond those of phrases, each line is a block, and an exact join
+    Phrases are counted at every place. For labels beyond those of phrases, each line is a block, and so are any
+    words in a row, over line ends too, as many as the longest template has: notices are often wrapped. An exact join
     with the templates finds every block that holds at least the given share of a template's distinct words: words
     are ordered by their frequency in all texts, and prefix, length and positional filters leave few pairs to
     verify. score is the largest share found, 1 where a phrase stands, else 0. The templates are a fixed small set
@@ -125,11 +151,19 @@ def scan_licenses(df: DataFrame, text_col: str = "text", templates=TEMPLATES, ph
                 base.add(label)
                 at = joined.find(f" {phrase} ", at + 1)
         labels, score = set(base), 1.0 if base else 0.0
-        if known.index.keys() & set(words):
+        # a block's words are words of the text, so only templates that the text holds can match in one
+        whole = [k for k, _ in known.held(words)]
+        if whole:
             for line in lower.split("\n"):
                 for label, share in known.matches(WORDS.findall(line)):
                     labels.add(label)
                     score = max(score, share)
+        for k in whole:
+            label, ordered, need = known.rows[k]
+            most = known.stretch(k, words)
+            if most >= need:
+                labels.add(label)
+                score = max(score, most / len(ordered))
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 

@@ -364,6 +364,25 @@ def test_licenses_equal_brute_force(spark):
     assert got[3]["labels"] == "" and got[4]["labels"] == "cc-by-nc" and got[5]["first_word"] is None
 
 
+def test_licenses_of_wrapped_notices(spark):
+    mit, gpl = licenses.TEMPLATES[1][1].split(), licenses.TEMPLATES[5][1].split()
+    wrap = lambda w, n, head: "\n".join(head + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = [wrap(mit, 8, "# "), wrap(gpl, 11, " * "), "a b c\n" * 50 + wrap(mit, 8, "") + "\nx y z" * 50]
+    texts += ["\n".join(f"{w} " + "filler " * 30 for w in mit)]  # no block holds them together
+    got = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: ("", "mit", 1.0), 1: ("", "gpl-3", 1.0), 2: ("", "mit", 1.0), 3: ("", "", 0.0)}
+
+
+def test_license_stretches_equal_brute_force():
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(30)]
+    index = licenses.Templates([(f"t{k}", " ".join(rng.sample(vocabulary, rng.randrange(2, 12)))) for k in range(9)], {}, 0.8)
+    for _ in range(200):
+        block = rng.choices(vocabulary, k=rng.randrange(0, 60))
+        for k, (_, ordered, _) in enumerate(index.rows):
+            assert index.stretch(k, block) == max((len(set(ordered) & set(block[i : i + index.longest])) for i in range(len(block))), default=0)
+
+
 def test_license_join_is_exact():
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(30)]
