@@ -1,4 +1,4 @@
-"""Connected components and bounded walks over edge tables."""
+"""Connected components over edge tables, lookups that survive hot keys, and durable intermediate tables."""
 
 from __future__ import annotations
 
@@ -14,10 +14,20 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
     The folder is the one that spark.checkpoint.dir names; only in local mode is a temporary one made.
     """
+    return _stored(df, label)[0]
+
+
+def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,27 +42,47 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column weight says how many rows have the key.
+
+    total is at least the number of rows. Keys with more than a partition's share of them are fewer than there are
+    partitions: this bounded part of the table is broadcast, and only the rows of all other keys are shuffled. The
+    column weight is not in the result.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded = F.col(weight) * parts > F.lit(total)
+    hot, cold = table.where(crowded), table.where(~crowded)
+    here = rows.join(F.broadcast(hot.drop(weight)), key)
+    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(weight), key)
+    return here.unionByName(there)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
     Each round points every node at the smallest node in its neighbourhood, first among all neighbours, then among
     the smaller ones only (alternating stars). The rounds need shuffles in the order of the logarithm of the longest
-    path; hubs are reduced by map-side minima, and the only state between rounds is a table in the shared folder.
+    path; hubs are reduced by map-side minima and looked up by broadcast, and the only state between rounds is a
+    table in the shared folder, of which the last one stays.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    star = durable(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    before = None
+    star, path = _stored(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    # a fixpoint has the same edges: compare their number and a sum of their hashes
+    state = lambda s: tuple(s.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(star)
     for _ in range(max_rounds):
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both.where("b > a"), low, "a", "n", 2 * before[0]).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("e"))
-        star = durable(small.select("e.a", F.col("e.low").alias("b")).where("a <> b").distinct(), "components")
-        # a fixpoint has the same edges: compare their number and a sum of their hashes
-        now = star.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, low, "a", "n", before[0]).select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("e"))
+        old = path
+        star, path = _stored(small.select("e.a", F.col("e.low").alias("b")).where("a <> b").distinct(), "components")
+        now = state(star)
+        _removed(spark, old)
         if now == before:
             break
         before = now
