@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrolith.operators.graph import durable as written
+
+__all__ = ["Carried", "SPACES", "WORD", "partitions", "small_batches", "text_of", "words_of", "written"]
+
 #: Fixed value: the characters that separate words, U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same set as a regular expression for one word.
@@ -43,27 +44,6 @@ class Carried:
         return self.private[self.names.index(name)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Taken from spark.checkpoint.dir; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

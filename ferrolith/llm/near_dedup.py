@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from ferrolith.operators.graph import connected_components
+from ferrolith.operators.graph import connected_components, lookup
 
-from .common import partitions, text_of, written
+from .common import Carried, partitions, small_batches, text_of, written
 
 SHINGLE = 3
 RADIUS = 3
-#: Blocks of equal width: two fingerprints that differ in RADIUS bits at most agree in one block at least.
-BLOCKS = RADIUS + 1
-#: A shard with more fingerprints is dealt out in pieces of about this many.
+#: Codes that a shard is meant to hold, whatever the number of all codes.
+SHARD = 512
+#: A shard that clusters of codes make larger than this is dealt out in pieces of about this many.
 MAX_SHARD = 2048
-LEAF = 16
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -39,64 +41,58 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp) for every row, fp as a signed long."""
-
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-
-    return df.select(F.col(id_col).alias("id"), simhash(text_of(text_col)).alias("fp"))
+@F.pandas_udf(LongType())
+def simhash(texts: pd.Series) -> pd.Series:
+    """Fingerprints as signed longs."""
+    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
 class BKTree:
-    """A BK-tree over 64-bit codes: the children of a node are keyed by their Hamming distance to it.
-
-    Up to LEAF codes of one child are kept as a plain list and compared one with all.
-    """
+    """A BK-tree over 64-bit codes: the children of a node are keyed by their Hamming distance to it."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.nodes: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
-        self._build(np.arange(len(codes)))
-
-    def _build(self, members: np.ndarray) -> None:
-        pending = [(members, None)]
+        #: For each node its code's position, and the distances and numbers of its children.
+        self.at: list[int] = []
+        self.keys: list[np.ndarray] = []
+        self.children: list[list[int]] = []
+        none = np.zeros(0, np.int64)
+        pending: list[tuple[np.ndarray, int]] = [(np.arange(len(codes)), -1)] if len(codes) else []
         while pending:
-            idx, parent = pending.pop()
-            here = len(self.nodes)
-            if parent is not None:
-                self.nodes[parent[0]][1].append((parent[1], here))
-            if len(idx) <= LEAF:
-                self.nodes.append((-1, [], idx))
+            members, parent = pending.pop()
+            here = len(self.at)
+            if parent >= 0:
+                self.children[parent].append(here)
+            self.at.append(int(members[0]))
+            self.children.append([])
+            if len(members) == 1:
+                self.keys.append(none)
                 continue
-            pivot, rest = int(idx[0]), idx[1:]
-            self.nodes.append((pivot, [], rest[:0]))
-            far = np.bitwise_count(self.codes[rest] ^ self.codes[pivot])
-            order = np.argsort(far, kind="stable")
+            rest = members[1:]
+            far = np.bitwise_count(codes[rest] ^ codes[members[0]]).astype(np.int64)
+            order = np.argsort(-far, kind="stable")
             rest, far = rest[order], far[order]
-            cuts = np.flatnonzero(np.diff(far)) + 1
-            for part, d in zip(np.split(rest, cuts), far[np.concatenate(([0], cuts))]):
-                pending.append((part, (here, int(d))))
+            cuts = [0, *(np.flatnonzero(far[1:] != far[:-1]) + 1).tolist(), len(rest)]
+            # the last one that is pushed comes first
+            self.keys.append(far[cuts[-2::-1]])
+            pending += [(rest[a:b], here) for a, b in zip(cuts, cuts[1:])]
 
-    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(position of a code, positions of the queries within the radius), along edges within the radius only."""
-        pending = [(0, np.arange(len(queries)))]
+    def near(self, queries: np.ndarray, radius: int, later: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(position of a code, positions of the queries within the radius), along edges within the radius only.
+
+        With later the queries are the tree's own codes, and only those after the code are given.
+        """
+        pending = [(0, np.arange(len(queries)))] if self.at else []
         while pending:
-            at, asked = pending.pop()
-            pivot, children, leaf = self.nodes[at]
-            for code in leaf:
-                hit = asked[np.bitwise_count(queries[asked] ^ self.codes[code]) <= radius]
-                if len(hit):
-                    yield int(code), hit
-            if pivot < 0:
-                continue
-            far = np.bitwise_count(queries[asked] ^ self.codes[pivot]).astype(np.int64)
-            if len(hit := asked[far <= radius]):
-                yield pivot, hit
-            for d, child in children:
-                if len(on := asked[np.abs(far - d) <= radius]):
-                    pending.append((child, on))
+            node, asked = pending.pop()
+            code = self.at[node]
+            far = np.bitwise_count(queries[asked] ^ self.codes[code]).astype(np.int64)
+            hit = asked[(far <= radius) & (asked > code)] if later else asked[far <= radius]
+            if len(hit):
+                yield code, hit
+            if len(self.children[node]):
+                on = np.abs(far - self.keys[node][:, None]) <= radius
+                pending += [(child, asked[row]) for child, row, some in zip(self.children[node], on, on.any(axis=1)) if some]
 
 
 def spanning_links(tree_codes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -109,7 +105,7 @@ def spanning_links(tree_codes: np.ndarray, queries: np.ndarray, radius: int = RA
     shift = 0 if same else len(tree_codes)
     group = np.arange(len(codes))
     links = []
-    for code, hit in BKTree(tree_codes).near(queries, radius):
+    for code, hit in BKTree(tree_codes).near(queries, radius, later=same):
         others, first = np.unique(group[hit + shift], return_index=True)
         new = others != group[code]
         if not new.any():
@@ -120,39 +116,30 @@ def spanning_links(tree_codes: np.ndarray, queries: np.ndarray, radius: int = RA
 
 
 def shard_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (shard, piece, other, fp), those of a shard together; gives links (src, dst)."""
+    """Rows (shard, low, high, piece, fp), those of a task together; gives links (src, dst)."""
     rest: pd.DataFrame | None = None
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
         key = rows[["shard", "low", "high"]].to_numpy()
+        piece = rows["piece"].to_numpy()
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fp)]))
-        size = ends - starts
         out = []
-        small = np.repeat(size <= 8, size)
-        of = np.repeat(np.arange(len(size)), size)
-        for k in range(1, 8):  # shards of a few codes: all of them side by side
-            near = np.flatnonzero((of[k:] == of[:-k]) & small[k:] & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= RADIUS))
-            out.append(np.stack((fp[near], fp[near + k]), 1).view(np.int64))
-        piece = rows["piece"].to_numpy()
-        for a, b in zip(starts[size > 8], ends[size > 8]):
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
             codes = fp[a:b]
             if key[a, 1] == key[a, 2]:
-                found = spanning_links(codes, codes)
+                out += spanning_links(codes, codes)
             else:
                 mine = piece[a:b] == key[a, 1]
-                found = spanning_links(codes[mine], codes[~mine]) if mine.any() and not mine.all() else []
-            if found:
-                out.append(np.array(found, np.uint64).view(np.int64))
-        both = np.concatenate(out)
+                out += spanning_links(codes[mine], codes[~mine])
+        both = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"src": both[:, 0], "dst": both[:, 1]})
 
     for rows in batches:
         rows = rows if rest is None else pd.concat((rest, rows), ignore_index=True)
-        last = rows.iloc[-1] if len(rows) else None
-        if last is None:
+        if not len(rows):
             continue
+        last = rows.iloc[-1]
         open_ = (rows["shard"] == last["shard"]) & (rows["low"] == last["low"]) & (rows["high"] == last["high"])
         rest = rows[open_]
         if not open_.all():
@@ -161,17 +148,40 @@ def shard_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(rest)
 
 
-def near_links(codes: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
+def shard_keys(count: int, size: int = SHARD) -> list[Column]:
+    """Keys under which codes (column fp) meet, so that shards keep their size as the number of codes grows.
+
+    The 64 bits are cut into m blocks. Codes that differ in RADIUS bits at most agree in m - RADIUS blocks, so one key
+    for each choice of so many blocks misses no pair, and neither does a key of the first bits of these blocks only.
+    As many bits are taken as leave about `size` codes a shard; m is the smallest number of blocks that offers them.
+    """
+    bits = max(0, math.ceil(math.log2(max(count, 1) / size)))
+    if not bits:
+        return [F.lit(0).cast("long")]
+    for m in range(RADIUS + 1, 2 * RADIUS + 2):
+        chosen, width = m - RADIUS, 64 // m
+        if chosen * width >= bits:
+            break
+    bits = min(bits, chosen * width)
+    keys = []
+    for number, blocks in enumerate(combinations(range(m), chosen)):
+        key = F.lit(number).cast("long")
+        for j, block in enumerate(blocks):
+            take = bits * (j + 1) // chosen - bits * j // chosen
+            key = F.shiftleft(key, take).bitwiseOR(F.shiftrightunsigned("fp", width * block).bitwiseAND(F.lit((1 << take) - 1)))
+        keys.append(key)
+    return keys
+
+
+def near_links(codes: DataFrame, max_shard: int = MAX_SHARD, size: int = SHARD) -> DataFrame:
     """Links (src, dst) between distinct fingerprints (column fp) that connect all within RADIUS bits.
 
-    A shard holds the fingerprints that agree in one of BLOCKS blocks of bits, so no pair within the radius is
-    missed. A shard of more than max_shard codes becomes pieces; each pair of pieces is a task that asks one
-    piece's tree about the other's codes, so no task holds more than about two pieces.
+    Every code goes to the shards of its keys, and every shard with two codes or more becomes a BK-tree that is asked
+    about its codes. A shard of more than max_shard codes, which only clusters make, becomes pieces; each pair of
+    pieces is a task that asks one piece's tree about the other's codes, so no task holds more than about two pieces.
     """
     n = partitions(codes.sparkSession)
-    width = 64 // BLOCKS
-    block = F.posexplode(F.array(*(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS))))
-    keyed = codes.select("fp", block.alias("block", "bits")).select("fp", (F.col("block") * (1 << width) + F.col("bits")).alias("shard"))
+    keyed = codes.select("fp", F.explode(F.array(*shard_keys(codes.count(), size))).alias("shard"))
     counts = keyed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / max_shard).cast("int").alias("pieces"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pieces = keyed.join(counts, "shard").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     tasks = pieces.select("shard", "fp", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
@@ -180,27 +190,51 @@ def near_links(codes: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     return dealt.mapInPandas(shard_links, "src long, dst long")
 
 
+def _groups(docs: DataFrame) -> DataFrame:
+    """(fp, n, best) of rows (fp, own): the number of rows of each fingerprint, and the least `own` of all rows that
+    links reach from it."""
+    codes = written(docs.groupBy("fp").agg(F.min("own").alias("own"), F.count(F.lit(1)).alias("n")), "simhash-codes")
+    groups = written(connected_components(written(near_links(codes.select("fp")), "simhash-links")), "simhash-groups")
+    known = groups.join(codes.select(F.col("fp").alias("node"), "own"), "node")
+    named = known.groupBy("component").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("codes"))
+    linked = lookup(groups, named, "component", "codes", groups.count()).select(F.col("node").alias("fp"), "best")
+    table = codes.join(linked, "fp", "left").select("fp", "n", F.when(F.col("best").isNull(), F.col("own")).otherwise(F.col("best")).alias("best"))
+    return written(table, "simhash-table")
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row; component_id is the smallest id that links reach.
 
     Equal fingerprints are one code, so copies are never compared with each other, and each shard of codes gives
     spanning links only. The trees are built where their shard's codes meet: the set of all fingerprints grows with
-    the input, so it is dealt out, not broadcast.
+    the input, so it is dealt out, not broadcast. Fingerprints of a large share of the rows are named by broadcast.
 
     Defined cases: null and empty texts have fingerprint zero and link like any other; a null id is in no
     competition for component_id, which is null only where no id of a group is known; repeated rows give repeated
-    results; an empty table gives an empty result. Only the two named columns are read.
+    results; an empty table gives an empty result; very long texts are read whole. Only the two named columns are
+    read.
+    """
+    docs = written(df.select(F.col(id_col).alias("id"), simhash(text_of(text_col)).alias("fp")), "simhash")
+    table = _groups(docs.select("fp", F.struct(F.col("id").isNull().alias("none"), "id").alias("own")))
+    named = lookup(docs, table, "fp", "n", docs.count())
+    return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked fingerprints, with all its columns: the one with the smallest id.
+
+    Rows are told apart by numbers of their own, given when they are written with their fingerprints, so rows that
+    share an id are decided one by one. Defined cases: as in near_dedup; null ids come last; of rows with the same id
+    in one group any one stays, but only one.
     """
-    docs = written(fingerprints(df, id_col, text_col), "simhash")
-    codes = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    groups = connected_components(written(near_links(codes.select("fp")), "simhash-links"))
-    known = groups.join(codes, groups.node == codes.fp)
-    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = groups.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    table = codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    table = written(table, "simhash-groups")
-    return docs.join(table, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    carried = Carried(df)
+    rows = df.select(*carried.hide(df), F.col(id_col).alias("__id"), simhash(text_of(text_col)).alias("fp"))
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    table = _groups(rows.select("fp", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")).alias("own")))
+    kept = table.select(F.col("best.row").alias("__row")).distinct()
+    return rows.join(kept, "__row", "left_semi").select(*carried.show())
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

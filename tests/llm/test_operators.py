@@ -187,8 +187,46 @@ def test_fingerprint_hash_is_spark_hash(spark):
     assert near_dedup.fingerprint("") == 0 and near_dedup.fingerprint("One TWO") == xxhash.xxh64_intdigest("one two", 42)
 
 
-@pytest.mark.parametrize("limit", [2048, 12])
-def test_near_links_equal_brute_force(spark, limit):
+def labels_of(nodes, pairs):
+    label = {c: c for c in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def test_bk_tree_finds_all_within_the_radius():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    codes = np.unique(np.concatenate((codes, codes[:60] ^ np.uint64(5), codes[:40] ^ np.uint64(1 << 40), codes[:30] ^ np.uint64(15))))
+    tree = near_dedup.BKTree(codes)
+    assert len(tree.at) == len(codes) and all(len(k) == len(c) for k, c in zip(tree.keys, tree.children))
+    want = {(i, j) for i, a in enumerate(codes) for j, b in enumerate(codes) if np.bitwise_count(a ^ b) <= 3}
+    assert {(i, int(j)) for i, hit in tree.near(codes, 3) for j in hit} == want
+    assert {(i, int(j)) for i, hit in tree.near(codes, 3, later=True) for j in hit} == {(i, j) for i, j in want if i < j}
+    assert not list(near_dedup.BKTree(codes[:0]).near(codes, 3))
+
+
+@pytest.mark.parametrize("count", [1, 600, 5_000, 40_000_000, 10**10, 10**13])
+def test_shard_keys_miss_no_pair(spark, count):
+    rng = np.random.default_rng(count % 97)
+    a = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(3):
+        b ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    keys = near_dedup.shard_keys(count)
+    shards = lambda x: [set(r[0]) for r in spark.createDataFrame([(i, int(v)) for i, v in enumerate(x.view(np.int64))], "i long, fp long").orderBy("i").select(F.array(*keys)).collect()]
+    assert all(x & y for x, y in zip(shards(a), shards(b)))
+    assert len({k for s in shards(a) for k in s}) > min(200, count / 2_000) and len(keys) <= 35
+
+
+@pytest.mark.parametrize("limit, size", [(2048, 512), (12, 512), (2048, 8), (12, 40)])
+def test_near_links_equal_brute_force(spark, limit, size):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     codes = set(base.tolist())
@@ -198,32 +236,78 @@ def test_near_links_equal_brute_force(spark, limit):
             codes.add(int(c ^ int(np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)))))
     arr = np.array(sorted(codes), np.uint64)
     df = spark.createDataFrame([(int(c),) for c in arr.view(np.int64)], "fp long")
-    links = np.array([(r["src"], r["dst"]) for r in near_dedup.near_links(df, limit).collect()], np.int64).view(np.uint64)
+    links = np.array([(r["src"], r["dst"]) for r in near_dedup.near_links(df, limit, size).collect()], np.int64).view(np.uint64)
     assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 3).all()
-
-    def groups(pairs):
-        label = {c: c for c in arr.tolist()}
-        changed = True
-        while changed:
-            changed = False
-            for a, b in pairs:
-                low = min(label[a], label[b])
-                if label[a] != low or label[b] != low:
-                    label[a] = label[b] = low
-                    changed = True
-        return label
-
     near = [(int(a), int(b)) for i, a in enumerate(arr) for b in arr[i + 1 :] if np.bitwise_count(a ^ b) <= 3]
-    assert groups(links.tolist()) == groups(near)
+    assert labels_of(arr.tolist(), links.tolist()) == labels_of(arr.tolist(), near)
     assert len(links) < len(near) + len(arr) * 4
 
 
+def brute_fingerprint(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_near(rows):
+    """Fingerprint and component of every row, by comparing all rows."""
+    fps = [brute_fingerprint(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    label = labels_of(range(len(rows)), pairs)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[label[i]] = min(doc, least.get(label[i], doc))
+    return [(doc, f"{fp:016x}", least.get(label[i])) for i, ((doc, _), fp) in enumerate(zip(rows, fps))]
+
+
+def near_rows():
+    rng = random.Random(21)
+    rows = [(2, None), (3, ""), (4, " \n"), (5, "One"), (6, "one TWO"), (7, "ab AB ab Ab"), (None, "one two"), (8, "word " * 20_000), (8, "word " * 20_000)]
+    for i in range(12):
+        body = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 150, 600]))]
+        for k in range(6):
+            w = list(body)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+            rows.append((10 + i * 10 + k, " ".join(w).upper() if k == 1 else " ".join(w)))
+    return rows
+
+
+def test_near_dedup_equals_brute_force_on_whole_documents(spark):
+    rows = near_rows()
+    got = sorted(map(tuple, near_dedup.near_dedup(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted(brute_near(rows), key=repr)
+
+
+def test_near_dedup_hot_fingerprint_and_hot_component(spark):
+    rng = random.Random(22)
+    body = [f"w{rng.randrange(3000)}" for _ in range(2000)]
+    rows = [(i, "the same words again and again") for i in range(300)]
+    for k in range(150):
+        w = list(body)
+        w[rng.randrange(len(w))] = f"x{k}"
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(2000 + i, " ".join(f"z{i}{j}" for j in range(30))) for i in range(60)]
+    got = sorted(map(tuple, near_dedup.near_dedup(frame(spark, rows)).collect()))
+    assert got == sorted(brute_near(rows))
+
+
+def test_representatives_decide_row_by_row(spark):
+    a, b = "one two three four five six", "quite another text that resembles nothing else"
+    rows = [(0, a, 1), (5, a, 2), (5, b, 3), (None, a, 4), (None, "alone here with no number at all", 5), (9, b, 6), (9, b, 7), (11, None, 8), (12, "", 9)]
+    out = near_dedup.representatives(frame(spark, rows, DOCS + ", fp int"))
+    assert out.columns == ["doc_id", "text", "fp"]
+    assert sorted(r["fp"] for r in out.collect()) == [1, 3, 5, 8]
+    assert near_dedup.representatives(frame(spark, [])).count() == 0
+
+
 def test_near_dedup_cases(spark):
     got = {}
     for r in near_dedup.near_dedup(frame(spark)).collect():
         got.setdefault(r["doc_id"], []).append((r["fingerprint"], r["component_id"]))
     assert got[3] == got[4] == [("0" * 16, 3)] and len(got[6]) == 2
-    assert got[None][0][1] == 2 or got[None][0][1] is None
+    assert got[None][0][1] == 2
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
 
 
