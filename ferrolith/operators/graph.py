@@ -46,12 +46,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
     """Inner join of rows with a table of one row a key, whose column weight says how many rows have the key.
 
     total is at least the number of rows. Keys with more than a partition's share of them are fewer than there are
-    partitions: this bounded part of the table is broadcast, and only the rows of all other keys are shuffled. The
-    column weight is not in the result.
+    partitions: this bounded part of the table, where there is one, is broadcast, and only the rows of all other keys
+    are shuffled. The table should be durable, as it is read first. The column weight is not in the result.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowded = F.col(weight) * parts > F.lit(total)
     hot, cold = table.where(crowded), table.where(~crowded)
+    if hot.isEmpty():
+        return rows.join(table.drop(weight), key)
     here = rows.join(F.broadcast(hot.drop(weight)), key)
     there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(weight), key)
     return here.unionByName(there)
@@ -74,15 +76,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before = state(star)
     for _ in range(max_rounds):
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+        low, low_path = _stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n")), "components")
         large = lookup(both.where("b > a"), low, "a", "n", 2 * before[0]).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
-        small = lookup(large, low, "a", "n", before[0]).select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("e"))
-        old = path
+        large, large_path = _stored(large.where("a <> b").distinct(), "components")
+        least, least_path = _stored(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")), "components")
+        small = lookup(large, least, "a", "n", before[0]).select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("e"))
+        old = [path, low_path, large_path, least_path]
         star, path = _stored(small.select("e.a", F.col("e.low").alias("b")).where("a <> b").distinct(), "components")
         now = state(star)
-        _removed(spark, old)
+        for gone in old:
+            _removed(spark, gone)
         if now == before:
             break
         before = now
