@@ -197,6 +197,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     groups = written(connected_components(written(near_links(codes.select("fp")), "simhash-links")), "simhash-groups")
     known = groups.join(codes.select(F.col("fp").alias("node"), "own"), "node")
     named = known.groupBy("component").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("codes"))
+    named = written(named, "simhash-named")
     linked = lookup(groups, named, "component", "codes", groups.count()).select(F.col("node").alias("fp"), "best")
     table = codes.join(linked, "fp", "left").select("fp", "n", F.when(F.col("best").isNull(), F.col("own")).otherwise(F.col("best")).alias("best"))
     return written(table, "simhash-table")
