@@ -131,6 +131,52 @@ def test_reliabilities_follow_the_good_labeler():
     assert post[1, 1, 0] > 0.9 > 0.1 > post[-1, -1, 0]
 
 
+def card_number(rng):
+    d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def spelled_out(rng):
+    """Personal data that the base patterns miss, with its kind."""
+    name, host = rng.choice(["jane.doe", "m_ruiz", "k.ito7"]), rng.choice(["example", "mail-host", "uni"])
+    ending, n = rng.choice(["com", "org", "de"]), lambda a, b: rng.randrange(a, b)
+    card = card_number(rng)
+    four = [card[i : i + 4] for i in range(0, 16, 4)]
+    return rng.choice([
+        ("email", f"{name} (at) {host} (dot) {ending}"), ("email", f"{name}[at]{host}.{ending}"), ("email", f"{name} at {host} dot {ending}"),
+        ("ip", f"{n(1, 224)}[.]{n(0, 256)}[.]{n(0, 256)}[.]{n(0, 256)}"), ("ip", f"2001:db8:{n(1, 9999):x}:0:0:8a2e:370:{n(1, 9999):x}"), ("ip", f"fe80::{n(1, 9999):x}:{n(1, 9999):x}"),
+        ("card", ".".join(four)), ("card", "/".join(four)), ("card", " - ".join(four)),
+        ("phone", f"({n(2, 9)}{n(0, 9)}{n(0, 10)}) {n(200, 999)}-{n(1000, 9999)}"), ("phone", f"0049 30 {n(1000000, 9999999)}"), ("phone", f"{n(201, 289)}.{n(200, 999)}.{n(1000, 9999)}"),
+    ])
+
+
+def decoy(rng):
+    n = lambda a, b: rng.randrange(a, b)
+    four = f"4{n(100, 999)}.{n(1000, 9999)}.{n(1000, 9999)}."
+    last = next(f"{k:04d}" for k in range(10) if not luhn((four + f"{k:04d}").replace(".", "")))
+    return rng.choice([
+        four + last, f"{n(10, 24)}:{n(10, 59)}:{n(10, 59)}:{n(10, 99)}:{n(10, 99)}:{n(10, 99)}:{n(10, 99)}:{n(10, 99)}", f"{n(300, 999)}[.]{n(300, 999)}[.]1[.]2",
+        f"order {n(100, 199)}-{n(100, 199)}-{n(1000, 9999)}", "meet at noon dot com", "12 at home . later", f"part {n(0, 99):03d} {n(0, 199):03d} {n(1000, 9999)}", "std::vector::size",
+    ])
+
+
+@pytest.mark.parametrize("count", [3, 240])
+def test_pii_adds_what_the_base_patterns_miss(spark, count):
+    rng = random.Random(16)
+    planted = [spelled_out(rng) for _ in range(count)]
+    rows = [(i, f"please note {t} here") for i, (_, t) in enumerate(planted)]
+    rows += [(10_000 + i, f"please note {decoy(rng)} here") for i in range(count)] + [(20_000 + i, f"write to a{i}@example.com or +1 (212) 555-{1000 + i}") for i in range(count)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows), keep=["doc_id"]).collect()}
+    found = [i for i, (kind, t) in enumerate(planted) if f"{kind}:12:{12 + len(t)}" in got[i].split(",")]
+    false = [i for i, spans in got.items() if 10_000 <= i < 20_000 and spans]
+    assert len(found) >= 0.9 * count and len(false) <= 0.05 * count, ([planted[i] for i in range(count) if i not in found][:9], [(dict(rows)[i], got[i]) for i in false][:9])
+
+
+def test_classifier_separates_what_it_is_shown():
+    weights = pii.classifier([((1, 0), 0.95, 50.0), ((0, 1), 0.05, 50.0), ((1, 1), 0.6, 5.0)])
+    assert weights[0] > 0 > weights[1]
+
+
 def test_pii_of_nothing(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
