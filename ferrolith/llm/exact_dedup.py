@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Carried, partitions, text_of
+from .common import SPACES, Carried, partitions, text_of, written
 
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, keep: list[str] | None = None) -> DataFrame:
     """Adds keep_id, group_size, kept and text_sha256 to every row.
 
     Two texts are equal when they are the same after all separators are deleted. Of equal texts the one with the
@@ -22,7 +22,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     Rows are dealt to fan_in ** k runs by a hash of their id. Each run is sorted by digest and reduced to one entry
     per digest; then fan_in neighbouring runs merge into one, k times, and every merge keeps the smallest verified
     identifier. The verdict goes back down the same tree, so even a digest that a third of all rows share is only
-    ever met once per run: no task gets more of it than its run holds.
+    ever met once per run: no task gets more of it than its run holds. The texts are read once: their digests are
+    written beside the columns named in keep (all: None), and the tree works on numbered digests alone.
 
     Defined cases: a null text counts as empty, and all empty texts form one group. A null id ranks after all
     others. Of rows that repeat id and text exactly one is kept. An empty table gives an empty result. Input
@@ -31,18 +32,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """
     n = partitions(df.sparkSession)
     rounds = max(1, math.ceil(math.log(max(n, 2), fan_in)))
-    carried = Carried(df)
+    carried = Carried(df.select(*(df.columns if keep is None else keep)))
     text = text_of(text_col)
     bare = reduce(lambda t, c: F.replace(t, F.lit(c)), SPACES, text)
+    rows = df.select(
+        *carried.hide(df),
+        F.col(id_col).alias("__id"),
+        (-F.length(text)).alias("__shortness"),
+        F.unhex(F.sha2(bare, 256)).alias("__digest"),
+        F.xxhash64(bare).alias("__check"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(fan_in**rounds)).alias("__run"),
+        F.monotonically_increasing_id().alias("__row"),
+    )
+    rows = written(rows, "exact-digests")
     leaf = (
-        df.select(
-            *carried.hide(df),
-            F.col(id_col).alias("__id"),
-            (-F.length(text)).alias("__shortness"),
-            F.unhex(F.sha2(bare, 256)).alias("__digest"),
-            F.xxhash64(bare).alias("__check"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(fan_in**rounds)).alias("__run"),
-        )
+        rows.select("__row", "__id", "__shortness", "__digest", "__check", "__run")
         .repartition(n, "__run", "__digest")
         .withColumn("__best", F.struct("__shortness", F.col("__id").isNull().alias("none"), F.col("__id").alias("id")))
     )
@@ -65,19 +69,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         F.col("__n").alias("group_size"),
     )
     down = first.select("__run", "__digest").join(verdict, "__digest")
-    out = leaf.join(down, ["__run", "__digest"])
-    return out.select(
-        *carried.show(RESULT),
-        F.col("__winner.id").alias("keep_id"),
-        F.col("group_size"),
-        ((F.col("__place") == 1) & (F.col("__best") == F.col("__winner"))).alias("kept"),
-        F.lower(F.hex("__digest")).alias("text_sha256"),
+    judged = leaf.join(down, ["__run", "__digest"]).select(
+        "__row", F.col("__winner.id").alias("keep_id"), "group_size", ((F.col("__place") == 1) & (F.col("__best") == F.col("__winner"))).alias("kept")
     )
+    out = rows.select(*carried.private, "__row", "__digest").join(judged, "__row")
+    return out.select(*carried.show(RESULT), "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", *RESULT)
+    return exact_dedup(docs, keep=["doc_id"])
 
 
 OP1_SQL = r"""
