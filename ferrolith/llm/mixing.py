@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Carried, partitions, text_of
+from .common import WORD, Carried, partitions, running, text_of, written
 
 RESULT = ["size", "source_size", "target", "copies", "taken"]
 #: No document and no source is taken more often than this.
@@ -22,26 +22,23 @@ def targets(per_source: DataFrame, most: int = MOST) -> DataFrame:
     """(__source, source_size) -> target. Weights 1, 2, 3 repeat over the sources by code point, null last.
 
     A source's target is min(most * size, weight * level); the level at which all targets add up to all sizes comes
-    from running sums over the sources in the order in which they reach their limit. The table has one row a source.
+    from running sums over the sources in the order in which they reach their limit. The table has one row a source;
+    only its sums and the level come to the driver.
     """
-    by_name = Window.orderBy(F.col("__source").asc_nulls_last())
-    weighed = per_source.withColumn("__w", F.pmod(F.row_number().over(by_name) - 1, F.lit(3)) + 1)
+    name = F.col("__source").asc_nulls_last()
     full = (F.col("source_size") * most).cast("double")
-    weighed = weighed.withColumn("__at", full / F.col("__w"))
-    line = Window.orderBy("__at", F.col("__source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    weighed = (
-        weighed.withColumn("__capped", F.coalesce(F.sum(F.col("source_size") * most).over(line), F.lit(0)))
-        .withColumn("__left", F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(line), F.lit(0)))
-        .withColumn("__all", F.sum("source_size").over(every))
-        .withColumn("__level", (F.col("__all") - F.col("__capped")).cast("double") / F.col("__left"))
-    )
+    weighed = running(per_source, [name], {"__before": F.lit(1)})
+    weighed = weighed.withColumn("__w", F.pmod("__before", F.lit(3)) + 1).drop("__before")
+    weighed = running(weighed.withColumn("__at", full / F.col("__w")), [F.col("__at").asc(), name], {"__capped": F.col("source_size") * most, "__used": F.col("__w")})
+    weighed = written(weighed, "mix-targets")
+    size, weight = weighed.agg(F.sum("source_size"), F.sum("__w")).first()
+    level = (F.lit(size) - F.col("__capped")).cast("double") / (F.lit(weight) - F.col("__used"))
     # the first source that the level of those from it on does not fill sets it; later ones give lower levels
-    weighed = weighed.withColumn("__level", F.max(F.when(F.col("__level") <= F.col("__at"), F.col("__level"))).over(every))
-    return weighed.select("__source", "source_size", F.least(full, F.col("__w") * F.col("__level")).alias("target"))
+    level = weighed.select(F.max(F.when(level <= F.col("__at"), level))).first()[0]
+    return weighed.select("__source", "source_size", F.least(full, F.col("__w") * F.lit(level).cast("double")).alias("target"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Adds size, source_size, target, copies and taken to every row.
 
     Within a source the expected copies of its documents (target / source_size each) are added up in order of size;
@@ -50,14 +47,15 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     The running sum is spread: documents are dealt to cells (source, size class, first byte of the id's MD5) and
     ranked within their cell, and only cell counts are added up, first over the cells of a class, then over the
-    classes of a source. A source with a third of all rows is ranked by many tasks.
+    classes of a source. A source with a third of all rows is ranked by many tasks. Texts are
+    read once: sizes are written beside the columns named in keep (all: None), and ranks are those of numbered sizes.
 
     Defined cases: a null text has size 0; the null source is one source and comes last; null ids are ranked last
     in their cell; a source of size 0 has target 0 and no copies; repeated rows are ranked one after the other; an
     empty table gives an empty result. Input columns named like a result column are replaced by it.
     """
     n = partitions(df.sparkSession)
-    carried = Carried(df)
+    carried = Carried(df.select(*(df.columns if keep is None else keep)))
     docs = df.select(
         *carried.hide(df),
         F.col(id_col).alias("__id"),
@@ -65,7 +63,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("__size"),
     ).withColumn("__class", size_class(F.col("__size")).cast("int"))
     docs = docs.withColumn("__cell", F.coalesce(F.conv(F.substring(F.md5(F.col("__id").cast("string")), 1, 2), 16, 10).cast("int"), F.lit(0)))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-sizes")
     keys = ["__source", "__class", "__cell"]
+    docs = rows.select("__row", "__id", "__size", *keys)
 
     cells = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__s"))
     classes = cells.groupBy("__source", "__class").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"))
@@ -84,21 +84,21 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     order = Window.partitionBy(*keys).orderBy("__size", F.col("__id").asc_nulls_last())
     ranked = docs.repartition(n, *keys).withColumn("__rank", F.row_number().over(order))
     out = ranked.join(cells, same(ranked, cells, keys), "left").select(
-        *(ranked[c] for c in (*carried.private, "__source", "__size", "__rank")), "__start", "source_size", "target"
+        *(ranked[c] for c in ("__row", "__source", "__size", "__rank")), "__start", "source_size", "target"
     )
     name = F.concat(F.lit("mix:"), F.coalesce(F.col("__source"), F.lit("")))
     offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("__start") + F.col("__rank")
     copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return out.withColumn("copies", copies.cast("long")).select(
-        *carried.show(RESULT), F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken")
-    )
+    judged = out.select("__row", F.col("__size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    judged = judged.withColumn("taken", F.col("size") * F.col("copies"))
+    return rows.select("__row", *carried.private).join(judged, "__row").select(*carried.show(RESULT), *RESULT)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""
