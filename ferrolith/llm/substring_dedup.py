@@ -11,8 +11,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from .common import partitions, text_of, written
+from .common import partitions, running, small_batches, text_of, written
 
 #: Words in a window; a repeated window is removed.
 WINDOW = 50
@@ -132,7 +133,7 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got, at = anchors(word_codes(words)) if len(words) >= WINDOW else (np.zeros(0, np.int64), np.zeros(0, np.int32))
             for k, v in zip(out, (len(words), hashlib.sha256(b" ".join(words)).digest(), got, at)):
                 out[k].append(v)
-        yield pd.DataFrame({"id": batch["id"], **out})
+        yield pd.DataFrame({"id": batch["id"], "rank": batch["rank"], **out})
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,14 +212,26 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "n_removed", "kept_text"])
 
 
+def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, rank, text): rank is a whole number in the order of the ids, and LAST for a missing one."""
+    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    if docs.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return docs.withColumn("rank", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
+    ids = running(docs.select("id").where("id IS NOT NULL").distinct(), [F.col("id").asc()], {"rank": F.lit(1).cast("long")})
+    return docs.join(ids, "id", "left").select("id", "text", F.coalesce("rank", F.lit(LAST)).alias("rank"))
+
+
 def _shared(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all rows with word count and digest, the smallest row of each word sequence, what is left of its text)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    first = docs.mapInPandas(_first_pass, "id long, n int, digest binary, anchors array<long>, at array<int>")
-    first = written(first, "substring-anchors").withColumn("rank", F.coalesce("id", F.lit(LAST)))
+    docs = _ordered(df, id_col, text_col)
+    kind = docs.schema["id"].dataType
+    # ids enter Python as strings: whole numbers beside missing ones would lose digits there
+    numbered = docs.select(F.col("id").cast("string").alias("id"), "rank", "text")
+    first = numbered.mapInPandas(_first_pass, "id string, rank long, n int, digest binary, anchors array<long>, at array<int>")
+    first = written(first.withColumn("id", F.col("id").cast(kind)), "substring-anchors")
     # of equal word sequences only the smallest is a reference, and only it can have words left
-    least = first.groupBy("digest").agg(F.min("rank").alias("rank"), F.first("anchors").alias("anchors"), F.first("at").alias("at"))
-    least = least.select("digest", "rank", F.xxhash64("digest").alias("key"), F.arrays_zip(F.col("anchors").alias("anchor"), "at").alias("all"))
+    least = first.groupBy(F.col("digest").alias("key")).agg(F.min("rank").alias("rank"), F.first("anchors").alias("anchors"), F.first("at").alias("at"))
+    least = least.select("key", "rank", F.arrays_zip(F.col("anchors").alias("anchor"), "at").alias("all"))
     least = written(least, "substring-references")
     places = least.select("rank", "key", F.inline("all").alias("anchor", "at"))
     shared = places.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
@@ -226,19 +239,15 @@ def _shared(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     shared = written(shared.select("anchor", (F.col("n") > MAX_GROUP).alias("hot")), "substring-shared")
     hits = written(places.join(shared, "anchor"), "substring-hits")
     found = hits.groupBy("key", "rank").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("found"))
-    owner = docs.withColumn("rank", F.coalesce("id", F.lit(LAST))).drop("id")
-    candidates = owner.join(found, "rank").where(_same_text())
+    # ids may repeat or be missing: the row's own words must be those of the reference
+    owner = docs.select("rank", "text", digest_of("text").alias("key"))
+    candidates = owner.join(found, ["key", "rank"]).dropDuplicates(["key"])
     return first, least, written(candidates.select("key", "rank", "text", "found"), "substring-candidates")
 
 
-def _same_text():
-    """Ids may repeat: the row's own words must be those of the key."""
-
-    @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(b" ".join(split(t))).digest() for t in texts], dtype=object)
-
-    return F.xxhash64(digest("text")) == F.col("key")
+@F.pandas_udf(BinaryType())
+def digest_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([hashlib.sha256(b" ".join(split(t))).digest() for t in texts], dtype=object)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,25 +263,25 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more than MAX_GROUP places is decided window by window with map-side minima, which no hot passage can clog.
 
     Defined cases: a null text has no words; a null id is smaller than none, and null ids take nothing from each
-    other; rows that repeat an id take nothing from each other; ids are whole numbers; texts under WINDOW words stay;
+    other; rows that repeat an id take nothing from each other; ids of any type are taken in its order; texts under WINDOW words stay;
     an empty table gives an empty result. Only the two named columns are read.
     """
     n = partitions(df.sparkSession)
     first, least, candidates = _shared(df, id_col, text_col)
-    segment = "anchor long, rank long, key long, start int, codes array<long>"
+    segment = "anchor long, rank long, key binary, start int, codes array<long>"
     part = lambda hot: F.filter("found", lambda f: f["hot"] == F.lit(hot))
     cold = candidates.withColumn("found", part(False)).where(F.size("found") > 0).mapInPandas(_segments, segment)
     dealt = cold.repartition(n, "anchor").sortWithinPartitions("anchor", "rank")
-    ranges = dealt.mapInPandas(_matched, "key long, a int, b int")
+    ranges = dealt.mapInPandas(_matched, "key binary, a int, b int")
     hot = candidates.withColumn("found", part(True)).where(F.size("found") > 0).mapInPandas(_segments, segment)
-    windows = hot.mapInPandas(_windows, "h1 long, h2 long, rank long, key long, a int")
+    windows = hot.mapInPandas(_windows, "h1 long, h2 long, rank long, key binary, a int")
     # as tables of their own, so that Spark can split the join at windows that very many documents share
     lowest = written(windows.groupBy("h1", "h2").agg(F.min("rank").alias("low")), "substring-windows")
     taken = windows.join(lowest, ["h1", "h2"]).where("rank > low").select("key", "a", (F.col("a") + WINDOW).cast("int").alias("b"))
     ranges = ranges.union(written(taken, "substring-taken")).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    left = candidates.select("key", "text").join(ranges, "key").mapInPandas(_kept, "key long, n_removed int, kept_text string")
-    left = written(left.dropDuplicates(["key"]), "substring-kept")
-    table = written(least.join(left, "key", "left").select("digest", F.col("rank").alias("low"), "n_removed", "kept_text"), "substring-result")
+    left = candidates.select("key", "text").join(ranges, "key").mapInPandas(_kept, "key binary, n_removed int, kept_text string")
+    left = written(left, "substring-kept")
+    table = written(least.join(left, "key", "left").select(F.col("key").alias("digest"), F.col("rank").alias("low"), "n_removed", "kept_text"), "substring-result")
     rows = first.select("id", "rank", "n", "digest").join(table, "digest")
     copy = (F.col("rank") > F.col("low")) & (F.col("n") >= WINDOW)
     kept = F.when(copy, F.lit("")).otherwise(F.col("kept_text"))
@@ -284,4 +293,5 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept_text")
