@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, small_batches, text_of
+from .common import Carried, small_batches, text_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -18,6 +18,8 @@ SPACE = "▁"
 GIANT = 65_536
 CHUNK = 32_768
 CACHED = 50_000
+#: Matrices that are multiplied in one place.
+FAN = 16
 
 
 class Pieces:
@@ -176,20 +178,72 @@ def pieces(model: str) -> Pieces:
     return _loaded[model]
 
 
-def combined(matrices: list[set[tuple]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Multiplies the chunks' matrices from left to right, then reads off each chunk's states from right to left."""
-    alive: list[set[tuple[int, int]]] = [{m[:2] for m in matrices[0]}]
+def composed(matrices: list[set[tuple]]) -> set[tuple]:
+    """The max-plus product of neighbouring chunks' matrices: their finite entries (entering state, leaving state)."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        after: dict[tuple, list[tuple]] = {}
+        for x in m:
+            after.setdefault(x[:2], []).append(x[2:])
+        out = {x[:2] + y for x in out for y in after.get(x[2:], ())}
+    return out
+
+
+def parted(matrices: list[set[tuple]], enter: tuple, leave: tuple) -> list[tuple[tuple, tuple]]:
+    """The states at the cuts inside a product's chunks, given those at its ends: (enter, leave) of each chunk."""
+    alive = [{enter}]
     for m in matrices:
         alive.append({x[2:] for x in m if x[:2] in alive[-1]})
-    state = next(s for s in alive[-1] if s[1] == 0)
     out = []
     for m, before in zip(reversed(matrices), reversed(alive[:-1])):
-        enter = next(x[:2] for x in m if x[2:] == state and x[:2] in before)
-        out.append((enter, state))
-        state = enter
+        begin = next(x[:2] for x in m if x[2:] == leave and x[:2] in before)
+        out.append((begin, leave))
+        leave = begin
     return out[::-1]
 
 
+def _packed(entries: set[tuple]) -> np.ndarray:
+    return np.array(sorted(entries), np.int32).reshape(-1)
+
+
+def _unpacked(column: pd.Series) -> list[set[tuple]]:
+    return [set(map(tuple, e.reshape(-1, 4).tolist())) for e in column]
+
+
+def _states(found: DataFrame, fan: int = FAN) -> DataFrame:
+    """(key, k, enter, leave): the piece over either cut of every chunk, from the matrices (key, k, entries) of all.
+
+    `fan` neighbouring matrices are multiplied into one, round after round, until one is left for each text, which
+    tells its last state. On the way back every product hands the states at its ends to its parts. No group has more
+    than `fan` rows, however long a text is.
+    """
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "k": [key[1]], "entries": [_packed(composed(_unpacked(rows.sort_values("k")["entries"])))]})
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ends = [next(x for x in m if x[3] == 0) for m in _unpacked(rows["entries"])]
+            yield pd.DataFrame({"key": rows["key"], "k": rows["k"], "enter": [list(x[:2]) for x in ends], "leave": [list(x[2:]) for x in ends]})
+
+    def inside(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        states = parted(_unpacked(rows["entries"]), tuple(rows["enter"].iloc[0].tolist()), tuple(rows["leave"].iloc[0].tolist()))
+        return pd.DataFrame({"key": key[0], "k": rows["k"], "enter": [list(x) for x, _ in states], "leave": [list(x) for _, x in states]})
+
+    block = (F.col("k") / fan).cast("int")
+    levels, most = [found], found.agg(F.max("k")).first()[0]
+    while most:
+        levels.append(written(levels[-1].groupBy("key", block.alias("block")).applyInPandas(product, "key string, k int, entries array<int>"), "pieces-products"))
+        most //= fan
+    schema = "key string, k int, enter array<int>, leave array<int>"
+    states = levels.pop().mapInPandas(last, schema)
+    for level in reversed(levels):
+        ends = states.select("key", F.col("k").alias("block"), "enter", "leave")
+        states = level.withColumn("block", block).join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(inside, schema)
+    return states
+
+
 def _chunks(giants: DataFrame, model_longest: int) -> DataFrame:
     """One row a chunk: its text with a margin on both sides, and where the chunk lies in it."""
     size = F.length("__marked")
@@ -207,8 +261,8 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
 
     Documents of up to GIANT code points are encoded where they are. A longer one is split into chunks of CHUNK
     code points, dealt to tasks; each gives the matrix from the pieces that may cross its left cut to those that
-    may cross its right cut. The matrices of a text are multiplied, which fixes the piece over every cut, and each
-    chunk is traced back on its own. Equal giant texts are encoded once. longest is at least the length of the
+    may cross its right cut. The matrices of a text are multiplied in rounds, a few neighbours at a time, which fixes the
+    piece over every cut, and each chunk is traced back on its own. Equal giant texts are encoded once. longest is at least the length of the
     longest piece.
 
     Defined cases: null and empty texts have no ids; the results are those of the SentencePiece library; repeated
@@ -236,11 +290,6 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
                 entries = p.transfer(part, a, b, k == 0)
                 yield pd.DataFrame({"key": [key], "k": [k], "entries": [np.array(entries, np.int32).reshape(-1)]})
 
-    def path(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        states = combined([set(map(tuple, e.reshape(-1, 4).tolist())) for e in rows["entries"]])
-        return pd.DataFrame({"key": key[0], "k": rows["k"], "enter": [list(x) for x, _ in states], "leave": [list(x) for _, x in states]})
-
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for batch in batches:
@@ -249,10 +298,9 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
                 yield pd.DataFrame({"key": [r.key], "k": [r.k], "ids": [np.array(p.backtrace(r.part, r.a, r.b, enter, leave), np.int32)]})
 
     once = giants.groupBy("__key").agg(F.first("__text").alias("__text"))
-    parts = _chunks(once.select("__key", marked.alias("__marked")), longest)
-    found = parts.mapInPandas(matrices, "key string, k int, entries array<int>")
-    states = found.groupBy("key").applyInPandas(path, "key string, k int, enter array<int>, leave array<int>")
-    known = parts.withColumnRenamed("__key", "key").join(states, ["key", "k"])
+    parts = written(_chunks(once.select("__key", marked.alias("__marked")), longest), "pieces-chunks")
+    found = written(parts.mapInPandas(matrices, "key string, k int, entries array<int>"), "pieces-matrices")
+    known = parts.withColumnRenamed("__key", "key").join(_states(found), ["key", "k"])
     spelled = known.mapInPandas(traced, "key string, k int, ids array<int>").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("all"))
     spelled = spelled.select("key", F.flatten("all.ids").alias("__ids"))
     long = giants.join(spelled, F.col("__key") == F.col("key")).select(*hidden, "__ids")
