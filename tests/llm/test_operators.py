@@ -463,6 +463,20 @@ def test_substrings_of_prefixes_suffixes_splices_and_inner_quotes(spark, monkeyp
     assert got == brute_substrings(rows)
 
 
+def test_substrings_of_string_ids(spark):
+    long = " ".join(f"t{i}" for i in range(60))
+    got = substring_dedup.substring_dedup(frame(spark, [("b", long + " end"), ("a", long), (None, long + " x"), ("c", "short")], "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {"a": 0, "b": 60, None: 60, "c": 0}
+
+
+def test_substrings_of_many_missing_ids_and_large_ids(spark):
+    long = [f"t{i}" for i in range(60)]
+    big = 2**60 + 1
+    rows = [(None, " ".join([*long, f"n{i}"])) for i in range(80)] + [(big, " ".join(long)), (big + 1, " ".join(long))]
+    got = [(r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 60)] * 80 + [(big, 0), (big + 1, 60)], key=str)
+
+
 def test_substrings_with_missing_and_repeated_ids(spark):
     long = " ".join(f"t{i}" for i in range(60))
     got = substring_dedup.substring_dedup(frame(spark, [(1, long), (1, long), (None, long), (None, long)])).collect()
@@ -490,7 +504,11 @@ def test_chunks_give_the_librarys_ids(model, size):
             chunks.append((part, a, b))
             matrices.append(set(model.transfer(part, a, b, k == 0)))
         ids = []
-        for (part, a, b), (enter, leave) in zip(chunks, pieces.combined(matrices)):
+        # any grouping gives the same product
+        halves = pieces.composed([pieces.composed(matrices[:2]), pieces.composed(matrices[2:])]) if len(matrices) > 2 else pieces.composed(matrices)
+        assert halves == pieces.composed(matrices)
+        end = next(x for x in halves if x[3] == 0)
+        for (part, a, b), (enter, leave) in zip(chunks, pieces.parted(matrices, end[:2], end[2:])):
             ids += model.backtrace(part, a, b, (enter[0] + a, enter[1] + a), (leave[0] + b, leave[1] + b))
         assert ids == model.sp.encode(text)
 
@@ -498,6 +516,7 @@ def test_chunks_give_the_librarys_ids(model, size):
 def test_encode_splits_giants_and_decodes_all(spark, model, monkeypatch):
     monkeypatch.setattr(pieces, "GIANT", 300)
     monkeypatch.setattr(pieces, "CHUNK", 100)
+    monkeypatch.setattr(pieces._states, "__defaults__", (3,))
     rows = [(i, "word" * 200 + f" tail {i} é☃\n  end") for i in range(3)] + [(8, None), (9, ""), (10, " lead"), (11, "x" * 900), (11, "x" * 900)]
     df = frame(spark, rows)
     got = pieces.decode(pieces.encode(df), text_col="again").collect()
@@ -506,6 +525,24 @@ def test_encode_splits_giants_and_decodes_all(spark, model, monkeypatch):
         assert r["ids"] == model.sp.encode(r["text"] or "") and r["again"] == (r["text"] or "")
 
 
+def test_empty_tables_clashing_columns_and_long_texts(spark):
+    """Every operator on no rows, on columns named like its own, and on long texts, ties and repeated rows."""
+    operators = [
+        exact_dedup.exact_dedup, mixing.mix_sources, pii.find_pii, secrets.find_secrets, licenses.scan_licenses, quality.quality_rules, pieces.encode,
+        near_dedup.near_dedup, near_dedup.representatives, substring_dedup.substring_dedup,
+    ]
+    names = ["spans", "kept", "labels", "ids", "size", "target", "score", "__m", "__id", "__row", "__spans", "__size", "id", "fp", "rank", "key", "text_sha256"]
+    schema = DOCS + ", source string, " + ", ".join(f"`{n}` string" for n in names)
+    rest = ("s", *names)
+    long = "many words stand in this text " * 9_000
+    rows = [(1, long, *rest), (1, long, *rest), (2, None, None, *names), (None, "", *rest), (3, "ab 12 " * 12, *rest), (4, "ab 12 " * 12, *rest)]
+    for operator in operators:
+        empty = operator(frame(spark, [], schema))
+        assert empty.count() == 0 and len(set(empty.columns)) == len(empty.columns), operator
+        got = operator(frame(spark, rows, schema)).collect()
+        assert len(got) == (3 if operator is near_dedup.representatives else 6), operator
+
+
 # --- quality rules
 
 
