@@ -83,6 +83,16 @@ def reach_bolts(members: DataFrame, links: DataFrame) -> DataFrame:
     return reach_components(members, links, parts).join(bolts, "component").select("part_id", "bolt_id").distinct()
 
 
+def reach_summary(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(part_id, n_bolts, first_bolt) of the bolts in the reach of every part, without a row for each of them.
+
+    Components share no bolt, so a part's bolts are those of the components it touches, added up.
+    """
+    parts = link_components(links)
+    own = links.join(parts, "part_id").select("component", "bolt_id").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("bolt_id").alias("least"))
+    return reach_components(members, links, parts).join(own, "component").groupBy("part_id").agg(F.sum("n").alias("n_bolts"), F.min("least").alias("first_bolt"))
+
+
 def neighbourhood_bolts(members: DataFrame, links: DataFrame) -> DataFrame:
     """Bolts linked to a part or one of its mates."""
     linked = members.join(direct_bolts(links), "part_id").select("assembly_id", "bolt_id").distinct()
@@ -99,7 +109,7 @@ def isolation_policy(parts: DataFrame, members: DataFrame, links: DataFrame, ass
 
     With a link table relations decide, unless they reach no bolt and an assembly lists some.
     """
-    by_link = reach_bolts(members, links).groupBy("part_id").agg(F.count(F.lit(1)).alias("n_link"))
+    by_link = reach_summary(members, links).select("part_id", F.col("n_bolts").alias("n_link"))
     by_assembly = assembly_bolts_of_parts(members, assembly_bolts).groupBy("part_id").agg(F.count(F.lit(1)).alias("n_assembly"))
     table = links.groupBy().agg((F.count(F.lit(1)) > 0).alias("linked"))
     rows = parts.select("part_id").distinct().join(by_link, "part_id", "left").join(by_assembly, "part_id", "left").join(F.broadcast(table))

@@ -193,11 +193,14 @@ def nearest_vertex(points: DataFrame, corners: DataFrame, by: list[str], radius:
     equi-join with nine cells a point."""
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.explode(F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = points.select("*", around.alias("c")).select(*points.columns, "c.cx", "c.cy")
+    # equal points are looked for once, and each of them gets the answer
+    some = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__n"))
+    near = some.select("*", around.alias("c")).select(*some.columns, "c.cx", "c.cy")
     d = (F.col("vx") - F.col("x")) ** 2 + (F.col("vy") - F.col("y")) ** 2
     pairs = near.join(corners.withColumns({"cx": cell("vx"), "cy": cell("vy")}), [*by, "cx", "cy"]).withColumn("d2", d).where(F.col("d2") <= radius * radius)
     best = F.min_by(F.struct("vx", "vy", "ix", "iy", "d2"), F.struct("d2", -F.col("ix"), -F.col("iy")))
-    return pairs.groupBy(*points.columns).agg(best.alias("b")).select(*points.columns, "b.*")
+    found = pairs.groupBy(*some.columns).agg(best.alias("b"))
+    return found.select(*points.columns, "b", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).select(*points.columns, "b.*")
 
 
 def column_placements(stations: DataFrame, by: list[str]) -> DataFrame:

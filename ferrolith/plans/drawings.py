@@ -114,10 +114,9 @@ def grid_quality(spark, sf_dir):
 
 def snap_pins(spark, sf_dir):
     pins = bindings.table(spark, sf_dir, "events").select(
-        "event_id", (F.col("user_id") % 100).alias("page"), F.col("value").alias("x"), (F.minute("ts") * 16.0).alias("y"), F.col("event_id").alias("ord"), F.lit(None).cast("string").alias("mark")
+        "event_id", F.col("user_id").alias("page"), F.col("value").alias("x"), (F.minute("ts") * 16.0).alias("y"), F.col("event_id").alias("ord"), F.lit(None).cast("string").alias("mark")
     )
-    lines = _lines(spark, sf_dir).where("page < 100")
-    return grid.snap_pins(pins, lines, ["page"]).select("event_id", "mark", "x_line", "y_line", "x_index", "y_index")
+    return grid.snap_pins(pins, _lines(spark, sf_dir), ["page"]).select("event_id", "mark", "x_line", "y_line", "x_index", "y_index")
 
 
 def dim_numbers(spark, sf_dir):
@@ -166,8 +165,8 @@ def label_snap(spark, sf_dir):
 
 
 def nearest_vertex(spark, sf_dir):
-    lines = _lines(spark, sf_dir).where("page < 100 AND line < 600")
-    points = bindings.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).alias("page"), (F.col("value") * 10 % 600).alias("x"), (F.minute("ts") * 10.0).alias("y"))
+    lines = _lines(spark, sf_dir)
+    points = bindings.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("page"), (F.col("value") * 10 % 600).alias("x"), (F.minute("ts") * 10.0).alias("y"))
     rows = grid.nearest_vertex(points, grid.vertices(lines, ["page"]), ["page"], 40.0)
     return rows.select("event_id", "ix", "iy", F.round("d2", 6).alias("d2"))
 
@@ -262,8 +261,8 @@ QUERIES = {
             CASE WHEN gx < 1000 * 0.03 THEN 'x_lines_too_dense' END, CASE WHEN gy < 1000 * 0.03 THEN 'y_lines_too_dense' END) END AS reasons FROM f)
         SELECT *, reasons = '' AS accepted FROM r"""),
     "snap_pins": (snap_pins, f"""
-        WITH {_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM line WHERE page < 100),
-        p AS (SELECT event_id, user_id % 100 AS page, value AS x, minute(ts) * 16.0::DOUBLE AS y FROM events),
+        WITH {_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM line),
+        p AS (SELECT event_id, user_id AS page, value AS x, minute(ts) * 16.0::DOUBLE AS y FROM events),
         a AS (SELECT event_id, min_by(line, (abs(line - x), i)) AS x_line, min_by(i, (abs(line - x), i)) AS x_index FROM p JOIN n USING (page) WHERE axis = 'x' GROUP BY 1),
         b AS (SELECT event_id, min_by(line, (abs(line - y), i)) AS y_line, min_by(i, (abs(line - y), i)) AS y_index FROM p JOIN n USING (page) WHERE axis = 'y' GROUP BY 1)
         SELECT event_id, 'C' || (event_id + 1) AS mark, x_line, y_line, x_index::INT AS x_index, y_index::INT AS y_index FROM a JOIN b USING (event_id)"""),
@@ -286,9 +285,9 @@ QUERIES = {
         SELECT page, count(*)::INT AS n_kept, round(sum(last), 2) AS total FROM f GROUP BY 1"""),
     "label_snap": (label_snap, None),
     "nearest_vertex": (nearest_vertex, f"""
-        WITH {_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM line WHERE page < 100 AND line < 600),
+        WITH {_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM line),
         v AS (SELECT a.page, a.line AS vx, b.line AS vy, a.i AS ix, b.i AS iy FROM n a JOIN n b ON a.page = b.page AND a.axis = 'x' AND b.axis = 'y'),
-        p AS (SELECT event_id, user_id % 100 AS page, value * 10 % 600 AS x, minute(ts) * 10.0::DOUBLE AS y FROM events),
+        p AS (SELECT event_id, user_id AS page, value * 10 % 600 AS x, minute(ts) * 10.0::DOUBLE AS y FROM events),
         d AS (SELECT event_id, ix, iy, (vx - x) * (vx - x) + (vy - y) * (vy - y) AS d2 FROM p JOIN v USING (page))
         SELECT event_id, ix::INT AS ix, iy::INT AS iy, round(d2, 6) AS d2 FROM d WHERE d2 <= 1600 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d2, ix DESC, iy DESC) = 1"""),
     "dense_columns": (dense_columns, f"""

@@ -83,7 +83,7 @@ def leaf_products(spark, sf_dir):
 
 
 def ancestor_pick(spark, sf_dir):
-    orders = bindings.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    orders = bindings.table(spark, sf_dir, "orders")
     seeds = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     own = bindings.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_totalprice").cast("double").alias("value"), F.lit(0).alias("rank"))
     cust = bindings.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_acctbal").cast("double").alias("value"), F.lit(0).alias("rank"))
@@ -92,7 +92,7 @@ def ancestor_pick(spark, sf_dir):
 
 
 def _ends(spark, sf_dir):
-    line = bindings.table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    line = bindings.table(spark, sf_dir, "lineitem")
     role = F.when(F.col("l_linenumber") % 2 == 0, "relating").otherwise("related")
     return line.select(F.col("l_orderkey").alias("rel_id"), role.alias("role"), F.concat(F.lit("element-"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("element_id"), (F.col("l_partkey") % 4 == 0).alias("is_fastener")).distinct()
 
@@ -124,7 +124,7 @@ def _picks(spark):
 
 
 def _hidden(spark, sf_dir):
-    asm = bindings.assemblies(spark, sf_dir).where("assembly_id % 50 = 0").withColumn("name", F.lit(None).cast("string")).select("assembly_id", rollup.assembly_group_key().alias("group_key"))
+    asm = bindings.assemblies(spark, sf_dir).withColumn("name", F.lit(None).cast("string")).select("assembly_id", rollup.assembly_group_key().alias("group_key"))
     parts = bindings.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("identity"), F.lower("p_type").alias("profile_key"))
     return resolve.hidden_elements(asm, bindings.members(spark, sf_dir), parts, _picks(spark))
 
@@ -148,9 +148,9 @@ _PROPS = """props AS (
     {'layer': 2, 'pset': 'Extra', 'po': 1, 'prop': 'Size', 'i': 1, 'v': p_size::VARCHAR}], recursive := true) FROM part),
 eff AS (SELECT * FROM props WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY element_id, pset, prop ORDER BY layer) = 1)"""
 _HIDDEN = f"""hidden AS (
-  SELECT DISTINCT l_partkey AS part_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0 AND lower(o_orderpriority) = '1-urgent'
+  SELECT DISTINCT l_partkey AS part_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE lower(o_orderpriority) = '1-urgent'
   UNION SELECT p_partkey FROM part WHERE p_partkey IN (7, 11) OR lower(p_type) = 'economy')"""
-_ENDS = "ends AS (SELECT DISTINCT l_orderkey AS r, l_linenumber % 2 = 0 AS relating, 'element-' || lpad(l_partkey::VARCHAR, 8, '0') AS e, l_partkey % 4 = 0 AS f FROM lineitem WHERE l_quantity >= 45)"
+_ENDS = "ends AS (SELECT DISTINCT l_orderkey AS r, l_linenumber % 2 = 0 AS relating, 'element-' || lpad(l_partkey::VARCHAR, 8, '0') AS e, l_partkey % 4 = 0 AS f FROM lineitem)"
 
 QUERIES = {
     "layered_props": (layered_props, f"WITH {_PROPS} SELECT element_id, pset, prop, v AS value, ['instance', 'type', 'inherited'][layer + 1] AS layer FROM eff"),
@@ -171,7 +171,7 @@ QUERIES = {
         SELECT seed, count(*) AS n_leaves, min(node) AS first_leaf FROM w WHERE node NOT IN (SELECT p FROM t) AND node <> seed GROUP BY 1"""),
     "ancestor_pick": (ancestor_pick, """
         SELECT 'o' || o_orderkey AS seed, CASE WHEN o_orderstatus = 'P' THEN o_totalprice WHEN c_acctbal > 0 THEN c_acctbal ELSE c_nationkey END::DOUBLE AS value,
-          CASE WHEN o_orderstatus = 'P' THEN 0 WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS depth FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0"""),
+          CASE WHEN o_orderstatus = 'P' THEN 0 WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS depth FROM orders JOIN customer ON o_custkey = c_custkey"""),
     "link_pairs": (link_pairs, f"WITH {_ENDS} SELECT DISTINCT a.e AS bolt_id, b.e AS part_id FROM ends a JOIN ends b ON a.r = b.r AND a.relating <> b.relating AND a.f AND NOT b.f"),
     "multiway_pairs": (multiway_pairs, f"WITH {_ENDS} SELECT DISTINCT a.e AS bolt_id, b.e AS part_id FROM ends a JOIN ends b ON a.r = b.r AND a.f AND NOT b.f"),
     "connection_bolts": (connection_bolts, """

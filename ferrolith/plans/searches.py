@@ -66,23 +66,16 @@ def mates(spark, sf_dir):
 
 
 def reach_bolts(spark, sf_dir):
-    rows = bolts.reach_bolts(_few(spark, sf_dir), bindings.bolt_links(spark, sf_dir))
-    return rows.groupBy("part_id").agg(F.count(F.lit(1)).alias("n_bolts"), F.min("bolt_id").alias("first_bolt"))
-
-
-def _few(spark, sf_dir):
-    """Members of urgent orders' assemblies with full lines."""
-    lines = bindings.table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    return lines.select(F.col("l_orderkey").alias("assembly_id"), F.col("l_partkey").alias("part_id")).distinct()
+    return bolts.reach_summary(bindings.members(spark, sf_dir), bindings.bolt_links(spark, sf_dir))
 
 
 def _assembly_bolts(spark, sf_dir):
-    return bindings.table(spark, sf_dir, "lineitem").where("l_quantity = 1").select(F.col("l_orderkey").alias("assembly_id"), F.col("l_suppkey").alias("bolt_id")).distinct()
+    return bindings.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("assembly_id"), F.col("l_suppkey").alias("bolt_id")).distinct()
 
 
 def isolation_policy(spark, sf_dir):
     parts = bindings.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"))
-    return bolts.isolation_policy(parts, _few(spark, sf_dir), bindings.bolt_links(spark, sf_dir), _assembly_bolts(spark, sf_dir))
+    return bolts.isolation_policy(parts, bindings.members(spark, sf_dir), bindings.bolt_links(spark, sf_dir), _assembly_bolts(spark, sf_dir))
 
 
 def link_verdict(spark, sf_dir):
@@ -91,17 +84,18 @@ def link_verdict(spark, sf_dir):
     return bolts.link_verdict(every, bindings.bolt_links(spark, sf_dir), shown)
 
 
-_LINKS = "links AS (SELECT DISTINCT l_suppkey AS bolt_id, l_partkey AS part_id FROM lineitem WHERE round(l_discount, 2) = 0.1 AND l_quantity >= 46)"
-_FEW = "few AS (SELECT DISTINCT l_orderkey AS assembly_id, l_partkey AS part_id FROM lineitem WHERE l_quantity >= 49)"
-#: Components by the smallest bolt that is reached over shared parts.
+_LINKS = "links AS (SELECT DISTINCT l_suppkey AS bolt_id, l_partkey AS part_id FROM lineitem)"
+#: Components of bolts by the smallest bolt that is reached over shared parts, and those that each part touches.
 _REACH = f"""
-WITH RECURSIVE {_LINKS}, {_FEW},
+WITH RECURSIVE {_LINKS}, members AS (SELECT DISTINCT l_orderkey AS assembly_id, l_partkey AS part_id FROM lineitem),
 step AS (SELECT DISTINCT a.bolt_id AS a, b.bolt_id AS b FROM links a JOIN links b USING (part_id)),
 walk AS (SELECT a, b FROM step UNION SELECT w.a, s.b FROM walk w JOIN step s ON w.b = s.a),
+comp AS (SELECT a AS bolt_id, min(b) AS c FROM walk GROUP BY 1),
+own AS (SELECT c, count(*) AS n, min(bolt_id) AS least FROM comp GROUP BY 1),
+linked AS (SELECT DISTINCT part_id, c FROM links JOIN comp USING (bolt_id)),
 near AS (
-  SELECT m.part_id, l.bolt_id FROM few m JOIN few o USING (assembly_id) JOIN links l ON l.part_id = o.part_id
-  UNION SELECT part_id, bolt_id FROM links),
-reach AS (SELECT DISTINCT n.part_id, w.b AS bolt_id FROM near n JOIN walk w ON n.bolt_id = w.a)
+  SELECT m.part_id, l.c FROM members m JOIN members o USING (assembly_id) JOIN linked l ON l.part_id = o.part_id UNION SELECT part_id, c FROM linked),
+reach AS (SELECT part_id, sum(n)::BIGINT AS n_bolts, min(least) AS first_bolt FROM near JOIN own USING (c) GROUP BY 1)
 """
 
 QUERIES = {
@@ -134,11 +128,11 @@ QUERIES = {
     "mates": (mates, """
         WITH m AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS p FROM lineitem)
         SELECT x.p AS part_id, count(DISTINCT y.p) AS n_mates, min(y.p) AS first_mate FROM m x JOIN m y USING (a) GROUP BY 1"""),
-    "reach_bolts": (reach_bolts, f"{_REACH} SELECT part_id, count(*) AS n_bolts, min(bolt_id) AS first_bolt FROM reach GROUP BY 1"),
+    "reach_bolts": (reach_bolts, f"{_REACH} SELECT * FROM reach"),
     "isolation_policy": (isolation_policy, f"""{_REACH},
-        n AS (SELECT part_id, count(*) AS n FROM reach GROUP BY 1),
-        ab AS (SELECT DISTINCT l_orderkey AS assembly_id, l_suppkey AS bolt_id FROM lineitem WHERE l_quantity = 1),
-        m AS (SELECT part_id, count(DISTINCT bolt_id) AS n FROM few JOIN ab USING (assembly_id) GROUP BY 1),
+        n AS (SELECT part_id, n_bolts AS n FROM reach),
+        ab AS (SELECT DISTINCT l_orderkey AS assembly_id, l_suppkey AS bolt_id FROM lineitem),
+        m AS (SELECT part_id, count(DISTINCT bolt_id) AS n FROM members JOIN ab USING (assembly_id) GROUP BY 1),
         s AS (SELECT p_partkey AS part_id, n.n AS nl, m.n AS na, CASE WHEN n.n > 0 THEN 'relation' WHEN m.n > 0 THEN 'assembly' ELSE 'none' END AS source
               FROM part LEFT JOIN n ON n.part_id = p_partkey LEFT JOIN m ON m.part_id = p_partkey)
         SELECT part_id, source, CASE source WHEN 'relation' THEN nl WHEN 'assembly' THEN na ELSE 0 END AS n_bolts, source <> 'assembly' AS relation_only, source = 'assembly' AS spatial FROM s"""),

@@ -36,7 +36,7 @@ def prune_far(spark, sf_dir):
 
 def line_box(spark, sf_dir):
     e = lambda i: F.col("embedding")[i].cast("double")
-    lines = bindings.table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select(F.col("label").alias("model_id"), F.col("vec_id").alias("line_id"), *(e(3 + i).alias(f"o{a}") for i, a in enumerate("xyz")), *((e(6 + i) if i else F.lit(0.0)).alias(f"d{a}") for i, a in enumerate("xyz")))
+    lines = bindings.table(spark, sf_dir, "embeddings").select(F.col("label").alias("model_id"), F.col("vec_id").alias("line_id"), *(e(3 + i).alias(f"o{a}") for i, a in enumerate("xyz")), *((e(6 + i) if i else F.lit(0.0)).alias(f"d{a}") for i, a in enumerate("xyz")))
     rows = lines.join(boxes(spark, sf_dir), "model_id").withColumn("t", spatial.line_box()).where("t IS NOT NULL")
     return rows.select("line_id", "element_id", F.round("t.t0", 6).alias("t0"), F.round("t.t1", 6).alias("t1"))
 
@@ -76,7 +76,8 @@ def prompts(spark, sf_dir):
     """Specifications written from part rows."""
     p = F.col("p_size")
     lines = F.concat(
-        F.lit("Steel warehouse, 4 columns, span of "), p + 5, F.when(F.col("p_partkey") % 2 == 0, " m").otherwise("000 mm"), F.lit(", width "), p * 100, F.lit(" mm, HEB "), p + 100, F.lit(" and RHS100x100x5.\nLevel 1 at Z="), p * 100 + 1000, F.lit(" mm\nLevel 2 at Z = "), p * 100 + 4000,
+        F.lit("Steel warehouse, 4 columns, span of "), p + 5, F.when(F.col("p_partkey") % 2 == 0, " m").otherwise("000 mm"), F.lit(", width "), p * 100, F.lit(" mm, HEB "), p + 100, F.lit(" and RHS100x100x5.\nLevel 1 at Z="), p * 100 + 1000, F.lit(" mm\nLevel 2 (mezzanine zone, Level access) at Z = "), p * 100 + 4000,
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" mm\nFloor 1 Z=1 mm\nFloor 3 over the plaza Z = "), p * 100 + 5500, F.lit(" mm; Floor 4 Z = "), p * 100 + 5900, F.lit(" mm\nUpper Anchor Z = "), p * 100 + 9900)).otherwise(""),
         F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" mm\nRoof Eave Z="), p * 100 + 7000, F.lit(" mm\nRoof Ridge Z="), p * 100 + 9000)).otherwise(""), F.lit(" mm\n"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("column height "), p % 5 + 3, F.lit(" m\n"))).otherwise(""),
     )
     return bindings.table(spark, sf_dir, "part").select("p_partkey", lines.alias("text"))
@@ -167,8 +168,8 @@ def selection_state(spark, sf_dir):
     return jobs.selection_state(rows, "session").select("session", F.array_join(F.transform("selected", lambda x: x.cast("string")), ",").alias("selected"))
 
 
-_P = """p AS (SELECT p_partkey, p_size AS s, p_partkey % 3 = 0 AS roof, p_partkey % 4 = 0 AS high FROM part),
-lv AS (SELECT p_partkey, unnest([{'name': 'Ground', 'z': 0.0::DOUBLE}, {'name': 'Level1', 'z': s * 100 + 1000}, {'name': 'Level2', 'z': s * 100 + 4000}, {'name': 'Eave', 'z': CASE WHEN roof THEN s * 100 + 7000 END}, {'name': 'Ridge', 'z': CASE WHEN roof THEN s * 100 + 9000 END}], recursive := true) FROM p),
+_P = """p AS (SELECT p_partkey, p_size AS s, p_partkey % 3 = 0 AS roof, p_partkey % 4 = 0 AS high, p_partkey % 5 = 0 AS floors FROM part),
+lv AS (SELECT p_partkey, unnest([{'name': 'Ground', 'z': 0.0::DOUBLE}, {'name': 'Level1', 'z': s * 100 + 1000}, {'name': 'Level2', 'z': s * 100 + 4000}, {'name': 'Floor3', 'z': CASE WHEN floors THEN s * 100 + 5500 END}, {'name': 'Floor4', 'z': CASE WHEN floors THEN s * 100 + 5900 END}, {'name': 'UpperAnchor', 'z': CASE WHEN floors THEN s * 100 + 9900 END}, {'name': 'Eave', 'z': CASE WHEN roof THEN s * 100 + 7000 END}, {'name': 'Ridge', 'z': CASE WHEN roof THEN s * 100 + 9000 END}], recursive := true) FROM p),
 levels AS (SELECT p_partkey, name, z::DOUBLE AS elevation_mm FROM lv WHERE z IS NOT NULL)"""
 
 QUERIES = {
@@ -181,7 +182,7 @@ QUERIES = {
         d AS (SELECT f.model_id, f.element_id, lim, {" + ".join(f"greatest(s.min_{x} - sl - (f.min_{x} + f.max_{x}) / 2, (f.min_{x} + f.max_{x}) / 2 - s.max_{x} - sl, 0) ** 2" for x in "xyz")} AS d2
           FROM box f JOIN h USING (model_id) JOIN (SELECT *, 0.012 * sqrt({" + ".join(f"(max_{x} - min_{x}) ** 2" for x in "xyz")}) AS sl FROM box WHERE element_id % 4 = 1) s ON s.model_id = f.model_id WHERE f.element_id % 4 = 0)
         SELECT model_id, element_id, round(min(d2), 8) AS d2 FROM d GROUP BY 1, 2, lim HAVING min(d2) <= lim * lim"""),
-    "line_box": (line_box, f"""WITH {_BOX}, l AS (SELECT label AS model_id, vec_id AS line_id, embedding[4]::DOUBLE AS ox, embedding[5]::DOUBLE AS oy, embedding[6]::DOUBLE AS oz, embedding[8]::DOUBLE AS dy, embedding[9]::DOUBLE AS dz FROM embeddings WHERE vec_id % 5 = 0),
+    "line_box": (line_box, f"""WITH {_BOX}, l AS (SELECT label AS model_id, vec_id AS line_id, embedding[4]::DOUBLE AS ox, embedding[5]::DOUBLE AS oy, embedding[6]::DOUBLE AS oz, embedding[8]::DOUBLE AS dy, embedding[9]::DOUBLE AS dz FROM embeddings),
         t AS (SELECT line_id, element_id, greatest(least((min_y - oy) / dy, (max_y - oy) / dy), least((min_z - oz) / dz, (max_z - oz) / dz)) AS t0, least(greatest((min_y - oy) / dy, (max_y - oy) / dy), greatest((min_z - oz) / dz, (max_z - oz) / dz)) AS t1
           FROM l JOIN box USING (model_id) WHERE ox BETWEEN min_x AND max_x)
         SELECT line_id, element_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM t WHERE t0 <= t1"""),
@@ -198,11 +199,11 @@ QUERIES = {
     "level_pairs": (level_pairs, f"""WITH {_P}, l AS (SELECT *, lead(name) OVER w AS n2, lead(elevation_mm) OVER w AS z2 FROM levels WHERE name <> 'Ridge' WINDOW w AS (PARTITION BY p_partkey ORDER BY elevation_mm, name))
         SELECT p_partkey, name AS start_level, n2 AS end_level, z2 - elevation_mm AS rise_mm FROM l WHERE z2 - elevation_mm > 1e-6"""),
     "framing_rows": (framing_rows, f"""WITH {_P}, f AS (SELECT p_partkey, name, unnest([{{'g': 'girders', 'orientation': 'horizontal_x', 'assigned_to_grid': 'along_x_between_columns', 'spacing_mm': NULL}}, {{'g': 'cross_beams', 'orientation': 'horizontal_y', 'assigned_to_grid': 'along_y_per_x_station', 'spacing_mm': NULL}},
-          {{'g': 'joists', 'orientation': 'horizontal_x', 'assigned_to_grid': 'distributed_along_y', 'spacing_mm': 2000.0::DOUBLE}}], recursive := true) FROM levels WHERE name LIKE 'Level%'),
+          {{'g': 'joists', 'orientation': 'horizontal_x', 'assigned_to_grid': 'distributed_along_y', 'spacing_mm': 2000.0::DOUBLE}}], recursive := true) FROM levels WHERE regexp_matches(name, '^(Level|Floor)[0-9]')),
         r AS (SELECT p_partkey, unnest([{{'group_id': 'rafters', 'o': 'inclined_dual_y', 'a': 'per_frame', 'x': 'Eave', 'y': 'Ridge'}}, {{'group_id': 'webs', 'o': 'truss_web_panels', 'a': 'warren', 'x': 'Eave', 'y': 'Ridge'}}, {{'group_id': 'purlins', 'o': 'roof_purlins_dual_slope', 'a': 'both_slopes', 'x': 'Eave', 'y': 'Ridge'}},
           {{'group_id': 'girts', 'o': 'wall_girts_fixed_z', 'a': 'outer_walls', 'x': 'Ground', 'y': 'Eave'}}, {{'group_id': 'eave_beams', 'o': 'horizontal_x', 'a': 'along_x_between_columns', 'x': 'Eave', 'y': 'Eave'}}], recursive := true) FROM p WHERE roof)
         SELECT p_partkey, lower(name) || '_' || g AS group_id, orientation, assigned_to_grid, name AS start_level, name AS end_level, spacing_mm FROM f UNION ALL SELECT p_partkey, group_id, o, a, x, y, NULL FROM r"""),
-    "slab_rows": (slab_rows, f"""WITH {_P} SELECT p_partkey, CASE name WHEN 'Ground' THEN 'foundation' ELSE 'deck_' || lower(name) END AS slab_id, name AS top_level, 150.0::DOUBLE AS thickness_mm FROM levels WHERE name IN ('Ground', 'Level1', 'Level2')"""),
+    "slab_rows": (slab_rows, f"""WITH {_P} SELECT p_partkey, CASE name WHEN 'Ground' THEN 'foundation' ELSE 'deck_' || lower(name) END AS slab_id, name AS top_level, 150.0::DOUBLE AS thickness_mm FROM levels WHERE name = 'Ground' OR regexp_matches(name, '^(Level|Floor)[0-9]')"""),
     "section_profile": (section_profile, "SELECT p_partkey, 'HEB' || (p_size + 100) AS profile FROM part"),
     "assignments": (assignments, """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 5 IN (0, 3) THEN 'perimeter' WHEN p_partkey % 5 = 2 THEN 'along_all_x_at_y_min' ELSE 'all_frame_lines' END ELSE 'along_x_between_columns' END AS placement FROM part"""),
     "allowed_hardware": (allowed_hardware, """WITH RECURSIVE w AS (SELECT p_partkey AS e, 0 AS d FROM part WHERE p_partkey % 20 = 0 OR p_partkey % 100 = 10
