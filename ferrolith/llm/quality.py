@@ -122,3 +122,29 @@ def quality_rules(df: DataFrame, text_col: str = "text", thresholds=THRESHOLDS)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", *RESULT)
+
+
+def _broken_sql(name, top, bottom, low, high, least) -> str:
+    ratio = f"{top}::DOUBLE / greatest({bottom}, 1)"
+    bounds = [f"{ratio} < {low}::DOUBLE"] * (low is not None) + [f"{ratio} > {high}::DOUBLE"] * (high is not None)
+    return f"(words >= {least} AND ({' OR '.join(bounds)}))"
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, h) AS n
+  FROM (SELECT r, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW}))),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM w, range({WINDOW}) t(k) WHERE n > 1 GROUP BY r),
+m AS (
+  SELECT doc_id, 1 AS one, len(ws) AS words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper_chars,
+    len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))}], lower(x)))) AS stop_words,
+    len(list_distinct(ws)) AS distinct_words, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS dup_lines, coalesce(c.n, 0) AS repeat_words
+  FROM l LEFT JOIN c USING (r))
+SELECT doc_id, words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup_lines::BIGINT AS n_dup_lines,
+  repeat_words::BIGINT AS n_repeat_words, words < 20 OR 100 * repeat_words > 30 * words AS base_failed,
+  NOT (words < 20 OR 100 * repeat_words > 30 * words) AND NOT ({" OR ".join(_broken_sql(*rule) for rule in THRESHOLDS)}) AS kept
+FROM m
+"""

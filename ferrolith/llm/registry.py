@@ -24,4 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op9_licenses": licenses.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
+        "op7_quality_rules": quality.OP7_SQL,
+        "op9_licenses": licenses.OP9_SQL,
+        "op10_mixing": mixing.OP10_SQL,
+    }

@@ -295,3 +295,21 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept_text")
+
+
+#: The same by joining all windows.
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, r, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW})),
+hit AS (SELECT r, i FROM w JOIN (SELECT h, min(doc_id) AS low FROM w GROUP BY h) USING (h) WHERE low < coalesce(doc_id, 'infinity'::DOUBLE)),
+gone AS (SELECT DISTINCT r, i + k AS j FROM hit, range({WINDOW}) t(k)),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY j) AS text
+  FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d WHERE r IN (SELECT r FROM n)) ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n.r IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
