@@ -24,7 +24,9 @@ def merged_lines(sets: DataFrame, by: list[str], tol: float | Column, most: int
     lists = cluster_1d(sets, by, "line", tol).groupBy(*by).agg(F.sort_array(F.collect_list("line")).alias("lines"))
     gaps = F.array_sort(F.zip_with(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), lambda b, a: b - a))
     median = F.coalesce(F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")), F.lit(0.0))
-    kept = F.when(F.size("lines") > most, F.slice(min_gap_fold(F.col("lines"), median * 0.35), 1, most)).otherwise(F.col("lines"))
+    # the one-element array binds the gap: inside the fold it would be computed again for every line
+    thinned = F.transform(F.array(median * 0.35), lambda gap: F.slice(min_gap_fold(F.col("lines"), gap), 1, most))[0]
+    kept = F.when(F.size("lines") > most, thinned).otherwise(F.col("lines"))
     return lists.select(*by, F.posexplode(kept).alias("idx", "line"))
 
 

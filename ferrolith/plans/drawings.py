@@ -275,7 +275,10 @@ QUERIES = {
           UNION ALL SELECT page, seq, v, 'left', -y FROM span WHERE x <= 250 + 0.22 * 500 UNION ALL SELECT page, seq, v, 'right', -y FROM span WHERE x >= 750 - 0.22 * 500),
         f AS (SELECT page, edge, v, min((key, seq)) AS at_ FROM e GROUP BY 1, 2, 3)
         SELECT page, edge, string_agg(v::VARCHAR, ',' ORDER BY at_) AS numbers FROM f GROUP BY 1, 2"""),
-    "primary_row": (primary_row, None),
+    "primary_row": (primary_row, f"""
+        WITH {_SPAN}, i AS (SELECT page, y, v FROM span WHERE y >= 1000 - 0.4 * 1000), o AS (SELECT page, max(y) AS outermost FROM i GROUP BY 1),
+        k AS (SELECT page, count(*) AS n, sum(v) AS s FROM i JOIN o USING (page) WHERE y >= outermost - 0.4 * 1000 * 0.5 GROUP BY 1)
+        SELECT page, n::INT AS n_numbers, CASE WHEN n < 2 THEN 0 ELSE n + 1 END::INT AS n_stations, CASE WHEN n >= 2 THEN s::DOUBLE END AS span, n BETWEEN 2 AND 31 AS valid FROM k"""),
     "bays_stations": (bays_stations, """
         WITH b AS (SELECT o_custkey AS page, floor(o_totalprice / 100)::DOUBLE AS b FROM orders WHERE floor(o_totalprice / 100) > 1)
         SELECT page, count(*)::INT + 1 AS n_stations, sum(b) AS span, max(b) AS widest FROM b GROUP BY 1"""),

@@ -95,5 +95,14 @@ QUERIES = {
         q AS (SELECT p_partkey, CASE WHEN m = 0 THEN CASE WHEN n < 20 THEN 'few vector segments' END WHEN m = 1 AND ops > 80 AND n < 5 THEN 'vision found few members' WHEN m = 1 AND ops > 80 AND n < 12 THEN NULL WHEN ops > 80 AND n < 12 THEN 'few members on a dense sheet'
           WHEN n <= 4 AND sl <= 1 AND sp > 20000 THEN 'a single simplified box' WHEN c < 100 AND n < 10 AND m = 2 THEN 'text only' END AS reason FROM r) SELECT p_partkey, reason IS NULL AS complete, reason FROM q"""),
     "portal_rows": (portal_rows, "SELECT p_partkey AS model_id, p_partkey % 5 + 2 AS n_members, round(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size * 1000.0::DOUBLE * (p_partkey % 5 + 1) / 2 END, 3)::DOUBLE AS sum_x FROM part"),
-    "merged_lines": (merged_lines, None),
+    "merged_lines": (merged_lines, """
+        WITH RECURSIVE l AS (SELECT l_suppkey AS page, l_extendedprice::DOUBLE AS v FROM lineitem),
+        b AS (SELECT page, v, coalesce(v - lag(v) OVER (PARTITION BY page ORDER BY v) > 10, true)::INT AS new FROM l),
+        c AS (SELECT page, v, sum(new) OVER (PARTITION BY page ORDER BY v ROWS UNBOUNDED PRECEDING) AS k FROM b),
+        m AS (SELECT page, k, avg(v) AS line FROM c GROUP BY 1, 2),
+        g AS (SELECT page, line - lag(line) OVER (PARTITION BY page ORDER BY line) AS gap FROM m),
+        s AS (SELECT page, count(*) AS n, coalesce(list_sort(list(gap) FILTER (WHERE gap IS NOT NULL))[(count(gap) // 2) + 1], 0) * 0.35 AS least FROM g GROUP BY 1),
+        f AS (SELECT page, min(line) AS last, 1 AS i FROM m JOIN s USING (page) WHERE n > 48 GROUP BY 1 UNION ALL
+          SELECT f.page, min(m.line), min(i) + 1 FROM f JOIN s USING (page) JOIN m ON m.page = f.page AND m.line - f.last > least WHERE i < 48 GROUP BY f.page)
+        SELECT page, CASE WHEN n > 48 THEN (SELECT count(*) FROM f WHERE f.page = s.page) ELSE n END::BIGINT AS n_lines FROM s"""),
 }

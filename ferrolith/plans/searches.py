@@ -69,6 +69,11 @@ def reach_bolts(spark, sf_dir):
     return bolts.reach_summary(bindings.members(spark, sf_dir), bindings.bolt_links(spark, sf_dir))
 
 
+def neighbourhood_bolts(spark, sf_dir):
+    rows = bolts.neighbourhood_bolts(bindings.members(spark, sf_dir), bindings.bolt_links(spark, sf_dir))
+    return rows.groupBy("part_id").agg(F.count(F.lit(1)).alias("n_bolts"), F.min("bolt_id").alias("first_bolt"), F.max("bolt_id").alias("last_bolt"))
+
+
 def _assembly_bolts(spark, sf_dir):
     return bindings.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("assembly_id"), F.col("l_suppkey").alias("bolt_id")).distinct()
 
@@ -129,6 +134,10 @@ QUERIES = {
         WITH m AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS p FROM lineitem)
         SELECT x.p AS part_id, count(DISTINCT y.p) AS n_mates, min(y.p) AS first_mate FROM m x JOIN m y USING (a) GROUP BY 1"""),
     "reach_bolts": (reach_bolts, f"{_REACH} SELECT * FROM reach"),
+    "neighbourhood_bolts": (neighbourhood_bolts, f"""
+        WITH {_LINKS}, m AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS part_id FROM lineitem), t AS (SELECT DISTINCT m.a, bolt_id FROM m JOIN links USING (part_id)),
+        n AS (SELECT part_id, bolt_id FROM m JOIN t USING (a) UNION SELECT part_id, bolt_id FROM links)
+        SELECT part_id, count(*) AS n_bolts, min(bolt_id) AS first_bolt, max(bolt_id) AS last_bolt FROM n GROUP BY 1"""),
     "isolation_policy": (isolation_policy, f"""{_REACH},
         n AS (SELECT part_id, n_bolts AS n FROM reach),
         ab AS (SELECT DISTINCT l_orderkey AS assembly_id, l_suppkey AS bolt_id FROM lineitem),

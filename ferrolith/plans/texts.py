@@ -220,5 +220,10 @@ QUERIES = {
     "stream_toggle_state": (stream_toggle_state, "SELECT user_id AS session, event_type AS key, count(*) AS n_toggles, count(*) % 2 = 1 AS hidden FROM events GROUP BY 1, 2"),
     "stream_reset_state": (stream_reset_state, None),
     "stream_ingest": (stream_ingest, "SELECT DISTINCT event_id, user_id, value FROM events"),
-    "selection_state": (selection_state, None),
+    "selection_state": (selection_state, """
+        WITH RECURSIVE e AS (SELECT user_id AS session, list_distinct([event_id % 5, event_id % 3]) AS ids, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        s AS (SELECT DISTINCT session, 0::BIGINT AS n, []::BIGINT[] AS sel FROM e UNION ALL
+          SELECT s.session, e.n, CASE WHEN len(list_filter(e.ids, lambda x: NOT list_contains(s.sel, x))) = 0 THEN list_filter(s.sel, lambda x: NOT list_contains(e.ids, x)) ELSE list_distinct(list_concat(s.sel, e.ids)) END
+          FROM s JOIN e ON e.session = s.session AND e.n = s.n + 1)
+        SELECT session, array_to_string(list_sort(sel), ',') AS selected FROM s QUALIFY row_number() OVER (PARTITION BY session ORDER BY n DESC) = 1"""),
 }
