@@ -175,14 +175,14 @@ def resolved_profile(name: Column) -> Column:
 def apply_catalog(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, column: str = "profile") -> DataFrame:
     """Adds key, family, dims: alias, then tabulated dimensions, then approximated ones, then the HEB fallback.
 
-    catalog (family, key, dims) and aliases (alias, key) are small dimensions and go to every task.
+    catalog (family, key, dims) and aliases (alias, key) are joined as their sizes allow; Spark chooses.
     """
     named = aliases.select(F.lower("alias").alias("__a"), F.col("key").alias("__target"))
-    out = rows.join(F.broadcast(named), F.lower(F.trim(column)) == F.col("__a"), "left")
+    out = rows.join(named, F.lower(F.trim(column)) == F.col("__a"), "left")
     out = out.withColumn("__r", resolved_profile(F.coalesce("__target", column)))
     out = out.withColumn("__r", F.when(F.col("__r.key").isNull(), resolved_profile(F.lit(FALLBACK["HEB"]))).otherwise(F.col("__r")))
     table = catalog.select(F.col("key").alias("__k"), F.col("dims").alias("__dims"))
-    out = out.join(F.broadcast(table), F.col("__r.key") == F.col("__k"), "left")
+    out = out.join(table, F.col("__r.key") == F.col("__k"), "left")
     return out.select(*rows.columns, F.col("__r.key").alias("key"), F.col("__r.family").alias("family"), F.col("__r.shape").alias("shape"), F.coalesce("__dims", "__r.dims").alias("dims"))
 
 

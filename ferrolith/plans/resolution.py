@@ -44,7 +44,7 @@ def longest_fragment(spark, sf_dir):
 def unit_conversion(spark, sf_dir):
     nation = bindings.table(spark, sf_dir, "nation")
     units = nation.select(F.col("n_nationkey").alias("model_id"), F.lit("LENGTHUNIT").alias("unit_type"), F.when(F.col("n_nationkey") % 3 == 0, "MILLI").when(F.col("n_nationkey") % 3 == 1, "CENTI").alias("prefix"), F.when(F.col("n_nationkey") % 7 == 0, 0.3048).alias("conversion"), F.col("n_nationkey").alias("ord"))
-    c = bindings.table(spark, sf_dir, "customer").join(F.broadcast(resolve.unit_factors(units)), F.col("c_nationkey") == F.col("model_id"))
+    c = bindings.table(spark, sf_dir, "customer").join(resolve.unit_factors(units), F.col("c_nationkey") == F.col("model_id"))
     return c.select("c_custkey", F.round(resolve.elevation_mm(F.col("c_acctbal").cast("double"), F.col("to_mm")), 3).alias("mm"), F.round("to_kg", 3).alias("to_kg"))
 
 
