@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, layouts, models, resolution, rollups, searches, texts
+from . import drawings, layouts, models, regions, resolution, rollups, searches, texts
 
-MODULES = (rollups, searches, drawings, resolution, models, texts, layouts)
+MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions)
 
 
 def queries() -> dict:
