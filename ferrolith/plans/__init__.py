@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, layouts, models, regions, resolution, rollups, searches, texts
+from . import drawings, layouts, models, regions, resolution, rollups, searches, specs, texts
 
-MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions)
+MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs)
 
 
 def queries() -> dict:
