@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .graph import connected_components, durable
 
 AXES = "xyz"
+#: Distances of relation pruning as shares of the seeds' diagonal with their bounds, metres.
+SLOP, NEAR, TINY, LONG_STOCK = 0.012, (0.055, 0.004, 0.22, 0.12), 0.085, 2.0
+WASHER = (0.009, 0.008, 0.036)
 
 
 def diagonal(lo: str = "min_", hi: str = "max_") -> Column:
@@ -93,7 +96,10 @@ def hole_positions(bolts: DataFrame, boxes: DataFrame, members: DataFrame, gate:
 
     bolts: assembly_id, bolt_id, ox .. dz (unit axis), length; members: assembly_id, part_id.
     """
-    rows = bolts.join(members, "assembly_id").join(boxes.withColumnRenamed("element_id", "part_id"), "part_id").withColumn("hit", line_box()).where("hit IS NOT NULL")
+    line = [f"{c}{a}" for c in "od" for a in AXES]
+    sides = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
+    parts = boxes.select(F.col("element_id").alias("part_id"), *sides)
+    rows = bolts.select("assembly_id", "bolt_id", *line, "length").join(members.select("assembly_id", "part_id"), "assembly_id").join(parts, "part_id").withColumn("hit", line_box()).where("hit IS NOT NULL")
     t = F.when(F.abs("hit.t0") <= F.abs("hit.t1"), F.col("hit.t0")).otherwise(F.col("hit.t1"))
     rows = rows.withColumn("t", t).where(F.abs("t") <= F.col("length") / 2 + gate)
     place = [F.round(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}"), 4).alias(f"h{a}") for a in AXES]
@@ -104,6 +110,60 @@ def bolts_without_holes(bolts: DataFrame, holes: DataFrame) -> DataFrame:
     return bolts.join(holes.select("bolt_id").distinct(), "bolt_id", "left_anti")
 
 
+def box_lines(bolts: DataFrame) -> DataFrame:
+    """Bolts (with boxes) as lines through the middle along the longest side, the first of equal sides."""
+    size = {a: F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES}
+    long = F.greatest(*size.values())
+    axis = F.when(size["x"] == long, "x").when(size["y"] == long, "y").otherwise("z")
+    rows = bolts.withColumns({f"o{a}": centre(a) for a in AXES} | {"length": long, "__axis": axis})
+    return rows.withColumns({f"d{a}": (F.col("__axis") == a).cast("double") for a in AXES}).drop("__axis")
+
+
+def holes_by_lines_or_boxes(lines: DataFrame, bolts: DataFrame, boxes: DataFrame, members: DataFrame) -> DataFrame:
+    """Holes by the lines of bolts; bolts that have none, or no line, are tried along the longest side of their box.
+
+    lines: as in `hole_positions`; bolts: assembly_id, bolt_id, box. No bolt is tried both ways once it has a hole.
+    """
+    found = durable(hole_positions(lines, boxes, members), "holes")
+    return found.unionByName(hole_positions(box_lines(bolts_without_holes(bolts, found)), boxes, members))
+
+
+def hidden_bolts(bolts: DataFrame, holes: DataFrame, boxes: DataFrame, members: DataFrame) -> DataFrame:
+    """(bolt_id): bolts without a hole, and bolts whose middle lies in no box of their assembly's parts."""
+    sides = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
+    middle = bolts.select("assembly_id", "bolt_id", *(centre(a).alias(f"p{a}") for a in AXES))
+    rows = middle.join(members, "assembly_id").join(boxes.select(F.col("element_id").alias("part_id"), *sides), "part_id")
+    inside = rows.where(reduce(lambda x, y: x & y, (F.col(f"p{a}").between(F.col(f"min_{a}"), F.col(f"max_{a}")) for a in AXES))).select("bolt_id").distinct()
+    shown = inside.join(holes.select("bolt_id").distinct(), "bolt_id", "left_semi")
+    return bolts.select("bolt_id").distinct().join(shown, "bolt_id", "left_anti")
+
+
+def prune_relations(elements: DataFrame, seeds: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Elements (model_id, element_id, kind, box) that stay around the seeds of their model.
+
+    Kinds: fastener and accessory are hardware, null is hardware where the box is tiny; all others stay, as do seeds
+    and allowed elements. Other hardware stays near the hull of short seeds; at long ones only tiny accessories that
+    lie on it stay. Models without seeds keep everything, and so does a model of which nothing is allowed.
+    """
+    share, least, most, part = NEAR
+    clamp = lambda v, lo, hi: F.greatest(lo, F.least(hi, v))
+    listed = elements.join(allowed.select("element_id").distinct(), "element_id", "left_semi").select("model_id").distinct()
+    core = hull(seeds, "model_id").withColumn("d", diagonal()).where("d > 0").join(listed, "model_id", "left_semi")
+    core = core.select("model_id", "d", *((F.col(f"{m}_{a}") + s * SLOP * F.col("d")).alias(f"{m}2_{a}") for m, s in (("min", -1), ("max", 1)) for a in AXES))
+    keys = allowed.select("element_id").distinct().withColumn("__allowed", F.lit(True))
+    own = seeds.select("model_id", "element_id").distinct().withColumn("__seed", F.lit(True))
+    rows = elements.join(core, "model_id", "left").join(keys, "element_id", "left").join(own, ["model_id", "element_id"], "left")
+    far = lambda a: F.greatest(F.col(f"min2_{a}") - centre(a), centre(a) - F.col(f"max2_{a}"), F.lit(0.0))
+    d2, d = sum((far(a) ** 2 for a in AXES), F.lit(0.0)), F.col("d")
+    tiny = diagonal() < d * TINY
+    hardware = F.coalesce(F.col("kind").isin("fastener", "accessory"), tiny)
+    near = clamp(d * share, F.lit(least), F.least(F.lit(most), d * part))
+    flush = clamp(d * WASHER[0], F.lit(WASHER[1]), F.lit(WASHER[2]))
+    close = F.when(d < LONG_STOCK, d2 <= near * near).otherwise(F.coalesce(F.col("kind") == "accessory", F.lit(False)) & tiny & (d2 <= flush * flush))
+    stays = F.col("__seed").isNotNull() | F.col("__allowed").isNotNull() | d.isNull() | ~hardware | close
+    return rows.where(stays).select(*elements.columns)
+
+
 def collinear_clusters(samples: DataFrame, tol: float = 0.028, align: float = 0.96) -> DataFrame:
     """(bolt_id, sample_id, cluster): samples of a bolt whose axes agree and which lie on one line.
 

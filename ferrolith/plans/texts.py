@@ -56,6 +56,32 @@ def isolated_set(spark, sf_dir):
     return spatial.isolated_set(b.where("element_id % 50 = 2").select("element_id"), voids, edges, elements, b)
 
 
+def _thin(spark, sf_dir):
+    """Assemblies of 20 elements near each other, every fourth a bolt that is long on one axis."""
+    e = lambda i: F.col("embedding")[i].cast("double") / 2
+    bolt = F.col("vec_id") % 4 == 0
+    half = lambda i: F.when(bolt, F.when(F.col("vec_id") % 3 == i, 0.1).otherwise(0.01)).otherwise(0.05)
+    sides = [x for i, a in enumerate("xyz") for x in ((e(i) - half(i)).alias(f"min_{a}"), (e(i) + half(i)).alias(f"max_{a}"))]
+    return bindings.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("assembly_id"), "vec_id", *sides)
+
+
+def hidden_bolts(spark, sf_dir):
+    rows = _thin(spark, sf_dir)
+    bolts = rows.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "bolt_id")
+    boxes = rows.where("vec_id % 4 > 0").drop("assembly_id").withColumnRenamed("vec_id", "element_id")
+    members = rows.where("vec_id % 4 > 0").select("assembly_id", F.col("vec_id").alias("part_id"))
+    up = {f"o{a}": spatial.centre(a) for a in "xyz"} | {"dx": F.lit(0.0), "dy": F.lit(0.0), "dz": F.lit(1.0), "length": F.lit(0.06)}
+    holes = spatial.holes_by_lines_or_boxes(bolts.where("bolt_id % 8 = 0").withColumns(up), bolts, boxes, members)
+    return spatial.hidden_bolts(bolts, holes, boxes, members)
+
+
+def relation_prune(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("fastener"), F.lit("accessory"), F.lit(None).cast("string"), F.lit("steel")), (F.col("element_id") % 4 + 1).cast("int"))
+    rows = boxes(spark, sf_dir).withColumn("kind", kind).withColumns({f"max_{a}": F.col(f"max_{a}") - F.when(F.col("element_id") % 3 == 0, 0.08).otherwise(0.0) for a in "xyz"})
+    seeds = rows.where("element_id % 4 = 3 AND (min_x > 0 OR model_id % 2 = 0) AND element_id % 5 = 0")
+    return spatial.prune_relations(rows, seeds, rows.where("element_id % 9 = 0").select("element_id")).select("model_id", "element_id")
+
+
 def measures(spark, sf_dir):
     e = lambda i: F.col("embedding")[i].cast("double")
     rows = bindings.table(spark, sf_dir, "embeddings").select("vec_id", *(e(i).alias(f"p1{a}") for i, a in enumerate("xyz")), *(e(3 + i).alias(f"p2{a}") for i, a in enumerate("xyz")))
@@ -188,6 +214,18 @@ QUERIES = {
         SELECT line_id, element_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM t WHERE t0 <= t1"""),
     "collinear_clusters": (collinear_clusters, None),
     "isolated_set": (isolated_set, None),
+    "hidden_bolts": (hidden_bolts, f"""
+        WITH b AS (SELECT vec_id // 20 AS a, vec_id AS id, vec_id % 4 = 0 AS bolt, {", ".join(f"embedding[{i + 1}]::DOUBLE / 2 AS c{x}, CASE WHEN vec_id % 4 > 0 THEN 0.05::DOUBLE WHEN vec_id % 3 = {i} THEN 0.1 ELSE 0.01 END AS h{x}" for i, x in enumerate("xyz"))} FROM embeddings),
+        p AS (SELECT o.id, {", ".join(f"abs(o.c{x} - p.c{x}) <= p.h{x} AS i{x}, least(abs(p.c{x} - p.h{x} - o.c{x}), abs(p.c{x} + p.h{x} - o.c{x})) AS f{x}" for x in "xyz")} FROM b o JOIN b p ON o.a = p.a AND o.bolt AND NOT p.bolt),
+        h AS (SELECT id, bool_or(id % 8 = 0 AND ix AND iy AND fz <= 0.035) OR bool_or(CASE id % 3 WHEN 0 THEN iy AND iz AND fx <= 0.105 WHEN 1 THEN ix AND iz AND fy <= 0.105 ELSE ix AND iy AND fz <= 0.105 END) AS hole, bool_or(ix AND iy AND iz) AS inside FROM p GROUP BY 1)
+        SELECT id AS bolt_id FROM b LEFT JOIN h USING (id) WHERE bolt AND NOT coalesce(hole AND inside, false)"""),
+    "relation_prune": (relation_prune, f"""
+        WITH {_BOX}, e AS (SELECT model_id, element_id, element_id % 4 AS k, {", ".join(f"min_{x}, max_{x} - CASE WHEN element_id % 3 = 0 THEN 0.08::DOUBLE ELSE 0 END AS max_{x}" for x in "xyz")} FROM box),
+        s AS (SELECT * FROM e WHERE k = 3 AND (min_x > 0 OR model_id % 2 = 0) AND element_id % 5 = 0), h AS (SELECT model_id, {", ".join(f"min(min_{x}) AS l{x}, max(max_{x}) AS h{x}" for x in "xyz")} FROM s GROUP BY 1),
+        c AS (SELECT *, sqrt({" + ".join(f"(h{x} - l{x}) ** 2" for x in "xyz")}) AS d FROM h WHERE model_id IN (SELECT model_id FROM e WHERE element_id % 9 = 0)),
+        f AS (SELECT e.*, d, sqrt({" + ".join(f"(max_{x} - min_{x}) ** 2" for x in "xyz")}) < d * 0.085 AS tiny, {" + ".join(f"greatest(lx_.l{x} - 0.012 * d - (min_{x} + max_{x}) / 2, (min_{x} + max_{x}) / 2 - lx_.h{x} - 0.012 * d, 0) ** 2" for x in "xyz")} AS d2 FROM e LEFT JOIN c lx_ USING (model_id))
+        SELECT model_id, element_id FROM f WHERE element_id % 9 = 0 OR (model_id, element_id) IN (SELECT model_id, element_id FROM s) OR d IS NULL OR k = 3 OR (k = 2 AND NOT tiny)
+          OR CASE WHEN d < 2 THEN d2 <= greatest(0.004, least(0.22, d * 0.12, d * 0.055)) ** 2 ELSE k = 1 AND tiny AND d2 <= greatest(0.008, least(0.036, d * 0.009)) ** 2 END"""),
     "measures": (measures, "SELECT vec_id, round(sqrt((e[4] - e[1]) ** 2 + (e[5] - e[2]) ** 2 + (e[6] - e[3]) ** 2), 6) AS direct, round(abs(e[6] - e[3]), 6) AS height, round(sqrt((e[4] - e[1]) ** 2 + (e[5] - e[2]) ** 2), 6) AS horizontal FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"),
     "view_axis": (view_axis, """WITH s AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS x, abs(embedding[2]::DOUBLE) AS y, abs(embedding[3]::DOUBLE) AS z FROM embeddings)
         SELECT vec_id, CASE WHEN least(x, y, z) / greatest(x, y, z, 1e-9) < 0.28 THEN CASE least(x, y, z) WHEN z THEN 'front' WHEN y THEN 'top' ELSE 'right' END WHEN z > x AND z > y THEN 'right' ELSE 'front' END AS view FROM s"""),
