@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_index")
+#: Cells that the range of a page's values is cut into where ranks are looked up.
+CELLS = 1024
 POINT_MM = 25.4 / 72
 #: compat is the customary threshold and admits nearly every direction; strict admits 2 degrees around the axes.
 ORTHO = {"compat": math.cos(math.radians(88)), "strict": math.cos(math.radians(2))}
@@ -60,13 +62,33 @@ def scale_of_note(note: Column) -> Column:
     return F.coalesce(given.try_cast("double"), F.when(unit, 1.0))
 
 
+def at_ranks(values: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """Per group n, the number of its values (column v, none null), and the values at given ranks from 0 on.
+
+    ranks are expressions over n; one outside 0 to n - 1 gives null. Equal values are counted first, then values per
+    cell of the group's range; only a cell that holds a rank is sorted, so no task sees a whole group.
+    """
+    counts = values.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
+    size = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)).otherwise(F.lit(0))
+    celled = counts.join(size, by).select(*by, "v", "c", cell.alias("cell"))
+    upto = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = celled.groupBy(*by, "cell").agg(F.sum("c").alias("k")).withColumn("upto", F.sum("k").over(upto)).withColumn("before", F.col("upto") - F.col("k"))
+    names = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items())))
+    wanted = size.select(*by, names.alias("r")).select(*by, "r.*").join(cells, by).where("rank >= before AND rank < upto").select(*by, "name", "cell", (F.col("rank") - F.col("before")).alias("left"))
+    inside = Window.partitionBy(*by, "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hits = celled.join(wanted, [*by, "cell"]).withColumn("upto", F.sum("c").over(inside)).where("left >= upto - c AND left < upto")
+    found = hits.groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks))
+    return size.select(*by, "n").join(found, by, "left")
+
+
 def inferred_scale(segments: DataFrame) -> DataFrame:
     """Per page: millimetres a unit from the upper median length and the range of all coordinates."""
     n = length()
-    rows = segments.groupBy(*PAGE).agg(
-        F.sort_array(F.collect_list(F.when(n > 1e-6, n))).alias("l"), (F.max(F.greatest("x1", "y1", "x2", "y2")) - F.min(F.least("x1", "y1", "x2", "y2"))).alias("span")
-    )
-    median = F.coalesce(F.get("l", F.floor(F.size("l") / 2).cast("int")), F.lit(0.0))
+    spans = segments.groupBy(*PAGE).agg((F.max(F.greatest("x1", "y1", "x2", "y2")) - F.min(F.least("x1", "y1", "x2", "y2"))).alias("span"))
+    middle = at_ranks(segments.select(*PAGE, n.alias("v")).where("v > 1e-6"), list(PAGE), {"middle": F.floor(F.col("n") / 2)})
+    rows = spans.join(middle, list(PAGE), "left")
+    median = F.coalesce("middle", F.lit(0.0))
     scale = F.when(median > 12_000, POINT_MM).when((F.col("span") > 4_000) | (median > 400), 1.0).when(F.col("span") < 80, 1000.0).otherwise(POINT_MM)
     return rows.select(*PAGE, median.alias("median_length"), "span", scale.alias("mm_per_unit"))
 
@@ -91,13 +113,10 @@ def primary_page(scores: DataFrame) -> DataFrame:
 
 def percentile_bounds(segments: DataFrame, margin: float = 3.0) -> DataFrame:
     """Per page: nearest-rank percentiles of all end points."""
-
-    def at(values: Column, pct: float) -> Column:
-        return F.get(values, F.bround(F.lit(pct / 100) * (F.size(values) - 1)).cast("int"))
-
-    ends = lambda c: F.sort_array(F.flatten(F.collect_list(F.array(f"{c}1", f"{c}2"))))
-    rows = segments.groupBy(*PAGE).agg(ends("x").alias("xs"), ends("y").alias("ys"))
-    return rows.select(*PAGE, *(at(F.col(v), p).alias(n) for v, p, n in (("xs", margin, "min_x"), ("ys", margin, "min_y"), ("xs", 100 - margin, "max_x"), ("ys", 100 - margin, "max_y"))))
+    ends = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"{a}{i}").alias("v")) for a in "xy" for i in (1, 2))))
+    rank = lambda pct: F.bround(F.lit(pct / 100) * (F.col("n") - 1))
+    found = at_ranks(segments.select(*PAGE, ends.alias("e")).select(*PAGE, "e.*").where("v IS NOT NULL"), [*PAGE, "axis"], {"min": rank(margin), "max": rank(100 - margin)})
+    return found.groupBy(*PAGE).agg(*(F.max(F.when(F.col("axis") == a, F.col(m))).alias(f"{m}_{a}") for m in ("min", "max") for a in "xy"))
 
 
 def inside_bounds(segments: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -146,10 +165,12 @@ def filter_and_scale(segments: DataFrame, scale: float | Column, min_length: flo
 
 def stroke_threshold(segments: DataFrame) -> DataFrame:
     """Per page: 0 below 30 widths, else the smaller of the upper median and 0.85 of the 72 % rank."""
-    rows = segments.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(F.col("stroke") > 0.05, F.col("stroke")))).alias("w"))
-    n = F.size("w")
-    value = F.least(F.get("w", F.floor(n / 2).cast("int")), F.get("w", F.floor(n * 0.72).cast("int")) * 0.85)
-    return rows.select(*PAGE, n.alias("n_widths"), F.when(n < 30, 0.0).otherwise(F.greatest(F.lit(0.0), value)).alias("threshold"))
+    n = F.col("n")
+    ranks = {"middle": F.floor(n / 2), "high": F.floor(n * 0.72)}
+    found = at_ranks(segments.select(*PAGE, F.col("stroke").alias("v")).where("v > 0.05"), list(PAGE), ranks)
+    rows = segments.select(*PAGE).distinct().join(found, list(PAGE), "left")
+    value = F.least(F.col("middle"), F.col("high") * 0.85)
+    return rows.select(*PAGE, F.coalesce(n, F.lit(0)).cast("int").alias("n_widths"), F.when(F.coalesce(n, F.lit(0)) < 30, 0.0).otherwise(F.greatest(F.lit(0.0), value)).alias("threshold"))
 
 
 def first_attempt(segments: DataFrame, min_length: float = 600.0) -> DataFrame:

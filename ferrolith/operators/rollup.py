@@ -72,12 +72,17 @@ def assembly_label() -> Column:
 
 
 def assembly_rollup(assemblies: DataFrame) -> DataFrame:
-    """One row a group key: first label, number of instances, weight (null when no instance has one), instance ids."""
+    """One row a group key: first label, number of instances, weight (null when no instance has one)."""
     rows = with_columns(with_columns(assemblies, "position_code", "name"), "express_id", kind="long")
     rows = rows.select(assembly_group_key().alias("group_key"), assembly_label().alias("label"), number_or_null("weight").alias("w"), "seq", "assembly_id")
     return rows.groupBy("group_key").agg(
-        F.min_by("label", "seq").alias("label"), F.count(F.lit(1)).alias("quantity"), F.sum("w").alias("weight"), F.sort_array(F.collect_list("assembly_id")).alias("instances"),
-    )
+        F.min_by("label", "seq").alias("label"), F.count(F.lit(1)).alias("quantity"), F.sum("w").alias("weight")
+    )
+
+
+def assembly_instances(assemblies: DataFrame) -> DataFrame:
+    """(group_key, assembly_id): the instances of every group as rows, since one group can be a third of a model."""
+    return with_columns(assemblies, "position_code", "name").select(assembly_group_key().alias("group_key"), "assembly_id")
 
 
 def occurrence_counts(assemblies: DataFrame) -> DataFrame:
@@ -184,10 +189,13 @@ def group_weight(weight: Column) -> Column:
 
 
 def mark_rollup(elements: DataFrame) -> DataFrame:
-    """Elements by raw mark: count, weight with missing ones as 0, ids."""
-    return elements.groupBy(F.coalesce(F.nullif("mark", F.lit("")), F.lit(UNMARKED)).alias("mark")).agg(
-        F.count(F.lit(1)).alias("n_parts"), group_weight(number_or_null("weight")).alias("weight"), F.sort_array(F.collect_list("part_id")).alias("ids")
-    )
+    """Elements by raw mark: count, weight with missing ones as 0, number of ids."""
+    return elements.groupBy(raw_mark().alias("mark")).agg(F.count(F.lit(1)).alias("n_parts"), group_weight(number_or_null("weight")).alias("weight"), F.count("part_id").cast("int").alias("n_ids"))
+
+
+def raw_mark() -> Column:
+    """The mark as given; elements with this mark are the ids of a row of `mark_rollup`."""
+    return F.coalesce(F.nullif("mark", F.lit("")), F.lit(UNMARKED))
 
 
 def substring_filter(df: DataFrame, query: str, *columns: str) -> DataFrame:

@@ -25,7 +25,7 @@ def profile_rollup(spark, sf_dir):
 
 
 def assembly_rollup(spark, sf_dir):
-    rows = rollup.assembly_rollup(bindings.assemblies(spark, sf_dir)).withColumn("n_instances", F.size("instances")).drop("instances")
+    rows = rollup.assembly_rollup(bindings.assemblies(spark, sf_dir)).withColumn("n_instances", F.col("quantity").cast("int"))
     return _rounded(rows, "weight")
 
 
@@ -77,7 +77,7 @@ def selection_weight(spark, sf_dir):
 
 def mark_rollup(spark, sf_dir):
     rows = rollup.mark_rollup(bindings.parts(spark, sf_dir))
-    return _rounded(rows.select("mark", "n_parts", "weight", F.size("ids").alias("n_ids")), "weight")
+    return _rounded(rows, "weight")
 
 
 def natural_sort(spark, sf_dir):
