@@ -108,3 +108,11 @@ def test_relations_are_pruned_by_the_length_of_the_seeds(spark):
     kept = {r["element_id"] for r in spatial.prune_relations(elements, seeds, allowed).collect()}
     assert {f"{m}-{e}" for m in ("short", "long") for e in ("seed", "listed", "on", "washer", "off", "big")} - kept == {"short-off", "long-on", "long-off"}
     assert spatial.prune_relations(elements, seeds, allowed.limit(0)).count() == len(rows)
+
+
+def test_leaves_of_assemblies_and_of_single_nodes(spark):
+    nodes = spark.createDataFrame([("asm", True), ("bolt", False), ("beam", False)], "node string, is_assembly boolean")
+    leaves = spark.createDataFrame([("asm", "bolt"), ("asm", "plate"), ("beam", "stray")], "seed string, node string")
+    elements = spark.createDataFrame([("bolt", True), ("plate", False), ("beam", False), ("stray", False)], "element_id string, is_fastener boolean")
+    found = sorted(tuple(r) for r in details.leaf_split(nodes, leaves, elements).collect())
+    assert found == [("asm", "bolt", True), ("asm", "plate", False), ("beam", "beam", False), ("bolt", "bolt", True)]
