@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, licenses, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, toxicity
+from . import exact_dedup, hard_negatives, licenses, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_licenses": licenses.op9_licenses,
         "op10_mixing": mixing.op10_mixing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_url_filter": url_filter.op13_url_filter,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict:
         "op7_quality_rules": quality.OP7_SQL,
         "op9_licenses": licenses.OP9_SQL,
         "op10_mixing": mixing.OP10_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op13_url_filter": url_filter.OP13_SQL,
     }

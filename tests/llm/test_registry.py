@@ -16,7 +16,7 @@ def test_query_equals_its_sql(spark, same, name):
     same(registry.queries()[name](spark, SF), SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL) - {"pipeline"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL) - {"pipeline", "op12_whitening"}))
 def test_query_returns_a_row_for_each_document(spark, name):
     got = registry.queries()[name](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count() and "doc_id" in got.columns
