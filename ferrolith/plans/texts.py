@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.operators import framing, spatial, textspec
 from ferrolith.sources import bindings
-from ferrolith.streaming import jobs
+from ferrolith.streaming import jobs, sessions
 
 _BOX = """box AS (SELECT label AS model_id, vec_id AS element_id, embedding[1]::DOUBLE - 0.05 AS min_x, embedding[1]::DOUBLE + 0.05 AS max_x, embedding[2]::DOUBLE - 0.05 AS min_y, embedding[2]::DOUBLE + 0.05 AS max_y,
   embedding[3]::DOUBLE - 0.05 AS min_z, embedding[3]::DOUBLE + 0.05 AS max_z FROM embeddings)"""
@@ -181,7 +181,37 @@ def stream_reset_state(spark, sf_dir):
     e = jobs.file_stream(spark, sf_dir, "events.parquet")
     action = F.when(F.col("event_type") == "error", "reset").otherwise("toggle")
     rows = e.select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("key"), action.alias("action"))
-    return jobs.run_to_table(jobs.stream_toggles(rows), "update", "reset-toggles")
+    held = sessions.latest(jobs.run_to_table(sessions.changes_of(rows, sessions.Toggles()), "append", "reset-toggles"))
+    # keys toggled an even number of times are not hidden
+    return held.select("session", "key", F.col("value").cast("long").alias("n_toggles"))
+
+
+def _selecting(e):
+    ids = F.array(F.col("event_id") % 5, F.col("event_id") % 3)
+    item = F.when(F.col("event_id") % 4 < 2, F.concat(F.lit("w"), F.col("event_id") % 3))
+    action = F.when(F.col("event_type") == "error", "clear").otherwise("toggle")
+    return e.select("event_id", F.col("user_id").alias("session"), action.alias("action"), ids.alias("ids"), item.alias("item"), F.col("value").alias("weight"))
+
+
+def stream_selection(spark, sf_dir):
+    rows = _selecting(jobs.file_stream(spark, sf_dir, "events.parquet"))
+    return sessions.latest(jobs.run_to_table(sessions.changes_of(rows, sessions.Selection()), "append", "selection"))
+
+
+def _revealing(e):
+    action = F.when(F.col("event_type") == "error", "exit").when(F.col("event_id") % 4 == 0, "tab").otherwise("group")
+    tab = F.element_at(F.array(*map(F.lit, ("assemblies", "parts", "profiles"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select("event_id", F.col("user_id").alias("session"), action.alias("action"), tab.alias("tab"), F.array(F.col("event_id") % 5, F.col("event_id") % 3).alias("ids"))
+
+
+def stream_reveal(spark, sf_dir):
+    rows = _revealing(jobs.file_stream(spark, sf_dir, "events.parquet"))
+    return sessions.latest(jobs.run_to_table(sessions.changes_of(rows, sessions.Reveal()), "append", "reveal")).drop("value")
+
+
+def reveal_state(spark, sf_dir):
+    rows = sessions.revealed(_revealing(bindings.table(spark, sf_dir, "events")))
+    return rows.select("session", "tab", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
 
 
 def stream_ingest(spark, sf_dir):
@@ -189,6 +219,12 @@ def stream_ingest(spark, sf_dir):
     return jobs.run_to_table(jobs.deduplicated_ingest(e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value"), "event_id", "ts"), "append", "ingest").select("event_id", "user_id", "value")
 
 
+def stream_upsert(spark, sf_dir):
+    e = jobs.file_stream(spark, sf_dir, "events.parquet")
+    rows = e.select(F.concat_ws("/", "user_id", "event_type").alias("element"), "event_id", "user_id", F.col("value").alias("weight"))
+    return jobs.upserted(rows, "element", "event_id", jobs.new_base(spark, "upsert"))
+
+
 def selection_state(spark, sf_dir):
     rows = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.array(F.col("event_id") % 5, F.col("event_id") % 3).alias("ids"))
     return jobs.selection_state(rows, "session").select("session", F.array_join(F.transform("selected", lambda x: x.cast("string")), ",").alias("selected"))
@@ -198,6 +234,14 @@ _P = """p AS (SELECT p_partkey, p_size AS s, p_partkey % 3 = 0 AS roof, p_partke
 lv AS (SELECT p_partkey, unnest([{'name': 'Ground', 'z': 0.0::DOUBLE}, {'name': 'Level1', 'z': s * 100 + 1000}, {'name': 'Level2', 'z': s * 100 + 4000}, {'name': 'Floor3', 'z': CASE WHEN floors THEN s * 100 + 5500 END}, {'name': 'Floor4', 'z': CASE WHEN floors THEN s * 100 + 5900 END}, {'name': 'UpperAnchor', 'z': CASE WHEN floors THEN s * 100 + 9900 END}, {'name': 'Eave', 'z': CASE WHEN roof THEN s * 100 + 7000 END}, {'name': 'Ridge', 'z': CASE WHEN roof THEN s * 100 + 9000 END}], recursive := true) FROM p),
 levels AS (SELECT p_partkey, name, z::DOUBLE AS elevation_mm FROM lv WHERE z IS NOT NULL)"""
 
+_REVEAL = """WITH RECURSIVE e AS (SELECT user_id AS session, CASE WHEN event_type = 'error' THEN 'exit' WHEN event_id % 4 = 0 THEN 'tab' ELSE 'grp' END AS act, ['assemblies', 'parts', 'profiles'][event_id % 3 + 1] AS to_tab,
+    list_distinct([event_id % 5, event_id % 3]) AS ids, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT session, 0::BIGINT AS n, NULL::VARCHAR AS tab, []::BIGINT[] AS parts FROM e UNION ALL
+  SELECT s.session, e.n, CASE act WHEN 'grp' THEN s.tab WHEN 'tab' THEN to_tab END,
+    CASE WHEN act <> 'grp' THEN [] WHEN s.tab IS NULL THEN parts WHEN len(list_filter(ids, lambda x: NOT list_contains(parts, x))) = 0 THEN list_filter(parts, lambda x: NOT list_contains(ids, x)) ELSE list_distinct(list_concat(parts, ids)) END
+  FROM s JOIN e ON e.session = s.session AND e.n = s.n + 1),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session ORDER BY n DESC) = 1)"""
+
 QUERIES = {
     "box_overlaps": (box_overlaps, f"""WITH {_BOX} SELECT a.model_id, a.element_id, b.element_id AS other_id FROM box a JOIN box b ON a.model_id = b.model_id AND a.element_id < b.element_id
         AND {" AND ".join(f"a.min_{x} <= b.max_{x} AND b.min_{x} <= a.max_{x}" for x in "xyz")}"""),
@@ -256,7 +300,24 @@ QUERIES = {
         WITH e AS (SELECT user_id AS session, event_type AS key, event_id AS seq, event_type = 'error' AS reset FROM events), r AS (SELECT session, max(seq) AS s FROM e WHERE reset GROUP BY 1)
         SELECT session, key, count(*) AS n_toggles, count(*) % 2 = 1 AS hidden FROM e LEFT JOIN r USING (session) WHERE NOT reset AND (s IS NULL OR seq > s) GROUP BY 1, 2"""),
     "stream_toggle_state": (stream_toggle_state, "SELECT user_id AS session, event_type AS key, count(*) AS n_toggles, count(*) % 2 = 1 AS hidden FROM events GROUP BY 1, 2"),
-    "stream_reset_state": (stream_reset_state, None),
+    "stream_reset_state": (stream_reset_state, """
+        WITH e AS (SELECT user_id AS session, event_type AS key, event_id AS seq, event_type = 'error' AS reset FROM events), r AS (SELECT session, max(seq) AS s FROM e WHERE reset GROUP BY 1)
+        SELECT session, key, count(*) AS n_toggles FROM e LEFT JOIN r USING (session) WHERE NOT reset AND (s IS NULL OR seq > s) GROUP BY 1, 2 HAVING count(*) % 2 = 1"""),
+    "stream_selection": (stream_selection, """
+        WITH RECURSIVE e AS (SELECT user_id AS session, event_type = 'error' AS clear, list_distinct([event_id % 5, event_id % 3]) AS ids, CASE WHEN event_id % 4 < 2 THEN 'w' || (event_id % 3) END AS item, value AS weight,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        s AS (SELECT DISTINCT session, 0::BIGINT AS n, []::BIGINT[] AS sel, []::STRUCT(item VARCHAR, weight DOUBLE, ids BIGINT[])[] AS items FROM e UNION ALL
+          SELECT session, n,
+            CASE WHEN clear THEN [] WHEN away THEN list_filter(sel, lambda x: NOT list_contains(ids, x) AND NOT list_contains(flatten(list_transform(old, lambda o: o.ids)), x)) ELSE list_distinct(list_concat(sel, ids)) END,
+            CASE WHEN clear THEN [] WHEN item IS NULL THEN items WHEN away THEN list_filter(items, lambda o: o.item <> item) ELSE list_append(items, {'item': item, 'weight': weight, 'ids': ids}) END
+          FROM (SELECT *, len(old) > 0 OR len(list_filter(ids, lambda x: NOT list_contains(sel, x))) = 0 AS away
+            FROM (SELECT s.session, e.n, s.sel, s.items, e.clear, e.ids, e.item, e.weight, list_filter(s.items, lambda o: coalesce(o.item = e.item, false)) AS old FROM s JOIN e ON e.session = s.session AND e.n = s.n + 1))),
+        f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session ORDER BY n DESC) = 1)
+        SELECT session, 'id' AS kind, unnest(sel)::VARCHAR AS key, NULL::DOUBLE AS value FROM f UNION ALL SELECT session, 'item', i.item, i.weight FROM (SELECT session, unnest(items) AS i FROM f)"""),
+    "stream_reveal": (stream_reveal, f"""{_REVEAL}
+        SELECT session, 'part' AS kind, unnest(parts)::VARCHAR AS key FROM f UNION ALL SELECT session, 'tab', tab FROM f WHERE tab IS NOT NULL"""),
+    "reveal_state": (reveal_state, f"{_REVEAL} SELECT session, tab, array_to_string(list_sort(parts), ',') AS parts FROM f"),
+    "stream_upsert": (stream_upsert, "SELECT user_id || '/' || event_type AS element, max(event_id) AS event_id, user_id, max_by(value, event_id) AS weight FROM events GROUP BY user_id, event_type"),
     "stream_ingest": (stream_ingest, "SELECT DISTINCT event_id, user_id, value FROM events"),
     "selection_state": (selection_state, """
         WITH RECURSIVE e AS (SELECT user_id AS session, list_distinct([event_id % 5, event_id % 3]) AS ids, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),

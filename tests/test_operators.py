@@ -234,16 +234,6 @@ def test_selection_toggles(spark):
     assert jobs.selection_state(rows, "s").first()["selected"] == [3]
 
 
-def test_stream_with_resets_equals_batch(spark):
-    from ferrolith import plans
-
-    from .conftest import SF
-
-    stream = {(r["session"], r["key"], r["n_toggles"]) for r in plans.queries()["stream_reset_state"](spark, SF).collect()}
-    batch = {(r["session"], r["key"], r["n_toggles"]) for r in plans.queries()["toggle_parity"](spark, SF).collect()}
-    assert stream == batch
-
-
 def test_bolt_flags_and_quantity(spark):
     from ferrolith.operators import extract
 
