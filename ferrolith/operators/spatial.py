@@ -31,25 +31,52 @@ def padded(boxes: DataFrame, pad: Column) -> DataFrame:
     return boxes.withColumns({f"min_{a}": F.col(f"min_{a}") - pad for a in AXES} | {f"max_{a}": F.col(f"max_{a}") + pad for a in AXES})
 
 
+#: Levels of cells, each twice as long as the one below; the last one takes all larger boxes.
+LEVELS = 48
+
+
 def overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs (model_id, element_id, other_id) of overlapping boxes of a model.
 
-    A box lies in every cell it touches; boxes meet by an equi-join on the cell, and a pair counts only in the cell
-    of the larger of the two lower corners, so it is found once. Choose cell no smaller than usual boxes.
+    Cells come in levels: those of level 0 are as long as cell, those of each further level twice as long as the last.
+    A box belongs to the first level whose cells are as long as its longest side, so it lies in eight of them at most,
+    whatever its size. Two boxes meet by an equi-join in the cells of the larger one's level: the smaller box looks
+    there too, and also touches eight cells at most. A pair counts only in the cell of the larger of the two lower
+    corners, so it is found once. Boxes with a side that is null, NaN or infinite meet none.
     """
-    span = lambda a: F.explode(F.sequence(F.floor(F.col(f"min_{a}") / cell), F.floor(F.col(f"max_{a}") / cell)))
-
-    def celled(df: DataFrame) -> DataFrame:
-        return reduce(lambda d, a: d.withColumn(f"c{a}", span(a)), AXES, df)
-
+    sides = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
     names = {"element_id": "other_id"} | {f"{m}_{a}": f"{m}2_{a}" for m in ("min", "max") for a in AXES}
-    other = celled(right.select("model_id", "element_id", *(f"{m}_{a}" for m in ("min", "max") for a in AXES))).withColumnsRenamed(names)
-    pairs = celled(left).join(other, ["model_id", "cx", "cy", "cz"])
+    a, b = (_levelled(df.select("model_id", "element_id", *sides), cell) for df in (left, right))
+    up = lambda own, there: F.filter(F.array(*map(F.lit, there)), lambda n: n >= own)
+    # the smaller box of a pair is of the left table, or of the right one and of a lower level
+    pairs = _celled(a, up(F.col("level"), _levels(b)), cell).join(_celled(b, F.array("level"), cell).withColumnsRenamed(names), ["model_id", "level", "cx", "cy", "cz"])
+    below = _celled(b, up(F.col("level") + 1, _levels(a)), cell).withColumnsRenamed(names)
+    pairs = pairs.unionByName(_celled(a, F.array("level"), cell).join(below, ["model_id", "level", "cx", "cy", "cz"]))
     meet = reduce(lambda x, y: x & y, ((F.col(f"min_{a}") <= F.col(f"max2_{a}")) & (F.col(f"min2_{a}") <= F.col(f"max_{a}")) for a in AXES))
-    home = reduce(lambda x, y: x & y, (F.col(f"c{a}") == F.floor(F.greatest(f"min_{a}", f"min2_{a}") / cell) for a in AXES))
+    home = reduce(lambda x, y: x & y, (F.col(f"c{a}") == F.floor(F.greatest(f"min_{a}", f"min2_{a}") / (cell * F.pow(F.lit(2.0), "level"))) for a in AXES))
     return pairs.where(meet & home).select("model_id", "element_id", "other_id")
 
 
+def _levelled(boxes: DataFrame, cell: float) -> DataFrame:
+    longest = F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES))
+    sound = reduce(lambda x, y: x & y, (F.abs(F.col(f"{m}_{a}")) < float("inf") for m in ("min", "max") for a in AXES))
+    level = F.ceil(F.log2(F.greatest(longest / cell, F.lit(1.0)))).cast("int")
+    return boxes.where(sound).withColumn("level", F.least(F.lit(LEVELS), level))
+
+
+def _levels(boxes: DataFrame) -> list[int]:
+    """The levels that occur, at most LEVELS + 1 numbers."""
+    return sorted(r[0] for r in boxes.select("level").distinct().collect())
+
+
+def _celled(boxes: DataFrame, levels: Column, cell: float) -> DataFrame:
+    """A row for each cell that a box touches, at each of the levels."""
+    size = cell * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda a: F.explode(F.sequence(F.floor(F.col(f"min_{a}") / size), F.floor(F.col(f"max_{a}") / size)))
+    rows = boxes.withColumn("level", F.explode(levels))
+    return reduce(lambda d, a: d.withColumn(f"c{a}", span(a)), AXES, rows)
+
+
 def fasteners_near_seeds(fasteners: DataFrame, seeds: DataFrame) -> DataFrame:
     """Fasteners whose box meets the hull of their model's seeds, padded by a share of its diagonal."""
     d = diagonal()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, layouts, models, regions, resolution, rollups, searches, specs, texts
+from . import drawings, isolations, layouts, models, regions, resolution, rollups, searches, specs, texts
 
-MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs)
+MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs, isolations)
 
 
 def queries() -> dict:

@@ -3,8 +3,7 @@
 Events of a session come in the order of event_id, which may have gaps; an id at or below the last one applied is a
 repeat and changes nothing. A processor keeps one map entry a key, so a session's state is never one value that grows.
 It writes changes, not states: rows (session, event_id, kind, key, value, on), where a row of kind reset or end ends
-all that
-the session's earlier rows say. `latest` turns the changes into the table of what holds.
+all that the session's earlier rows say. `latest` turns the changes into the table of what holds.
 """
 
 from __future__ import annotations
