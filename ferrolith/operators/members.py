@@ -235,12 +235,16 @@ def expand_horizontal(groups: DataFrame, grids: DataFrame) -> DataFrame:
     a, o = F.col("assigned_to_grid"), F.col("orientation")
     near = g.join(xs, "model_id").where(inside)
     before = Window.partitionBy("model_id", "group_id").orderBy("ix")
-    bays = near.where((o == "horizontal_x") & a.isin("along_x_between_columns", "along_x_at_each_y_line")).withColumn("sx", F.lag("x").over(before)).where("sx IS NOT NULL").join(ys, "model_id")
+    own = F.array_sort("y_at_mm") if "y_at_mm" in groups.columns else F.lit(None).cast("array<double>")
+    stations = ys.groupBy("model_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("iy", "y"))), lambda r: r["y"]).alias("__ys"))
+    bays = near.where((o == "horizontal_x") & a.isin("along_x_between_columns", "along_x_at_each_y_line")).withColumn("sx", F.lag("x").over(before)).where("sx IS NOT NULL").join(stations, "model_id")
+    bays = bays.select("*", F.posexplode(F.coalesce(own, F.col("__ys"))).alias("iy", "y"))
     out = [_numbered(on(bays.withColumns({"ex": F.col("x"), "sy": F.col("y"), "ey": F.col("y")})), "iy", "ix").join(groups.select("model_id", "group_id", "member_count"), ["model_id", "group_id"]).where("member_count IS NULL OR n <= member_count").drop("member_count")]
     reach = near.groupBy("model_id", "group_id").agg(F.min("x").alias("sx"), F.max("x").alias("ex"))
     lo, hi = F.coalesce("y_min_mm", F.lit(0.0)), F.coalesce("y_max_mm", F.col("width_y_mm"))
     count = F.bround(F.greatest(hi - lo, F.lit(1e-6)) / F.col("spacing_mm")).cast("int")
     spread = g.where((o == "horizontal_x") & (a == "distributed_along_y") & (F.col("spacing_mm") > 0)).join(reach, ["model_id", "group_id"]).withColumn("i", F.explode(F.sequence(F.lit(0), count))).withColumn("sy", lo + F.col("i") * F.col("spacing_mm"))
+    spread = spread.where(((lo <= 1e-6) & (hi >= F.col("width_y_mm") - 1e-6)) | (F.col("sy") <= hi + 1e-6))
     out.append(_numbered(on(spread.withColumn("ey", F.col("sy"))), "i"))
     yend = ends_of(ys, "iy")
     top = g.where((o == "horizontal_x") & a.isin("along_x_at_y_max", "along_x_at_fixed_y")).join(reach, ["model_id", "group_id"]).join(yend, "model_id")
@@ -257,6 +261,13 @@ def expand_horizontal(groups: DataFrame, grids: DataFrame) -> DataFrame:
     wide = g.where((o == "horizontal_y") & (a == "distributed_along_x") & (F.col("spacing_mm") > 0)).join(yend, "model_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.bround((x1 - x0) / F.col("spacing_mm")).cast("int"))))
     wide = wide.withColumns({"sx": x0 + F.col("i") * F.col("spacing_mm"), "sy": F.coalesce("y_from_mm", "low_iy"), "ey": F.coalesce("y_to_mm", "high_iy")}).withColumn("ex", F.col("sx"))
     out.append(_numbered(on(wide), "i"))
+    # the frame line nearest to the stated x, of two the lower one
+    gap = Window.partitionBy("model_id", "group_id").orderBy(F.abs(F.col("x") - F.col("x_min_mm")), "ix")
+    fixed = near.where((o == "horizontal_y") & (a == "along_y_at_fixed_x") & F.col("x_min_mm").isNotNull()).withColumn("__k", F.row_number().over(gap)).where("__k = 1").join(yend, "model_id")
+    fixed = fixed.withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.coalesce("y_min_mm", "low_iy"), "ey": F.coalesce("y_max_mm", "high_iy")})
+    out.append(_numbered(on(fixed), "sx"))
+    slope = g.where(o == "inclined_y").join(xs, "model_id").join(yend, "model_id").withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.col("low_iy"), "ey": F.col("high_iy")})
+    out.append(_numbered(on(slope), "ix"))
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
@@ -333,16 +344,40 @@ def expand_diagonals(groups: DataFrame, grids: DataFrame) -> DataFrame:
     c = g.where("assigned_to_grid = 'corner_braces'").join(ends_of(ys, "iy"), "model_id").select("*", F.posexplode(F.array("low_ix", "high_ix")).alias("i", "sx")).select("*", F.posexplode(F.array("low_iy", "high_iy")).alias("j", "sy"))
     off = F.coalesce("brace_offset_x_mm", F.lit(1000.0))
     c = c.withColumns({"ey": F.col("sy"), "sz": F.col("z0"), "ez": F.col("z1"), "ex": F.when(F.col("i") == 0, F.least("length_x_mm", F.col("sx") + off)).otherwise(F.greatest(F.lit(0.0), F.col("sx") - off))})
-    return out.unionByName(_numbered(c, "i", "j", category=F.lit("brace")))
+    out = out.unionByName(_numbered(c, "i", "j", category=F.lit("brace")))
+    inside = F.coalesce(F.col("x") >= F.col("x_min_mm") - 0.5, F.lit(True)) & F.coalesce(F.col("x") <= F.col("x_max_mm") + 0.5, F.lit(True))
+    s = g.where("assigned_to_grid = 'per_x_station'").join(xs, "model_id").where(inside).join(ends_of(ys, "iy"), "model_id")
+    s = s.withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.coalesce("y_from_mm", "low_iy"), "ey": F.coalesce("y_to_mm", "high_iy"), "sz": F.col("z0"), "ez": F.col("z1")})
+    return out.unionByName(_numbered(s, "ix", category=F.lit("brace")))
+
+
+def expand_roof_diagonals(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+    """Braces in the roof planes of the first, the middle and the last frame, from both eaves to the ridge."""
+    xs = x_lines(grids)
+    g = groups.where("orientation = 'diagonal_plan' AND assigned_to_grid = 'roof_truss_diagonals'").join(ends_of(xs, "ix"), "model_id")
+    g = g.select("*", F.posexplode(F.array(F.lit(0), F.floor((F.col("last_ix") + 1) / 2).cast("int"), F.col("last_ix"))).alias("k", "ix")).join(xs, ["model_id", "ix"]).join(roofs(grids, levels), "model_id")
+    e, r = F.coalesce("eave", "z0"), F.coalesce("ridge", "z1")
+    side = lambda i, y0, za, y1, zb: F.struct(F.lit(i).alias("i"), y0.alias("sy"), za.alias("sz"), y1.alias("ey"), zb.alias("ez"))
+    rows = g.select("*", F.explode(F.array(side(0, F.lit(0.0), e, F.col("ridge_y"), r), side(1, F.col("ridge_y"), r, F.col("width"), e))).alias("s")).select("*", "s.*")
+    return _numbered(rows.withColumns({"sx": F.col("x"), "ex": F.col("x")}), "k", "i", category=F.lit("brace"))
+
 
+def slab_members(slabs: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+    """Slabs as members from their lower to their upper corner; without limits they cover the grid."""
+    top = levels.select("model_id", F.col("name").alias("top_level"), F.col("elevation_mm").cast("double").alias("ez"))
+    rows = slabs.join(top, ["model_id", "top_level"]).join(grids.select("model_id", "length_x_mm", "width_y_mm"), "model_id")
+    low, high = {"sx": "x_min_mm", "sy": "y_min_mm"}, {"ex": ("x_max_mm", "length_x_mm"), "ey": ("y_max_mm", "width_y_mm")}
+    rows = rows.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in low.items()} | {k: F.coalesce(*v) for k, v in high.items()} | {"sz": F.col("ez") - F.col("thickness_mm")})
+    return _numbered(rows.withColumns({"group_id": F.col("slab_id"), "profile": F.lit("CONCRETE_SLAB")}), "sz", category=F.lit("slab"))
 
-def compile_intent(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
-    """All groups of all models as members."""
+
+def compile_intent(groups: DataFrame, grids: DataFrame, levels: DataFrame, slabs: DataFrame | None = None) -> DataFrame:
+    """All groups, and slabs, of all models as members."""
     g = with_levels(groups, levels)
     rows = expand_vertical(g, grids)
-    for more in (expand_horizontal(g, grids), expand_rafters(g, grids, levels), expand_truss(g, grids, levels), expand_purlins(g, grids, levels), expand_diagonals(g, grids)):
+    for more in (expand_horizontal(g, grids), expand_rafters(g, grids, levels), expand_truss(g, grids, levels), expand_purlins(g, grids, levels), expand_diagonals(g, grids), expand_roof_diagonals(g, grids, levels)):
         rows = rows.unionByName(more)
-    return rows
+    return rows if slabs is None else rows.unionByName(slab_members(slabs, grids, levels))
 
 
 def count_constraints(members: DataFrame, expected: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .framing import section_profile
+from .textspec import level_rank
 
 #: The ways a text states a measure, in order of preference; group 1 is the number.
 MEASURES = {
@@ -23,6 +24,7 @@ COUNTS = {
     "count_secondary_beams": (r"FLOOR JOISTS[\s\S]{0,140}?-\s*(\d+)\s*Lines",),
     "count_bracing": (r"KNEE BRACES[\s\S]{0,140}?Add\s*(\d+)\s*diagonal",),
 }
+#: Columns of walls, columns by their heading, slabs.
 FRONT, BACK = r"(?:Place\s+)?(\d+)\s+columns?\b[\s\S]{0,80}?\bfront\b", r"(\d+)\s+(?:matching\s+)?columns?\b[\s\S]{0,80}?\bback\b"
 PER_WALL = r"(\d+)\s+columns?\s+(?:along|on)\s+(?:each\s+)?(?:side|long)\s+wall"
 COLUMNS = (r"SUPPORT COLUMNS[\s\S]{0,140}?-\s*(\d+)\s*Units", r"(\d+)\s*columns?\b")
@@ -38,6 +40,7 @@ QUANTITIES = {
     "joists_along_x_spaced_y": ((r"JOISTS[\s\S]{0,200}?(\d+)\s*Lines\s*Total",), "(?:JOISTS|IPE160)", "IPE160", "horizontal_x", "distributed_along_y", "deck", "deck", "beam"),
     "diagonals_per_x": ((r"TENSION[\s\S]{0,200}?(\d+)\s*Units\s*Total", r"RODS[\s\S]{0,200}?(\d+)\s*Units\s*Total"), r"TENSION\s+SUSPENSION\s+RODS", "CHS60x5", "diagonal_plan", "per_x_station", "upper", "deck", "brace"),
 }
+#: Spacings, in order of preference.
 EVERY = (r"every\s*(\d+(?:\.\d+)?)\s*mm across", r"every\s*(\d+(?:\.\d+)?)\s*mm along the X-axis", r"every\s*(\d+(?:\.\d+)?)\s*mm")
 #: Edges that get a guardrail.
 RAIL, RAIL_PROFILE = "GUARDRAIL|guardrail|מעקה", "RHS50x50x4"
@@ -85,19 +88,23 @@ def level_x_spans(prompts: DataFrame, by: str, text: str = "text") -> DataFrame:
 def quantity_rows(prompts: DataFrame, levels: DataFrame, by: str, text: str = "text", width: str = "width_mm") -> DataFrame:
     """Member groups that quantity sections state, each only where its levels exist; rails on three edges of a
     guardrail level that the text names."""
-    named = lambda *n: F.min_by(F.when(F.col("name").isin(*n), F.col("name")), F.when(F.col("name").isin(*n), F.col("elevation_mm")))
+    named = lambda *n: F.min_by(F.when(F.col("name").isin(*n), F.col("name")), F.when(F.col("name").isin(*n), F.struct("elevation_mm", level_rank(F.col("name")))))
     at = levels.groupBy(by).agg(named("Deck", "DeckTop").alias("deck"), named("UpperAnchor").alias("upper"), named("Guardrail").alias("rail"), named("Eave", "ColumnTop").alias("eave"))
-    at = at.withColumns({"top": F.coalesce("upper", "eave"), "ground": F.lit("Ground")})
-    t = F.col(text)
+    return prompts.join(at, by).select(by, F.explode(quantity_groups(F.col(text), F.col(width))).alias("g")).select(by, "g.*")
+
+
+def quantity_groups(t: Column, width: Column) -> Column:
+    """The groups of `quantity_rows` as an array; the names of levels are in deck, upper, rail, eave, null if absent."""
+    level = {"deck": F.col("deck"), "upper": F.col("upper"), "top": F.coalesce("upper", "eave"), "ground": F.lit("Ground")}
     rows = []
     for name, (counts, heading, default, orientation, placement, start, end, category) in QUANTITIES.items():
         n = stated(t, counts, "int")
-        spacing = F.coalesce(F.nullif(stated(t, EVERY), F.lit(0.0)), F.col(width) / F.greatest(F.lit(1), n - 1)) if name.startswith("joists") else F.lit(None).cast("double")
-        rows.append(F.when(n.isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull(), _group(name, section_profile(t, heading, default), orientation, placement, F.col(start), F.col(end), spacing, n, category)))
+        spacing = F.coalesce(F.nullif(stated(t, EVERY), F.lit(0.0)), width / F.greatest(F.lit(1), n - 1)) if name.startswith("joists") else F.lit(None).cast("double")
+        rows.append(F.when(n.isNotNull() & level[start].isNotNull() & level[end].isNotNull(), _group(name, section_profile(t, heading, default), orientation, placement, level[start], level[end], spacing, n, category)))
     rail = section_profile(t, "(?:GUARDRAIL|RHS50)", RAIL_PROFILE)
     for name, (orientation, placement) in EDGES.items():
         rows.append(F.when(F.col("rail").isNotNull() & t.rlike(f"(?i){RAIL}"), _group(name, rail, orientation, placement, F.col("rail"), F.col("rail"), F.lit(None).cast("double"), F.lit(None).cast("int"), "beam")))
-    return prompts.join(at, by).select(by, F.explode(F.array_compact(F.array(*rows))).alias("g")).select(by, "g.*")
+    return F.array_compact(F.array(*rows))
 
 
 def _group(name: str, profile: Column, orientation: str, placement: str, start: Column, end: Column, spacing: Column, count: Column, category: str) -> Column:
