@@ -80,7 +80,7 @@ def schema_errors(elements: DataFrame, by: list[str]) -> DataFrame:
     column = F.col("role") == "column"
     rules = {
         "column_without_height": column & F.col("height_mm").isNull(), "column_without_grid": column & F.col("grid_position").isNull(), "beam_without_support": ~column & (F.coalesce("n_supports", F.lit(0)) < 1),
-        "dimension_not_positive": F.exists("dimensions", lambda d: d <= 0), "dimension_count": ~allowed,
+        "dimension_not_positive": F.exists("dimensions", lambda d: F.coalesce((d <= 0) | F.isnan(d.cast("double")) | (d == float("inf")), F.lit(True))), "dimension_count": ~allowed,
     }
     broken = F.array_compact(F.array(*(F.when(c, F.lit(e)) for e, c in rules.items())))
     rows = elements.select(*by, "id", F.explode(broken).alias("error"))

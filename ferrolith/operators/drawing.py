@@ -6,10 +6,13 @@ Segments have columns doc_id, page_index, x1, y1, x2, y2, stroke, seq; path item
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected_components, durable
+
 PAGE = ("doc_id", "page_index")
 #: Cells that the range of a page's values is cut into where ranks are looked up.
 CELLS = 1024
@@ -130,26 +133,31 @@ def merge_intervals(segments: DataFrame, grid: float = 25.0) -> DataFrame:
 
     True interval union by gaps and islands. A page on which nothing is left keeps its segments.
     """
+    return _islands(segments.withColumn("seq", F.lit(0)), grid).drop("seq")
+
+
+def _islands(segments: DataFrame, grid: float) -> DataFrame:
+    """The rows of `merge_intervals`, each with the smallest seq of the segments in it."""
     dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
     flat = dx >= dy
     pick = lambda a, b: F.when(flat, a).otherwise(b)
     rows = segments.select(
         *PAGE, flat.alias("horizontal"), F.bround(pick((F.col("y1") + F.col("y2")) / 2, (F.col("x1") + F.col("x2")) / 2) / grid).cast("long").alias("line"),
-        pick(F.least("x1", "x2"), F.least("y1", "y2")).alias("a"), pick(F.greatest("x1", "x2"), F.greatest("y1", "y2")).alias("b"),
+        pick(F.least("x1", "x2"), F.least("y1", "y2")).alias("a"), pick(F.greatest("x1", "x2"), F.greatest("y1", "y2")).alias("b"), "seq",
     )
     on = Window.partitionBy(*PAGE, "horizontal", "line").orderBy("a", "b")
     gap = F.col("a") > F.max("b").over(on.rowsBetween(Window.unboundedPreceding, -1)) + grid
     islands = rows.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(on.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*PAGE, "horizontal", "line", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n_merged")).where(F.col("b") - F.col("a") >= grid).drop("island")
+    return islands.groupBy(*PAGE, "horizontal", "line", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n_merged"), F.min("seq").alias("seq")).where(F.col("b") - F.col("a") >= grid).drop("island")
 
 
 def merged_segments(segments: DataFrame, grid: float = 25.0) -> DataFrame:
-    """merge_intervals as segments again, with pages passed through where nothing was left."""
-    m = merge_intervals(segments, grid)
+    """merge_intervals as segments again, with pages passed through where nothing was left; seq is the smallest one."""
+    m = _islands(segments, grid)
     at = F.col("line") * grid
     pick = lambda a, b: F.when(F.col("horizontal"), a).otherwise(b)
-    lines = m.select(*PAGE, pick(F.col("a"), at).alias("x1"), pick(at, F.col("a")).alias("y1"), pick(F.col("b"), at).alias("x2"), pick(at, F.col("b")).alias("y2"))
-    rest = segments.join(m.select(*PAGE).distinct(), list(PAGE), "left_anti").select(*PAGE, "x1", "y1", "x2", "y2")
+    lines = m.select(*PAGE, pick(F.col("a"), at).alias("x1"), pick(at, F.col("a")).alias("y1"), pick(F.col("b"), at).alias("x2"), pick(at, F.col("b")).alias("y2"), "seq")
+    rest = segments.join(m.select(*PAGE).distinct(), list(PAGE), "left_anti").select(*PAGE, "x1", "y1", "x2", "y2", "seq")
     return lines.unionByName(rest)
 
 
@@ -173,14 +181,104 @@ def stroke_threshold(segments: DataFrame) -> DataFrame:
     return rows.select(*PAGE, F.coalesce(n, F.lit(0)).cast("int").alias("n_widths"), F.when(F.coalesce(n, F.lit(0)) < 30, 0.0).otherwise(F.greatest(F.lit(0.0), value)).alias("threshold"))
 
 
-def first_attempt(segments: DataFrame, min_length: float = 600.0) -> DataFrame:
-    """Per document the first page and length mode that leaves segments: pages by score, modes from strict to loose."""
-    modes = [(min_length, True), (max(350.0, min_length * 0.45), True), (max(200.0, min_length * 0.25), True), (max(150.0, min_length * 0.2), False)]
-    counts = [F.sum((length() >= n).cast("int") if not ortho else ((length() >= n) & orthogonal()).cast("int")) for n, ortho in modes]
-    rows = segments.groupBy(*PAGE).agg(F.array(*counts).alias("counts")).join(page_scores(segments), list(PAGE))
-    rows = rows.select("*", F.posexplode("counts").alias("mode", "n")).where("n > 0")
-    first = F.struct(-F.col("n_structural"), -F.col("total_length"), F.col("page_index"), F.col("mode"))
-    return rows.groupBy("doc_id").agg(F.min_by(F.struct("page_index", "mode", "n"), first).alias("x")).select("doc_id", "x.*")
+#: Least lengths of the attempts as shares of the wanted one with their lower bounds, millimetres, and
+#: whether only directions along an axis count; and the strokes of a round, as shares of the page's threshold, with
+#: whether the attempt's own directions hold.
+ATTEMPT_LENGTHS = ((1.0, 0.0, True), (0.45, 350.0, True), (0.25, 200.0, True), (0.2, 150.0, False))
+ATTEMPT_STROKES = ((1.0, True), (0.5, True), (0.0, True), (0.0, False))
+N_SCALES = 4
+
+
+def page_settings(segments: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Per page the scales to try and the stroke of structural lines; notes: doc_id, note (a text about the scale)."""
+    rows = inferred_scale(segments).select(*PAGE, "mm_per_unit").join(stroke_threshold(segments).select(*PAGE, "threshold"), list(PAGE))
+    stated = F.lit(None).cast("double")
+    if notes is not None:
+        rows, stated = rows.join(notes.select("doc_id", scale_of_note(F.col("note")).alias("stated")), "doc_id", "left"), F.col("stated")
+    return rows.select(*PAGE, scale_candidates(stated, F.coalesce(stated, F.col("mm_per_unit"))).alias("scales"), "threshold")
+
+
+def first_attempt(segments: DataFrame, pages: DataFrame, min_length: float = 600.0) -> DataFrame:
+    """Per document the first attempt that leaves segments: (doc_id, page_index, scale, min_length, stroke, orthogonal, n).
+
+    Attempts go through pages by score, then lengths from strict to loose, then the page's scales, then strokes. All
+    are judged in one pass: a segment becomes the set of the attempts it survives, a bit each, and one aggregation
+    counts the bits of a page beside its score; no attempt is a job of its own. pages: see `page_settings`.
+    """
+    lengths = [(max(least, min_length * share), ortho) for share, least, ortho in ATTEMPT_LENGTHS]
+    attempts = [(m, k, w) for m in range(len(lengths)) for k in range(N_SCALES) for w in range(len(ATTEMPT_STROKES))]
+    n = length()
+
+    def survives(m: int, k: int, w: int) -> Column:
+        (least, ortho), (share, own) = lengths[m], ATTEMPT_STROKES[w]
+        keep = n * F.get("scales", F.lit(k)) >= least
+        if share:
+            keep = keep & ((F.col("threshold") <= 0) | (F.col("stroke") >= F.col("threshold") * share))
+        return keep & orthogonal() if ortho and own else keep
+
+    bit = lambda i: F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long")
+    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(survives(*a), bit(i)).otherwise(F.lit(0).cast("long")) for i, a in enumerate(attempts)))
+    rows = segments.join(pages, list(PAGE)).select(*PAGE, "scales", "threshold", n.alias("len"), (orthogonal() & n.between(150, 25_000)).alias("structural"), bits.alias("bits"))
+    counts = F.array(*(F.count_if(F.col("bits").bitwiseAND(bit(i)) != 0) for i in range(len(attempts))))
+    scored = rows.groupBy(*PAGE).agg(counts.alias("counts"), F.count_if("structural").alias("score"), F.coalesce(F.sum(F.when(F.col("structural"), F.col("len"))), F.lit(0.0)).alias("total"), F.first("scales").alias("scales"), F.first("threshold").alias("threshold"))
+    left = scored.select("*", F.posexplode("counts").alias("i", "n")).where("n > 0")
+    order = F.struct(-F.col("score"), -F.col("total"), F.col("page_index"), F.col("i"))
+    best = left.groupBy("doc_id").agg(F.min_by(F.struct("page_index", "i", "n", "scales", "threshold"), order).alias("x")).select("doc_id", "x.*")
+    of = lambda values: F.array(*map(F.lit, values))[F.col("i")]
+    return best.select(
+        "doc_id", "page_index", F.get("scales", of([k for _, k, _ in attempts])).alias("scale"), of([lengths[m][0] for m, _, _ in attempts]).alias("min_length"), (F.col("threshold") * of([ATTEMPT_STROKES[w][0] for _, _, w in attempts])).alias("stroke"),
+        of([lengths[m][1] and ATTEMPT_STROKES[w][1] for m, _, w in attempts]).alias("orthogonal"), "n",
+    )
+
+
+ENDS = ("sx", "sy", "sz", "ex", "ey", "ez")
+
+
+def submodel_key(grid: float) -> Column:
+    """Undirected identity of a member in space: both ends on the grid (half to even), the smaller end first."""
+    end = lambda p: F.struct(*(F.bround(F.col(p + a) / grid).cast("long").alias(a) for a in "xyz"))
+    return F.struct(F.least(end("s"), end("e")).alias("a"), F.greatest(end("s"), end("e")).alias("b"))
+
+
+def merged_submodels(members: DataFrame, crops: DataFrame, grid: float = 250.0, across_cells: bool = False) -> DataFrame:
+    """Members of overlapping crops of a page in the page's millimetres, each once: the longest of equal keys.
+
+    members: doc_id, page_index, crop_id, seq, sx .. ez in millimetres from the crop's lower left corner; crops: x0, y1
+    (left and lower edge, points from above), page_height, mm_per_pt; crops without a scale, and the crop 'full',
+    leave members where they are. Of equally long members the first by seq stays. n_same is how many were one.
+
+    across_cells also takes members for one whose ends lie on both sides of a grid border: ends within half a grid in
+    every direction. Members that are linked so, also by way of others, are one.
+    """
+    place = crops.select(*PAGE, "crop_id", F.when((F.col("crop_id") != "full") & (F.col("mm_per_pt") > 0), F.struct((F.col("x0") * F.col("mm_per_pt")).alias("x"), ((F.col("page_height") - F.col("y1")) * F.col("mm_per_pt")).alias("y"))).alias("o"))
+    rows = members.join(place, [*PAGE, "crop_id"], "left")
+    rows = rows.withColumns({p + a: F.col(p + a) + F.coalesce(f"o.{a}", F.lit(0.0)) for p in "se" for a in "xy"}).drop("o")
+    squared = sum(((F.col(f"e{a}") - F.col(f"s{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+    rows = rows.withColumn("key", submodel_key(grid))
+    best = F.max_by(F.struct("seq", "crop_id", *ENDS), F.struct(squared, -F.col("seq")))
+    kept = rows.groupBy(*PAGE, "key").agg(best.alias("m"), F.count(F.lit(1)).alias("n_same")).select(*PAGE, "m.*", "n_same")
+    return _across_cells(kept, grid) if across_cells else kept
+
+
+def _across_cells(kept: DataFrame, grid: float) -> DataFrame:
+    """Rows that stand for members whose ends agree within half a grid, one a component."""
+    kept = durable(kept.withColumn("node", F.concat_ws("/", *PAGE, "seq")), "submodels")
+    # both directions of a row against one of the other; a twelfth of space each: an end lies in the cells around it
+    turned = {f"{p}{a}": F.col(f"{q}{a}") for p, q in (("s", "e"), ("e", "s")) for a in "xyz"}
+    both = kept.unionByName(kept.withColumns(turned))
+    cell = lambda c: F.floor(F.col(c) / grid)
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - grid / 2) / grid), F.floor((F.col(c) + grid / 2) / grid)))
+    left = kept.select(*PAGE, "node", *ENDS, *(cell(f"s{a}").alias(f"c{a}") for a in "xyz"))
+    right = both.select(*PAGE, F.col("node").alias("other"), *(F.col(c).alias(f"o{c}") for c in ENDS))
+    for a in "xyz":
+        right = right.withColumn(f"c{a}", around(f"os{a}"))
+    near = reduce(lambda x, y: x & y, (F.abs(F.col(c) - F.col(f"o{c}")) <= grid / 2 for c in ENDS))
+    links = left.join(right, [*PAGE, "cx", "cy", "cz"]).where(near & (F.col("node") < F.col("other"))).select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    groups = connected_components(links)
+    squared = sum(((F.col(f"e{a}") - F.col(f"s{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+    rows = kept.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = F.max_by(F.struct("seq", "crop_id", *ENDS), F.struct(squared, -F.col("seq")))
+    return rows.groupBy(*PAGE, "component").agg(best.alias("m"), F.sum("n_same").alias("n_same")).select(*PAGE, "m.*", "n_same")
 
 
 def dedupe_last(segments: DataFrame, grid: float = 25.0) -> DataFrame:
@@ -206,8 +304,7 @@ def top_longest(segments: DataFrame, k: int = 4000) -> DataFrame:
 def vector_model(segments: DataFrame, grid: float = 25.0, k: int = 4000, profile: str = "HEB200") -> DataFrame:
     """Members of a sheet: trimmed, merged, deduplicated, longest first, moved to the origin, numbered."""
     merged = merged_segments(inside_bounds(segments, percentile_bounds(segments)), grid)
-    rows = merged.withColumn("seq", F.xxhash64("x1", "y1", "x2", "y2"))
-    rows = top_longest(dedupe_last(rows, grid), k)
+    rows = top_longest(dedupe_last(merged, grid), k)
     corner = rows.groupBy(*PAGE).agg(F.min(F.least("x1", "x2")).alias("ox"), F.min(F.least("y1", "y2")).alias("oy"))
     name = F.concat(F.lit("p"), F.col("page_index") + 1, F.lit("_"), "place")
     return rows.join(corner, list(PAGE)).select(

@@ -134,6 +134,25 @@ def region_grid(numbers: DataFrame, vectors: DataFrame, by: list[str]) -> DataFr
     return out.withColumn("confidence", F.when(found, confidence(F.size("x") >= 3, F.size("y") >= 3, F.col("sources"))).otherwise(0.0))
 
 
+#: Fixed value: below it a detection counts only where an axis has several stations.
+SURE = 0.35
+
+
+def merged_analysis(pages: DataFrame) -> DataFrame:
+    """Adds merged_x and merged_y: stations (x, y) detected with a confidence, against given ones (given_x, given_y).
+
+    A detection without two stations on an axis is dropped, and so is an unsure one without three; pages keep what
+    was given then. An axis that loses all but one station by the merge keeps the given ones.
+    """
+    n = {a: F.coalesce(F.size(a), F.lit(0)) for a in "xy"}
+    trusted = (F.greatest(*n.values()) >= 2) & ((F.col("confidence") >= SURE) | (F.greatest(*n.values()) >= 3))
+    for a in "xy":
+        given = F.coalesce(f"given_{a}", F.array().cast("array<double>"))
+        new = preferred_axis(F.coalesce(F.col(a), F.array().cast("array<double>")), given)
+        pages = pages.withColumn(f"merged_{a}", F.when(~trusted | ((F.size(new) < 2) & (F.size(given) >= 2)), given).otherwise(new))
+    return pages
+
+
 def preferred_axis(detected: Column, given: Column) -> Column:
     """Of detected and given stations the valid list; of two valid ones the longer, unless the detected one is so
     much longer that it must hold stray lines."""

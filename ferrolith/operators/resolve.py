@@ -14,7 +14,8 @@ ELEMENT = ["model_id", "element_id"]
 #: Characters that separate or pad numbers and keys in exports.
 ODD_SPACES = "    "
 LAYERS = {"instance": 0, "type": 1, "inherited": 2}
-#: Words that mark a fastener as a hole.
+#: Words that mark a bolt of a connection as a hole, and those that mark any fastener as one.
+BOLT_HOLES = "hole|חור|opening|void"
 HOLES = "hole|void|opening|recess|slot|cutout|machining|חור"
 #: Prefixes of SI units.
 PREFIXES = {"EXA": 1e18, "PETA": 1e15, "TERA": 1e12, "GIGA": 1e9, "MEGA": 1e6, "KILO": 1e3, "HECTO": 1e2, "DECA": 1e1, "DECI": 1e-1, "CENTI": 1e-2, "MILLI": 1e-3, "MICRO": 1e-6, "NANO": 1e-9}
@@ -192,7 +193,7 @@ def length_matches(actual: Column, listed: Column) -> Column:
 def connection_bolt(name: Column, actual: Column, hardware: Column) -> Column:
     """No hole, no length that contradicts the name, and a length of 3 millimetres or a sign of hardware."""
     fits = F.coalesce(length_matches(actual, catalog_length(name)), F.lit(True))
-    return ~F.coalesce(F.lower(name).rlike(HOLES), F.lit(False)) & fits & (F.coalesce(actual >= 3, F.lit(False)) | hardware)
+    return ~F.coalesce(F.lower(name).rlike(BOLT_HOLES), F.lit(False)) & fits & (F.coalesce(actual >= 3, F.lit(False)) | hardware)
 
 
 def category(ifc_type: Column) -> Column:

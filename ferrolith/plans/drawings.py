@@ -88,6 +88,46 @@ def vector_model(spark, sf_dir):
     return drawing.vector_model(segments(spark, sf_dir))
 
 
+def sheets(spark, sf_dir):
+    """Sheets of 120 segments on three pages, drawn in millimetres, points or metres; every fifth one thick."""
+    i = F.col("vec_id")
+    e = lambda k: F.col("embedding")[k].cast("double")
+    unit = F.element_at(F.array(*map(F.lit, (4000.0, 300.0, 1.5, 900.0))), (F.floor(i / 120) % 4 + 1).cast("int"))
+    flat = F.when(i % 4 == 1, e(1)).otherwise(e(3))
+    stroke = F.when(i % 5 == 0, 2.0).otherwise(F.abs(e(4)))
+    return bindings.table(spark, sf_dir, "embeddings").select(F.floor(i / 120).alias("doc_id"), (i % 3).cast("int").alias("page_index"), i.alias("seq"), (e(0) * unit).alias("x1"), (e(1) * unit).alias("y1"), (e(2) * unit).alias("x2"), (flat * unit).alias("y2"), stroke.alias("stroke"))
+
+
+def page_settings(spark, sf_dir):
+    rows = sheets(spark, sf_dir)
+    notes = rows.select("doc_id").distinct().where("doc_id % 6 = 5").withColumn("note", F.lit("grid = 500"))
+    out = drawing.page_settings(rows, notes)
+    return out.select("doc_id", "page_index", F.size("scales").alias("n_scales"), F.round(F.col("scales")[0], 6).alias("scale"), F.round("threshold", 6).alias("threshold"))
+
+
+def first_attempt(spark, sf_dir):
+    rows = sheets(spark, sf_dir)
+    out = drawing.first_attempt(rows, drawing.page_settings(rows))
+    return _round(out, 6, "scale", "stroke")
+
+
+def merged_submodels(spark, sf_dir):
+    """Four crops of a page see the same members, each from its own corner and a few millimetres off."""
+    i = F.col("vec_id")
+    e = lambda k: F.floor(F.col("embedding")[k].cast("double") * 40) * 250.0
+    crop = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("crop")
+    rows = bindings.table(spark, sf_dir, "embeddings").select(F.floor(i / 100).alias("doc_id"), (i % 2).cast("int").alias("page_index"), i, "embedding", crop).where("(vec_id + crop) % 3 > 0")
+    near, turn = F.col("crop") * 20.0 - 30, (i + F.col("crop")) % 2 == 0
+    ends = {f"{p}{a}": e(k + (3 if (p == "e") else 0)) + near for p in "se" for k, a in enumerate("xyz")}
+    shift = {"x": F.when(F.col("crop") > 0, F.col("crop") * 100.0 * 2).otherwise(0.0), "y": F.when(F.col("crop") > 0, (842.0 - 500 - F.col("crop") * 10) * 2).otherwise(0.0), "z": F.lit(0.0)}
+    flipped = {f"{p}{a}": F.when(turn, ends[f"{q}{a}"]).otherwise(ends[f"{p}{a}"]) - shift[a] for p, q in (("s", "e"), ("e", "s")) for a in "xyz"}
+    members = rows.select("doc_id", "page_index", F.when(F.col("crop") == 0, "full").otherwise(F.concat(F.lit("q"), "crop")).alias("crop_id"), (i * 4 + F.col("crop")).alias("seq"), *(c.alias(n) for n, c in flipped.items()))
+    crops = members.select("doc_id", "page_index", "crop_id").distinct().withColumn("k", F.coalesce(F.regexp_extract("crop_id", r"q(\d)", 1).try_cast("int"), F.lit(0)))
+    crops = crops.select("doc_id", "page_index", "crop_id", (F.col("k") * 100.0).alias("x0"), (500.0 + F.col("k") * 10).alias("y1"), F.lit(842.0).alias("page_height"), F.lit(2.0).alias("mm_per_pt"))
+    out = drawing.merged_submodels(members, crops, 250.0)
+    return _round(out.select("doc_id", "page_index", "seq", "n_same", *drawing.ENDS), 6, *drawing.ENDS)
+
+
 def _prices(spark, sf_dir):
     return bindings.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_totalprice").cast("double").alias("v"), F.col("o_orderkey").alias("seq"))
 
@@ -197,6 +237,13 @@ _ST = """st AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY mm
 _LINE = "line AS (SELECT o_custkey AS page, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'y' END AS axis, o_totalprice::DOUBLE / 500 AS line FROM orders)"
 _SPAN = """span AS (SELECT label AS page, vec_id AS seq, (embedding[1]::DOUBLE + 1) * 500 AS x, (embedding[2]::DOUBLE * 2 + 1) * 500 AS y, (vec_id % 37 * 100 + 900)::BIGINT AS v FROM embeddings)"""
 
+_SHEETS = """sh AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS n, n > 1e-9 AND greatest(abs(x2 - x1), abs(y2 - y1)) / n >= cos(radians(88)) AS straight FROM (
+  SELECT vec_id // 120 AS doc_id, (vec_id % 3)::INT AS page_index, e[1]::DOUBLE * u AS x1, e[2]::DOUBLE * u AS y1, e[3]::DOUBLE * u AS x2, CASE WHEN vec_id % 4 = 1 THEN e[2]::DOUBLE ELSE e[4]::DOUBLE END * u AS y2, CASE WHEN vec_id % 5 = 0 THEN 2.0::DOUBLE ELSE abs(e[5]::DOUBLE) END AS stroke
+  FROM (SELECT vec_id, embedding AS e, [4000.0::DOUBLE, 300, 1.5, 900][vec_id // 120 % 4 + 1] AS u FROM embeddings))),
+pg AS (SELECT doc_id, page_index, list(n ORDER BY n) FILTER (WHERE n > 1e-6) AS ns, max(greatest(x1, x2, y1, y2)) - min(least(x1, x2, y1, y2)) AS span, list(stroke ORDER BY stroke) FILTER (WHERE stroke > 0.05) AS w FROM sh GROUP BY 1, 2),
+sc AS (SELECT *, ns[len(ns) // 2 + 1] AS med, CASE WHEN len(w) < 30 THEN 0 ELSE greatest(0, least(w[len(w) // 2 + 1], w[floor(len(w) * 0.72)::INT + 1] * 0.85)) END AS threshold FROM pg),
+page AS (SELECT doc_id, page_index, threshold, CASE WHEN med > 12000 THEN [25.4::DOUBLE / 72, 1.0] WHEN span > 4000 OR med > 400 THEN [1.0::DOUBLE, 25.4::DOUBLE / 72] WHEN span < 80 THEN [1000.0::DOUBLE, 1.0, 25.4::DOUBLE / 72] ELSE [25.4::DOUBLE / 72, 1.0] END AS scales FROM sc)"""
+
 QUERIES = {
     "segment_explode": (segment_explode, """
         WITH i AS (SELECT vec_id, vec_id % 4 AS k, [e::DOUBLE FOR e IN embedding[1:8]] AS e FROM embeddings),
@@ -243,6 +290,20 @@ QUERIES = {
           substr(string_agg(text, chr(10) ORDER BY turn, text), 1, 300) AS excerpt,
           concat_ws(',', CASE WHEN sum(greatest(length(text), turn * 100)) = 0 THEN 'no line work' END, CASE WHEN sum(length(text)) = 0 THEN 'no text' END) AS warnings FROM conversations GROUP BY 1"""),
     "vector_model": (vector_model, None),
+    "page_settings": (page_settings, f"""WITH {_SHEETS} SELECT doc_id, page_index, len(scales)::INT AS n_scales, round(scales[1], 6) AS scale, round(threshold, 6) AS threshold FROM (
+        SELECT doc_id, page_index, threshold, CASE WHEN doc_id % 6 = 5 THEN [1.0::DOUBLE, 25.4::DOUBLE / 72] ELSE scales END AS scales FROM page)"""),
+    "first_attempt": (first_attempt, f"""WITH {_SHEETS}, a AS (SELECT i, i // 16 AS m, (i // 4) % 4 AS k, i % 4 AS w FROM (SELECT unnest(range(64)) AS i)),
+        b AS (SELECT *, [600.0::DOUBLE, 350, 200, 150][m + 1] AS min_length, [1.0::DOUBLE, 0.5, 0, 0][w + 1] AS share, m < 3 AND w < 3 AS orthogonal FROM a),
+        c AS (SELECT doc_id, page_index, i, min_length, share, orthogonal, scales[k + 1] AS scale, threshold * share AS stroke, count(*) AS n FROM sh JOIN page USING (doc_id, page_index), b
+          WHERE n * scales[k + 1] >= min_length AND (share = 0 OR threshold <= 0 OR stroke >= threshold * share) AND (NOT b.orthogonal OR straight) GROUP BY ALL),
+        s AS (SELECT doc_id, page_index, sum((straight AND n BETWEEN 150 AND 25000)::INT) AS score, coalesce(sum(n) FILTER (WHERE straight AND n BETWEEN 150 AND 25000), 0) AS total FROM sh GROUP BY 1, 2)
+        SELECT doc_id, page_index, round(scale, 6) AS scale, min_length, round(stroke, 6) AS stroke, orthogonal, n FROM c JOIN s USING (doc_id, page_index) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, total DESC, page_index, i) = 1"""),
+    "merged_submodels": (merged_submodels, """
+        WITH v AS (SELECT vec_id, [floor(x::DOUBLE * 40) * 250 FOR x IN embedding[1:6]] AS e, unnest(range(4)) AS crop FROM embeddings),
+        m AS (SELECT vec_id // 100 AS doc_id, (vec_id % 2)::INT AS page_index, vec_id * 4 + crop AS seq, [x + crop * 20.0 - 30 FOR x IN CASE WHEN (vec_id + crop) % 2 = 0 THEN list_concat(e[4:6], e[1:3]) ELSE e END] AS p FROM v WHERE (vec_id + crop) % 3 > 0),
+        k AS (SELECT *, [round_even(x / 250, 0) FOR x IN p[1:3]] AS a, [round_even(x / 250, 0) FOR x IN p[4:6]] AS b, (p[4] - p[1]) ** 2 + (p[5] - p[2]) ** 2 + (p[6] - p[3]) ** 2 AS d FROM m),
+        r AS (SELECT *, count(*) OVER w AS n_same, row_number() OVER (w ORDER BY round(d, 3) DESC, seq) AS place FROM k WINDOW w AS (PARTITION BY doc_id, page_index, least(a, b), greatest(a, b)))
+        SELECT doc_id, page_index, seq, n_same, round(p[1], 6) AS sx, round(p[2], 6) AS sy, round(p[3], 6) AS sz, round(p[4], 6) AS ex, round(p[5], 6) AS ey, round(p[6], 6) AS ez FROM r WHERE place = 1"""),
     "cluster_1d": (cluster_1d, """
         WITH g AS (SELECT o_custkey AS page, o_totalprice::DOUBLE AS v, coalesce((v - lag(v) OVER (PARTITION BY page ORDER BY v) > 20000)::INT, 1) AS new FROM orders),
         c AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY v ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolith.operators import intent, members
+from ferrolith.operators import intent, members, repair
 from ferrolith.sources import bindings
 
 
@@ -121,3 +121,50 @@ QUERIES = {
     "intent_members": (intent_members, f"""WITH {_P}, g AS ({_GROUPS}) SELECT p_partkey AS model_id, group_id, category, {_COUNT} AS n_members FROM g JOIN f ON k = p_partkey
         UNION ALL SELECT p_partkey, slab_id, 'slab', 1 FROM ({_SLABS})"""),
 }
+
+
+def _specified(spark, sf_dir):
+    """Orders as models, lines as columns and beams; texts that ask for a portal, state sizes, or say nothing."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    lines = bindings.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("double") * 100).alias("q"), F.col("l_partkey").alias("part"))
+    # an order's line numbers can repeat: the seq is made of all that tells lines apart
+    seq = n.cast("long") * 1_000_000_000 + F.col("part") * 10_000 + F.col("q").cast("long") % 10_000
+    rows = lines.groupBy(o.alias("model_id"), seq.alias("seq")).agg(F.max("q").alias("q"), F.max(n).alias("n"))
+    role = F.when(F.col("n") % 3 == 0, "beam").when(F.col("n") == 7, "plate").otherwise("column")
+    elements = rows.select("model_id", "seq", role.alias("role"), F.concat(F.lit("HEA"), F.col("n") * 20 + 100).alias("profile"), F.col("q").alias("length_mm"), (F.col("q") * F.col("n")).alias("x"), F.lit(0.0).alias("y"), F.when(F.col("n") == 6, F.col("q") * 9).otherwise(0.0).alias("z"))
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.when(k % 3 == 0, F.concat(F.lit("One beam IPE300 resting on "), k % 4 + 1, F.lit(" columns"))).otherwise("Some steel"), F.when(k % 2 == 0, F.concat(F.lit(", height "), k % 7 + 3, F.lit(" m , "))).otherwise(", "), F.when(k % 5 < 2, F.concat(F.lit("span "), (k % 9 + 4) * 1000, F.lit(" mm"))).otherwise(""),
+        F.when(k % 6 == 0, ", y = 250").otherwise(""),
+    )
+    orders = bindings.table(spark, sf_dir, "orders").select(k.alias("model_id"), text.alias("text"))
+    sections = orders.where("model_id % 3 = 0").select("model_id", F.lit("beam").alias("role"), F.lit("IPE300").alias("key"))
+    return elements, repair.locks(orders, sections)
+
+
+def repaired_specs(spark, sf_dir):
+    return repair.repaired(*_specified(spark, sf_dir))[0]
+
+
+def repair_log(spark, sf_dir):
+    log = repair.repaired(*_specified(spark, sf_dir))[1]
+    return log.groupBy("model_id", "field", "rule").agg(F.count(F.lit(1)).alias("n_changes"))
+
+
+_R = """l AS (SELECT l_orderkey AS m, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + (l_quantity * 100)::BIGINT % 10000 AS seq, max(l_quantity::DOUBLE * 100) AS q, max(l_linenumber) AS n FROM lineitem GROUP BY 1, 2),
+e AS (SELECT m, seq, CASE WHEN n % 3 = 0 THEN 'beam' WHEN n = 7 THEN 'plate' ELSE 'column' END AS role, 'HEA' || (n * 20 + 100) AS profile0, q AS len0, q * n AS x0, CASE WHEN n = 6 THEN q * 9 ELSE 0 END::DOUBLE AS z0 FROM l),
+k AS (SELECT o_orderkey AS m, o_orderkey % 3 = 0 AS portal, greatest(2, o_orderkey % 4 + 1) AS wanted, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 7 + 3) * 1000.0::DOUBLE END AS h, CASE WHEN o_orderkey % 5 < 2 THEN (o_orderkey % 9 + 4) * 1000.0::DOUBLE END AS sp, CASE WHEN o_orderkey % 6 = 0 THEN 250.0::DOUBLE ELSE 0 END AS y FROM orders),
+a AS (SELECT e.*, portal, wanted, h, sp, y AS base, CASE WHEN role = 'beam' AND portal THEN 'IPE300' ELSE profile0 END AS profile, CASE WHEN role = 'column' AND abs(len0 - h) > 0.5 THEN h WHEN role = 'beam' AND abs(len0 - sp) > 0.5 THEN sp ELSE len0 END AS len FROM e JOIN k USING (m)),
+g AS (SELECT m, sum((role = 'column')::INT) AS nc, sum((role = 'beam')::INT) AS nb, min_by(profile, seq) FILTER (WHERE role = 'column') AS pc, min_by(len, seq) FILTER (WHERE role = 'column') AS hc, min_by(len, seq) FILTER (WHERE role = 'beam') AS sb, any_value(portal) AS portal, any_value(wanted) AS wanted, any_value(h) AS h, any_value(sp) AS sp, any_value(base) AS base FROM a GROUP BY 1),
+w AS (SELECT *, portal AND (nc <> wanted OR nb = 0) AS anew, coalesce(sp, sb, 6000) AS span, coalesce(h, hc, 3500) AS height FROM g),
+s AS (SELECT a.*, row_number() OVER (PARTITION BY a.m, role ORDER BY x0, seq) - 1 AS place FROM a JOIN w USING (m) WHERE NOT anew),
+kept AS (SELECT m, seq, role, profile, len AS length_mm, CASE WHEN portal AND role = 'column' AND sp > 0 THEN sp * place / (wanted - 1) ELSE x0 END AS x, 0.0::DOUBLE AS y, z0 AS z, profile0, len0, x0, z0 FROM s),
+built AS (SELECT m, i AS seq, 'column' AS role, coalesce(pc, 'HEB200') AS profile, height AS length_mm, span * i / (wanted - 1) AS x, base AS y, 0.0::DOUBLE AS z FROM (SELECT *, unnest(range(wanted)) AS i FROM w WHERE anew) UNION ALL SELECT m, wanted, 'beam', 'IPE300', span, 0, base, height FROM w WHERE anew),
+u AS (SELECT m, seq, role, profile, length_mm, x, y, z FROM kept UNION ALL FROM built), t AS (SELECT m, max(z + length_mm) AS top FROM u WHERE role = 'column' GROUP BY 1),
+r AS (SELECT u.* REPLACE (CASE WHEN role = 'beam' AND z < coalesce(top, 0) - 0.5 THEN coalesce(top, 0) ELSE z END AS z) FROM u LEFT JOIN t USING (m))"""
+QUERIES |= {
+    "repaired_specs": (repaired_specs, f"WITH {_R} SELECT m AS model_id, seq, role, profile, length_mm, x, y, z FROM r"),
+    "repair_log": (repair_log, f"""WITH {_R}, c AS (SELECT r.m, unnest([CASE WHEN r.profile <> k.profile0 THEN ('profile', 'section') END, CASE WHEN r.length_mm <> k.len0 THEN ('length_mm', 'length') END, CASE WHEN r.x <> k.x0 THEN ('x', 'spread') END, CASE WHEN r.z <> k.z0 THEN ('z', 'raised') END]) AS f
+          FROM r JOIN kept k USING (m, seq)), b AS (SELECT m, f[1] AS field, f[2] AS rule FROM c WHERE f IS NOT NULL UNION ALL SELECT m, 'element', 'portal' FROM built UNION ALL SELECT a.m, 'element', 'portal' FROM a JOIN w USING (m) WHERE anew)
+        SELECT m AS model_id, field, rule, count(*) AS n_changes FROM b GROUP BY 1, 2, 3"""),
+}

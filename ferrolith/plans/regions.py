@@ -87,6 +87,14 @@ def merged_axes(spark, sf_dir):
     return _merged(spark, sf_dir).select("page", "axis", F.size("chosen").alias("n_stations"), F.round(F.array_max("chosen"), 4).alias("span"))
 
 
+def merged_analysis(spark, sf_dir):
+    rows = _merged(spark, sf_dir)
+    of = lambda a, c: F.max(F.when(F.col("axis") == a, F.col(c)))
+    pages = rows.groupBy("page").agg(of("x", "stations").alias("x"), of("y", "stations").alias("y"), F.max("given").alias("given_x"), F.max("given").alias("given_y"))
+    out = region.merged_analysis(pages.withColumn("confidence", F.when(F.col("page") % 5 == 0, 0.3).otherwise(0.6)))
+    return out.select("page", F.size("merged_x").alias("n_x"), F.size("merged_y").alias("n_y"), F.round(F.array_max("merged_x"), 4).alias("x_span"), F.round(F.array_max("merged_y"), 4).alias("y_span"))
+
+
 def reindexed_cells(spark, sf_dir):
     cells = _lines(spark, sf_dir).select("page", "axis", (F.col("l_partkey") % 4).cast("int").alias("old_index")).distinct()
     rows = cells.join(_merged(spark, sf_dir), ["page", "axis"])
@@ -141,6 +149,11 @@ QUERIES = {
         SELECT page, n_x::INT AS n_x, n_y::INT AS n_y, round(sx, 4) AS x_span, round(sy, 4) AS y_span, sources,
           CASE WHEN n_x < 2 AND n_y < 2 THEN 0 ELSE round(least(0.95, 0.55 + 0.2 * (n_x >= 3)::INT + 0.2 * (n_y >= 3)::INT + 0.05 * sources)::DOUBLE, 2) END::DOUBLE AS confidence FROM r"""),
     "merged_axes": (merged_axes, f"WITH {_M} SELECT page, axis, len(chosen)::INT AS n_stations, round(list_max(chosen), 4) AS span FROM mg"),
+    "merged_analysis": (merged_analysis, f"""
+        WITH {_M}, p AS (SELECT page, any_value(given) AS given, list(v) FILTER (WHERE axis = 'x') AS x, list(v) FILTER (WHERE axis = 'y') AS y, list(chosen) FILTER (WHERE axis = 'x') AS cx, list(chosen) FILTER (WHERE axis = 'y') AS cy FROM ok JOIN mg USING (page, axis) GROUP BY 1),
+        t AS (SELECT *, greatest(coalesce(len(x[1]), 0), coalesce(len(y[1]), 0)) AS n FROM p), u AS (SELECT *, n >= 2 AND (page % 5 > 0 OR n >= 3) AS trusted FROM t),
+        z AS (SELECT page, CASE WHEN trusted THEN coalesce(cx[1], given) ELSE given END AS mx, CASE WHEN trusted THEN coalesce(cy[1], given) ELSE given END AS my FROM u)
+        SELECT page, len(mx)::INT AS n_x, len(my)::INT AS n_y, round(list_max(mx), 4) AS x_span, round(list_max(my), 4) AS y_span FROM z"""),
     "reindexed_cells": (reindexed_cells, f"""
         WITH {_M}, i AS (SELECT DISTINCT page, axis, (l_partkey % 4)::INT AS old_index FROM s), n AS (SELECT *, list_transform(chosen, lambda x: abs(x - given[old_index + 1])) AS far FROM i JOIN mg USING (page, axis))
         SELECT page, axis, old_index, CASE WHEN old_index < len(given) THEN list_position(far, list_min(far)) - 1 ELSE least(old_index, len(chosen) - 1) END::INT AS new_index FROM n"""),
