@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, intents, isolations, layouts, models, regions, resolution, rollups, searches, specs, texts
+from . import drawings, halls, intents, isolations, layouts, models, regions, resolution, rollups, searches, specs, texts
 
-MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs, isolations, intents)
+MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs, isolations, intents, halls)
 
 
 def queries() -> dict:
