@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .intent import NUMBER, SECTION
 from .members import FALLBACK
+from .textspec import HEIGHT, SPAN, WIDTH, column_count, first_measure, profile_mentions, request_flags, role_profiles
 
 NODE_MM = 2500
 #: Words that a text of each kind holds, one of every row; the first kind that fits counts.
@@ -216,3 +217,87 @@ def building_requests(texts: DataFrame, by: str = "model_id", text: str = "text"
     front, back = (stated_heights(t, WALLS[w], GIRTS["monoslope"][i]) for i, w in enumerate(WALLS))
     rows = rows.withColumns({"front_mm": _by_kind(fixed(0) | {"monoslope": front}), "back_mm": _by_kind(fixed(1) | {"monoslope": F.transform(back, clear)}), "slab_mm": slab, "sections": _by_kind(sections), "n_columns": F.lit(0), "n_purlins": F.lit(0)})
     return rows.drop("t")
+
+
+# --- layouts out of chat texts
+
+#: Words that a layout's text is judged by, and words of parts that a section may follow.
+SPAN_WORDS, COLUMN_WORDS, BEAM_WORDS = "span|spanning|length|אורך", "column|עמוד", "beam|קורה"
+ROLE_WORDS = {"column": r"\b(?:column|columns|עמוד|עמודים)\b", "beam": r"\b(?:beam|beams|קורה|קורות)\b"}
+PART_WORDS = {"rafter": ("rafter", "rafters", "קורה ראשית", "main roof"), "purlin": ("purlin", "purlins", "פורלין", "secondary"), "base": ("base", "perimeter", "יסוד", "bottom")}
+#: Sections that may follow a part's word, within so many characters.
+FOLLOWING = r"((?:IPE|HEA|HEB|HEM|UPN|UPE)\s*\d{2,4}|L\s*\d+\s*[xX×/]\s*\d+\s*[xX×/]\s*\d+(?:\.\d+)?|CHS\s*\d+(?:\.\d+)?\s*[xX×/]\s*\d+(?:\.\d+)?|(?:RHS|SHS)?\s*\d+\s*[xX×/]\s*\d+\s*[xX×/]\s*\d+(?:\.\d+)?)"
+FOLLOW_REACH = 60
+#: What a layout has where its text says nothing: columns, height, length, width; a shed's purlins.
+LAYOUTS = {"steel_shed": (6, 4000.0, 12000.0, 6000.0), "portal_frame": (3, 3500.0, 5000.0, 4000.0), "column_row": (3, 3000.0, 5000.0, 4000.0), "single_element": (2, 3000.0, 5000.0, 4000.0)}
+SHED_COLUMNS, N_PURLINS = 6, 4
+
+
+def _places(text: Column, role: str, pattern: str) -> Column:
+    """array<struct<role, place>> of the code points at which a pattern's matches begin."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, g: a + F.length(g))
+    found = F.transform(hits, lambda h, i: F.struct(F.lit(role).alias("role"), (size(gaps, i + 1) + size(hits, i)).alias("place")))
+    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<role:string,place:int>>"))
+
+
+def layout_sections(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(model_id, first, column, beam): the first section a text names, and that nearest to each role's words.
+
+    A mention that is nearer to the other role's words does not count for a role; a role without words, or without a
+    mention of its own, has the first section. Texts without a section have no row.
+    """
+    mentions = profile_mentions(texts, "model_id", text)
+    t = F.col(text)
+    anchors = [_places(t, role, f"(?iU){pattern}") for role, pattern in ROLE_WORDS.items()]
+    places = texts.where(t.isNotNull()).select("model_id", F.explode(F.concat(*anchors)).alias("a")).select("model_id", "a.*")
+    near = role_profiles(mentions, places, "model_id")
+    first = mentions.groupBy("model_id").agg(F.min_by("key", "place").alias("first"))
+    of = lambda r: near.where(F.col("role") == r).select("model_id", F.col("key").alias(r))
+    return first.join(of("column"), "model_id", "left").join(of("beam"), "model_id", "left").select("model_id", "first", *(F.coalesce(r, "first").alias(r) for r in ROLE_WORDS))
+
+
+def _following(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?i){w}[^\n\r]{{0,{FOLLOW_REACH}}}?{FOLLOWING}", 1), F.lit("")) for w in words))
+    return F.regexp_replace(F.regexp_replace(F.upper(F.regexp_replace(found, r"\s", "")), "[X×/]", "x"), "^(?:RHS|SHS)", "")
+
+
+def layout_requests(texts: DataFrame, given: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """Requests of chat texts (model_id, text) for `building_members`, with the rule that chose the kind.
+
+    A shed, else a portal, else a row of columns (a count of two or more beside a span), else a single column, else a
+    single element of a named section. What a text states holds; then what a given request (model_id, kind,
+    length_mm, width_mm, eave_mm, n_columns, section) says; then the kind's own values. A shed has six columns at
+    least. Texts that ask for none of these take the given kind, or have no row.
+    """
+    t = F.coalesce(F.col("__t"), F.lit(""))
+    rows = texts.select("model_id", F.col(text).alias("__t"))
+    rows = rows.join(layout_sections(rows, "__t"), "model_id", "left")
+    kept = ("kind", "length_mm", "width_mm", "eave_mm", "n_columns", "section")
+    if given is not None:
+        rows = rows.join(given.select("model_id", *(F.col(c).alias(f"given_{c}") for c in kept)), "model_id", "left")
+    else:
+        rows = rows.withColumns({f"given_{c}": F.lit(None).cast("string" if c in ("kind", "section") else "int" if c == "n_columns" else "double") for c in kept})
+    low = F.lower(t)
+    flags, count = request_flags(t), column_count(t)
+    is_column, is_beam, spans = low.rlike(COLUMN_WORDS), low.rlike(BEAM_WORDS), low.rlike(SPAN_WORDS)
+    counted = F.coalesce(count, F.col("given_n_columns"), F.lit(LAYOUTS["column_row"][0])) >= 2
+    ways = {
+        "shed": (flags["shed"], "steel_shed"), "portal": (flags["portal"], "portal_frame"), "row": ((is_column | (is_beam & F.col("given_kind").isNull())) & spans & counted, "column_row"),
+        "given": (F.col("given_kind").isNotNull(), None), "column": (is_column & ~is_beam, "single_element"), "section": (F.col("first").isNotNull(), "single_element"),
+    }
+    chosen = None
+    for rule, (when, kind) in ways.items():
+        value = F.struct(F.lit(rule).alias("rule"), (F.col("given_kind") if kind is None else F.lit(kind)).alias("kind"))
+        chosen = F.when(when, value) if chosen is None else chosen.when(when, value)
+    rows = rows.withColumn("__c", chosen).where("__c IS NOT NULL").withColumns({"kind": F.col("__c.kind"), "rule": F.col("__c.rule")})
+    own = lambda i: _by_kind({k: F.lit(v[i]) for k, v in LAYOUTS.items()})
+    sizes = {
+        "length_mm": F.coalesce(first_measure(t, SPAN), "given_length_mm", own(2)), "width_mm": F.coalesce(first_measure(t, WIDTH), "given_width_mm", own(3)), "eave_mm": F.coalesce(first_measure(t, HEIGHT), "given_eave_mm", own(1)),
+        "n_columns": F.coalesce(count, "given_n_columns", own(0)),
+    }
+    rows = rows.withColumns(sizes).withColumn("n_columns", F.when(F.col("kind") == "steel_shed", F.greatest("n_columns", F.lit(SHED_COLUMNS))).otherwise(F.col("n_columns")).cast("int"))
+    main = F.coalesce("first", "given_section", F.lit(FALLBACK["HEB"]))
+    parts = {"main": main, "column": F.coalesce("column", main), "beam": F.coalesce("beam", F.when(F.col("kind") == "steel_shed", FALLBACK["IPE"]), main)} | {p: _following(t, words) for p, words in PART_WORDS.items()}
+    sections = F.map_filter(F.create_map(*(x for p, c in parts.items() for x in (F.lit(p), c))), lambda k, v: v.isNotNull())
+    return rows.select("model_id", "kind", "rule", "length_mm", "width_mm", "eave_mm", F.col("eave_mm").alias("ridge_mm"), F.lit(5000.0).alias("bay_mm"), F.lit(SLAB_MM[1]).alias("slab_mm"), "n_columns", F.lit(N_PURLINS).alias("n_purlins"), *(F.array().cast("array<double>").alias(w) for w in WALLS), sections.alias("sections"))

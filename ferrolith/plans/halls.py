@@ -36,6 +36,20 @@ def building_requests(spark, sf_dir):
     return rows.select("model_id", "kind", "length_mm", "width_mm", "eave_mm", "ridge_mm", "bay_mm", "slab_mm", listed("front_mm").alias("front"), listed("back_mm").alias("back"), pairs.alias("sections"))
 
 
+def layout_requests(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    texts = F.element_at(F.array(
+        put("a steel shed with columns HEB 240, length 18 m, width ", s + 5, " m, rafters IPE 330, purlins of RHS 80x40x3"), put("IPE 300 beam on top of ", k % 4 + 1, " columns HEA ", (s % 3 + 1) * 100, ", span of ", s + 3, " m"), put(k % 5 + 1, " columns HEB", s + 100, " over a length of ", s * 100, " mm and height 4500 mm"),
+        put("one column, height ", s % 4 + 2, " m"), F.lit("a piece of UPN 200"), F.lit("nothing here"),
+    ), (k % 6 + 1).cast("int"))
+    rows = bindings.table(spark, sf_dir, "part").select(k.alias("model_id"), texts.alias("text"))
+    given = bindings.table(spark, sf_dir, "part").where("p_partkey % 12 IN (3, 5)").select(k.alias("model_id"), F.lit("column_row").alias("kind"), F.lit(7700.0).alias("length_mm"), F.lit(None).cast("double").alias("width_mm"), F.lit(2900.0).alias("eave_mm"), F.lit(4).alias("n_columns"), F.lit("HEA160").alias("section"))
+    out = buildings.layout_requests(rows, given)
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("sections")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.select("model_id", "kind", "rule", "length_mm", "width_mm", "eave_mm", "n_columns", pairs.alias("sections"))
+
+
 _Q = """q AS (SELECT p_partkey AS k, p_partkey % 7 AS kind, (p_size % 10 + 3) * 5000.0::DOUBLE + p_partkey % 2 * 700 AS L, (p_size % 6 + 4) * 2500.0::DOUBLE AS W, 4000.0::DOUBLE AS lo, p_size * 10 + 5000.0::DOUBLE AS hi, p_partkey % 5 + 2 AS nc, p_partkey % 4 + 1 AS np,
   p_size % 10 + 4 + p_partkey % 2 AS fr, CASE WHEN p_partkey % 2 = 1 THEN 700.0::DOUBLE ELSE 5000 END AS last FROM part),
 w AS (SELECT k, fr, lo, hi, W, unnest(range(1, (W / 2500)::INT)) * 2500 AS y FROM q WHERE kind = 1),
@@ -56,6 +70,14 @@ QUERIES = {
         _part("2", "wall_braces", "brace", "HEB200", "8", "2 * (sqrt(25e6 + lo * lo) + sqrt(last * last + lo * lo) + sqrt(25e6 + hi * hi) + sqrt(last * last + hi * hi))"), _part("2", "roof_braces", "brace", "HEB200", "4", "2 * (sqrt(25e6 + W * W + (hi - lo) ** 2) + sqrt(last * last + W * W + (hi - lo) ** 2))"),
         f"SELECT k, 'posts', 'beam', 'HEB200', (any_value(fr) * count(*))::BIGINT, round(any_value(fr) * sum({_TOP} - lo), 2) FROM w GROUP BY 1", f"SELECT k, 'webs', 'beam', 'HEB200', (any_value(fr) * count(*))::BIGINT, round(any_value(fr) * sum(sqrt(6250000 + ({_TOP} - lo) ** 2)), 2) FROM p GROUP BY 1",
     ])),
+    "layout_requests": (layout_requests, """
+        WITH r AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 6 AS m, p_partkey % 12 IN (3, 5) AS given FROM part)
+        SELECT k AS model_id, 'steel_shed' AS kind, 'shed' AS rule, 18000.0::DOUBLE AS length_mm, (s + 5) * 1000.0::DOUBLE AS width_mm, 4000.0::DOUBLE AS eave_mm, 6 AS n_columns, 'beam=HEB240,column=HEB240,main=HEB240,purlin=80x40x3,rafter=IPE330' AS sections FROM r WHERE m = 0
+        UNION ALL SELECT k, 'portal_frame', 'portal', (s + 3) * 1000, 4000, 3500, greatest(2, k % 4 + 1), 'beam=IPE300,column=HEA' || ((s % 3 + 1) * 100) || ',main=IPE300' FROM r WHERE m = 1
+        UNION ALL SELECT k, 'column_row', 'row', s * 100, 4000, 4500, greatest(2, k % 5 + 1), 'beam=HEB' || (s + 100) || ',column=HEB' || (s + 100) || ',main=HEB' || (s + 100) FROM r WHERE m = 2
+        UNION ALL SELECT k, CASE WHEN given THEN 'column_row' ELSE 'single_element' END, CASE WHEN given THEN 'given' ELSE 'column' END, CASE WHEN given THEN 7700 ELSE 5000 END, 4000, (s % 4 + 2) * 1000, CASE WHEN given THEN 4 ELSE 2 END, CASE WHEN given THEN 'beam=HEA160,column=HEA160,main=HEA160' ELSE 'beam=HEB200,column=HEB200,main=HEB200' END FROM r WHERE m = 3
+        UNION ALL SELECT k, 'single_element', 'section', 5000, 4000, 3000, 2, 'beam=UPN200,column=UPN200,main=UPN200' FROM r WHERE m = 4
+        UNION ALL SELECT k, 'column_row', 'given', 7700, 4000, 2900, 4, 'beam=HEA160,column=HEA160,main=HEA160' FROM r WHERE m = 5 AND given"""),
     "building_requests": (building_requests, """
         WITH r AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 4 AS m FROM part)
         SELECT k AS model_id, 'truss' AS kind, s * 1000.0::DOUBLE AS length_mm, 20000.0::DOUBLE AS width_mm, 6000.0::DOUBLE AS eave_mm, 9100.0::DOUBLE AS ridge_mm, 5000.0::DOUBLE AS bay_mm, 350.0::DOUBLE AS slab_mm, '1500,3000,4500,5800' AS front, '1500,3000,4500,5800' AS back,
