@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import property_key, rules_table, resolve, to_number, to_quantity, to_text
+from .resolve import property_key, resolve, to_number, to_quantity, to_text
 
 #: Element kinds that are scanned first, in order, and kinds that hold no parts.
 PREFERRED = ("IfcBeam", "IfcColumn", "IfcMember", "IfcPlate", "IfcBuildingElementProxy")
@@ -132,11 +132,10 @@ def wall_thickness(profile: Column) -> Column:
 
 def element_rows(elements: DataFrame, props: DataFrame, rules: list[tuple], numbers: tuple[str, ...] = ()) -> DataFrame:
     """Elements with all fields of a rule list: texts by one resolution, numbers by another, no self-join of props."""
-    spark = elements.sparkSession
     out = elements
     for chosen, convert in (([r for r in rules if r[0] not in numbers], to_text), ([r for r in rules if r[0] in numbers], to_number)):
         if chosen:
-            out = out.join(resolve(props, rules_table(spark, chosen), convert), ["model_id", "element_id"], "left")
+            out = out.join(resolve(props, chosen, convert), ["model_id", "element_id"], "left")
     return out
 
 

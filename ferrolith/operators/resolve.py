@@ -5,7 +5,7 @@ props: model_id, element_id, layer (instance, type, inherited), pset, pset_ord,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import durable
@@ -58,23 +58,33 @@ def layered(props: DataFrame) -> DataFrame:
     return props.groupBy(*ELEMENT, "pset", "prop").agg(best.alias("b")).select(*ELEMENT, "pset", "prop", "b.*")
 
 
-def rules_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    """(field, rank, pset pattern, key, mode): mode exact compares normalised keys, contains looks inside them."""
-    return spark.createDataFrame(rules, "field string, rank int, pset_like string, key string, mode string")
+#: A rule: field, rank, pattern of property sets (like), key, and how keys compare: exact, contains or regex.
+Rule = tuple[str, int, str, str, str]
 
 
-def resolve(props: DataFrame, rules: DataFrame, convert=to_text) -> DataFrame:
-    """One row an element with a column for each field of the rules.
+def rule_holds(rule: Rule, key: Column) -> Column:
+    """Whether a property with this normalised key meets a rule; all of the rule is literal."""
+    _, _, sets, wanted, mode = rule
+    name = key == wanted if mode == "exact" else key.contains(wanted) if mode == "contains" else key.rlike(wanted)
+    return name if sets == "%" else F.lower("pset").like(sets.lower()) & name
 
-    A small rule table is broadcast to the properties; every candidate carries its rank and its place, and one
-    aggregation takes each field's first convertible candidate. All fields share the one shuffle on the element.
+
+def resolve(props: DataFrame, rules: list[Rule], convert=to_text) -> DataFrame:
+    """One row an element with a column for each field of the rules, in the order of their names.
+
+    Rules are literal conditions: a property's rank for a field is that of the first rule it meets, and one aggregation
+    takes each field's convertible value of the lowest rank, then of the first place. Nothing is joined or collected,
+    and all fields share the one shuffle on the element. Elements without any such value have no row.
     """
-    fields = [r["field"] for r in rules.select("field").distinct().orderBy("field").collect()]
-    key = property_key(F.col("prop"))
-    hit = F.like(F.lower("pset"), F.lower("pset_like")) & F.when(F.col("mode") == "exact", key == F.col("key")).when(F.col("mode") == "contains", key.contains(F.col("key"))).otherwise(F.regexp_like(key, F.col("key")))
-    found = props.join(F.broadcast(rules), hit).withColumn("__v", convert(F.col("value"))).where("__v IS NOT NULL")
-    place = F.struct("rank", "pset_ord", "prop_ord")
-    return found.groupBy(*ELEMENT).agg(*(F.min_by(F.when(F.col("field") == f, F.col("__v")), F.when(F.col("field") == f, place)).alias(f) for f in fields))
+    key, value = F.col("__key"), F.col("__v")
+    rows = props.withColumn("__key", property_key(F.col("prop"))).withColumn("__v", convert(F.col("value"))).where("__v IS NOT NULL")
+    ranks = {}
+    for field in sorted({r[0] for r in rules}):
+        for rule in sorted((r for r in rules if r[0] == field), key=lambda r: r[1]):
+            ranks[field] = ranks[field].when(rule_holds(rule, key), rule[1]) if field in ranks else F.when(rule_holds(rule, key), rule[1])
+    rows = rows.select(*ELEMENT, "__v", "pset_ord", "prop_ord", *(rank.alias(f"__rank_{f}") for f, rank in ranks.items())).where(F.coalesce(*(F.col(f"__rank_{f}") for f in ranks)).isNotNull())
+    some = lambda f: F.col(f"__rank_{f}").isNotNull()
+    return rows.groupBy(*ELEMENT).agg(*(F.min_by(F.when(some(f), value), F.when(some(f), F.struct(f"__rank_{f}", "pset_ord", "prop_ord"))).alias(f) for f in ranks))
 
 
 def longest_fragment(props: DataFrame, fragments: list[str]) -> DataFrame:
@@ -210,6 +220,45 @@ def fastener_class(kind: Column, text: Column, strict: bool = False) -> Column:
     return F.coalesce(F.when(~hardware, "other"), kept, F.lit("fastener"))
 
 
+#: Text lengths below which an accessory's own attributes decide nothing (strict: connections stay too).
+SPARSE, SPARSE_STRICT = 28, 64
+#: Words of whole attribute texts that name a hole, at once or unless a bolt's own words stand there; a
+#: context in which HOLE counts; and the words of hardware.
+MADE_HOLES = r"\b(?:BOLT\s*-?\s*HOLE|DRILL\s*HOLE|MACHINED\s*HOLE|CLEARANCE\s*HOLE|BOREHOLE|BORING|TAPEREDBORING|MACHINEDHOLE|DRILLEDHOLE)\b|\bBOLT[-_\s.]?HOLE\b|\bHOLE[-_\s.]?BOLT\b"
+BORES, HOLE_CONTEXT = r"\bBORE\b|SURFACEFEATURE.*BORE", r"\b(?:DRILL|BORE|MACHINED|CLEARANCE|SURFACEFEATURE)\b"
+BOLT_WORDS = r"\b(?:BOLT\s*ASSEMBLY|HEX\s*BOLT|TENSION.?CONTROL|TURN.?OF.?NUT|SHEAR\s*NUT|SPLIT\s*BOLT|SHEET\s*BOLT|PURLIN\s*BOLT)\b"
+HARDWARE_NAMES, NO_HARDWARE = r"\b(?:BOLT|NUT|WASHER|HEX|STUD|THREAD|DOWEL|SCREW|RIVET|SHEAR\s*STUD)\b", r"\b(?:BOLT\s*-?\s*HOLE|HOLE|BORE|DRILL|CLEARANCE|MACHINED)\b"
+
+
+def made_hole(text: Column) -> Column:
+    """Whether a whole attribute text speaks of a hole that was made."""
+    t = F.upper(text)
+    bolt = t.rlike(BOLT_WORDS)
+    made = t.rlike(MADE_HOLES) | (t.rlike(r"\bSURFACEFEATURE\b") & t.rlike(r"\b(?:BORE|DRILL|MACHINED|CLEARANCE)\b"))
+    return made | (~bolt & (t.rlike(BORES) | (t.rlike(r"\bHOLE\b") & t.rlike(HOLE_CONTEXT))))
+
+
+def fasteners_to_hide(elements: DataFrame, attributes: DataFrame, strict: bool = False) -> DataFrame:
+    """(element_id): what hiding fasteners takes away, in two passes, so that wide attributes are read for few rows.
+
+    elements: element_id, kind, text (the short attributes); they decide all but accessories of little text. Only
+    those are looked up in attributes (element_id, text: all that is known). There, holes stay; in strict mode only
+    what is named as hardware, and not as a hole, is hidden; otherwise all the rest is. An accessory without
+    attributes stays in strict mode and is hidden otherwise.
+    """
+    text = F.coalesce("text", F.lit(""))
+    first = elements.select("element_id", fastener_class(F.col("kind"), text, strict).alias("class"), (F.upper("kind").contains("DISCRETEACCESSORY") & (F.length(text) < (SPARSE_STRICT if strict else SPARSE))).alias("sparse")).where("class = 'fastener'")
+    sparse = first.where("sparse").select("element_id")
+    deep = attributes.select("element_id", F.col("text").alias("deep")).join(sparse, "element_id", "left_semi")
+    whole = F.coalesce("deep", F.lit(""))
+    hidden = ~made_hole(whole)
+    if strict:
+        hidden = hidden & F.upper(whole).rlike(HARDWARE_NAMES) & ~F.upper(whole).rlike(NO_HARDWARE)
+    # an element can have several attribute rows: any of them can keep it
+    judged = sparse.join(deep, "element_id", "left").groupBy("element_id").agg(F.bool_and(hidden).alias("hidden")).where("hidden").select("element_id")
+    return first.where("NOT sparse").select("element_id").unionByName(judged)
+
+
 def companion(kind: Column) -> Column:
     """Whether a category goes with a bolted joint: hardware, accessories, openings; not members."""
     k = F.upper(kind)

@@ -28,12 +28,12 @@ def layered_props(spark, sf_dir):
 
 
 def part_projection(spark, sf_dir):
-    rows = resolve.resolve(resolve.layered(props(spark, sf_dir)), resolve.rules_table(spark, RULES))
+    rows = resolve.resolve(resolve.layered(props(spark, sf_dir)), RULES)
     return rows.select("element_id", "mark", "profile", "weight")
 
 
 def fuzzy_pick(spark, sf_dir):
-    rules = resolve.rules_table(spark, [("number", 0, "%", "e", "contains")])
+    rules = [("number", 0, "%", "e", "contains")]
     return resolve.resolve(resolve.layered(props(spark, sf_dir)), rules, resolve.to_number).select("element_id", "number")
 
 
@@ -119,6 +119,17 @@ def fastener_classes(spark, sf_dir):
     return part.select("p_partkey", kind.alias("kind"), resolve.fastener_class(kind, text, strict=True).alias("class"), resolve.companion(kind).alias("companion"))
 
 
+def fasteners_to_hide(spark, sf_dir):
+    part = bindings.table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_name").contains("bolt"), "IfcMechanicalFastener").when(F.col("p_name").contains("plate") | (F.col("p_partkey") % 3 == 0), "IfcDiscreteAccessory").otherwise("IfcBeam")
+    text = F.when(F.col("p_size") > 45, "hole").when(F.col("p_size") > 20, F.rpad(F.lit("end plate "), 30, "-")).otherwise("")
+    elements = part.select(F.col("p_partkey").alias("element_id"), kind.alias("kind"), text.alias("text"))
+    words = F.element_at(F.array(*map(F.lit, ("hex bolt M20", "a bore", "clearance hole", "washer", "something", "hex bolt, bore"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    attributes = part.where("p_partkey % 11 > 0").select(F.col("p_partkey").alias("element_id"), words.alias("text"))
+    modes = [resolve.fasteners_to_hide(elements, attributes, strict).withColumn("strict", F.lit(strict)) for strict in (False, True)]
+    return modes[0].unionByName(modes[1])
+
+
 def _picks(spark):
     return spark.createDataFrame([("assembly", "m:1-urgent"), ("part", "7"), ("part", "11"), ("profile", "economy")], "kind string, key string")
 
@@ -182,6 +193,10 @@ QUERIES = {
         WITH k AS (SELECT *, CASE WHEN p_name LIKE '%bolt%' THEN 'IfcMechanicalFastener' WHEN p_name LIKE '%plate%' THEN 'IfcDiscreteAccessory' WHEN p_name LIKE '%ring%' THEN 'IfcFastenerGrid' ELSE 'IfcBeam' END AS kind FROM part)
         SELECT p_partkey, kind, CASE WHEN kind = 'IfcBeam' THEN 'other' WHEN p_size > 45 THEN 'hole' WHEN p_name LIKE '%plate%' AND p_size > 20 THEN 'connection' ELSE 'fastener' END AS class,
           kind NOT IN ('IfcBeam', 'IfcFastenerGrid') AS companion FROM k"""),
+    "fasteners_to_hide": (fasteners_to_hide, """
+        WITH k AS (SELECT p_partkey AS element_id, p_size AS s, p_partkey % 6 AS w, p_partkey % 11 > 0 AS known, CASE WHEN p_name LIKE '%bolt%' THEN 'bolt' WHEN p_name LIKE '%plate%' OR p_partkey % 3 = 0 THEN 'loose' ELSE 'beam' END AS kind FROM part)
+        SELECT element_id, false AS strict FROM k WHERE kind <> 'beam' AND s <= 45 AND (kind = 'bolt' OR s > 20 OR NOT known OR w NOT IN (1, 2))
+        UNION ALL SELECT element_id, true FROM k WHERE kind <> 'beam' AND s <= 45 AND (kind = 'bolt' AND s <= 20 OR kind = 'loose' AND s <= 20 AND known AND w IN (0, 3))"""),
     "hidden_set": (hidden_set, f"WITH {_HIDDEN} SELECT part_id FROM hidden"),
     "visible_set": (visible_set, f"WITH {_HIDDEN} SELECT p_partkey AS part_id FROM part WHERE p_partkey NOT IN (SELECT part_id FROM hidden) AND NOT ((p_partkey - 1) % 3 = 0 AND p_partkey - 1 IN (SELECT part_id FROM hidden))"),
 }
