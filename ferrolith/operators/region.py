@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import MAX_LINES, STATION_TOL, axis_positions, chain_stations, cluster_1d, cluster_weighted, confidence, cumulated, valid_chain
+from .grid import MAX_LINES, STATION_TOL, axis_positions, chain_stations, cluster_1d, cluster_weighted, confidence, cumulated, min_gap_fold, valid_chain
 
 #: Line work of grids (points, millimetres) and of column clicks (pixels).
 STRAIGHT, LONG, STATION_GAP, BLEND = 8.0, 40.0, 35.0, 500.0
@@ -172,13 +172,49 @@ def reindexed(index: Column, old: Column, new: Column) -> Column:
     return F.when(F.size(new) == 0, F.lit(None)).when(index < F.size(old), near).otherwise(F.least(index, F.size(new) - 1)).cast("int")
 
 
+#: Fixed value: a detection of grid dimensions less sure than this gives no scale.
+SCALE_SURE = 0.3
+
+
+def crop_calibration(crops: DataFrame) -> DataFrame:
+    """Adds mm_per_px, mm_per_px_x, mm_per_px_y, span_x, span_y and source: how many millimetres a pixel of a crop is.
+
+    crops: width_px, height_px, stations xs and ys (millimetres) with their confidence, the crop's size clip_w and
+    clip_h in points with mm_per_pt (`drawing.inferred_scale`), and grid_mm_x, grid_mm_y, the scale of its labelled grid
+    lines. Sources, the first that has a value: labels (both axes have stations, and labels fit lines), stations of
+    both axes, stations of x, those of y (x then by the sheet's line work), line work alone; else none, and none too
+    where dimensions were not found for sure. Only labels give a scale to each axis; a crop without a size has none.
+    """
+    xs, ys = (axis_positions(F.coalesce(c, F.array().cast("array<double>"))) for c in ("xs", "ys"))
+    sure = F.coalesce(F.col("confidence") >= SCALE_SURE, F.lit(False))
+    rows = crops.withColumns({"span_x": F.when(sure, F.try_element_at(xs, F.lit(-1))), "span_y": F.when(sure, F.try_element_at(ys, F.lit(-1))), "__both": sure & (F.size(xs) >= 2) & (F.size(ys) >= 2)})
+    share = lambda span, pixels: F.when((span > 0) & (F.col(pixels) > 0), span / F.col(pixels))
+    by_x, by_y = share(F.col("span_x"), "width_px"), share(F.col("span_y"), "height_px")
+    drawn = F.when(sure, share(F.col("clip_w") * F.col("mm_per_pt"), "width_px"))
+    labels = F.when(F.col("__both") & (F.col("grid_mm_x") > 0), F.col("grid_mm_x"))
+    rows = rows.withColumns({"__labels": labels, "__x": by_x, "__y": by_y, "__drawn": drawn})
+    source = (
+        F.when(F.col("__labels").isNotNull(), "labels").when(F.col("__x").isNotNull() & F.col("__y").isNotNull(), "stations").when(F.col("__x").isNotNull(), "stations_x")
+        .when(F.col("__y").isNotNull() & F.col("__drawn").isNotNull(), "stations_y").when(F.col("__drawn").isNotNull(), "line_work").otherwise("none")
+    )
+    out = {"mm_per_px": F.coalesce("__x", "__drawn", "__labels"), "mm_per_px_x": F.col("__labels"), "mm_per_px_y": F.when(F.col("__labels").isNotNull(), F.col("grid_mm_y")), "source": source}
+    return rows.withColumns(out).drop("__labels", "__x", "__y", "__drawn", "__both")
+
+
 def click_placements(clicks: DataFrame, crops: DataFrame, by: list[str], profile: str = "HEB200", height: float = 6000.0) -> DataFrame:
     """Columns at clicks (by, ord, x, y, mark) in pixels of crops (by, width_px, height_px, mm_per_px, xs, ys).
 
     Where a crop has stations on both axes (xs, ys), clicks snap to them; y runs up. Elsewhere stations are the
-    clusters of the clicks themselves, scaled by mm_per_px or numbered without it, and clicks snap in pixels. Crops
-    that give fewer than two stations on an axis give no columns.
+    clusters of the clicks themselves, scaled by mm_per_px or numbered without it, and clicks snap in pixels: to the
+    crop's own lines (columns lines_x and lines_y, if there are such, of two lines at least on both axes), else to the
+    clusters. Crops that give fewer than two stations on an axis give no columns.
     """
+    none = F.lit(None).cast("array<double>")
+    for a in "xy":
+        lines = F.coalesce(F.col(f"lines_{a}"), F.array().cast("array<double>")) if f"lines_{a}" in crops.columns else none
+        crops = crops.withColumn(f"__l{a}", min_gap_fold(F.array_sort(lines), F.lit(1.0)))
+    drawn = F.coalesce((F.size("__lx") >= 2) & (F.size("__ly") >= 2), F.lit(False))
+    crops = crops.withColumns({f"__l{a}": F.when(drawn, F.col(f"__l{a}")) for a in "xy"})
     spread = lambda s: F.coalesce((F.size(s) >= 2) & (F.element_at(s, -1) > F.element_at(s, 1)), F.lit(False))
     crops = crops.withColumn("xs", axis_positions(F.coalesce("xs", F.array().cast("array<double>")))).withColumn("ys", axis_positions(F.coalesce("ys", F.array().cast("array<double>"))))
     crops = crops.withColumn("given", spread(F.col("xs")) & spread(F.col("ys")))
@@ -195,10 +231,11 @@ def click_placements(clicks: DataFrame, crops: DataFrame, by: list[str], profile
     all_rows = all_rows.where(spread(F.col("bx")) & spread(F.col("by_")) & (F.col("width_px") > 0) & (F.col("height_px") > 0))
     mx, my = F.element_at("bx", -1) / F.col("width_px"), F.element_at("by_", -1) / F.col("height_px")
     near = lambda s, v: F.array_min(F.transform(s, lambda x, i: F.struct(F.abs(x - v).alias("d"), i.alias("i"))))["i"]
-    # without given stations the clusters in pixels carry the millimetres, from the crop's edges on
-    own_x, own_y = F.round(F.element_at("px", F.col("ix") + 1) * F.col("mx"), 1), F.round((F.col("height_px") - F.element_at("py", F.lit(1) + F.col("iy"))) * F.col("my"), 1)
-    ix = F.when(F.col("given"), near(F.col("xs"), F.col("x") * mx)).otherwise(near(F.col("px"), F.col("x")))
-    iy = F.when(F.col("given"), near(F.col("ys"), F.element_at("by_", -1) - F.col("y") * my)).otherwise(near(F.col("py"), F.col("y")))
+    # without given stations the lines or clusters in pixels carry the millimetres, from the crop's edges on
+    all_rows = all_rows.withColumns({f"q{a}": F.coalesce(f"__l{a}", f"p{a}") for a in "xy"})
+    own_x, own_y = F.round(F.get("qx", F.col("ix")) * F.col("mx"), 1), F.round((F.col("height_px") - F.get("qy", F.col("iy"))) * F.col("my"), 1)
+    ix = F.when(F.col("given"), near(F.col("xs"), F.col("x") * mx)).otherwise(near(F.col("qx"), F.col("x")))
+    iy = F.when(F.col("given"), near(F.col("ys"), F.element_at("by_", -1) - F.col("y") * my)).otherwise(near(F.col("qy"), F.col("y")))
     placed = all_rows.withColumns({"mx": mx, "my": my, "ix": ix, "iy": iy})
     placed = placed.withColumn("x_mm", F.when(F.col("given"), F.round(F.get("xs", F.col("ix")), 1)).otherwise(own_x)).withColumn("y_mm", F.when(F.col("given"), F.round(F.get("ys", F.col("iy")), 1)).otherwise(own_y))
     mark = F.coalesce(F.nullif(F.trim("mark"), F.lit("")), F.concat(F.lit("C"), F.col("ord") + 1))

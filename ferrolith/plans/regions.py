@@ -111,6 +111,26 @@ def click_placements(spark, sf_dir):
     return region.click_placements(clicks, crops, ["page"]).select("page", "ord", "placement_id", "mark", "x_mm", "y_mm")
 
 
+def crop_calibration(spark, sf_dir):
+    o = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("double")
+    rows = bindings.table(spark, sf_dir, "orders").select(
+        o.alias("crop"), F.when(o % 7 > 0, F.array(F.lit(0.0), price)).alias("xs"), F.when(o % 5 > 0, F.array(F.lit(0.0), price / 4, price / 2)).alias("ys"), (o % 10 / 10).alias("confidence"), (o % 4 * 500).cast("double").alias("width_px"), F.lit(1000.0).alias("height_px"),
+        F.lit(400.0).alias("clip_w"), F.lit(300.0).alias("clip_h"), F.when(o % 3 > 0, 25.0).alias("mm_per_pt"), F.when(o % 11 < 4, price / 900).alias("grid_mm_x"), (price / 700).alias("grid_mm_y"),
+    )
+    out = region.crop_calibration(rows)
+    return out.select("crop", "source", *(F.round(c, 6).alias(c) for c in ("mm_per_px", "mm_per_px_x", "mm_per_px_y", "span_x", "span_y")))
+
+
+def click_lines(spark, sf_dir):
+    """Clicks on crops without stations, but with drawn lines every 101 or 132 pixels."""
+    clicks = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("ord"), (F.floor(F.col("value") * 2) % 1000).cast("double").alias("x"), (F.minute("ts") * 16.0).alias("y"), F.lit(" ").alias("mark"))
+    lines = lambda step: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i * step)
+    none = F.lit(None).cast("array<double>")
+    crops = clicks.select("page").distinct().select("page", none.alias("xs"), none.alias("ys"), F.lit(1000.0).alias("width_px"), F.lit(1000.0).alias("height_px"), F.when(F.col("page") % 3 > 0, 10.0).alias("mm_per_px"), F.concat(lines(F.lit(101.3)), F.array(F.lit(101.7))).alias("lines_x"), F.when(F.col("page") % 4 > 0, lines(F.lit(131.7))).alias("lines_y"))
+    return region.click_placements(clicks, crops, ["page"]).where("page % 4 > 0").select("page", "ord", "placement_id", "x_mm", "y_mm")
+
+
 def member_ids(spark, sf_dir):
     rows = bindings.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("m"), F.col("l_partkey") % 3).alias("id"), (F.col("l_extendedprice").cast("double")).alias("x_mm"), F.col("l_quantity").cast("double").alias("y_mm"))
     rows = rows.groupBy("page", "ord").agg(F.min_by(F.struct("id", "x_mm", "y_mm"), F.struct("x_mm", "y_mm", "id")).alias("r")).select("page", "ord", "r.*")
@@ -171,6 +191,19 @@ QUERIES = {
         f AS (SELECT *, list_transform(sx, lambda s: abs(s - CASE WHEN given THEN x * mx ELSE x END)) AS dx, list_transform(sy, lambda s: abs(s - CASE WHEN given THEN ys[-1] - y * my ELSE y END)) AS dy FROM r),
         n AS (SELECT *, list_position(dx, list_min(dx)) AS ix, list_position(dy, list_min(dy)) AS iy FROM f)
         SELECT page, ord, CASE WHEN given THEN 'col_' || (ix - 1) || '_' || (iy - 1) ELSE 'col_' || ord END AS placement_id, 'C' || (ord + 1) AS mark, round(CASE WHEN given THEN xs[ix] ELSE px[ix] * mx END, 1) AS x_mm, round(CASE WHEN given THEN ys[iy] ELSE (1000 - py[iy]) * my END, 1) AS y_mm FROM n"""),
+    "crop_calibration": (crop_calibration, """
+        WITH o AS (SELECT o_orderkey AS crop, o_totalprice::DOUBLE AS p, o_orderkey % 10 >= 3 AS sure, o_orderkey % 4 * 500 AS w, o_orderkey % 7 > 0 AS hx, o_orderkey % 5 > 0 AS hy, o_orderkey % 3 > 0 AS pt, o_orderkey % 11 < 4 AS lab FROM orders),
+        r AS (SELECT *, CASE WHEN sure AND hx THEN p END AS span_x, CASE WHEN sure AND hy THEN p / 2 END AS span_y, CASE WHEN sure AND hx AND hy AND lab THEN p / 900 END AS l, CASE WHEN sure AND pt AND w > 0 THEN 10000.0::DOUBLE / w END AS d FROM o),
+        f AS (SELECT *, CASE WHEN w > 0 THEN span_x / w END AS x FROM r)
+        SELECT crop, CASE WHEN l IS NOT NULL THEN 'labels' WHEN x IS NOT NULL AND span_y IS NOT NULL THEN 'stations' WHEN x IS NOT NULL THEN 'stations_x' WHEN span_y IS NOT NULL AND d IS NOT NULL THEN 'stations_y' WHEN d IS NOT NULL THEN 'line_work' ELSE 'none' END AS source,
+          round(coalesce(x, d, l), 6) AS mm_per_px, round(l, 6) AS mm_per_px_x, round(CASE WHEN l IS NOT NULL THEN p / 700 END, 6) AS mm_per_px_y, round(span_x, 6) AS span_x, round(span_y, 6) AS span_y FROM f"""),
+    "click_lines": (click_lines, """
+        WITH e AS (SELECT user_id AS page, event_id AS ord, floor(value * 2)::BIGINT % 1000 AS x, minute(ts) * 16 AS y, user_id % 3 > 0 AS scaled FROM events WHERE user_id % 4 > 0),
+        u AS (SELECT page, 'x' AS a, x AS v FROM e UNION ALL SELECT page, 'y', y FROM e), g AS (SELECT *, coalesce((v - lag(v) OVER (PARTITION BY page, a ORDER BY v) > 22)::INT, 1) AS new FROM u),
+        c AS (SELECT *, sum(new) OVER (PARTITION BY page, a ORDER BY v, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g), z AS (SELECT page, a, list(m ORDER BY m) AS l FROM (SELECT page, a, k, avg(v) AS m FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        w AS (SELECT e.*, zx.l AS px, zy.l AS py, range(9).list_transform(lambda i: i * 101.3::DOUBLE) AS qx, range(9).list_transform(lambda i: i * 131.7::DOUBLE) AS qy FROM e JOIN z zx ON zx.page = e.page AND zx.a = 'x' JOIN z zy ON zy.page = e.page AND zy.a = 'y' WHERE len(zx.l) >= 2 AND len(zy.l) >= 2),
+        m AS (SELECT *, CASE WHEN scaled THEN round((px[-1] - px[1]) * 10, 1) ELSE len(px) - 1 END / 1000 AS mx, CASE WHEN scaled THEN round((py[-1] - py[1]) * 10, 1) ELSE len(py) - 1 END / 1000 AS my, list_transform(qx, lambda s: abs(s - x)) AS dx, list_transform(qy, lambda s: abs(s - y)) AS dy FROM w)
+        SELECT page, ord, 'col_' || ord AS placement_id, round(qx[list_position(dx, list_min(dx))] * mx, 1) AS x_mm, round((1000 - qy[list_position(dy, list_min(dy))]) * my, 1) AS y_mm FROM m"""),
     "member_ids": (member_ids, """
         WITH r AS (SELECT l_orderkey AS page, l_linenumber AS ord, min_by({'id': 'm' || (l_partkey % 3), 'x': l_extendedprice::DOUBLE, 'y': l_quantity::DOUBLE}, (l_extendedprice::DOUBLE, l_quantity::DOUBLE, 'm' || (l_partkey % 3))) AS r FROM lineitem GROUP BY 1, 2),
         n AS (SELECT page, ord, r.id AS id, trunc(r.x)::BIGINT AS x, trunc(r.y)::BIGINT AS y, row_number() OVER (PARTITION BY page, r.id ORDER BY ord) AS n FROM r)
