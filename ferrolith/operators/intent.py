@@ -270,7 +270,7 @@ def composed_groups(t: Column) -> Column:
     quantities = F.transform(quantity_groups(t, F.col("width_y_mm")), wide)
     zones = F.concat(multi_level_groups(t), roof_groups(t), brace_groups(t))
     frame = F.concat(frame_groups(t), roof_groups(t), brace_groups(t))
-    ids = F.transform(quantities, lambda q: q["group_id"])
+    ids = F.transform("quantities", lambda q: q["group_id"])
     complete = (F.size(ids) >= 5) & F.array_contains(ids, "beams_along_y_per_x") & F.array_contains(ids, "diagonals_per_x")
 
     def needless(q: Column) -> Column:
@@ -309,8 +309,10 @@ def composed(prompts: DataFrame, by: str, text: str = "text") -> dict[str, DataF
     Groups carry their place in the text's order (seq) and the rule that asked for them; grids the rules that stated
     their sizes. Null and empty texts, and texts without a size or without a member, have no row in any table.
     """
+    # texts are few beside the work that each one asks for: they are dealt to all cores
+    prompts = prompts.select(by, text).repartition(int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     levels = durable(level_table(prompts, by, text), "intent-levels")
-    rows = _facts(prompts, levels, by, text)
+    rows = durable(_facts(prompts, levels, by, text), "intent-facts")
     t = F.col("t")
     parts = composed_groups(t)
     rows = rows.withColumns({k: parts[k] for k in ("zones", "frame", "quantities")}).withColumn("groups", parts["groups"]).withColumn("slabs", slab_array(t))
