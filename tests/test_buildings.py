@@ -44,3 +44,18 @@ def test_layouts(spark):
     assert sorted(r["sx"] for r in got if r["model_id"] == "portal_frame" and r["part"] == "columns") == [0.0, 3000.0, 6000.0]
     assert {(r["part"], r["section"]) for r in got if r["model_id"] == "steel_shed"} == {("columns", "HEB200"), ("rafters", "IPE200"), ("purlins", "IPE200"), ("base_along", "IPE200"), ("base_across", "IPE200")}
     assert [r["sy"] for r in got if r["part"] == "purlins"] == [2000.0]
+
+
+def test_chat_texts_to_members(spark):
+    texts = [
+        (1, "IPE400 beam supported by 3 columns HEB300, span 6 m"), (2, "a warehouse with 4 columns, length 10 m and width 5 m, purlins RHS 80x40x3"), (3, "a column, height 2 m"), (4, "good morning"), (5, None), (6, "5 columns over a length of 8000 mm"),
+    ]
+    given = spark.createDataFrame([(4, "single_element", None, None, 2500.0, 2, "IPE160")], "model_id int, kind string, length_mm double, width_mm double, eave_mm double, n_columns int, section string")
+    requests = buildings.layout_requests(spark.createDataFrame(texts, "model_id int, text string"), given)
+    got = {r["model_id"]: (r["kind"], r["rule"], r["n_columns"]) for r in requests.collect()}
+    assert got == {1: ("portal_frame", "portal", 3), 2: ("steel_shed", "shed", 6), 3: ("single_element", "column", 2), 4: ("single_element", "given", 2), 6: ("column_row", "row", 5)}
+    rows = buildings.building_members(requests).collect()
+    assert Counter(r["model_id"] for r in rows) == {1: 4, 2: 6 + 3 + 4 + 4, 3: 1, 4: 1, 6: 5}
+    section = {(r["model_id"], r["part"]): r["section"] for r in rows}
+    assert section[1, "columns"] == "HEB300" and section[1, "beam"] == "IPE400" and section[2, "purlins"] == "80x40x3" and section[4, "columns"] == "IPE160"
+    assert max(r["ez"] for r in rows if r["model_id"] == 3) == 2000.0 and max(r["ex"] for r in rows if r["model_id"] == 6) == 8000.0

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ferrolith.operators import isolation, spatial
+from ferrolith.operators import isolation, resolve, spatial
 
 BOX = "model_id int, element_id int, kind string, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double"
 
@@ -96,3 +96,14 @@ def test_scopes_of_single_parts(spark):
     t = lambda *r: spark.createDataFrame(r, "pick_id int, element_id int")
     got = isolation.hole_scopes(t((1, 10), (1, 11), (2, 10)), t((1, 11), (1, 11)), t((1, 5), (2, 5)), t((1, 6), (2, 7)))
     assert {tuple(r) for r in got.collect()} == {(1, 11, "steel"), (2, 10, "steel"), (1, 6, "bolt"), (2, 5, "bolt")}
+
+
+def test_sparse_accessories_are_decided_by_all_that_is_known(spark):
+    kinds = {"d": "IfcDiscreteAccessory", "b": "IfcMechanicalFastener", "m": "IfcBeam"}
+    rows = [
+        (1, "d", "", "hex bolt M20"), (2, "d", "", "drill hole 22"), (3, "d", "", None), (4, "d", "", "hex bolt with a bore"), (5, "d", "x" * 30, "plate"), (6, "d", "gusset", "hex bolt"), (7, "b", "bolt", "a hole"), (8, "d", "a hole", "bolt"), (9, "m", "", "bolt"),
+    ]
+    elements = spark.createDataFrame([(i, kinds[k], t) for i, k, t, _ in rows], "element_id int, kind string, text string")
+    attributes = spark.createDataFrame([(i, t) for i, _, _, t in rows if t is not None] + [(1, "and more")], "element_id int, text string")
+    assert ids(resolve.fasteners_to_hide(elements, attributes)) == {1, 3, 4, 5, 6, 7}
+    assert ids(resolve.fasteners_to_hide(elements, attributes.where("text <> 'and more'"), strict=True)) == {1, 7}
