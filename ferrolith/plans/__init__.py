@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drawings, halls, intents, isolations, layouts, models, regions, resolution, rollups, scalars, searches, specs, texts
+from . import cropgrids, drawings, halls, intents, isolations, layouts, models, regions, resolution, rollups, scalars, searches, specs, texts
 
-MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs, isolations, intents, halls, scalars)
+MODULES = (rollups, searches, drawings, resolution, models, texts, layouts, regions, specs, isolations, intents, halls, cropgrids, scalars)
 
 
 def queries() -> dict:
