@@ -116,15 +116,15 @@ def sparse_analysis(spark, sf_dir):
     return cropgrid.sparse_analysis(rows).select("page", "x_text", "y_text")
 
 
-_L = """l AS (SELECT l_suppkey AS page, l_linenumber % 2 = 0 AS up, l_orderkey AS o, l_partkey AS p, floor(l_extendedprice::DOUBLE)::BIGINT % 1000 AS at, l_quantity::DOUBLE * 12 AS run FROM lineitem)"""
-_VEC = f"""{_L}, e AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, at::DOUBLE AS v, run AS w FROM l WHERE run >= 220),
+_L = """l AS (SELECT l_suppkey AS page, l_linenumber % 2 = 0 AS up, l_orderkey AS o, l_partkey AS p, floor(l_extendedprice::DOUBLE)::BIGINT % 1000 AS pos, l_quantity::DOUBLE * 12 AS run FROM lineitem)"""
+_VEC = f"""{_L}, e AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, pos::DOUBLE AS v, run AS w FROM l WHERE run >= 220),
 g AS (SELECT *, coalesce((v - lag(v) OVER (PARTITION BY page, axis ORDER BY v) > 8)::INT, 1) AS new FROM e), c AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY v, new DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g),
 vec AS (SELECT page, axis, cluster, sum(v * w) / sum(w) AS line FROM c GROUP BY 1, 2, 3)"""
-_LAB = f"""lab AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, CASE WHEN up THEN (p % 12 + 1)::VARCHAR ELSE chr((65 + p % 5)::INT) END AS label, avg(CASE WHEN up THEN (p % 12 + 1) * 75 + o % 9 ELSE p % 5 * 180 + o % 9 + 90 END) AS at FROM l WHERE o % 3 > 0 GROUP BY 1, 2, 3)"""
+_LAB = f"""lab AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, CASE WHEN up THEN (p % 12 + 1)::VARCHAR ELSE chr((65 + p % 5)::INT) END AS label, avg(CASE WHEN up THEN (p % 12 + 1) * 75 + o % 9 ELSE p % 5 * 180 + o % 9 + 90 END) AS pos FROM l WHERE o % 3 > 0 GROUP BY 1, 2, 3)"""
 #: Greedy folds are recursive: labels take vectors one after the other, and lists keep values a gap apart.
 _GRID = f"""{_VEC}, {_LAB}, ax AS (SELECT s_suppkey AS page, unnest(['x', 'y']) AS axis, unnest([18, 8]) AS most FROM supplier),
 cg AS (SELECT page, axis, line, coalesce((line - lag(line) OVER (PARTITION BY page, axis ORDER BY line) > 25)::INT, 1) AS new FROM vec), cc AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY line, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM cg), cm AS (SELECT page, axis, k, avg(line) AS line FROM cc GROUP BY 1, 2, 3),
-lists AS (SELECT page, axis, most, coalesce((SELECT list(line ORDER BY line) FROM vec v WHERE v.page = ax.page AND v.axis = ax.axis), []) AS vs, coalesce((SELECT list(line ORDER BY line) FROM cm v WHERE v.page = ax.page AND v.axis = ax.axis), []) AS cs, coalesce((SELECT list(at ORDER BY at) FROM lab v WHERE v.page = ax.page AND v.axis = ax.axis), []) AS ls FROM ax),
+lists AS (SELECT page, axis, most, coalesce((SELECT list(line ORDER BY line) FROM vec v WHERE v.page = ax.page AND v.axis = ax.axis), []) AS vs, coalesce((SELECT list(line ORDER BY line) FROM cm v WHERE v.page = ax.page AND v.axis = ax.axis), []) AS cs, coalesce((SELECT list(pos ORDER BY pos) FROM lab v WHERE v.page = ax.page AND v.axis = ax.axis), []) AS ls FROM ax),
 snap AS (SELECT page, axis, 0 AS i, []::DOUBLE[] AS used, []::DOUBLE[] AS out FROM lists WHERE len(ls) >= 2 UNION ALL
   SELECT page, axis, i + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, list_append(out, coalesce(b, lbl)) FROM (
     SELECT s.*, ls[i + 1] AS lbl, list_sort(list_transform(list_filter(vs, lambda v: abs(v - ls[i + 1]) <= 54 AND NOT list_contains(used, v)), lambda v: {{'d': abs(v - ls[i + 1]), 'v': v}}))[1].v AS b FROM snap s JOIN lists USING (page, axis) WHERE i < len(ls)) q),
@@ -137,9 +137,9 @@ ln AS (SELECT page, axis, most, len(ls) AS n_labels, CASE WHEN len(lists.ls) >=
   FROM lists LEFT JOIN s2 USING (page, axis, ls) LEFT JOIN t2 USING (page, axis))"""
 _FINAL = """f9 AS (SELECT page, axis, l[1:1] AS k, l FROM ready UNION ALL SELECT page, axis, list_append(k, n), l FROM (SELECT *, list_min(list_filter(l, lambda v: v - k[-1] >= 9)) AS n FROM f9) q WHERE n IS NOT NULL),
 fin AS (SELECT page, axis, arg_max(k, len(k)) AS k FROM f9 GROUP BY 1, 2), mm AS (SELECT *, list_transform(k, lambda v: round(CASE axis WHEN 'x' THEN v ELSE 1000 - v END * 10, 1)) AS s FROM fin)"""
-_CLICK = """ck AS (SELECT l_suppkey AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis, (l_partkey * 37 % 1000)::DOUBLE AS at FROM lineitem WHERE l_orderkey % 50 = 7),
-k1 AS (SELECT *, coalesce((at - lag(at) OVER (PARTITION BY page, axis ORDER BY at) > 22)::INT, 1) AS new FROM ck), k2 AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY at, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM k1),
-k3 AS (SELECT page, axis, avg(at) AS line FROM k2 GROUP BY page, axis, k), k4 AS (SELECT page, axis, list(line ORDER BY line) AS a FROM k3 GROUP BY 1, 2),
+_CLICK = """ck AS (SELECT l_suppkey AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis, (l_partkey * 37 % 1000)::DOUBLE AS pos FROM lineitem WHERE l_orderkey % 50 = 7),
+k1 AS (SELECT *, coalesce((pos - lag(pos) OVER (PARTITION BY page, axis ORDER BY pos) > 22)::INT, 1) AS new FROM ck), k2 AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY pos, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM k1),
+k3 AS (SELECT page, axis, avg(pos) AS line FROM k2 GROUP BY page, axis, k), k4 AS (SELECT page, axis, list(line ORDER BY line) AS a FROM k3 GROUP BY 1, 2),
 k5 AS (SELECT page, axis, a[1:1] AS k, a FROM k4 UNION ALL SELECT page, axis, list_append(k, n), a FROM (SELECT *, list_min(list_filter(a, lambda v: v - k[-1] >= 11)) AS n FROM k5) q WHERE n IS NOT NULL), k6 AS (SELECT page, axis, arg_max(k, len(k)) AS a FROM k5 GROUP BY 1, 2),
 ad AS (SELECT page, axis, most, n_labels, l, CASE WHEN len(l) >= 2 THEN coalesce(a, []) ELSE [] END AS a FROM ln LEFT JOIN k6 USING (page, axis)),
 u1 AS (SELECT page, axis, unnest(list_concat(l, a)) AS v FROM ad WHERE len(a) > 0), u2 AS (SELECT *, coalesce((v - lag(v) OVER (PARTITION BY page, axis ORDER BY v) > 18)::INT, 1) AS new FROM u1), u3 AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY v, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM u2),
@@ -162,7 +162,7 @@ _TEXT = lambda c: f"array_to_string(list_transform({c}, lambda v: CASE WHEN v =
 
 QUERIES = {
     "long_vectors": (long_vectors, f"WITH {_VEC} SELECT page, axis, cluster, round(line, 6) AS line FROM vec"),
-    "bubble_labels": (bubble_labels, f"WITH {_L}, {_LAB} SELECT page, axis, label, round(at, 6) AS at FROM lab"),
+    "bubble_labels": (bubble_labels, f'WITH {_L}, {_LAB} SELECT page, axis, label, round(pos, 6) AS "at" FROM lab'),
     "labelled_axes": (labelled_axes, f"""
         WITH RECURSIVE {_GRID}, ready AS (SELECT page, axis, l FROM ln), {_FINAL}
         SELECT page, axis, CASE WHEN n_labels >= 2 THEN 'labels' ELSE 'vectors' END AS source, unnest(range(len(k)))::INT AS idx, round(unnest(k), 5) AS line, unnest(s) AS mm FROM mm JOIN ln USING (page, axis)"""),
