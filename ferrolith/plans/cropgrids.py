@@ -29,12 +29,14 @@ def _strokes(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    """Numbers along the lower edge, letters on the left one, each label near its own place; the rest in the middle."""
+    """Numbers along the lower edge, letters on the left one, each label near its own place; the rest in the middle. Every fourth page has
+    marks instead of labels."""
     part, near = F.col("l_partkey"), F.col("l_orderkey") % 9
     number, letter = part % 12 + 1, part % 5
     x = F.when(F.col("l_linenumber") % 2 == 0, number * 75.0 + near).otherwise(F.when(F.col("l_orderkey") % 3 > 0, 40.0).otherwise(600.0))
     y = F.when(F.col("l_linenumber") % 2 > 0, letter * 180.0 + near + 90).otherwise(F.when(F.col("l_orderkey") % 3 > 0, 980.0).otherwise(500.0))
     text = F.when(F.col("l_linenumber") % 2 == 0, number.cast("string")).otherwise(F.concat(F.lit(" "), F.lower(F.char(letter + 65))))
+    text = F.when(F.col("page") % 4 == 0, F.concat(F.lit("M"), F.trim(text))).otherwise(text)
     return _lines(spark, sf_dir).select("page", (x - 4).alias("x0"), (y - 4).alias("y0"), (x + 4).alias("x1"), (y + 4).alias("y1"), text.alias("text"))
 
 
@@ -120,7 +122,7 @@ _L = """l AS (SELECT l_suppkey AS page, l_linenumber % 2 = 0 AS up, l_orderkey A
 _VEC = f"""{_L}, e AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, pos::DOUBLE AS v, run AS w FROM l WHERE run >= 220),
 g AS (SELECT *, coalesce((v - lag(v) OVER (PARTITION BY page, axis ORDER BY v) > 8)::INT, 1) AS new FROM e), c AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY v, new DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g),
 vec AS (SELECT page, axis, cluster, sum(v * w) / sum(w) AS line FROM c GROUP BY 1, 2, 3)"""
-_LAB = f"""lab AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, CASE WHEN up THEN (p % 12 + 1)::VARCHAR ELSE chr((65 + p % 5)::INT) END AS label, avg(CASE WHEN up THEN (p % 12 + 1) * 75 + o % 9 ELSE p % 5 * 180 + o % 9 + 90 END) AS pos FROM l WHERE o % 3 > 0 GROUP BY 1, 2, 3)"""
+_LAB = f"""lab AS (SELECT page, CASE WHEN up THEN 'x' ELSE 'y' END AS axis, CASE WHEN up THEN (p % 12 + 1)::VARCHAR ELSE chr((65 + p % 5)::INT) END AS label, avg(CASE WHEN up THEN (p % 12 + 1) * 75 + o % 9 ELSE p % 5 * 180 + o % 9 + 90 END) AS pos FROM l WHERE o % 3 > 0 AND page % 4 > 0 GROUP BY 1, 2, 3)"""
 #: Greedy folds are recursive: labels take vectors one after the other, and lists keep values a gap apart.
 _GRID = f"""{_VEC}, {_LAB}, ax AS (SELECT s_suppkey AS page, unnest(['x', 'y']) AS axis, unnest([18, 8]) AS most FROM supplier),
 cg AS (SELECT page, axis, line, coalesce((line - lag(line) OVER (PARTITION BY page, axis ORDER BY line) > 25)::INT, 1) AS new FROM vec), cc AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY line, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM cg), cm AS (SELECT page, axis, k, avg(line) AS line FROM cc GROUP BY 1, 2, 3),
