@@ -10,6 +10,8 @@ from .common import WORD, Carried, partitions, running, text_of, written
 RESULT = ["size", "source_size", "target", "copies", "taken"]
 #: No document and no source is taken more often than this.
 MOST = 3
+#: A source's offset is the best of this many, evenly apart from its hashed one on.
+OFFSETS = 32
 
 
 def size_class(size: Column) -> Column:
@@ -42,8 +44,10 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """Adds size, source_size, target, copies and taken to every row.
 
     Within a source the expected copies of its documents (target / source_size each) are added up in order of size;
-    one offset, drawn from a hash of the source's name, is added, and a document is emitted once for each whole
-    number that its stretch crosses. In order of size the words taken stay within about one document of the target.
+    one offset is added, and a document is emitted once for each whole number that its stretch crosses. In order of
+    size the words taken stay within about one document of the target. The offset starts at a hash of the source's name;
+    of OFFSETS places evenly apart from there the one whose words come nearest to the target is taken, the first of
+    equals. One aggregation over the ranked rows tells the words of all of them.
 
     The running sum is spread: documents are dealt to cells (source, size class, first byte of the id's MD5) and
     ranked within their cell, and only cell counts are added up, first over the cells of a class, then over the
@@ -77,21 +81,28 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     goals = targets(per_source)
     starts = starts.join(goals, same(starts, goals, ["__source"])).select(starts["*"], goals["source_size"], goals["target"])
     cells = cells.select(*keys, F.coalesce(F.sum("__n").over(cell_at), F.lit(0)).alias("__in"))
+    name = F.concat(F.lit("mix:"), F.coalesce(F.col("__source"), F.lit("")))
+    offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     cells = cells.join(starts, same(cells, starts, keys[:2])).select(
         *(cells[k] for k in keys), (F.col("__in") + F.col("__from")).alias("__start"), "source_size", "target"
     )
+    cells = written(cells.withColumn("__u", offset), "mix-cells")
 
     order = Window.partitionBy(*keys).orderBy("__size", F.col("__id").asc_nulls_last())
     ranked = docs.repartition(n, *keys).withColumn("__rank", F.row_number().over(order))
-    out = ranked.join(cells, same(ranked, cells, keys), "left").select(
-        *(ranked[c] for c in ("__row", "__source", "__size", "__rank")), "__start", "source_size", "target"
-    )
-    name = F.concat(F.lit("mix:"), F.coalesce(F.col("__source"), F.lit("")))
-    offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    ranked = written(ranked.select("__row", "__size", "__rank", *keys), "mix-ranks")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("__start") + F.col("__rank")
-    copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    judged = out.select("__row", F.col("__size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    crossed = lambda u: (F.floor(place * rate + u) - F.floor((place - 1) * rate + u)).cast("long")
+    placed = lambda c: ranked.join(c, same(ranked, c, keys), "left").select(*(ranked[k] for k in ("__row", "__source", "__size", "__rank")), "__start", "source_size", "target", "__u")
+    words = [F.sum(F.col("__size") * crossed(F.col("__u") + F.lit(k / OFFSETS))) for k in range(OFFSETS)]
+    tried = placed(cells).groupBy("__source", "target").agg(*(w.alias(f"__w{k}") for k, w in enumerate(words)))
+    miss = F.array(*(F.struct(F.abs(F.col(f"__w{k}") - F.col("target")).alias("miss"), F.lit(k / OFFSETS).alias("shift")) for k in range(OFFSETS)))
+    best = tried.select("__source", F.array_min(miss)["shift"].alias("__shift"))
+    # the choice reaches the rows by way of the cells, so that no source is one task's work
+    chosen = cells.join(best, same(cells, best, ["__source"])).select(*(cells[k] for k in keys), "__start", "source_size", "target", (F.col("__u") + F.col("__shift")).alias("__u"))
+    out = placed(chosen)
+    judged = out.select("__row", F.col("__size").alias("size"), "source_size", "target", crossed(F.col("__u")).alias("copies"))
     judged = judged.withColumn("taken", F.col("size") * F.col("copies"))
     return rows.select("__row", *carried.private).join(judged, "__row").select(*carried.show(RESULT), *RESULT)
 
@@ -119,9 +130,17 @@ g AS (
   SELECT source, source_size, least((source_size * 3)::DOUBLE, w * max(level) FILTER (WHERE level <= lim) OVER ()) AS target,
          ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, size, doc_id ASC NULLS LAST) AS i FROM d)
-SELECT r.doc_id, r.size, g.source_size, g.target,
-  (r.size * (floor(i * CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END + u)
-   - floor((i - 1) * CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END + u)))::BIGINT AS taken
-FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, size, doc_id ASC NULLS LAST) AS i FROM d),
+p AS (
+  SELECT r.doc_id, r.source, r.size, r.i, g.source_size, g.target, g.u,
+         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
+  FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+o AS (SELECT k / 32.0::DOUBLE AS shift FROM range(32) AS o(k)),
+m AS (
+  SELECT source, shift, abs(sum(size * (floor(i * rate + (u + shift)) - floor((i - 1) * rate + (u + shift)))::BIGINT)::DOUBLE - target) AS miss
+  FROM p, o GROUP BY source, shift, target),
+b AS (SELECT source, min_by(shift, (miss, shift)) AS shift FROM m GROUP BY source)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+  (p.size * (floor(i * rate + (u + shift)) - floor((i - 1) * rate + (u + shift))))::BIGINT AS taken
+FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """

@@ -636,3 +636,21 @@ def test_mixing_of_edge_cases(spark):
     got = mixing.mix_sources(frame(spark, [(*r, None) for r in EDGE], DOCS + ", source string")).collect()
     assert len(got) == len(EDGE) and sum(r["taken"] for r in got) == sum(r["size"] for r in got)
     assert mixing.mix_sources(frame(spark, [], DOCS + ", source string")).count() == 0
+
+
+def test_mixing_takes_the_nearest_of_its_offsets(spark):
+    """Against brute force over all offsets of a few sources of very unequal texts."""
+    import hashlib
+    import math
+
+    rows = [(i, "w " * (1 + (i * i * 37) % (900 if i % 5 else 4000)), f"s{i % 4}") for i in range(120)]
+    got = mixing.mix_sources(frame(spark, rows, DOCS + ", source string")).collect()
+    for source in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == source]
+        cell = lambda r: int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:2], 16)
+        size_class = lambda n: n if n < 8 else n.bit_length() * 8 + (n >> (n.bit_length() - 4) & 7)
+        mine.sort(key=lambda r: (size_class(r["size"]), cell(r), r["size"], r["doc_id"]))
+        goal, rate = mine[0]["target"], mine[0]["target"] / mine[0]["source_size"]
+        start = int(hashlib.md5(f"mix:{source}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        words = [sum(r["size"] * (math.floor(i * rate + start + k / mixing.OFFSETS) - math.floor((i - 1) * rate + start + k / mixing.OFFSETS)) for i, r in enumerate(mine, 1)) for k in range(mixing.OFFSETS)]
+        assert sum(r["taken"] for r in mine) == min(words, key=lambda w: abs(w - goal))
