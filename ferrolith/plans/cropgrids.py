@@ -41,8 +41,8 @@ def _spans(spark, sf_dir):
 
 
 def _clicks(spark, sf_dir):
-    e = bindings.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 7")
-    return e.select(F.col("l_suppkey").alias("page"), F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y").alias("axis"), (F.col("l_partkey") * 37 % 1000).cast("double").alias("at"))
+    e = bindings.table(spark, sf_dir, "lineitem")
+    return e.select(F.col("l_suppkey").alias("page"), F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y").alias("axis"), (F.col("l_partkey") % 7 * 140 + F.col("l_orderkey") % 5).cast("double").alias("at"))
 
 
 def long_vectors(spark, sf_dir):
@@ -139,7 +139,7 @@ ln AS (SELECT page, axis, most, len(ls) AS n_labels, CASE WHEN len(lists.ls) >=
   FROM lists LEFT JOIN s2 USING (page, axis, ls) LEFT JOIN t2 USING (page, axis))"""
 _FINAL = """f9 AS (SELECT page, axis, l[1:1] AS k, l FROM ready UNION ALL SELECT page, axis, list_append(k, n), l FROM (SELECT *, list_min(list_filter(l, lambda v: v - k[-1] >= 9)) AS n FROM f9) q WHERE n IS NOT NULL),
 fin AS (SELECT page, axis, arg_max(k, len(k)) AS k FROM f9 GROUP BY 1, 2), mm AS (SELECT *, list_transform(k, lambda v: round(CASE axis WHEN 'x' THEN v ELSE 1000 - v END * 10, 1)) AS s FROM fin)"""
-_CLICK = """ck AS (SELECT l_suppkey AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis, (l_partkey * 37 % 1000)::DOUBLE AS pos FROM lineitem WHERE l_orderkey % 50 = 7),
+_CLICK = """ck AS (SELECT l_suppkey AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis, (l_partkey % 7 * 140 + l_orderkey % 5)::DOUBLE AS pos FROM lineitem),
 k1 AS (SELECT *, coalesce((pos - lag(pos) OVER (PARTITION BY page, axis ORDER BY pos) > 22)::INT, 1) AS new FROM ck), k2 AS (SELECT *, sum(new) OVER (PARTITION BY page, axis ORDER BY pos, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM k1),
 k3 AS (SELECT page, axis, avg(pos) AS line FROM k2 GROUP BY page, axis, k), k4 AS (SELECT page, axis, list(line ORDER BY line) AS a FROM k3 GROUP BY 1, 2),
 k5 AS (SELECT page, axis, a[1:1] AS k, a FROM k4 UNION ALL SELECT page, axis, list_append(k, n), a FROM (SELECT *, list_min(list_filter(a, lambda v: v - k[-1] >= 11)) AS n FROM k5) q WHERE n IS NOT NULL), k6 AS (SELECT page, axis, arg_max(k, len(k)) AS a FROM k5 GROUP BY 1, 2),

@@ -127,8 +127,8 @@ def click_lines(spark, sf_dir):
     clicks = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("ord"), (F.floor(F.col("value") * 2) % 1000).cast("double").alias("x"), (F.minute("ts") * 16.0).alias("y"), F.lit(" ").alias("mark"))
     lines = lambda step: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i * step)
     none = F.lit(None).cast("array<double>")
-    crops = clicks.select("page").distinct().select("page", none.alias("xs"), none.alias("ys"), F.lit(1000.0).alias("width_px"), F.lit(1000.0).alias("height_px"), F.when(F.col("page") % 3 > 0, 10.0).alias("mm_per_px"), F.concat(lines(F.lit(101.3)), F.array(F.lit(101.7))).alias("lines_x"), F.when(F.col("page") % 4 > 0, lines(F.lit(131.7))).alias("lines_y"))
-    return region.click_placements(clicks, crops, ["page"]).where("page % 4 > 0").select("page", "ord", "placement_id", "x_mm", "y_mm")
+    crops = clicks.select("page").distinct().select("page", none.alias("xs"), none.alias("ys"), F.lit(1000.0).alias("width_px"), F.lit(1000.0).alias("height_px"), F.when(F.col("page") % 3 > 0, 10.0).alias("mm_per_px"), F.concat(lines(F.lit(101.3)), F.array(F.lit(101.7))).alias("lines_x"), lines(F.lit(131.7)).alias("lines_y"))
+    return region.click_placements(clicks, crops, ["page"]).select("page", "ord", "placement_id", "x_mm", "y_mm")
 
 
 def member_ids(spark, sf_dir):
@@ -198,7 +198,7 @@ QUERIES = {
         SELECT crop, CASE WHEN l IS NOT NULL THEN 'labels' WHEN x IS NOT NULL AND span_y IS NOT NULL THEN 'stations' WHEN x IS NOT NULL THEN 'stations_x' WHEN span_y IS NOT NULL AND d IS NOT NULL THEN 'stations_y' WHEN d IS NOT NULL THEN 'line_work' ELSE 'none' END AS source,
           round(coalesce(x, d, l), 6) AS mm_per_px, round(l, 6) AS mm_per_px_x, round(CASE WHEN l IS NOT NULL THEN p / 700 END, 6) AS mm_per_px_y, round(span_x, 6) AS span_x, round(span_y, 6) AS span_y FROM f"""),
     "click_lines": (click_lines, """
-        WITH e AS (SELECT user_id AS page, event_id AS ord, floor(value * 2)::BIGINT % 1000 AS x, minute(ts) * 16 AS y, user_id % 3 > 0 AS scaled FROM events WHERE user_id % 4 > 0),
+        WITH e AS (SELECT user_id AS page, event_id AS ord, floor(value * 2)::BIGINT % 1000 AS x, minute(ts) * 16 AS y, user_id % 3 > 0 AS scaled FROM events),
         u AS (SELECT page, 'x' AS a, x AS v FROM e UNION ALL SELECT page, 'y', y FROM e), g AS (SELECT *, coalesce((v - lag(v) OVER (PARTITION BY page, a ORDER BY v) > 22)::INT, 1) AS new FROM u),
         c AS (SELECT *, sum(new) OVER (PARTITION BY page, a ORDER BY v, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g), z AS (SELECT page, a, list(m ORDER BY m) AS l FROM (SELECT page, a, k, avg(v) AS m FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
         w AS (SELECT e.*, zx.l AS px, zy.l AS py, range(9).list_transform(lambda i: i * 101.3::DOUBLE) AS qx, range(9).list_transform(lambda i: i * 131.7::DOUBLE) AS qy FROM e JOIN z zx ON zx.page = e.page AND zx.a = 'x' JOIN z zy ON zy.page = e.page AND zy.a = 'y' WHERE len(zx.l) >= 2 AND len(zy.l) >= 2),
