@@ -129,6 +129,15 @@ def test_guid_spellings(spark):
     assert len(rows.select(bolts.guid_variants(F.col("g"))).first()[0]) == 4
 
 
+def test_bolts_of_neighbours_are_counted_without_rows_of_their_own(spark):
+    ids = [-300, -1, 0, 63, 64, 127, 191, 255, 256, 257, 2**40 + 63, None]
+    links = spark.createDataFrame([(b, i % 5) for i, b in enumerate(ids)] + [(63, 0), (63, 1), (319, 7)], "bolt_id long, part_id long")
+    members = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 2), (3, 3), (4, 6), (5, 7), (6, 4)], "assembly_id long, part_id long")
+    pairs = bolts.neighbourhood_bolts(members, links).groupBy("part_id").agg(F.count(F.lit(1)), F.min("bolt_id"), F.max("bolt_id"))
+    found = sorted(map(tuple, bolts.neighbourhood_summary(members, links).collect()))
+    assert found == sorted(map(tuple, pairs.collect())) and found[-1] == (7, 1, 319, 319)
+
+
 def test_reach_follows_hyperedges(spark):
     links = spark.createDataFrame([(1, "beam"), (1, "plate"), (2, "plate"), (2, "bracket"), (3, "far")], "bolt_id long, part_id string")
     asm = spark.createDataFrame([("a", "rib"), ("a", "bracket"), ("b", "alone")], "assembly_id string, part_id string")
