@@ -35,7 +35,9 @@ def section_profile(text: Column, heading: str, default: str, reach: int = 320)
     """The first section name within so many characters after a heading."""
     tail = F.regexp_extract(text, rf"(?is){heading}(.{{0,{reach}}})", 1)
     found = F.regexp_extract(tail, r"(?i)\b((?:IPE|HEB|HEA|HEM|UPN|UPE)\s*\d{2,4}|(?:RHS|SHS|CHS|L)\s*\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?(?:\s*[x×]\s*\d+(?:\.\d+)?)?)", 1)
-    return F.coalesce(F.nullif(F.upper(F.regexp_replace(found, r"\s", "")), F.lit("")), F.lit(default))
+    # a list of one, as nullif would read the text twice
+    named = F.filter(F.array(F.upper(F.regexp_replace(found, r"\s", ""))), lambda n: n != "")
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(default))
 
 
 def floor_rows(levels: DataFrame, by: str) -> DataFrame:

@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import durable
-from .prompts import quantity_groups, y_grid_lines
-from .textspec import LEGACY, broken_lines, level_rank, level_table
+from .graph import dealt, durable
+from .prompts import quantity_facts, quantity_groups, y_grid_lines
+from .textspec import LEGACY, broken_lines, level_rank, stated_levels
 
 NUMBER = r"(\d+(?:\.\d+)?)"
 #: The ways a text states the building's size, in order of preference, by name of the rule.
@@ -62,11 +62,22 @@ CANTILEVER, PROJECTION = (15000.0, 5000.0), (0.0, 10000.0)
 #: Names of sections, what stands for cold-formed ones, and how far behind a heading they may stand.
 SECTION = r"((?:IPE|HEA|HEB|HEM|UPN|UPE)\s*\d{2,4}|RHS\s*\d+(?:\.\d+)?[xX×]\d+(?:\.\d+)?[xX×]\d+(?:\.\d+)?|CHS\s*\d+(?:\.\d+)?[xX×]\d+(?:\.\d+)?|[CZ]\s*\d+(?:\.\d+)?[xX×]\d+(?:\.\d+)?)"
 COLD_FORMED, REACH = {"Z": "100x100x6", "C": "100x50x4"}, 320
+#: Headings of profiles and what stands where they name none; those of zones on numbered levels.
+ZONE_PROFILES = {
+    "grid": ("VERTICAL COLUMNS|DUAL-GRID", "HEB450"), "level1_beams": (r"Level 1[\s\S]{0,500}?Primary Beams", "HEB300"), "level1_joists": (r"Level 1[\s\S]{0,500}?IPE180", "IPE180"),
+    "cantilevers": (r"Level 2[\s\S]{0,500}?Cantilever Beams", "IPE500"), "hangers": (r"TENSION\s+HANGER|Hanger Rods", "CHS89x6"), "level2_joists": (r"Level 2[\s\S]{0,500}?Secondary Joists", "IPE140"), "rail": ("SAFETY GUARDRAILS|GUARDRAIL", "RHS50x50x4"),
+}
+PROFILES = ZONE_PROFILES | {
+    "top_chords": ("Top Rafter Chords|Top Chords|חגורה עליונה", "IPE300"), "bottom_chords": ("Bottom Chord Ties|Bottom Chord|חגורה תחתונה", "HEA220"), "webs": ("Web Members|פנימיים", "RHS90x90x6"),
+    "purlins": ("ROOF PURLINS|מרישי גג", "100x100x6"), "girts": ("WALL GIRTS|מרישי קיר", "100x50x4"), "roof_plane": ("Roof Plane Bracing|CHS60x4", "CHS60x4"), "walls": ("Vertical Wall Bracing|Wall Bracing|CHS76", "CHS76x4"),
+    "columns": ("REAR ANCHOR COLUMNS|MAIN STRUCTURAL COLUMNS|MAIN COLUMNS|SUPPORT COLUMNS", "HEB200"), "primary": ("Primary Beams|MAIN GIRDERS", "HEB300"), "joists": ("Secondary Joists|FLOOR JOISTS", "IPE180"),
+}
 #: What a text must mention for braces, truss patterns and slabs.
 ROOF_BRACED, WALL_BRACED, WARREN = "Roof Plane Bracing", "Wall Bracing|הקשחה|cross-brace|X-BRACING", r"Warren\s+truss"
 FULL_HEIGHT, LEVEL_BRACED = r"(?:column bases|column tops|from Z\s*=\s*0).*?(?:to|Z\s*=\s*)\s*(\d+(?:\.\d+)?)", r"Wall Bracing[\s\S]{0,120}Level\s*\d"
 FOUNDATION, DECK = "HEAVY CONCRETE FOUNDATION|foundation slab", r"MEZZANINE FLOOR DECK|\bFLOOR SLAB\b|(?:^|\n)\s*Floor Deck\b"
 JOISTS_ALONG_X = r"JOISTS[\s\S]{0,320}?along the X-axis"
+FLAGS = {"walls_braced": WALL_BRACED, "roof_braced": ROOF_BRACED, "full_height": FULL_HEIGHT, "warren": WARREN, "joists_along_x": JOISTS_ALONG_X, "founded": FOUNDATION, "decked": DECK}
 #: Levels that are no storeys and levels that carry no deck.
 NO_STOREY, NO_DECK = ("Ridge", "BraceStart", "Guardrail"), ("Ground", "Eave", "Ridge", "UpperAnchor", "Guardrail", "ColumnTop", "BraceStart")
 DECKS = ("DeckTop", "Deck", "Level1")
@@ -85,22 +96,48 @@ def first_stated(text: Column, rules: dict[str, str], kind: str = "double") -> C
     return F.try_element_at(F.filter(ways, lambda w: w["value"].isNotNull()), F.lit(1))
 
 
-def profile_after(text: Column, heading: str, default: str) -> Column:
-    """The section that a heading's stretch names, first behind the word Profile; cold-formed ones by their stand-in."""
-    stretch = F.regexp_extract(text, rf"(?i)(?:{heading})[\s\S]{{0,{REACH}}}", 0)
-    named = [F.nullif(F.regexp_extract(stretch, f"(?i){p}{SECTION}", 1), F.lit("")) for p in (r"Profile\s*:\s*", "")]
-    key = F.replace(F.upper(F.trim(F.coalesce(*named))), F.lit(" "), F.lit(""))
+def _stretch(text: Column, heading: str) -> Column:
+    return F.regexp_extract(text, rf"(?i)(?:{heading})[\s\S]{{0,{REACH}}}", 0)
+
+
+def _named(stretch: Column) -> Column:
+    """Sections of a stretch, the one behind the word Profile and the first of all; empty where there is none."""
+    return F.array(*(F.regexp_extract(stretch, f"(?i){p}{SECTION}", 1) for p in (r"Profile\s*:\s*", "")))
+
+
+def _key(named: Column) -> Column:
+    return F.replace(F.upper(F.trim(F.try_element_at(F.filter(named, lambda n: n != ""), F.lit(1)))), F.lit(" "), F.lit(""))
+
+
+def _made(key: Column, default: str) -> Column:
     cold = F.when(key.startswith("Z"), COLD_FORMED["Z"]).when(key.startswith("C") & ~key.startswith("CHS"), COLD_FORMED["C"])
     return F.coalesce(cold, key, F.lit(default))
 
 
+def profile_after(text: Column, heading: str, default: str) -> Column:
+    """The section that a heading's stretch names, first behind the word Profile; cold-formed ones by their stand-in."""
+    return _made(_key(_named(_stretch(text, heading))), default)
+
+
+def with_profiles(rows: DataFrame, text: Column, zoned: Column) -> DataFrame:
+    """`profile_after` for each heading of PROFILES as column p_<name>; those of zones only in texts that may have them.
+
+    Each step is a column of its own, so that a pattern runs once a text however many groups use its profile.
+    """
+    of = lambda n, h: F.when(zoned, _stretch(text, h)) if n in ZONE_PROFILES else _stretch(text, h)
+    rows = rows.withColumns({f"p_{n}": of(n, h) for n, (h, _) in PROFILES.items()})
+    rows = rows.withColumns({f"p_{n}": _named(F.col(f"p_{n}")) for n in PROFILES})
+    rows = rows.withColumns({f"p_{n}": _key(F.col(f"p_{n}")) for n in PROFILES})
+    return rows.withColumns({f"p_{n}": _made(F.col(f"p_{n}"), default) for n, (_, default) in PROFILES.items()})
+
+
 @dataclass(frozen=True)
 class Rule:
     """One group: when it is asked for and what it is. Strings stand for themselves, columns for what they compute."""
 
     when: Column
     group_id: str | Column
-    section: tuple[str, str] | Column  # heading and default of the profile, or the profile
+    section: str | Column  # name of the profile's heading in PROFILES, or the profile
     orientation: str | Column
     placement: str | Column
     start: str | Column
@@ -109,8 +146,8 @@ class Rule:
     rule: str | Column = "text"
     more: dict[str, Column] = field(default_factory=dict)
 
-    def struct(self, text: Column) -> Column:
-        profile = self.section if isinstance(self.section, Column) else profile_after(text, *self.section)
+    def struct(self) -> Column:
+        profile = self.section if isinstance(self.section, Column) else F.col(f"p_{self.section}")
         values = {
             "group_id": self.group_id, "profile": profile, "orientation": self.orientation, "assigned_to_grid": self.placement, "start_level": self.start, "end_level": self.end, "category": self.category, "rule": self.rule, **self.more,
         }
@@ -118,15 +155,14 @@ class Rule:
         return F.when(self.when, F.struct(*(as_column(values.get(n)).cast(t).alias(n) for n, t in FIELDS)))
 
 
-def _groups(rules: list[Rule], text: Column) -> Column:
-    return F.array_compact(F.array(*(r.struct(text) for r in rules)))
+def _groups(rules: list[Rule]) -> Column:
+    return F.array_compact(F.array(*(r.struct() for r in rules)))
 
 
-def _facts(prompts: DataFrame, levels: DataFrame, by: str, text: str) -> DataFrame:
-    """One row a text whose size is stated, with its facts and the names of its levels."""
-    rows = prompts.select(by, broken_lines(F.col(text)).alias("t"))
+def _facts(prompts: DataFrame, levels: DataFrame, by: str) -> DataFrame:
+    """One row a text (t) whose size is stated, with its facts and the names of its levels."""
     t = F.col("t")
-    rows = rows.select(by, "t", *(first_stated(t, rules).alias(f"f_{n}") for n, rules in SIZES.items()))
+    rows = prompts.select(by, "t", *(first_stated(t, rules).alias(f"f_{n}") for n, rules in SIZES.items()))
     rows = rows.where(" AND ".join(f"f_{n} IS NOT NULL" for n in SIZES)).withColumns({n: F.col(f"f_{n}.value") for n in SIZES})
     rows = rows.withColumn("frames", F.bround(F.col("length_x_mm") / F.nullif("bay_spacing_x_mm", F.lit(0.0))).cast("int") + 1)
     whole = {"grid_columns", "girders", "joist_lines", "knees", "purlins", "girts", "webs", "level1_beams"}
@@ -148,8 +184,12 @@ def _facts(prompts: DataFrame, levels: DataFrame, by: str, text: str) -> DataFra
     projected = F.regexp_extract(t, f"(?i){PROJECTING}", 1) != ""
     rows = rows.withColumns({n: F.when(projected, F.regexp_extract(t, f"(?i){PROJECTING}", i + 1).try_cast("double")).otherwise(PROJECTION[i]) for i, n in enumerate(("deck_y0", "deck_y1"))})
     half, full = F.col("length_x_mm") / 2, F.col("length_x_mm")
+    rows = rows.withColumns({"from_to": _spans(t, FROM_TO), "spanning": _spans(t, SPANNING)})
     for level, start, end in ((1, F.lit(0.0), half), (2, half, full)):
-        rows = rows.withColumn(f"span{level}", F.coalesce(_last_span(t, FROM_TO, level), _last_span(t, SPANNING, level), F.struct(start.alias("x0"), end.alias("x1"))))
+        rows = rows.withColumn(f"span{level}", F.coalesce(_last_span("from_to", level), _last_span("spanning", level), F.struct(start.alias("x0"), end.alias("x1"))))
+    zoned = F.col("zoned")
+    rows = rows.withColumns({"zoned": t.rlike(r"(?i)Level\s*1\b"), **{n: t.rlike(f"(?i){p}") for n, p in FLAGS.items()}, "upright_braced": t.rlike("(?i)Vertical Wall Bracing") & ~t.rlike(f"(?i){LEVEL_BRACED}")})
+    rows = quantity_facts(with_profiles(rows, t, zoned), t)
 
     z, name = F.col("elevation_mm"), F.col("name")
     at = lambda n, out: F.max(F.when(name == n, z)).alias(out)
@@ -161,21 +201,26 @@ def _facts(prompts: DataFrame, levels: DataFrame, by: str, text: str) -> DataFra
         F.max_by(F.when(~name.isin(*NO_DECK), name), F.when(~name.isin(*NO_DECK), last)).alias("deck_like"),
         F.sort_array(F.collect_list(F.struct(z.alias("z"), level_rank(name).alias("rank"), name.alias("name")))).alias("levels"),
     )
-    rows = rows.join(held, by)
+    rows = rows.drop("t", "from_to", "spanning").join(held.hint("merge"), by)
     top = F.when(F.col("z_eave").isNotNull(), "Eave").when(F.col("z_column_top").isNotNull(), "ColumnTop").otherwise(F.col("highest"))
-    return rows.withColumns({"top": top, "multi": F.col("z_level1").isNotNull() & t.rlike(r"(?i)Level\s*1\b")})
+    return rows.withColumns({"top": top, "multi": F.col("z_level1").isNotNull() & zoned})
 
 
-def _last_span(t: Column, pattern: str, level: int) -> Column:
-    """struct<x0, x1> of the last statement about a level."""
+def _spans(t: Column, pattern: str) -> Column:
+    """array<struct<n, x0, x1>> of all statements about stretches of levels; null in texts that name no level."""
     part = lambda g: F.regexp_extract_all(t, F.lit(f"(?i){pattern}"), F.lit(g))
     start = part(2) if pattern == FROM_TO else F.transform(part(1), lambda x: F.lit("0"))
-    found = F.filter(F.arrays_zip(part(1).alias("n"), start.alias("a"), part(3 if pattern == FROM_TO else 2).alias("b")), lambda s: s["n"].try_cast("int") == level)
-    last = F.try_element_at(found, F.lit(-1))
-    return F.when(last.isNotNull(), F.struct(last["a"].try_cast("double").alias("x0"), last["b"].try_cast("double").alias("x1")))
+    rows = F.arrays_zip(part(1).alias("n"), start.alias("a"), part(3 if pattern == FROM_TO else 2).alias("b"))
+    return F.when(F.lower(t).contains("level"), F.transform(rows, lambda s: F.struct(s["n"].try_cast("int").alias("n"), s["a"].try_cast("double").alias("x0"), s["b"].try_cast("double").alias("x1"))))
+
 
+def _last_span(spans: str, level: int) -> Column:
+    """struct<x0, x1> of the last statement about a level."""
+    last = F.try_element_at(F.filter(spans, lambda s: s["n"] == level), F.lit(-1))
+    return F.when(last.isNotNull(), F.struct(last["x0"].alias("x0"), last["x1"].alias("x1")))
 
-def multi_level_groups(t: Column) -> Column:
+
+def multi_level_groups() -> Column:
     """Groups of texts with zones on numbered levels: columns of the grid, a part mezzanine, a hung deck, its rails."""
     x1, x2 = {"x_max_mm": F.col("span1.x1")}, {"x_min_mm": F.col("span2.x0"), "x_max_mm": F.col("span2.x1")}
     deck_y = {"y_min_mm": F.col("deck_y0"), "y_max_mm": F.col("deck_y1")}
@@ -183,93 +228,86 @@ def multi_level_groups(t: Column) -> Column:
     lines = F.when(F.size("lines_y") > 0, F.col("lines_y"))
     second = F.col("z_level2").isNotNull()
     full_grid = F.col("grid_columns").isNotNull() & (F.size("lines_y") > 0) & (F.col("grid_columns.value") == F.col("frames") * F.size("lines_y"))
-    rail = ("SAFETY GUARDRAILS|GUARDRAIL", "RHS50x50x4")
-    edge = lambda side, along, place, limits: Rule(second & F.col("rail").isNotNull(), f"level2_guard_at_{side}", rail, along, place, F.col("rail"), F.col("rail"), rule="rail", more=limits)
+    edge = lambda side, along, place, limits: Rule(second & F.col("rail").isNotNull(), f"level2_guard_at_{side}", "rail", along, place, F.col("rail"), F.col("rail"), rule="rail", more=limits)
     at_x = lambda end: {"x_min_mm": F.col(f"span2.{end}"), "x_max_mm": F.col(f"span2.{end}"), **deck_y}
     at_y = lambda end: {**x2, "y_min_mm": F.col(end), "y_max_mm": F.col(end)}
     rules = [
-        Rule(full_grid, "grid_columns", ("VERTICAL COLUMNS|DUAL-GRID", "HEB450"), "vertical", "all_frame_lines", "Ground", F.col("top"), "column", "grid", {"member_count": F.col("grid_columns.value")}),
-        Rule(F.lit(True), "level1_primary_beams", (r"Level 1[\s\S]{0,500}?Primary Beams", "HEB300"), "horizontal_x", "along_x_at_each_y_line", "Level1", "Level1", rule="level", more={**x1, "y_at_mm": lines, "member_count": F.col("level1_beams.value")}),
-        Rule(F.lit(True), "level1_joists", (r"Level 1[\s\S]{0,500}?IPE180", "IPE180"), "horizontal_y", "distributed_along_x", "Level1", "Level1", rule="level", more={**x1, "spacing_mm": F.col("joists1_mm_or")}),
-        Rule(second, "level2_cantilevers", (r"Level 2[\s\S]{0,500}?Cantilever Beams", "IPE500"), "horizontal_y", "along_y_per_x_station", "Level2", "Level2", rule="level", more=hung),
-        Rule(second, "level2_hangers", (r"TENSION\s+HANGER|Hanger Rods", "CHS89x6"), "diagonal_plan", "per_x_station", F.col("top"), "Level2", "brace", "level", hung),
-        Rule(second, "level2_joists", (r"Level 2[\s\S]{0,500}?Secondary Joists", "IPE140"), "horizontal_x", "distributed_along_y", "Level2", "Level2", rule="level", more={**x2, **deck_y, "spacing_mm": F.col("joists2_mm_or")}),
+        Rule(full_grid, "grid_columns", "grid", "vertical", "all_frame_lines", "Ground", F.col("top"), "column", "grid", {"member_count": F.col("grid_columns.value")}),
+        Rule(F.lit(True), "level1_primary_beams", "level1_beams", "horizontal_x", "along_x_at_each_y_line", "Level1", "Level1", rule="level", more={**x1, "y_at_mm": lines, "member_count": F.col("level1_beams.value")}),
+        Rule(F.lit(True), "level1_joists", "level1_joists", "horizontal_y", "distributed_along_x", "Level1", "Level1", rule="level", more={**x1, "spacing_mm": F.col("joists1_mm_or")}),
+        Rule(second, "level2_cantilevers", "cantilevers", "horizontal_y", "along_y_per_x_station", "Level2", "Level2", rule="level", more=hung),
+        Rule(second, "level2_hangers", "hangers", "diagonal_plan", "per_x_station", F.col("top"), "Level2", "brace", "level", hung),
+        Rule(second, "level2_joists", "level2_joists", "horizontal_x", "distributed_along_y", "Level2", "Level2", rule="level", more={**x2, **deck_y, "spacing_mm": F.col("joists2_mm_or")}),
         edge("x_min", "horizontal_y", "along_y_at_fixed_x", at_x("x0")), edge("x_max", "horizontal_y", "along_y_at_fixed_x", at_x("x1")), edge("y_min", "horizontal_x", "along_x_at_fixed_y", at_y("deck_y0")), edge("y_max", "horizontal_x", "along_x_at_fixed_y", at_y("deck_y1")),
     ]
-    return _groups(rules, t)
+    return _groups(rules)
 
 
-def roof_groups(t: Column) -> Column:
+def roof_groups() -> Column:
     """Five groups of a roof, where a text has an eave and a ridge."""
     both = F.col("z_eave").isNotNull() & F.col("z_ridge").isNotNull()
     girts = F.transform(F.sequence(F.lit(1), F.col("girts_or")), lambda i: F.col("z_eave") * i / F.col("girts_or"))
     row = lambda name, section, along, place, start, end, **more: Rule(both, name, section, along, place, start, end, rule="roof", more=more)
-    webs = F.when(t.rlike(f"(?i){WARREN}"), "web_members_warren").otherwise("web_members")
+    webs = F.when(F.col("warren"), "web_members_warren").otherwise("web_members")
     rules = [
-        row("top_chords", ("Top Rafter Chords|Top Chords|חגורה עליונה", "IPE300"), "inclined_dual_y", "all_frame_lines", "Eave", "Ridge"),
-        row("bottom_chords", ("Bottom Chord Ties|Bottom Chord|חגורה תחתונה", "HEA220"), "horizontal_y_per_frame", "along_y_per_frame_line", "Eave", "Eave"),
-        row(webs, ("Web Members|פנימיים", "RHS90x90x6"), "truss_web_panels", "all_frame_lines", "Eave", "Ridge", member_count=F.col("webs_or")),
-        row("roof_purlins", ("ROOF PURLINS|מרישי גג", "100x100x6"), "roof_purlins_dual_slope", "all_frame_lines", "Eave", "Ridge", member_count=F.col("purlins_or")),
-        row("wall_girts", ("WALL GIRTS|מרישי קיר", "100x50x4"), "wall_girts_fixed_z", "all_frame_lines", "Eave", "Eave", fixed_elevations_mm=girts),
+        row("top_chords", "top_chords", "inclined_dual_y", "all_frame_lines", "Eave", "Ridge"),
+        row("bottom_chords", "bottom_chords", "horizontal_y_per_frame", "along_y_per_frame_line", "Eave", "Eave"),
+        row(webs, "webs", "truss_web_panels", "all_frame_lines", "Eave", "Ridge", member_count=F.col("webs_or")),
+        row("roof_purlins", "purlins", "roof_purlins_dual_slope", "all_frame_lines", "Eave", "Ridge", member_count=F.col("purlins_or")),
+        row("wall_girts", "girts", "wall_girts_fixed_z", "all_frame_lines", "Eave", "Eave", fixed_elevations_mm=girts),
     ]
-    return _groups(rules, t)
+    return _groups(rules)
 
 
-def brace_groups(t: Column) -> Column:
+def brace_groups() -> Column:
     """Braces of the roof plane (only beside numbered levels) and of walls: full height, or storey by storey."""
     both = F.col("z_eave").isNotNull() & F.col("z_ridge").isNotNull()
-    section = ("Vertical Wall Bracing|Wall Bracing|CHS76", "CHS76x4")
-    mentioned = t.rlike(f"(?i){WALL_BRACED}")
-    whole = t.rlike(f"(?i){FULL_HEIGHT}") | (t.rlike("(?i)Vertical Wall Bracing") & F.col("eave").isNotNull() & ~t.rlike(f"(?i){LEVEL_BRACED}"))
+    mentioned, whole = F.col("walls_braced"), F.col("full_height") | (F.col("upright_braced") & F.col("eave").isNotNull())
     ends = _groups([
-        Rule(F.col("multi") & both & t.rlike(f"(?i){ROOF_BRACED}"), "roof_plane_bracing", ("Roof Plane Bracing|CHS60x4", "CHS60x4"), "diagonal_plan", "roof_truss_diagonals", "Eave", "Ridge", "brace", "roof_plane"),
-        Rule(mentioned & whole, "wall_brace_full_height", section, "diagonal_plan", "first_and_last_bay_braces", "Ground", F.coalesce("eave", "top"), "brace", "full_height"),
-    ], t)
+        Rule(F.col("multi") & both & F.col("roof_braced"), "roof_plane_bracing", "roof_plane", "diagonal_plan", "roof_truss_diagonals", "Eave", "Ridge", "brace", "roof_plane"),
+        Rule(mentioned & whole, "wall_brace_full_height", "walls", "diagonal_plan", "first_and_last_bay_braces", "Ground", F.coalesce("eave", "top"), "brace", "full_height"),
+    ])
     storeys = F.filter("levels", lambda s: ~s["name"].isin(*NO_STOREY))
     above = F.slice(storeys, F.lit(2), F.greatest(F.size(storeys) - 1, F.lit(0)))
     pairs = F.filter(F.zip_with(F.slice(storeys, F.lit(1), F.greatest(F.size(storeys) - 1, F.lit(0))), above, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"]["z"] - p["a"]["z"] > 1e-6)
-    profile = profile_after(t, *section)
-    storey = lambda p: Rule(F.lit(True), F.concat(F.lit("wall_brace_"), p["a"]["name"], F.lit("_"), p["b"]["name"]), profile, "diagonal_plan", "first_and_last_bay_braces", p["a"]["name"], p["b"]["name"], "brace", "storey").struct(t)
+    storey = lambda p: Rule(F.lit(True), F.concat(F.lit("wall_brace_"), p["a"]["name"], F.lit("_"), p["b"]["name"]), "walls", "diagonal_plan", "first_and_last_bay_braces", p["a"]["name"], p["b"]["name"], "brace", "storey").struct()
     return F.concat(ends, F.when(mentioned & ~whole, F.transform(pairs, storey)).otherwise(F.array().cast(f"array<struct<{_ddl(GROUP)}>>")))
 
 
-def frame_groups(t: Column) -> Column:
+def frame_groups() -> Column:
     """Columns by the first of five ways to count them, floors, girders, joists, knee braces of texts without zones."""
     n = F.col("columns.value")
-    primary, joist = ("Primary Beams|MAIN GIRDERS", "HEB300"), ("Secondary Joists|FLOOR JOISTS", "IPE180")
     columns = _groups([
-        Rule(n.isNotNull(), "main_columns", ("REAR ANCHOR COLUMNS|MAIN STRUCTURAL COLUMNS|MAIN COLUMNS|SUPPORT COLUMNS", "HEB200"), "vertical", F.when(n == F.col("frames"), "along_all_x_at_y_min").otherwise("all_frame_lines"), "Ground",
+        Rule(n.isNotNull(), "main_columns", "columns", "vertical", F.when(n == F.col("frames"), "along_all_x_at_y_min").otherwise("all_frame_lines"), "Ground",
              F.coalesce("upper", "top"), "column", F.col("columns.rule"), {"member_count": n}),
-    ], t)
-    beams, joists = profile_after(t, *primary), profile_after(t, *joist)
+    ])
 
     def floor(level: Column) -> Column:
         name = level["name"]
         of = lambda part, profile, along, place, **more: Rule(F.lit(True), F.concat(F.lower(name), F.lit(part)), profile, along, place, name, name, rule="floor", more=more)
-        rules = [of("_primary_x", beams, "horizontal_x", "along_x_between_columns"), of("_primary_y", beams, "horizontal_y", "along_y_at_frame_ends", member_count=F.lit(2)), of("_joists", joists, "horizontal_y", "distributed_along_x", spacing_mm=F.col("joists_mm_or"))]
-        return F.array(*(r.struct(t) for r in rules))
+        rules = [of("_primary_x", "primary", "horizontal_x", "along_x_between_columns"), of("_primary_y", "primary", "horizontal_y", "along_y_at_frame_ends", member_count=F.lit(2)), of("_joists", "joists", "horizontal_y", "distributed_along_x", spacing_mm=F.col("joists_mm_or"))]
+        return F.array(*(r.struct() for r in rules))
 
     floors = F.flatten(F.transform(F.filter("levels", lambda s: s["name"].startswith("Floor")), floor))
     girders = F.col("girders").isNotNull() & F.col("z_deck_top").isNotNull()
     lines = F.col("joist_lines.value")
-    along_x = t.rlike(f"(?i){JOISTS_ALONG_X}")
+    along_x = F.col("joists_along_x")
     rest = _groups([
-        Rule(girders, "primary_girders_x", primary, "horizontal_x", "along_x_between_columns", "DeckTop", "DeckTop", rule="girders", more={"member_count": F.greatest(F.lit(0), F.col("girders.value") - 2)}),
-        Rule(girders, "primary_girders_y", primary, "horizontal_y", "along_y_at_frame_ends", "DeckTop", "DeckTop", rule="girders", more={"member_count": F.lit(2)}),
-        Rule(lines.isNotNull() & F.col("deck").isNotNull(), "floor_joists", joist, F.when(along_x, "horizontal_y").otherwise("horizontal_x"), F.when(along_x, "distributed_along_x").otherwise("distributed_along_y"), F.col("deck"), F.col("deck"),
+        Rule(girders, "primary_girders_x", "primary", "horizontal_x", "along_x_between_columns", "DeckTop", "DeckTop", rule="girders", more={"member_count": F.greatest(F.lit(0), F.col("girders.value") - 2)}),
+        Rule(girders, "primary_girders_y", "primary", "horizontal_y", "along_y_at_frame_ends", "DeckTop", "DeckTop", rule="girders", more={"member_count": F.lit(2)}),
+        Rule(lines.isNotNull() & F.col("deck").isNotNull(), "floor_joists", "joists", F.when(along_x, "horizontal_y").otherwise("horizontal_x"), F.when(along_x, "distributed_along_x").otherwise("distributed_along_y"), F.col("deck"), F.col("deck"),
              rule="joists", more={"spacing_mm": F.col("joists_mm_or"), "member_count": lines}),
         Rule(F.col("knees").isNotNull() & F.col("z_brace").isNotNull(), "knee_braces", F.lit("RHS80x80x5"), "diagonal_plan", "corner_braces", "BraceStart", F.col("top"), "brace", "knees", {"member_count": F.col("knees.value"), "brace_offset_x_mm": F.lit(1000.0)}),
-    ], t)
+    ])
     return F.concat(columns, floors, rest)
 
 
-def composed_groups(t: Column) -> Column:
-    """All groups of a text. Zones on levels stand alone; a complete set of quantities replaces all others, and of an
+def composed_groups(rows: DataFrame) -> DataFrame:
+    """Facts with the column groups, all groups of a text. Zones on levels stand alone; a complete set of quantities replaces all others, and of an
     incomplete one those are added whose id is new and which no older group stands for."""
     wide = lambda q: F.struct(*((q[n] if n in ("group_id", "profile", "orientation", "assigned_to_grid", "start_level", "end_level", "spacing_mm", "member_count", "category") else F.lit("quantity") if n == "rule" else F.lit(None)).cast(kind).alias(n) for n, kind in FIELDS))
-    quantities = F.transform(quantity_groups(t, F.col("width_y_mm")), wide)
-    zones = F.concat(multi_level_groups(t), roof_groups(t), brace_groups(t))
-    frame = F.concat(frame_groups(t), roof_groups(t), brace_groups(t))
+    rows = rows.withColumns({"quantities": F.transform(quantity_groups(F.col("width_y_mm")), wide), "over": F.concat(roof_groups(), brace_groups())})
+    rows = rows.withColumns({"zones": F.when(F.col("multi"), F.concat(multi_level_groups(), "over")), "frame": F.when(~F.col("multi"), F.concat(frame_groups(), "over"))})
     ids = F.transform("quantities", lambda q: q["group_id"])
     complete = (F.size(ids) >= 5) & F.array_contains(ids, "beams_along_y_per_x") & F.array_contains(ids, "diagonals_per_x")
 
@@ -278,10 +316,10 @@ def composed_groups(t: Column) -> Column:
         olds = F.coalesce(F.try_element_at(stands_for, q["group_id"]), F.array().cast("array<string>"))
         return F.exists("frame", lambda g: (g["group_id"] == q["group_id"]) | F.exists(olds, lambda p: (g["group_id"] == p) | g["group_id"].startswith(F.concat(p, F.lit("_")))))
 
-    return {"zones": zones, "frame": frame, "quantities": quantities, "groups": F.when(F.col("multi"), F.col("zones")).when(complete, F.col("quantities")).otherwise(F.concat("frame", F.filter("quantities", lambda q: ~needless(q))))}
+    return rows.withColumn("groups", F.when(F.col("multi"), F.col("zones")).when(complete, F.col("quantities")).otherwise(F.concat("frame", F.filter("quantities", lambda q: ~needless(q)))))
 
 
-def slab_array(t: Column) -> Column:
+def slab_array() -> Column:
     """Foundation, part decks of levels 1 and 2, and one general deck where level 1 has none."""
     one = F.col("z_level1").isNotNull()
     slab = lambda when, name, top, mm, rule, x=(None, None), y=(None, None): F.when(when, F.struct(
@@ -292,10 +330,10 @@ def slab_array(t: Column) -> Column:
     named = F.array_intersect(F.array(*map(F.lit, DECKS)), F.transform("levels", lambda s: s["name"]))
     top = F.coalesce(F.try_element_at(named, F.lit(1)), F.col("deck_like"), F.lit("DeckTop"))
     return F.array_compact(F.array(
-        slab(t.rlike(f"(?i){FOUNDATION}"), "foundation_slab", "Ground", or_slab("foundation_mm"), "foundation"),
+        slab(F.col("founded"), "foundation_slab", "Ground", or_slab("foundation_mm"), "foundation"),
         slab(one, "level1_deck_slab", "Level1", F.col("deck1_mm_or"), "level", (F.col("span1.x0"), F.col("span1.x1")), (F.lit(0.0), F.col("width_y_mm"))),
         slab(F.col("z_level2").isNotNull(), "level2_deck_slab", "Level2", F.col("deck2_mm_or"), "level", (F.col("span2.x0"), F.col("span2.x1")), (F.col("deck_y0"), F.col("deck_y1"))),
-        slab(~one & t.rlike(f"(?i){DECK}"), "deck_slab", top, or_slab("deck_mm"), "deck"),
+        slab(~one & F.col("decked"), "deck_slab", top, or_slab("deck_mm"), "deck"),
     ))
 
 
@@ -310,16 +348,14 @@ def composed(prompts: DataFrame, by: str, text: str = "text") -> dict[str, DataF
     their sizes. Null and empty texts, and texts without a size or without a member, have no row in any table.
     """
     # texts are few beside the work that each one asks for: they are dealt to all cores
-    prompts = prompts.select(by, text).repartition(int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    levels = durable(level_table(prompts, by, text), "intent-levels")
-    rows = durable(_facts(prompts, levels, by, text), "intent-facts")
-    t = F.col("t")
-    parts = composed_groups(t)
-    rows = rows.withColumns({k: parts[k] for k in ("zones", "frame", "quantities")}).withColumn("groups", parts["groups"]).withColumn("slabs", slab_array(t))
+    prompts = durable(dealt(prompts.select(by, text)).select(by, broken_lines(F.col(text)).alias("t")), "intent-texts")
+    levels = durable(stated_levels(prompts, by, "t"), "intent-levels")
+    rows = durable(_facts(prompts, levels, by), "intent-facts")
+    rows = composed_groups(rows).withColumn("slabs", slab_array())
     kept = [by, *SIZES, *(f"f_{n}" for n in SIZES), "lines_y", "groups", "slabs"]
     rows = durable(rows.where(F.size("groups") > 0).select(*kept), "intents")  # read once, whatever is made of it
     empty = F.lit(None).cast("array<double>")
     grids = rows.select(by, *SIZES, empty.alias("frame_line_x_mm"), F.when(F.size("lines_y") > 0, F.col("lines_y")).alias("frame_line_y_mm"), *(F.col(f"f_{n}.rule").alias(f"{n.split('_')[0]}_rule") for n in SIZES))
     groups = rows.select(by, F.posexplode("groups").alias("seq", "g")).select(by, "seq", "g.*")
     slabs = rows.select(by, F.explode("slabs").alias("s")).select(by, "s.*")
-    return {"grids": grids, "levels": levels.join(rows.select(by), by, "left_semi"), "groups": groups, "slabs": slabs}
+    return {"grids": grids, "levels": levels.join(rows.select(by).hint("merge"), by, "left_semi"), "groups": groups, "slabs": slabs}

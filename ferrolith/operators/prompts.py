@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .framing import section_profile
+from .graph import dealt
 from .textspec import level_rank
 
 #: The ways a text states a measure, in order of preference; group 1 is the number.
@@ -64,7 +65,8 @@ def prompt_constraints(prompts: DataFrame, by: str, text: str = "text") -> DataF
     t = F.col(text)
     values = {n: stated(t, p) for n, p in MEASURES.items()} | {"count_columns": column_count(t)} | {n: stated(t, p, "int") for n, p in COUNTS.items()} | {"count_slabs": F.when(t.rlike(f"(?i){SLAB}"), 1)}
     rows = F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()))
-    return prompts.select(by, F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("r")).select(by, "r.*")
+    stated_rows = dealt(prompts.select(by, text)).select(by, rows.alias("rows"))
+    return stated_rows.select(by, F.explode(F.filter("rows", lambda r: r["value"].isNotNull())).alias("r")).select(by, "r.*")
 
 
 def y_grid_lines(text: Column, width: Column, columns: Column, frames: Column) -> Column:
@@ -90,20 +92,29 @@ def quantity_rows(prompts: DataFrame, levels: DataFrame, by: str, text: str = "t
     guardrail level that the text names."""
     named = lambda *n: F.min_by(F.when(F.col("name").isin(*n), F.col("name")), F.when(F.col("name").isin(*n), F.struct("elevation_mm", level_rank(F.col("name")))))
     at = levels.groupBy(by).agg(named("Deck", "DeckTop").alias("deck"), named("UpperAnchor").alias("upper"), named("Guardrail").alias("rail"), named("Eave", "ColumnTop").alias("eave"))
-    return prompts.join(at, by).select(by, F.explode(quantity_groups(F.col(text), F.col(width))).alias("g")).select(by, "g.*")
+    rows = quantity_facts(dealt(prompts.select(by, F.col(text).alias("t"), F.col(width).alias("__width"))), F.col("t")).drop("t").join(at.hint("merge"), by)
+    return rows.select(by, quantity_groups(F.col("__width")).alias("all")).select(by, F.explode("all").alias("g")).select(by, "g.*")
 
 
-def quantity_groups(t: Column, width: Column) -> Column:
-    """The groups of `quantity_rows` as an array; the names of levels are in deck, upper, rail, eave, null if absent."""
+def quantity_facts(rows: DataFrame, t: Column) -> DataFrame:
+    """What `quantity_groups` needs of a text, each pattern read once: counts n_<group> and profiles q_<group> of all
+    groups, the stated spacing, whether it names a guardrail, and its profile."""
+    rows = rows.withColumns({**{f"n_{n}": stated(t, q[0], "int") for n, q in QUANTITIES.items()}, "every": stated(t, EVERY), "railed": t.rlike(f"(?i){RAIL}")})
+    profiles = {n: F.when(F.col(f"n_{n}").isNotNull(), section_profile(t, q[1], q[2])) for n, q in QUANTITIES.items()}
+    return rows.withColumns({**{f"q_{n}": p for n, p in profiles.items()}, "q_rail": F.when(F.col("railed"), section_profile(t, "(?:GUARDRAIL|RHS50)", RAIL_PROFILE))})
+
+
+def quantity_groups(width: Column) -> Column:
+    """The groups of `quantity_rows` as an array, of rows with `quantity_facts`; the names of levels are in deck, upper,
+    rail, eave, null if absent."""
     level = {"deck": F.col("deck"), "upper": F.col("upper"), "top": F.coalesce("upper", "eave"), "ground": F.lit("Ground")}
     rows = []
-    for name, (counts, heading, default, orientation, placement, start, end, category) in QUANTITIES.items():
-        n = stated(t, counts, "int")
-        spacing = F.coalesce(F.nullif(stated(t, EVERY), F.lit(0.0)), width / F.greatest(F.lit(1), n - 1)) if name.startswith("joists") else F.lit(None).cast("double")
-        rows.append(F.when(n.isNotNull() & level[start].isNotNull() & level[end].isNotNull(), _group(name, section_profile(t, heading, default), orientation, placement, level[start], level[end], spacing, n, category)))
-    rail = section_profile(t, "(?:GUARDRAIL|RHS50)", RAIL_PROFILE)
+    for name, (_, _, _, orientation, placement, start, end, category) in QUANTITIES.items():
+        n = F.col(f"n_{name}")
+        spacing = F.coalesce(F.nullif("every", F.lit(0.0)), width / F.greatest(F.lit(1), n - 1)) if name.startswith("joists") else F.lit(None).cast("double")
+        rows.append(F.when(n.isNotNull() & level[start].isNotNull() & level[end].isNotNull(), _group(name, F.col(f"q_{name}"), orientation, placement, level[start], level[end], spacing, n, category)))
     for name, (orientation, placement) in EDGES.items():
-        rows.append(F.when(F.col("rail").isNotNull() & t.rlike(f"(?i){RAIL}"), _group(name, rail, orientation, placement, F.col("rail"), F.col("rail"), F.lit(None).cast("double"), F.lit(None).cast("int"), "beam")))
+        rows.append(F.when(F.col("rail").isNotNull() & F.col("railed"), _group(name, F.col("q_rail"), orientation, placement, F.col("rail"), F.col("rail"), F.lit(None).cast("double"), F.lit(None).cast("int"), "beam")))
     return F.array_compact(F.array(*rows))
 
 

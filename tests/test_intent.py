@@ -3,8 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from ferrolith.operators import intent, members
+from ferrolith.operators import intent, members, prompts, textspec
 
 HALL = """
 Three storeys under a gable roof
@@ -100,3 +101,13 @@ def test_complete_quantities_replace_all_else(spark):
 def test_profiles_behind_headings(spark):
     df = spark.createDataFrame([("MAIN COLUMNS IPE 300 then Profile: heb 400",), ("main columns of Z200x2.5",), ("MAIN COLUMNS C 150x2",), ("MAIN COLUMNS CHS89x6",), ("none",)], "t string")
     assert [r[0] for r in df.select(intent.profile_after(df.t, "MAIN COLUMNS", "HEB200")).collect()] == ["HEB400", "100x100x6", "100x50x4", "CHS89X6", "HEB200"]
+
+
+def test_patterns_run_once_a_text(spark):
+    """Every pattern stands once in the plan, however many levels, groups or rows its result goes into."""
+    texts = spark.createDataFrame([(1, "Level 1: Z = 3000 mm\nRoof Eave: Z = 6000 mm\nWidth: 8000 mm")], "id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    levels = plan(textspec.level_table(texts, "id"))
+    assert levels.count("Mezzanine Floor") == 1 and levels.count(r"\s+-\s+") == 1 and levels.count(r"(?i)^Level\s*(\d+)") == 2  # one for each of two groups
+    rows = plan(prompts.quantity_rows(texts.withColumn("width_mm", F.lit(8000.0)), textspec.level_table(texts, "id"), "id"))
+    assert rows.count("REAR ANCHOR COLUMNS") == 1 and rows.count(r"JOISTS[\s\S]{0,200}?") == 1
