@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, durable
 
 I_FAMILIES, U_FAMILIES = ("IPE", "HEB", "HEA", "HEM"), ("UPN", "UPE")
 #: Profiles that stand in for a family without a size.
@@ -186,38 +186,54 @@ def apply_catalog(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, colum
     return out.select(*rows.columns, F.col("__r.key").alias("key"), F.col("__r.family").alias("family"), F.col("__r.shape").alias("shape"), F.coalesce("__dims", "__r.dims").alias("dims"))
 
 
-def x_lines(grids: DataFrame) -> DataFrame:
-    """Per model the frame lines along x: given ones if there are two, else even bays."""
+def _x_array() -> Column:
+    """Frame lines along x: given ones if there are two, else even bays."""
     bays = F.greatest(F.lit(1), F.bround(F.col("length_x_mm") / F.col("bay_spacing_x_mm")).cast("int"))
     even = F.transform(F.sequence(F.lit(0), bays), lambda i: i * (F.col("length_x_mm") / bays))
     given = F.array_sort("frame_line_x_mm")
-    return grids.select("model_id", F.posexplode(F.when(F.size(given) >= 2, given).otherwise(even)).alias("ix", "x"))
+    return F.when(F.size(given) >= 2, given).otherwise(even)
 
 
-def y_lines(grids: DataFrame) -> DataFrame:
+def _y_array() -> Column:
     given = F.col("frame_line_y_mm")
-    return grids.select("model_id", F.posexplode(F.when(F.size(given) >= 1, given).otherwise(F.array(F.lit(0.0), F.col("width_y_mm")))).alias("iy", "y"))
+    return F.when(F.size(given) >= 1, given).otherwise(F.array(F.lit(0.0), F.col("width_y_mm")))
 
 
-def ends_of(lines: DataFrame, i: str) -> DataFrame:
-    return lines.groupBy("model_id").agg(F.max(i).alias(f"last_{i}"), F.min_by(lines.columns[-1], i).alias(f"low_{i}"), F.max_by(lines.columns[-1], i).alias(f"high_{i}"))
+def on_grid(groups: DataFrame, grids: DataFrame) -> DataFrame:
+    """Groups beside their model's size and frame lines (xs, ys), with the first and last of each.
+
+    The one join of an expansion, by sorted keys: tables of a model each are never collected for a broadcast.
+    """
+    end = lambda c, last: F.get(c, F.size(c) - 1 if last else F.lit(0))
+    sizes = grids.select("model_id", "length_x_mm", "width_y_mm", _x_array().alias("xs"), _y_array().alias("ys"))
+    ends = {"last_ix": F.size("xs") - 1, "low_ix": end("xs", False), "high_ix": end("xs", True), "last_iy": F.size("ys") - 1, "low_iy": end("ys", False), "high_iy": end("ys", True)}
+    return groups.join(sizes.hint("merge"), "model_id").withColumns(ends)
+
+
+def _along_x(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.posexplode("xs").alias("ix", "x"))
+
+
+def _along_y(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.posexplode("ys").alias("iy", "y"))
 
 
 def with_levels(groups: DataFrame, levels: DataFrame) -> DataFrame:
     """Groups with the elevations z0 and z1 of their levels; groups that name unknown levels are left out."""
     z = lambda name, out: levels.select("model_id", F.col("name").alias(name), F.col("elevation_mm").cast("double").alias(out))
-    return groups.join(z("start_level", "z0"), ["model_id", "start_level"]).join(z("end_level", "z1"), ["model_id", "end_level"])
+    return groups.join(z("start_level", "z0").hint("merge"), ["model_id", "start_level"]).join(z("end_level", "z1").hint("merge"), ["model_id", "end_level"])
 
 
-def _numbered(rows: DataFrame, *order: str, category: Column | None = None) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("model_id", "group_id").orderBy(*order))
-    return rows.withColumn("n", n).select("model_id", "group_id", "n", F.concat("group_id", F.lit("_"), "n").alias("member_id"), (category if category is not None else F.col("category")).alias("category"), "profile", *(F.col(c).cast("double").alias(c) for c in ("sx", "sy", "sz", "ex", "ey", "ez")))
+def _numbered(rows: DataFrame, *order: str, category: Column | None = None, most: str | None = None) -> DataFrame:
+    """Members of each group, numbered; only as many of them as the column most says, if it is not null."""
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("model_id", "group_id").orderBy(*order)))
+    rows = rows if most is None else rows.where(F.col(most).isNull() | (F.col("n") <= F.col(most)))
+    return rows.select("model_id", "group_id", "n", F.concat("group_id", F.lit("_"), "n").alias("member_id"), (category if category is not None else F.col("category")).alias("category"), "profile", *(F.col(c).cast("double").alias(c) for c in ("sx", "sy", "sz", "ex", "ey", "ez")))
 
 
 def expand_vertical(groups: DataFrame, grids: DataFrame) -> DataFrame:
     """Columns at all crossings, the corners, or along the lowest or highest y line."""
-    xs, ys = x_lines(grids), y_lines(grids)
-    rows = groups.where("orientation = 'vertical'").join(xs, "model_id").join(ys, "model_id").join(ends_of(xs, "ix"), "model_id").join(ends_of(ys, "iy"), "model_id")
+    rows = _along_y(_along_x(on_grid(groups.where("orientation = 'vertical'"), grids)))
     edge_x, edge_y = F.col("ix").isin(0) | (F.col("ix") == F.col("last_ix")), F.col("iy").isin(0) | (F.col("iy") == F.col("last_iy"))
     a = F.col("assigned_to_grid")
     keep = F.when(a == "all_frame_lines", True).when(a == "perimeter", edge_x & edge_y).when(a == "along_all_x_at_y_min", F.col("iy") == 0).when(a == "along_all_x_at_y_max", F.col("iy") == F.col("last_iy")).otherwise(False)
@@ -228,45 +244,42 @@ def expand_vertical(groups: DataFrame, grids: DataFrame) -> DataFrame:
 def expand_horizontal(groups: DataFrame, grids: DataFrame) -> DataFrame:
     """Members along x between neighbouring frame lines, spread over y, at one y line; members along y per frame,
     at frame ends, or spread over x. Limits on x and on the number of members apply."""
-    xs, ys = x_lines(grids), y_lines(grids)
-    g = groups.join(grids.select("model_id", "length_x_mm", "width_y_mm"), "model_id")
+    g = on_grid(groups, grids)
     inside = (F.coalesce(F.col("x") >= F.col("x_min_mm") - 0.5, F.lit(True))) & (F.coalesce(F.col("x") <= F.col("x_max_mm") + 0.5, F.lit(True)))
     on = lambda c: c.withColumns({"sz": F.col("z0"), "ez": F.col("z1")})
     a, o = F.col("assigned_to_grid"), F.col("orientation")
-    near = g.join(xs, "model_id").where(inside)
+    near = _along_x(g).where(inside)
     before = Window.partitionBy("model_id", "group_id").orderBy("ix")
     own = F.array_sort("y_at_mm") if "y_at_mm" in groups.columns else F.lit(None).cast("array<double>")
-    stations = ys.groupBy("model_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("iy", "y"))), lambda r: r["y"]).alias("__ys"))
-    bays = near.where((o == "horizontal_x") & a.isin("along_x_between_columns", "along_x_at_each_y_line")).withColumn("sx", F.lag("x").over(before)).where("sx IS NOT NULL").join(stations, "model_id")
-    bays = bays.select("*", F.posexplode(F.coalesce(own, F.col("__ys"))).alias("iy", "y"))
-    out = [_numbered(on(bays.withColumns({"ex": F.col("x"), "sy": F.col("y"), "ey": F.col("y")})), "iy", "ix").join(groups.select("model_id", "group_id", "member_count"), ["model_id", "group_id"]).where("member_count IS NULL OR n <= member_count").drop("member_count")]
+    bays = near.where((o == "horizontal_x") & a.isin("along_x_between_columns", "along_x_at_each_y_line")).withColumn("sx", F.lag("x").over(before)).where("sx IS NOT NULL")
+    bays = bays.select("*", F.posexplode(F.coalesce(own, F.col("ys"))).alias("iy", "y"))
+    out = [_numbered(on(bays.withColumns({"ex": F.col("x"), "sy": F.col("y"), "ey": F.col("y")})), "iy", "ix", most="member_count")]
     reach = near.groupBy("model_id", "group_id").agg(F.min("x").alias("sx"), F.max("x").alias("ex"))
     lo, hi = F.coalesce("y_min_mm", F.lit(0.0)), F.coalesce("y_max_mm", F.col("width_y_mm"))
     count = F.bround(F.greatest(hi - lo, F.lit(1e-6)) / F.col("spacing_mm")).cast("int")
-    spread = g.where((o == "horizontal_x") & (a == "distributed_along_y") & (F.col("spacing_mm") > 0)).join(reach, ["model_id", "group_id"]).withColumn("i", F.explode(F.sequence(F.lit(0), count))).withColumn("sy", lo + F.col("i") * F.col("spacing_mm"))
+    spread = g.where((o == "horizontal_x") & (a == "distributed_along_y") & (F.col("spacing_mm") > 0)).join(reach.hint("merge"), ["model_id", "group_id"]).withColumn("i", F.explode(F.sequence(F.lit(0), count))).withColumn("sy", lo + F.col("i") * F.col("spacing_mm"))
     spread = spread.where(((lo <= 1e-6) & (hi >= F.col("width_y_mm") - 1e-6)) | (F.col("sy") <= hi + 1e-6))
     out.append(_numbered(on(spread.withColumn("ey", F.col("sy"))), "i"))
-    yend = ends_of(ys, "iy")
-    top = g.where((o == "horizontal_x") & a.isin("along_x_at_y_max", "along_x_at_fixed_y")).join(reach, ["model_id", "group_id"]).join(yend, "model_id")
+    top = g.where((o == "horizontal_x") & a.isin("along_x_at_y_max", "along_x_at_fixed_y")).join(reach.hint("merge"), ["model_id", "group_id"])
     top = top.withColumn("sy", F.when(a == "along_x_at_y_max", F.col("high_iy")).otherwise(F.coalesce("y_max_mm", "y_min_mm", "low_iy"))).withColumn("ey", F.col("sy"))
     out.append(_numbered(on(top), "sy"))
-    frames = near.where((o == "horizontal_y_per_frame") | ((o == "horizontal_y") & (a == "along_y_per_x_station"))).join(yend, "model_id")
+    frames = near.where((o == "horizontal_y_per_frame") | ((o == "horizontal_y") & (a == "along_y_per_x_station")))
     frames = frames.withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.when(o == "horizontal_y", F.coalesce("y_from_mm", "low_iy")).otherwise(F.col("low_iy")), "ey": F.when(o == "horizontal_y", F.coalesce("y_to_mm", "high_iy")).otherwise(F.col("high_iy"))})
     out.append(_numbered(on(frames), "ix"))
-    ends = g.where((o == "horizontal_y") & a.isin("along_y_at_frame_ends", "along_y_at_x_min", "along_y_at_x_max")).join(ends_of(xs, "ix"), "model_id").join(yend, "model_id")
+    ends = g.where((o == "horizontal_y") & a.isin("along_y_at_frame_ends", "along_y_at_x_min", "along_y_at_x_max") & F.col("xs").isNotNull())
     which = F.when(a == "along_y_at_frame_ends", F.array("low_ix", "high_ix")).when(a == "along_y_at_x_min", F.array("low_ix")).otherwise(F.array("high_ix"))
     ends = ends.select("*", F.posexplode(which).alias("i", "sx")).withColumns({"ex": F.col("sx"), "sy": F.col("low_iy"), "ey": F.col("high_iy")})
     out.append(_numbered(on(ends), "i"))
     x0, x1 = F.coalesce("x_min_mm", F.lit(0.0)), F.coalesce("x_max_mm", F.col("length_x_mm"))
-    wide = g.where((o == "horizontal_y") & (a == "distributed_along_x") & (F.col("spacing_mm") > 0)).join(yend, "model_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.bround((x1 - x0) / F.col("spacing_mm")).cast("int"))))
+    wide = g.where((o == "horizontal_y") & (a == "distributed_along_x") & (F.col("spacing_mm") > 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.bround((x1 - x0) / F.col("spacing_mm")).cast("int"))))
     wide = wide.withColumns({"sx": x0 + F.col("i") * F.col("spacing_mm"), "sy": F.coalesce("y_from_mm", "low_iy"), "ey": F.coalesce("y_to_mm", "high_iy")}).withColumn("ex", F.col("sx"))
     out.append(_numbered(on(wide), "i"))
     # the frame line nearest to the stated x, of two the lower one
     gap = Window.partitionBy("model_id", "group_id").orderBy(F.abs(F.col("x") - F.col("x_min_mm")), "ix")
-    fixed = near.where((o == "horizontal_y") & (a == "along_y_at_fixed_x") & F.col("x_min_mm").isNotNull()).withColumn("__k", F.row_number().over(gap)).where("__k = 1").join(yend, "model_id")
+    fixed = near.where((o == "horizontal_y") & (a == "along_y_at_fixed_x") & F.col("x_min_mm").isNotNull()).withColumn("__k", F.row_number().over(gap)).where("__k = 1")
     fixed = fixed.withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.coalesce("y_min_mm", "low_iy"), "ey": F.coalesce("y_max_mm", "high_iy")})
     out.append(_numbered(on(fixed), "sx"))
-    slope = g.where(o == "inclined_y").join(xs, "model_id").join(yend, "model_id").withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.col("low_iy"), "ey": F.col("high_iy")})
+    slope = _along_x(g.where(o == "inclined_y")).withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.col("low_iy"), "ey": F.col("high_iy")})
     out.append(_numbered(on(slope), "ix"))
     rows = out[0]
     for more in out[1:]:
@@ -281,17 +294,17 @@ def roof_z(y: Column, width: Column, eave: Column, ridge: Column, ridge_y: Colum
 
 
 def roofs(grids: DataFrame, levels: DataFrame) -> DataFrame:
-    """Per model: eave and ridge levels (null where missing), the ridge line, the width."""
+    """Per model: eave and ridge levels (null where missing), the ridge line, the width, frame lines and outer walls."""
     level = lambda n: F.max(F.when(F.col("name") == n, F.col("elevation_mm"))).cast("double").alias(n.lower())
     named = levels.groupBy("model_id").agg(level("Eave"), level("Ridge"))
     lines = F.col("frame_line_y_mm")
     ridge_y = F.when(F.size(lines) >= 3, F.get(lines, F.floor(F.size(lines) / 2).cast("int"))).otherwise(F.col("width_y_mm") / 2)
-    return grids.select("model_id", F.col("width_y_mm").alias("width"), F.col("length_x_mm").alias("span"), ridge_y.alias("ridge_y")).join(named, "model_id", "left")
+    return grids.select("model_id", F.col("width_y_mm").alias("width"), F.col("length_x_mm").alias("span"), ridge_y.alias("ridge_y"), _x_array().alias("xs"), F.get(_y_array(), F.lit(0)).alias("low_iy"), F.get(_y_array(), F.size(_y_array()) - 1).alias("high_iy")).join(named.hint("merge"), "model_id", "left").hint("merge")
 
 
 def expand_rafters(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
     """Two rafters a frame, from both eaves to the ridge line."""
-    rows = groups.where("orientation = 'inclined_dual_y'").join(x_lines(grids), "model_id").join(roofs(grids, levels), "model_id")
+    rows = _along_x(groups.where("orientation = 'inclined_dual_y'").join(roofs(grids, levels), "model_id"))
     e, r = F.coalesce("eave", "z0"), F.coalesce("ridge", "z1")
     side = lambda i, y0, za, y1, zb: F.struct(F.lit(i).alias("i"), y0.alias("sy"), za.alias("sz"), y1.alias("ey"), zb.alias("ez"))
     rows = rows.select("*", F.explode(F.array(side(0, F.lit(0.0), e, F.col("ridge_y"), r), side(1, F.col("ridge_y"), r, F.col("width"), e))).alias("s")).select("*", "s.*")
@@ -304,7 +317,7 @@ def expand_truss(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> Data
     rows = rows.withColumns({"e": F.coalesce("eave", F.least("z0", "z1")), "r": F.coalesce("ridge", F.greatest("z0", "z1"))}).where("r > e + 1e-6")
     panels = F.greatest(F.lit(2), F.coalesce(F.nullif(F.col("member_count").cast("int"), F.lit(0)), F.greatest(F.lit(4), F.bround(F.col("width") / F.greatest(F.coalesce("spacing_mm", F.lit(2500.0)), F.lit(1.0))).cast("int"))))
     rows = rows.withColumn("panels", panels).withColumn("warren", F.lower("assigned_to_grid").contains("warren") | F.lower("group_id").contains("warren"))
-    rows = rows.join(x_lines(grids), "model_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("panels"))))
+    rows = _along_x(rows).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("panels"))))
     node = lambda i: F.col("width") * i / F.col("panels")
     high = lambda y: roof_z(y, F.col("width"), F.col("e"), F.col("r"), F.col("ridge_y"))
     y0, y1 = node(F.col("i")), node(F.col("i") + 1)
@@ -328,34 +341,31 @@ def expand_purlins(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> Da
     z = roof_z(F.col("sy"), F.col("width"), F.coalesce("eave", "z0"), F.coalesce("ridge", "z1"), F.col("ridge_y"))
     p = _numbered(p.withColumns({"sz": z, "ez": z, "ey": F.col("sy"), "sx": F.lit(0.0), "ex": F.col("span")}), "i", "side")
     heights = F.coalesce("fixed_elevations_mm", F.array(*map(F.lit, (1500.0, 3000.0, 4500.0, 5800.0))))
-    w = base.where("orientation = 'wall_girts_fixed_z'").join(ends_of(y_lines(grids), "iy"), "model_id").select("*", F.posexplode(heights).alias("i", "sz"))
+    w = base.where("orientation = 'wall_girts_fixed_z'").select("*", F.posexplode(heights).alias("i", "sz"))
     w = w.select("*", F.posexplode(F.array("low_iy", "high_iy")).alias("side", "sy")).withColumns({"ez": F.col("sz"), "ey": F.col("sy"), "sx": F.lit(0.0), "ex": F.col("span")})
     return p.unionByName(_numbered(w, "i", "side"))
 
 
 def expand_diagonals(groups: DataFrame, grids: DataFrame) -> DataFrame:
     """Braces in the first and last bay on every y line, or at the four corners."""
-    xs, ys = x_lines(grids), y_lines(grids)
-    g = groups.where("orientation = 'diagonal_plan'").join(ends_of(xs, "ix"), "model_id").join(grids.select("model_id", "length_x_mm"), "model_id")
-    at = lambda i: xs.select("model_id", F.col("ix").alias(f"k{i}"), F.col("x").alias(f"x{i}"))
+    g = on_grid(groups.where("orientation = 'diagonal_plan'"), grids).where("xs IS NOT NULL")
     bay = g.where("assigned_to_grid = 'first_and_last_bay_braces' AND last_ix >= 1").withColumn("k0", F.explode(F.array(F.lit(0), F.col("last_ix") - 1))).withColumn("k1", F.col("k0") + 1)
-    bay = bay.join(at(0), ["model_id", "k0"]).join(at(1), ["model_id", "k1"]).join(ys, "model_id").withColumns({"sx": F.col("x0"), "ex": F.col("x1"), "sy": F.col("y"), "ey": F.col("y"), "sz": F.col("z0"), "ez": F.col("z1")})
+    bay = _along_y(bay).withColumns({"sx": F.get("xs", F.col("k0")), "ex": F.get("xs", F.col("k1")), "sy": F.col("y"), "ey": F.col("y"), "sz": F.col("z0"), "ez": F.col("z1")})
     out = _numbered(bay, "k0", "iy", category=F.lit("brace"))
-    c = g.where("assigned_to_grid = 'corner_braces'").join(ends_of(ys, "iy"), "model_id").select("*", F.posexplode(F.array("low_ix", "high_ix")).alias("i", "sx")).select("*", F.posexplode(F.array("low_iy", "high_iy")).alias("j", "sy"))
+    c = g.where("assigned_to_grid = 'corner_braces'").select("*", F.posexplode(F.array("low_ix", "high_ix")).alias("i", "sx")).select("*", F.posexplode(F.array("low_iy", "high_iy")).alias("j", "sy"))
     off = F.coalesce("brace_offset_x_mm", F.lit(1000.0))
     c = c.withColumns({"ey": F.col("sy"), "sz": F.col("z0"), "ez": F.col("z1"), "ex": F.when(F.col("i") == 0, F.least("length_x_mm", F.col("sx") + off)).otherwise(F.greatest(F.lit(0.0), F.col("sx") - off))})
     out = out.unionByName(_numbered(c, "i", "j", category=F.lit("brace")))
     inside = F.coalesce(F.col("x") >= F.col("x_min_mm") - 0.5, F.lit(True)) & F.coalesce(F.col("x") <= F.col("x_max_mm") + 0.5, F.lit(True))
-    s = g.where("assigned_to_grid = 'per_x_station'").join(xs, "model_id").where(inside).join(ends_of(ys, "iy"), "model_id")
+    s = _along_x(g.where("assigned_to_grid = 'per_x_station'")).where(inside)
     s = s.withColumns({"sx": F.col("x"), "ex": F.col("x"), "sy": F.coalesce("y_from_mm", "low_iy"), "ey": F.coalesce("y_to_mm", "high_iy"), "sz": F.col("z0"), "ez": F.col("z1")})
     return out.unionByName(_numbered(s, "ix", category=F.lit("brace")))
 
 
 def expand_roof_diagonals(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
     """Braces in the roof planes of the first, the middle and the last frame, from both eaves to the ridge."""
-    xs = x_lines(grids)
-    g = groups.where("orientation = 'diagonal_plan' AND assigned_to_grid = 'roof_truss_diagonals'").join(ends_of(xs, "ix"), "model_id")
-    g = g.select("*", F.posexplode(F.array(F.lit(0), F.floor((F.col("last_ix") + 1) / 2).cast("int"), F.col("last_ix"))).alias("k", "ix")).join(xs, ["model_id", "ix"]).join(roofs(grids, levels), "model_id")
+    g = groups.where("orientation = 'diagonal_plan' AND assigned_to_grid = 'roof_truss_diagonals'").join(roofs(grids, levels), "model_id").withColumn("last_ix", F.size("xs") - 1)
+    g = g.select("*", F.posexplode(F.array(F.lit(0), F.floor((F.col("last_ix") + 1) / 2).cast("int"), F.col("last_ix"))).alias("k", "ix")).withColumn("x", F.get("xs", F.col("ix"))).where("x IS NOT NULL")
     e, r = F.coalesce("eave", "z0"), F.coalesce("ridge", "z1")
     side = lambda i, y0, za, y1, zb: F.struct(F.lit(i).alias("i"), y0.alias("sy"), za.alias("sz"), y1.alias("ey"), zb.alias("ez"))
     rows = g.select("*", F.explode(F.array(side(0, F.lit(0.0), e, F.col("ridge_y"), r), side(1, F.col("ridge_y"), r, F.col("width"), e))).alias("s")).select("*", "s.*")
@@ -365,7 +375,7 @@ def expand_roof_diagonals(groups: DataFrame, grids: DataFrame, levels: DataFrame
 def slab_members(slabs: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
     """Slabs as members from their lower to their upper corner; without limits they cover the grid."""
     top = levels.select("model_id", F.col("name").alias("top_level"), F.col("elevation_mm").cast("double").alias("ez"))
-    rows = slabs.join(top, ["model_id", "top_level"]).join(grids.select("model_id", "length_x_mm", "width_y_mm"), "model_id")
+    rows = slabs.join(top.hint("merge"), ["model_id", "top_level"]).join(grids.select("model_id", "length_x_mm", "width_y_mm").hint("merge"), "model_id")
     low, high = {"sx": "x_min_mm", "sy": "y_min_mm"}, {"ex": ("x_max_mm", "length_x_mm"), "ey": ("y_max_mm", "width_y_mm")}
     rows = rows.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in low.items()} | {k: F.coalesce(*v) for k, v in high.items()} | {"sz": F.col("ez") - F.col("thickness_mm")})
     return _numbered(rows.withColumns({"group_id": F.col("slab_id"), "profile": F.lit("CONCRETE_SLAB")}), "sz", category=F.lit("slab"))
@@ -373,7 +383,7 @@ def slab_members(slabs: DataFrame, grids: DataFrame, levels: DataFrame) -> DataF
 
 def compile_intent(groups: DataFrame, grids: DataFrame, levels: DataFrame, slabs: DataFrame | None = None) -> DataFrame:
     """All groups, and slabs, of all models as members."""
-    g = with_levels(groups, levels)
+    g = durable(with_levels(groups, levels), "groups-at-levels")  # read by every expansion
     rows = expand_vertical(g, grids)
     for more in (expand_horizontal(g, grids), expand_rafters(g, grids, levels), expand_truss(g, grids, levels), expand_purlins(g, grids, levels), expand_diagonals(g, grids), expand_roof_diagonals(g, grids, levels)):
         rows = rows.unionByName(more)

@@ -111,3 +111,16 @@ def test_patterns_run_once_a_text(spark):
     assert levels.count("Mezzanine Floor") == 1 and levels.count(r"\s+-\s+") == 1 and levels.count(r"(?i)^Level\s*(\d+)") == 2  # one for each of two groups
     rows = plan(prompts.quantity_rows(texts.withColumn("width_mm", F.lit(8000.0)), textspec.level_table(texts, "id"), "id"))
     assert rows.count("REAR ANCHOR COLUMNS") == 1 and rows.count(r"JOISTS[\s\S]{0,200}?") == 1
+
+
+def test_members_of_many_models_need_no_broadcast(spark):
+    """Tables of a model each are joined by sorted keys, so none of them is collected by the driver."""
+    grids = spark.createDataFrame([(1, 12000.0, 8000.0, 6000.0, None, [0.0, 4000.0, 8000.0])], "model_id long, length_x_mm double, width_y_mm double, bay_spacing_x_mm double, frame_line_x_mm array<double>, frame_line_y_mm array<double>")
+    levels = spark.createDataFrame([(1, "Ground", 0.0), (1, "Eave", 6000.0), (1, "Ridge", 7000.0)], "model_id long, name string, elevation_mm double")
+    group = {"profile": "HEB200", "start_level": "Ground", "end_level": "Eave", "category": "beam"}
+    kinds = [("vertical", "all_frame_lines", 9), ("horizontal_x", "along_x_between_columns", 6), ("horizontal_y", "along_y_at_frame_ends", 2), ("inclined_dual_y", "all", 6), ("roof_purlins_dual_slope", "all", 12), ("diagonal_plan", "first_and_last_bay_braces", 6), ("diagonal_plan", "roof_truss_diagonals", 6)]
+    rows = [{"model_id": 1, "group_id": f"{o}_{a}", "orientation": o, "assigned_to_grid": a, **group} for o, a, _ in kinds]
+    groups = spark.createDataFrame(rows, f"model_id long, {intent.GROUP}")
+    made = members.compile_intent(groups, grids, levels)
+    assert Counter(r.group_id for r in made.collect()) == {f"{o}_{a}": n for o, a, n in kinds}
+    assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
