@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import dealt
 from .intent import NUMBER, SECTION
 from .members import FALLBACK
 from .textspec import HEIGHT, SPAN, WIDTH, column_count, first_measure, profile_mentions, request_flags, role_profiles
@@ -200,7 +201,7 @@ def stated_heights(text: Column, wall: str, defaults: tuple[float, ...]) -> Colu
 def building_requests(texts: DataFrame, by: str = "model_id", text: str = "text") -> DataFrame:
     """Requests of the texts that describe a truss hall, a monoslope or a gable shed; other texts have no row."""
     t = F.coalesce(F.col("t"), F.lit(""))
-    rows = texts.select(F.col(by).alias("model_id"), F.col(text).alias("t"))
+    rows = dealt(texts.select(F.col(by).alias("model_id"), F.col(text).alias("t")))
     low = F.lower(t)
     fits = lambda groups: reduce(lambda a, b: a & b, (low.rlike("|".join(words)) for words in groups))
     kind = None
