@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import dealt
 from .rollup import number_or_null, part_identity, part_label, present, with_columns
 
 #: How many assemblies and profiles a query shows.
@@ -36,8 +37,8 @@ def intent(query: Column) -> Column:
 
 
 def with_queries(rows: DataFrame, queries: list[str]) -> DataFrame:
-    """Every row with every query of a stated list: a generator over literals, not a join."""
-    return rows.withColumn("raw_query", F.explode(F.array(*map(F.lit, queries)))).withColumn("query", normalized(F.col("raw_query"))).where("query <> ''")
+    """Every row with every query of a stated list: a generator over literals, not a join. Rows are dealt to all tasks."""
+    return dealt(rows).withColumn("raw_query", F.explode(F.array(*map(F.lit, queries)))).withColumn("query", normalized(F.col("raw_query"))).where("query <> ''")
 
 
 def title_rank(field: Column, query: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from ferrolith.operators import bolts, drawing, graph, grid, members, resolve, rollup, search, spatial, textspec
+from ferrolith.operators import bolts, buildings, drawing, graph, grid, members, resolve, rollup, search, spatial, textspec
 from ferrolith.streaming import jobs
 
 
@@ -272,3 +272,12 @@ def test_beams_wait_for_their_supports(spark):
     supports = spark.createDataFrame([(1, "b2", "b1", 0), (1, "b1", "c1", 0), (1, "b1", "c2", 1), (1, "b3", "gone", 0)], "model_id int, beam_id string, support_id string, ord int")
     got = {r["node_id"]: (r["sx"], r["ex"]) for r in layout.place_supports(nodes, supports).collect()}
     assert got == {"c1": (0.0, 0.0), "c2": (6000.0, 6000.0), "b1": (0.0, 6000.0), "b2": (0.0, 6000.0)}
+
+
+def test_small_tables_are_dealt_before_the_work_on_each_row(spark):
+    """A table of one task is worked on by as many as there are partitions."""
+    parts = spark.createDataFrame([(i, f"bolt {i}", "HEB 200") for i in range(64)], "part_id long, mark string, profile string").coalesce(1)
+    texts = parts.select("part_id", F.lit("Mezzanine Floor Z = 3000 mm").alias("text"))
+    assert search.with_queries(parts, ["bolt"]).rdd.getNumPartitions() == 4
+    for made in (search.part_hits(parts, ["bolt"]), textspec.level_table(texts, "part_id"), buildings.building_requests(texts, "part_id")):
+        assert "RepartitionByExpression" in made._jdf.queryExecution().analyzed().toString() or "Repartition 4" in made._jdf.queryExecution().analyzed().toString()
