@@ -16,6 +16,8 @@ AXES = "xyz"
 #: Distances of relation pruning as shares of the seeds' diagonal with their bounds, metres.
 SLOP, NEAR, TINY, LONG_STOCK = 0.012, (0.055, 0.004, 0.22, 0.12), 0.085, 2.0
 WASHER = (0.009, 0.008, 0.036)
+#: Directions below it count as none.
+FLAT = 1e-9
 
 
 def diagonal(lo: str = "min_", hi: str = "max_") -> Column:
@@ -110,7 +112,7 @@ def prune_far(fasteners: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def line_box() -> Column:
     """struct<t0, t1> of the stretch of a line (ox + t dx, ...) inside a box, null where it misses."""
-    flat = lambda a: F.abs(F.col(f"d{a}")) < 1e-9
+    flat = lambda a: F.abs(F.col(f"d{a}")) < FLAT
     t = lambda a, side: (F.col(f"{side}_{a}") - F.col(f"o{a}")) / F.when(flat(a), F.lit(1.0)).otherwise(F.col(f"d{a}"))
     low = F.greatest(*(F.when(~flat(a), F.least(t(a, "min"), t(a, "max"))) for a in AXES))
     high = F.least(*(F.when(~flat(a), F.greatest(t(a, "min"), t(a, "max"))) for a in AXES))
@@ -118,6 +120,67 @@ def line_box() -> Column:
     return F.when(~outside & (low <= high), F.struct(low.alias("t0"), high.alias("t1")))
 
 
+#: A model is at most so many boxes' cells long on each axis; wider ones have longer cells. A cell is a part of the longest box.
+STEPS, PARTS = 512, 1
+
+
+def line_boxes(lines: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """Lines (model_id, line_id, ox .. dz) with the boxes of their model that they pass: adds element_id and t (`line_box`).
+
+    Lines and boxes with a value that is null, NaN or infinite lie in no cell: they are tried against all of their model.
+    """
+    sides = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
+    finite = lambda names: F.coalesce(reduce(lambda x, y: x & y, (F.abs(F.col(c)) < float("inf") for c in names)), F.lit(False))
+    kept = [*lines.columns, "element_id", "t"]
+    boxes = boxes.select("model_id", "element_id", *sides)
+    known, whole = finite([f"{c}{a}" for c in "od" for a in AXES]), finite(sides)
+    # the same test as `line_box`, whose directions are columns already, null where flat
+    t = {a: [(F.col(f"{m}_{a}") - F.col(f"o{a}")) / F.col(f"q{a}") for m in ("min", "max")] for a in AXES}
+    low, high = F.greatest(*(F.least(*t[a]) for a in AXES)), F.least(*(F.greatest(*t[a]) for a in AXES))
+    within = reduce(lambda x, y: x & y, (F.col(f"q{a}").isNotNull() | F.col(f"o{a}").between(F.col(f"min_{a}"), F.col(f"max_{a}")) for a in AXES))
+    rows = boxes_of_lines(lines.where(known), boxes.where(whole), cell).where(within & (low <= high)).withColumn("t", F.struct(low.alias("t0"), high.alias("t1"))).select(*kept)
+    for some, against in ((lines.where(~known), boxes), (lines.where(known), boxes.where(~whole))):
+        rows = rows.unionByName(some.join(against, "model_id").withColumn("t", line_box()).where("t IS NOT NULL").select(*kept))
+    return rows
+
+
+def boxes_of_lines(lines: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """Pairs of lines and boxes that may meet, each once; adds qx, qy, qz, the line's direction, null where it is flat.
+
+    A box lies in one cell, that of its lower corner, on the first level whose cells, PARTS together, are as long as its
+    longest side (on level 0 these are as long as cell, on each further one twice as long). A line walks along its longest
+    direction through its model and looks into every cell whose boxes can reach it: an equi-join.
+    """
+    sides = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
+    hulls = hull(boxes, "model_id").select("model_id", *(F.col(f"min_{a}").alias(f"h{a}") for a in AXES), F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES)).alias("__wide"))
+    longest = F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES), F.col("__wide") / STEPS)
+    celled = boxes.join(hulls, "model_id").withColumn("level", F.ceil(F.log2(F.greatest(longest / cell, F.lit(1.0)))).cast("int"))
+    size = cell / PARTS * F.pow(F.lit(2.0), "level")
+    celled = celled.withColumns({f"c{a}": F.floor((F.col(f"min_{a}") - F.col(f"h{a}")) / size) for a in AXES})
+    reach = celled.groupBy("model_id", "level", *(f"h{a}" for a in AXES)).agg(*(f(f"c{a}").alias(f"{n}{a}") for f, n in ((F.min, "lo"), (F.max, "hi")) for a in AXES)).withColumn("size", size)
+
+    steep = {a: F.when(F.abs(F.col(f"d{a}")) >= FLAT, F.col(f"d{a}")) for a in AXES}
+    long = F.greatest(*(F.abs(v) for v in steep.values()))
+    axis = F.when(F.abs(steep["x"]) == long, "x").when(F.abs(steep["y"]) == long, "y").otherwise("z")
+    of = lambda n: F.when(F.col("axis") == "x", F.col(f"{n}x")).when(F.col("axis") == "y", F.col(f"{n}y")).otherwise(F.col(f"{n}z"))
+    # lines without a direction meet nothing
+    walks = lines.withColumns({"long": long, "axis": axis} | {f"q{a}": v for a, v in steep.items()}).where("long IS NOT NULL").join(reach, "model_id")
+    walks = walks.withColumns({f"r{a}": F.col(f"o{a}") - F.col(f"h{a}") for a in AXES} | {f"s{a}": F.coalesce(F.col(f"q{a}") / of("q"), F.lit(0.0)) for a in AXES})
+    walks = walks.withColumn("slack", F.col("size") * 1e-6 + 1e-12 * sum((F.abs(f"o{a}") + F.abs(f"h{a}") for a in AXES), F.lit(0.0)))
+    walks = walks.withColumn("step", F.explode(F.sequence(of("lo"), of("hi"))))
+    for a in AXES:
+        # the boxes of a cell reach from its lower end to the upper end of the cell PARTS further
+        ends = [F.col(f"r{a}") + (F.col("size") * (F.col("step") + k) - of("r")) * F.col(f"s{a}") for k in (0, PARTS + 1)]
+        first = F.greatest(F.col(f"lo{a}"), F.floor((F.least(*ends) - F.col("slack")) / F.col("size")) - PARTS)
+        last = F.least(F.col(f"hi{a}"), F.floor((F.greatest(*ends) + F.col("slack")) / F.col("size")))
+        own = F.col("axis") == a
+        walks = walks.withColumns({f"from{a}": F.when(own, F.col("step")).otherwise(first), f"to{a}": F.when(own, F.col("step")).otherwise(last)}).where(F.col(f"from{a}") <= F.col(f"to{a}"))
+    for a in AXES:
+        walks = walks.withColumn(f"c{a}", F.explode(F.sequence(f"from{a}", f"to{a}")))
+    cells, own = ["model_id", "level", *(f"c{a}" for a in AXES)], [*lines.columns, *(f"q{a}" for a in AXES)]
+    return walks.select(*own, *cells[1:]).join(celled.select(*cells, "element_id", *sides), cells).select(*own, "element_id", *sides)
+
+
 def hole_positions(bolts: DataFrame, boxes: DataFrame, members: DataFrame, gate: float = 0.005) -> DataFrame:
     """Where bolt axes pierce the boxes of their assembly's parts, at the face nearest the bolt; once per place.
 

@@ -226,6 +226,24 @@ def test_line_through_box(spark):
     assert one(spark, spatial.line_box(), ox=-1.0, oy=1.5, oz=0.5, dx=1.0, dy=0.0, dz=0.0, **box) is None
 
 
+def test_lines_and_boxes_meet_in_cells(spark):
+    """The same hits as by trying all pairs of a model: boxes of all sizes, slanted and upright lines, values that are missing."""
+    rng = random.Random(5)
+    box = lambda size: [v for a in "xyz" for lo in [rng.uniform(-3, 3)] for v in (lo, lo + rng.uniform(0, size))]
+    boxes = [(i % 3, i, *box(0.2 if i % 10 else 4.0)) for i in range(400)] + [(0, 400, None, None, 0.0, 1.0, 0.0, 1.0), (0, 401, 0.0, 1.0, math.nan, math.nan, 0.0, 1.0), (0, 402, 0.0, 1.0, -math.inf, math.inf, 0.0, 1.0)]
+    boxes += [(0, 403 + i, float(i), i + 1.0, 0.0, 1.0, 0.0, 1.0) for i in range(3)]
+    unit = lambda: [rng.choice((0.0, 1.0, -1.0, 1e-10, rng.uniform(-1, 1), rng.uniform(-1, 1))) for _ in "xyz"]
+    lines = [(i % 4, i, *(rng.uniform(-4, 4) for _ in "xyz"), *unit()) for i in range(400)] + [(0, 400, None, 0.5, 0.5, 0.0, 1.0, 0.0), (0, 401, 0.5, 0.5, 0.5, None, 1.0, 0.0), (0, 402, 0.5, 0.5, 0.5, math.nan, 1.0, 0.0)]
+    lines += [(0, 403, -5.0, 1.0, 1.0, 1.0, 0.0, 0.0), (0, 404, 1.0, 0.0, 50.0, 0.0, 0.0, -2.0), (0, 405, -1.0, -1.0, -1.0, 3.0, 3.0, 3.0)]
+    boxes = spark.createDataFrame(boxes, "model_id int, element_id int, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
+    lines = spark.createDataFrame(lines, "model_id int, line_id int, ox double, oy double, oz double, dx double, dy double, dz double")
+    plain = lines.join(boxes, "model_id").withColumn("t", spatial.line_box()).where("t IS NOT NULL").select("line_id", "element_id", "t.t0", "t.t1")
+    found = spatial.line_boxes(lines, boxes, 0.2).select("line_id", "element_id", "t.t0", "t.t1")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and plain.count() > 250
+    here = spatial.boxes_of_lines(lines.where("line_id < 400"), boxes.where("element_id < 400"), 0.2).count()
+    assert here * 3 < lines.where("line_id < 400").join(boxes.where("element_id < 400"), "model_id").count()
+
+
 def test_text_measures(spark):
     rows = spark.createDataFrame([("column height 4.5 m and span of 12 m, width 8000 mm, 5 columns",), ("",)], "text string")
     got = [tuple(r)[1:] for r in textspec.text_dimensions(rows).collect()]
