@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import durable
-from .grid import axis_labels, axis_positions, cluster_1d, cluster_weighted, snap_labels, widths
+from .grid import axis_labels, axis_positions, cluster_1d, cluster_weighted, once, snap_labels, widths
 from .region import to_pixel
 
 #: Straightness and length of major grid lines, bands of labels, lines an axis keeps (pixels, shares).
@@ -94,9 +94,9 @@ def labelled_lines(labels: Column, vectors: Column, side: Column, most: Column)
 def thinned_lines(lines: Column, side: Column, most: Column) -> Column:
     """Clustered lines; of more than most, those a gap apart from the first on, and the last if it is so too."""
     gap = F.greatest(F.lit(14.0), side * 0.04)
-    kept = F.slice(spaced(lines, gap), 1, most)
     last = F.try_element_at(lines, F.lit(-1))
-    return F.when(F.size(lines) <= most, lines).when(last - F.try_element_at(kept, F.lit(-1)) >= gap, F.concat(kept, F.array(last))).otherwise(kept)
+    ended = lambda kept: F.when(last - F.try_element_at(kept, F.lit(-1)) >= gap, F.concat(kept, F.array(last))).otherwise(kept)
+    return F.when(F.size(lines) <= most, lines).otherwise(once(F.slice(spaced(lines, gap), 1, most), ended))
 
 
 def crop_grid(segments: DataFrame, spans: DataFrame, crops: DataFrame, by: list[str], clicks: DataFrame | None = None) -> DataFrame:

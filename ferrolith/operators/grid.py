@@ -112,6 +112,11 @@ def primary_row(spans: DataFrame, by: list[str], axis: str = "x", share: float =
     return kept.groupBy(*by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("key", "seq", "nums"))), lambda p: p["nums"])).alias("numbers"))
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def min_gap_fold(values: Column, gap: float | Column) -> Column:
     """Greedy thinning of a list: sorted, each kept value more than gap after the last kept one."""
     start = F.array().cast("array<double>")
@@ -126,8 +131,8 @@ def dedupe_sort(values: Column) -> Column:
 def cumulated(bays: Column) -> Column:
     """0 and the running sums of all bays wider than the station tolerance."""
     wide = F.filter(bays, lambda b: b > STATION_TOL)
-    steps = F.aggregate(wide, F.array(F.lit(0.0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b)))
-    return F.when(F.size(wide) == 0, F.array().cast("array<double>")).otherwise(steps)
+    steps = lambda w: F.aggregate(w, F.array(F.lit(0.0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b)))
+    return once(wide, lambda w: F.when(F.size(w) == 0, F.array().cast("array<double>")).otherwise(steps(w)))
 
 
 def widths(stations: Column) -> Column:
@@ -139,26 +144,35 @@ def axis_positions(values: Column, mode: str = "compat") -> Column:
 
     compat sorts and thins before it reads bays, so equal bays count once; ordered keeps order and repeats.
     """
-    seq = dedupe_sort(values)
-    bays = F.filter(seq if mode == "compat" else values, lambda v: v > STATION_TOL)
-    stations = F.when((F.size(seq) < 2) | (F.element_at(seq, 1) <= STATION_TOL), seq).when(F.size(bays) >= 2, cumulated(bays)).otherwise(seq)
-    return F.slice(F.when(F.size(seq) == 0, seq).otherwise(stations), 1, MAX_LINES)
+
+    def read(seq: Column) -> Column:
+        bays = F.filter(seq if mode == "compat" else values, lambda v: v > STATION_TOL)
+        sums = once(bays, lambda b: F.when(F.size(b) >= 2, cumulated(b)).otherwise(seq))
+        return F.when((F.size(seq) < 2) | (F.try_element_at(seq, F.lit(1)) <= STATION_TOL), seq).otherwise(sums)
+
+    return F.slice(once(dedupe_sort(values), read), 1, MAX_LINES)
 
 
 def valid_chain(stations: Column) -> Column:
     """2 to MAX_STATIONS stations from near 0, at most a fifth (or one) of the bays out of range."""
-    bays = widths(stations)
-    bad = F.size(F.filter(bays, lambda b: (b < MIN_BAY) | (b > MAX_BAY)))
-    ok = F.size(stations).between(2, MAX_STATIONS) & (F.get(stations, F.lit(0)) <= 80)
-    return F.coalesce(ok & (bad <= F.greatest(F.lit(1), F.floor(F.size(bays) * 0.2))), F.lit(False))
+
+    def few_bad(bays: Column) -> Column:
+        bad = F.size(F.filter(bays, lambda b: (b < MIN_BAY) | (b > MAX_BAY)))
+        return bad <= F.greatest(F.lit(1), F.floor(F.size(bays) * 0.2))
+
+    ok = lambda s: F.size(s).between(2, MAX_STATIONS) & (F.get(s, F.lit(0)) <= 80)
+    return F.coalesce(once(stations, lambda s: ok(s) & once(widths(s), few_bad)), F.lit(False))
 
 
 def chain_stations(nums: Column) -> Column:
     """Stations of an ordered row of dimension numbers: cumulative numbers, or bays with their repeats."""
-    seq = axis_positions(nums)
-    bays = F.filter(nums, lambda v: v > STATION_TOL)
-    direct = (F.size(seq) >= 2) & (F.get(dedupe_sort(nums), F.lit(0)) <= STATION_TOL)
-    return F.when(F.size(nums) < 2, F.array().cast("array<double>")).when(direct, seq).when(F.size(bays) >= 2, cumulated(bays)).otherwise(seq)
+
+    def read(seq: Column) -> Column:
+        bays = F.filter(nums, lambda v: v > STATION_TOL)
+        direct = (F.size(seq) >= 2) & (F.array_min(F.transform(nums, lambda v: F.greatest(F.lit(0.0), v))) <= STATION_TOL)
+        return F.when(direct, seq).otherwise(once(bays, lambda b: F.when(F.size(b) >= 2, cumulated(b)).otherwise(seq)))
+
+    return F.when(F.size(nums) < 2, F.array().cast("array<double>")).otherwise(once(axis_positions(nums), read))
 
 
 def best_chain(candidates: DataFrame, by: list[str]) -> DataFrame:

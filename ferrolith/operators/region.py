@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import MAX_LINES, STATION_TOL, axis_positions, chain_stations, cluster_1d, cluster_weighted, confidence, cumulated, min_gap_fold, valid_chain
+from .grid import MAX_LINES, STATION_TOL, axis_positions, chain_stations, cluster_1d, cluster_weighted, confidence, cumulated, min_gap_fold, once, valid_chain
 
 #: Line work of grids (points, millimetres) and of column clicks (pixels).
 STRAIGHT, LONG, STATION_GAP, BLEND = 8.0, 40.0, 35.0, 500.0
@@ -88,9 +88,8 @@ def rising(stations: Column) -> Column:
 def longest(lists: Column) -> Column:
     """Of an array of candidate lists the longest rising one, the first of equals; if none rises, the longest."""
     kept = F.filter(F.transform(lists, lambda s: axis_positions(s)), lambda s: F.size(s) > 0)
-    good = F.filter(kept, rising)
     pick = lambda a: F.array_max(F.transform(a, lambda s, i: F.struct(F.size(s).alias("n"), (-i).alias("first"), s.alias("s"))))["s"]
-    return F.coalesce(pick(good), pick(kept), F.array().cast("array<double>"))
+    return once(kept, lambda k: F.coalesce(pick(F.filter(k, rising)), pick(k), F.array().cast("array<double>")))
 
 
 def axis_candidates(candidates: DataFrame, by: list[str]) -> DataFrame:
@@ -102,21 +101,24 @@ def axis_candidates(candidates: DataFrame, by: list[str]) -> DataFrame:
     lists = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "values")))), lambda c: c["values"])
     rows = candidates.groupBy(*by).agg(lists("line").alias("lines"), F.flatten(lists("bay")).alias("bays"))
     own = longest(F.concat(F.array(F.flatten("lines")), "lines"))
-    paced = axis_positions(cumulated(F.col("bays")))
+    paced = F.col("paced")
     enough = F.size(F.filter("bays", lambda b: b > STATION_TOL)) >= 2
     sparse = F.when(~enough, F.col("own")).when(F.size(paced) > F.greatest(F.size("own"), F.lit(2)), paced).when((F.size("own") >= 2) & (F.size(paced) >= 2), longest(F.array("own", paced)))
     chosen = F.when(F.size("own") >= 3, F.col("own")).otherwise(sparse.when(F.size("own") >= 2, F.col("own")).otherwise(paced))
-    rows = rows.withColumn("own", own).withColumn("stations", chosen)
+    rows = rows.withColumns({"own": own, "paced": axis_positions(cumulated(F.col("bays")))}).withColumn("stations", chosen)
     return rows.select(*by, F.when(F.size("stations") >= 2, F.col("stations")).otherwise(F.array().cast("array<double>")).alias("stations"))
 
 
 def blended(text: Column, vector: Column) -> Column:
     """Stations by dimension texts, by lines where the texts give none; lines that end where the texts end win if
     they are more."""
-    t, v = (F.when(valid_chain(s), s) for s in (text, vector))
-    known = F.coalesce(t, v, F.array().cast("array<double>"))
-    near = F.abs(F.element_at(v, -1) - F.try_element_at(known, F.lit(-1))) < BLEND
-    return F.when(F.coalesce(near & (F.size(v) >= F.size(known)), F.lit(False)), longest(F.array(known, v))).otherwise(known)
+
+    def pick(v: Column, known: Column) -> Column:
+        near = F.abs(F.element_at(v, -1) - F.try_element_at(known, F.lit(-1))) < BLEND
+        return F.when(F.coalesce(near & (F.size(v) >= F.size(known)), F.lit(False)), longest(F.array(known, v))).otherwise(known)
+
+    t, v = (once(s, lambda s: F.when(valid_chain(s), s)) for s in (text, vector))
+    return once(v, lambda v: once(F.coalesce(t, v, F.array().cast("array<double>")), lambda known: pick(v, known)))
 
 
 def region_grid(numbers: DataFrame, vectors: DataFrame, by: list[str]) -> DataFrame:

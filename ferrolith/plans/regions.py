@@ -61,11 +61,12 @@ def span_hint(spark, sf_dir):
 def axis_candidates(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     places = lines.groupBy("page", "axis").agg(F.array_sort(F.collect_set(F.floor("p").cast("double") * 100)).alias("values"))
-    ends = places.where("page % 3 = 0").select("page", "axis", F.array(F.lit(0.0), F.array_max("values")).alias("values"))
-    bays = places.select("page", "axis").join(_chains(spark, sf_dir), "page").select("page", "axis", F.col("numbers").alias("values"))
-    kinds = [(places, "line", 0), (ends, "line", 1), (bays, "bay", 2)]
-    rows = [r.select("page", "axis", F.lit(k).alias("kind"), F.lit(o).alias("ord"), "values") for r, k, o in kinds]
-    out = region.axis_candidates(rows[0].unionByName(rows[1]).unionByName(rows[2]), ["page", "axis"])
+    # lines and bays are read once; every third page has its ends as lines too
+    ends = F.when(F.col("page") % 3 == 0, F.array(F.lit(0.0), F.array_max("values")))
+    kinds = [("line", 0, F.col("values")), ("line", 1, ends), ("bay", 2, F.col("numbers"))]
+    found = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(o).alias("ord"), v.alias("values")) for k, o, v in kinds)), lambda c: c["values"].isNotNull())
+    rows = places.join(_chains(spark, sf_dir), "page").select("page", "axis", F.inline(found))
+    out = region.axis_candidates(rows, ["page", "axis"])
     return out.select("page", "axis", F.size("stations").alias("n_stations"), F.array_max("stations").alias("span"))
 
 

@@ -116,3 +116,14 @@ def test_leaves_of_assemblies_and_of_single_nodes(spark):
     elements = spark.createDataFrame([("bolt", True), ("plate", False), ("beam", False), ("stray", False)], "element_id string, is_fastener boolean")
     found = sorted(tuple(r) for r in details.leaf_split(nodes, leaves, elements).collect())
     assert found == [("asm", "bolt", True), ("asm", "plate", False), ("beam", "beam", False), ("bolt", "bolt", True)]
+
+
+def test_lists_of_an_axis_are_worked_out_once(spark):
+    """However often a rule reads a list, its plan folds it once: the sums of bays, the clean values they come of."""
+    from ferrolith.operators.grid import axis_positions, chain_stations
+
+    rows = spark.createDataFrame([([500.0, 0.4, 900.0, 900.0],), ([700.0],), ([],), (None,)], "v array<double>")
+    out = rows.select(axis_positions(F.col("v")).alias("a"), chain_stations(F.col("v")).alias("c"))
+    assert [tuple(r) for r in out.collect()] == [([0.4, 500.0, 900.0], [0.4, 500.0, 900.0]), ([700.0], []), ([], []), (None, None)]
+    folds = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert folds(axis_positions(F.col("v"))) <= 2 and folds(region.longest(F.array("v"))) <= 2
