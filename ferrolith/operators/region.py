@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import shares
 from .grid import MAX_LINES, STATION_TOL, axis_positions, chain_stations, cluster_1d, cluster_weighted, confidence, cumulated, min_gap_fold, once, valid_chain
 
 #: Line work of grids (points, millimetres) and of column clicks (pixels).
@@ -51,7 +52,8 @@ def vector_stations(segments: DataFrame, crops: DataFrame, by: list[str]) -> Dat
     mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     inside = mx.between(F.col("cx0"), F.col("cx1")) & my.between(F.col("cy0"), F.col("cy1"))
     upright = F.col("axis") == "x"
-    rows = _axis(segments).join(crops, by).where(inside & (F.when(upright, F.col("dy")).otherwise(F.col("dx")) >= LONG))
+    n = shares(segments)
+    rows = _axis(segments).repartition(n, *by).join(crops.repartition(n, *by), by).where(inside & (F.when(upright, F.col("dy")).otherwise(F.col("dx")) >= LONG))
     at = F.when(upright, mx - F.col("cx0")).otherwise(F.col("cy1") - my) * F.col("mm_per_pt")
     lines = cluster_1d(rows.withColumn("at", at), [*by, "axis"], "at", STATION_GAP).groupBy(*by, "axis").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     started = F.when(F.element_at("lines", 1) > STATION_TOL, F.concat(F.array(F.lit(0.0)), "lines")).otherwise(F.col("lines"))
@@ -63,7 +65,8 @@ def line_samples(segments: DataFrame, crops: DataFrame, by: list[str]) -> DataFr
     weight; segments that are short for the crop weigh less than their length."""
     w, h = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
     upright = F.col("axis") == "x"
-    rows = _axis(segments).join(crops, by).withColumn("length", F.hypot("dx", "dy")).where(F.col("length") >= F.greatest(F.lit(12.0), SHORT_SHARE * F.least(w, h)))
+    n = shares(segments)
+    rows = _axis(segments).repartition(n, *by).join(crops.repartition(n, *by), by).withColumn("length", F.hypot("dx", "dy")).where(F.col("length") >= F.greatest(F.lit(12.0), SHORT_SHARE * F.least(w, h)))
     meets = (F.least("x1", "x2") <= F.col("cx1")) & (F.greatest("x1", "x2") >= F.col("cx0")) & (F.least("y1", "y2") <= F.col("cy1")) & (F.greatest("y1", "y2") >= F.col("cy0"))
     weight = F.col("length") * F.when(F.col("length") >= F.greatest(F.lit(25.0), LONG_SHARE * F.when(upright, h).otherwise(w)), 1.0).otherwise(SHORT_WEIGHT)
     ends = F.explode(F.when(upright, F.array("x1", "x2")).otherwise(F.array("y1", "y2")))

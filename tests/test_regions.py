@@ -127,3 +127,17 @@ def test_lists_of_an_axis_are_worked_out_once(spark):
     assert [tuple(r) for r in out.collect()] == [([0.4, 500.0, 900.0], [0.4, 500.0, 900.0]), ([700.0], []), ([], []), (None, None)]
     folds = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
     assert folds(axis_positions(F.col("v"))) <= 2 and folds(region.longest(F.array("v"))) <= 2
+
+
+def test_pages_are_dealt_to_more_partitions_as_there_are_more_segments(spark, monkeypatch):
+    """A task sorts a fixed share of the segments, however many there are."""
+    from ferrolith.operators import graph
+
+    monkeypatch.setattr(graph, "SHARE", 10)
+    crops = spark.createDataFrame([(p, 0.0, 0.0, 1000.0, 1000.0, 10.0, 1000.0, 1000.0) for p in range(9)], "page int, cx0 double, cy0 double, cx1 double, cy1 double, mm_per_pt double, width_px double, height_px double")
+    for n, parts in ((20, 4), (120, 12)):
+        segments = spark.createDataFrame([(i % 9, i * 7.0, 0.0, i * 7.0, 500.0) for i in range(n)], "page int, x1 double, y1 double, x2 double, y2 double")
+        for made in (region.vector_stations(segments, crops, ["page"]), region.line_samples(segments, crops, ["page"])):
+            assert made.count() > 0
+            plan = made._jdf.queryExecution().analyzed().toString()
+            assert plan.count("RepartitionByExpression [page") == 2 and plan.count(f"], {parts}\n") == 2
