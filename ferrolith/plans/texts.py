@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolith.operators import framing, spatial, textspec
+from ferrolith.operators.graph import shares
 from ferrolith.sources import bindings
 from ferrolith.streaming import jobs, sessions
 
@@ -157,7 +158,8 @@ def profile_mentions(spark, sf_dir):
 
 def group_precedence(spark, sf_dir):
     ids = F.array(*map(F.lit, ("main_columns", "floor_joists_2", "knee_braces", "columns_along_y_min", "beams_along_y_per_x", "joists_along_x_spaced_y", "diagonals_per_x", "rails")))
-    rows = bindings.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.element_at(ids, (F.col("l_partkey") % 8 + 1).cast("int")).alias("group_id"), F.when(F.col("l_partkey") % 8 < 3, "base").otherwise("quantity").alias("origin")).distinct()
+    rows = bindings.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.element_at(ids, (F.col("l_partkey") % 8 + 1).cast("int")).alias("group_id"), F.when(F.col("l_partkey") % 8 < 3, "base").otherwise("quantity").alias("origin"))
+    rows = rows.repartition(shares(rows), "id").distinct()
     return textspec.group_precedence(rows, "id").select("id", "group_id", "origin")
 
 

@@ -299,3 +299,11 @@ def test_small_tables_are_dealt_before_the_work_on_each_row(spark):
     assert search.with_queries(parts, ["bolt"]).rdd.getNumPartitions() == 4
     for made in (search.part_hits(parts, ["bolt"]), textspec.level_table(texts, "part_id"), buildings.building_requests(texts, "part_id")):
         assert "RepartitionByExpression" in made._jdf.queryExecution().analyzed().toString() or "Repartition 4" in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_groups_of_a_specification_are_weighed_in_one_place(spark):
+    rows = [(1, "columns_along_y_min", "quantity"), (1, "main_columns", "base"), (1, "joists_along_x_spaced_y", "quantity"), (1, "rails", "quantity"), (1, None, "quantity"), (1, "rails", "base"), (2, "rails", "quantity"), (2, "rails", "level")]
+    rows += [(3, g, "quantity") for g in ("beams_along_y_per_x", "diagonals_per_x", "a", "b", "c")] + [(3, "a", "base"), (4, "knee_braces_2", "base"), (4, "diagonals_per_x", "quantity"), (None, "rails", "quantity"), (5, "rails", None)]
+    made = textspec.group_precedence(spark.createDataFrame(rows, "id int, group_id string, origin string"), "id")
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted([(1, "joists_along_x_spaced_y", "quantity"), (1, "main_columns", "base"), (1, None, "quantity"), (1, "rails", "base"), (2, "rails", "level"), *(r for r in rows if r[0] == 3 and r[2] == "quantity"), (4, "knee_braces_2", "base")], key=repr)
+    assert "Join" not in made._jdf.queryExecution().analyzed().toString()
