@@ -307,3 +307,46 @@ def test_groups_of_a_specification_are_weighed_in_one_place(spark):
     made = textspec.group_precedence(spark.createDataFrame(rows, "id int, group_id string, origin string"), "id")
     assert sorted(map(tuple, made.collect()), key=repr) == sorted([(1, "joists_along_x_spaced_y", "quantity"), (1, "main_columns", "base"), (1, None, "quantity"), (1, "rails", "base"), (2, "rails", "level"), *(r for r in rows if r[0] == 3 and r[2] == "quantity"), (4, "knee_braces_2", "base")], key=repr)
     assert "Join" not in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_reach_of_many_components_and_parts_without_links(spark):
+    """As by brute force; an assembly of one component tells its parts nothing new, and links are joined part by part."""
+    rng = random.Random(3)
+    links = [(rng.randrange(40), rng.randrange(60)) for _ in range(45)] + [(None, 3), (5, None)]
+    members = [(rng.randrange(30), rng.randrange(90)) for _ in range(80)] + [(None, 1)]
+    listed = [(rng.randrange(30), rng.randrange(40)) for _ in range(40)]
+    tables = [spark.createDataFrame(t + t[:20], s) for t, s in ((members, "assembly_id int, part_id int"), (links, "bolt_id int, part_id int"), (listed, "assembly_id int, bolt_id int"))]
+    named = [(b, p) for b, p in links if b is not None and p is not None]
+    of = components([(f"b{b}", f"p{p}") for b, p in named])
+    want = {}
+    for p in range(90):
+        mates = {p} | {m for a, m in members if a is not None and (a, p) in members}
+        if got := {b for b, _ in named for m in mates if of[f"b{b}"] == of.get(f"p{m}")}:
+            want[p] = (len(got), min(got))
+    assert {r[0]: tuple(r)[1:] for r in bolts.reach_summary(*tables[:2]).collect()} == want
+    rows = bolts.isolation_policy(spark.range(90).select(F.col("id").cast("int").alias("part_id")), *tables).collect()
+    lists = {p: {b for a, b in listed if (a, p) in members} for p in range(90)}
+    assert {r["part_id"]: (r["source"], r["n_bolts"]) for r in rows} == {p: ("relation", want[p][0]) if p in want else ("assembly", len(lists[p])) if lists[p] else ("none", 0) for p in range(90)}
+    assert len({r["source"] for r in rows}) == 3
+    # bolts are the only nodes: 90 parts at one bolt are one node
+    star = spark.createDataFrame([(7, p) for p in range(90)], "bolt_id int, part_id int")
+    assert [tuple(r) for r in bolts.bolt_components(star)[1].collect()] == [(7, 7)]
+
+
+def test_samples_on_lines_are_clustered_by_cells(spark):
+    """The same clusters as by trying all pairs: crowds, long lines, other directions, samples that lie alone or miss values."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(240):
+        x, y, z = rng.gauss(0, 0.06), rng.gauss(0, 0.06), rng.choice((0.0, rng.uniform(-2, 2)))
+        ax, ay, az = rng.choice(((0.0, 0.0, 1.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0), (0.6, 0.0, 0.8), (0.0, math.sin(0.1), math.cos(0.1))))
+        rows.append((i % 3, i, x, y, z, ax, ay, az))
+    rows += [(0, 900, 5.0, 5.0, 0.0, 0.0, 0.0, 1.0), (0, 901, None, 0.0, 0.0, 0.0, 0.0, 1.0), (0, 902, 0.0, 0.0, 0.0, math.nan, 0.0, 1.0), (None, 903, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 904, 0.0, 0.0, 0.0, 0.0, 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "bolt_id int, sample_id int, px double, py double, pz double, ax double, ay double, az double")
+    edges = [(f"{r['bolt_id']}/{r['a']}", f"{r['bolt_id']}/{r['b']}") for r in spatial.linked(df, df, F.lit(True)).select("bolt_id", F.col("sample_id").alias("a"), F.col("other").alias("b")).collect()]
+    want = components(edges)
+    found = {(r["bolt_id"], r["sample_id"]): r["cluster"] for r in spatial.collinear_clusters(df).collect()}
+    name = lambda b, s: "/".join(str(v) for v in (b, s) if v is not None)
+    assert found == {(r[0], r[1]): want.get(name(r[0], r[1]), name(r[0], r[1])) for r in rows} and len(set(found.values())) > 9
+    crowd = spark.range(3000).select(F.lit(1).alias("bolt_id"), F.col("id").alias("sample_id"), *((F.rand(i) * 0.05).alias(f"p{a}") for i, a in enumerate("xyz")), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
+    assert spatial.sure_links(crowd).count() < 12000
