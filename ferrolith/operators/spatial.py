@@ -254,20 +254,60 @@ def prune_relations(elements: DataFrame, seeds: DataFrame, allowed: DataFrame) -
     return rows.where(stays).select(*elements.columns)
 
 
-def collinear_clusters(samples: DataFrame, tol: float = 0.028, align: float = 0.96) -> DataFrame:
-    """(bolt_id, sample_id, cluster): samples of a bolt whose axes agree and which lie on one line.
+#: Cells of samples: two of one cell are on one line for sure, 28 mm and a dot product of 0.96 apart at most.
+SPOT, LEAN = 0.016, 0.16
 
-    samples: bolt_id, sample_id, px .. pz, ax .. az (unit). A bolt has few samples, so pairs are formed within it.
-    """
-    other = samples.select("bolt_id", F.col("sample_id").alias("other"), *(F.col(f"p{a}").alias(f"q{a}") for a in AXES), *(F.col(f"a{a}").alias(f"b{a}") for a in AXES))
+
+def _node(s: str) -> Column:
+    return F.concat_ws("/", F.col("bolt_id").cast("string"), F.col(s).cast("string"))
+
+
+def linked(samples: DataFrame, others: DataFrame, when: Column, tol: float = 0.028, align: float = 0.96, on: tuple[str, ...] = ("bolt_id",)) -> DataFrame:
+    """Pairs (sample_id, other) of a bolt whose axes agree and which lie on one line, the line of the first in order of ids."""
+    names = {"sample_id": "other"} | {f"p{a}": f"q{a}" for a in AXES} | {f"a{a}": f"b{a}" for a in AXES} | {"node": "other_node", "part": "other_part"}
     d = {a: F.col(f"q{a}") - F.col(f"p{a}") for a in AXES}
     along = sum((d[a] * F.col(f"a{a}") for a in AXES), F.lit(0.0))
     off = sum(((d[a] - along * F.col(f"a{a}")) ** 2 for a in AXES), F.lit(0.0))
     dot = F.abs(sum((F.col(f"a{a}") * F.col(f"b{a}") for a in AXES), F.lit(0.0)))
-    node = lambda s: F.concat_ws("/", F.col("bolt_id").cast("string"), F.col(s).cast("string"))
-    links = samples.join(other, "bolt_id").where((F.col("sample_id") < F.col("other")) & (dot >= align) & (off < tol * tol)).select(node("sample_id").alias("src"), node("other").alias("dst"))
-    groups = connected_components(links)
-    return samples.select("bolt_id", "sample_id", node("sample_id").alias("node")).join(groups, "node", "left").select("bolt_id", "sample_id", F.coalesce("component", "node").alias("cluster"))
+    return samples.join(others.withColumnsRenamed(names), list(on)).where((F.col("sample_id") < F.col("other")) & when & (dot >= align) & (off < tol * tol))
+
+
+def sure_links(samples: DataFrame, tol: float = 0.028, align: float = 0.96) -> DataFrame:
+    """(src, dst): links of samples to the head of their cell, and of heads to those of the cells around."""
+    known = [f"{c}{a}" for c in "pa" for a in AXES]
+    sound = reduce(lambda x, y: x & y, (F.abs(F.col(c)) < float("inf") for c in known)) & F.col("bolt_id").isNotNull() & F.col("sample_id").isNotNull()
+    unit = F.abs(sum((F.col(f"a{a}") ** 2 for a in AXES), F.lit(-1.0))) < 1e-6
+    scale = min(tol / 0.028, 1.0)
+    at = [F.floor(F.col(f"p{a}") / (SPOT * scale)).alias(f"c{a}") for a in AXES]
+    lean = [F.floor(F.col(f"a{a}") / (LEAN * min(((1 - align) / 0.04) ** 0.5, 1.0))).alias(f"l{a}") for a in AXES]
+    rows = samples.where(sound & unit).select("bolt_id", "sample_id", *known, *at, *lean, _node("sample_id").alias("node"))
+    cell = ["bolt_id", *(f"c{a}" for a in AXES), *(f"l{a}" for a in AXES)]
+    heads = durable(rows.groupBy(*cell).agg(F.min_by(F.struct("sample_id", *known, "node"), "node").alias("h")).select(*cell, "h.*"), "heads")
+    links = rows.select(*cell, "node").join(heads.select(*cell, F.col("node").alias("head")), cell).where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
+    near = heads.drop(*(f"l{a}" for a in AXES))
+    for a in AXES:
+        near = near.withColumn(f"c{a}", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.col(f"c{a}") + i)))  # noqa: B023
+    between = linked(near, heads.drop(*(f"l{a}" for a in AXES)), F.lit(True), tol, align, ("bolt_id", *(f"c{a}" for a in AXES)))
+    # each pair once in either order: the one whose first sample looks around is enough
+    return links.unionByName(between.select(F.col("node").alias("src"), F.col("other_node").alias("dst")))
+
+
+def collinear_clusters(samples: DataFrame, tol: float = 0.028, align: float = 0.96) -> DataFrame:
+    """(bolt_id, sample_id, cluster): samples of a bolt whose axes agree and which lie on one line.
+
+    samples: bolt_id, sample_id, px .. pz, ax .. az (unit). Samples so near that they are linked for sure are linked to
+    one head a cell. What these links join is one part; only samples outside the largest part of their bolt are then
+    tried against all of it, so a crowd costs no pairs. Samples that miss a value or are no unit lie in no cell.
+    """
+    nodes = samples.select("bolt_id", "sample_id", *(f"{c}{a}" for c in "pa" for a in AXES), _node("sample_id").alias("node"))
+    parts = connected_components(durable(sure_links(samples, tol, align), "sure-links"))
+    rows = durable(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "parts-of-samples")
+    largest = rows.groupBy("bolt_id", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bolt_id").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    loose = durable(rows.join(largest, "bolt_id").where("part <> largest").drop("largest"), "loose-samples")
+    differ = F.col("part") != F.col("other_part")
+    found = linked(loose, rows, differ, tol, align).unionByName(linked(rows, loose, differ, tol, align))
+    merged = connected_components(durable(found.select(F.col("part").alias("src"), F.col("other_part").alias("dst")).distinct(), "part-links")).withColumnRenamed("node", "part")
+    return rows.select("bolt_id", "sample_id", "part").join(merged, "part", "left").select("bolt_id", "sample_id", F.coalesce("component", "part").alias("cluster"))
 
 
 def companions(seeds: DataFrame, connections: DataFrame, elements: DataFrame, hops: int = 1) -> DataFrame:
