@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ragged
 from .graph import durable
-from .grid import axis_labels, axis_positions, cluster_1d, cluster_weighted, once, snap_labels, widths
+from .grid import MAX_LINES, STATION_TOL, cluster_1d, cluster_weighted, once
 from .region import to_pixel
 
 #: Straightness and length of major grid lines, bands of labels, lines an axis keeps (pixels, shares).
@@ -25,9 +26,7 @@ MARK, MARK_GAP, MARK_SHARE = r"^C\d+$", 28.0, 0.035
 
 def spaced(values: Column, gap: float | Column) -> Column:
     """A list in order, without values nearer than gap to the last one kept."""
-    start = F.array().cast("array<double>")
-    far = lambda acc, v: (F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) >= gap)
-    return F.aggregate(F.array_sort(values), start, lambda acc, v: F.when(far(acc, v), F.concat(acc, F.array(v))).otherwise(acc))
+    return ragged.spaced(values, F.lit(gap) if isinstance(gap, float) else gap)
 
 
 def nearest(values: Column, at: Column) -> Column:
@@ -88,7 +87,7 @@ def within_labels(lines: Column, labels: Column, side: Column) -> Column:
 def labelled_lines(labels: Column, vectors: Column, side: Column, most: Column) -> Column:
     """One line a label: the nearest vector that no earlier label has taken, else the label's own place."""
     gap = F.greatest(F.lit(SNAP_GAP), side * SNAP_SHARE)
-    return F.slice(spaced(snap_labels(F.array_sort(labels), F.array_sort(vectors), gap * 3.0), gap * 0.6), 1, most)
+    return F.slice(spaced(ragged.snapped_labels(F.sort_array(labels), vectors, gap * 3.0), gap * 0.6), 1, most)
 
 
 def thinned_lines(lines: Column, side: Column, most: Column) -> Column:
@@ -161,18 +160,18 @@ def station_list(lines: Column, mm_per_px: Column, height_px: Column, upright: C
 
 
 def synced_axis(models: DataFrame, a: str) -> DataFrame:
-    """Adds axis_x or axis_y, struct<lines, stations, bays, labels>, to models of lines_, stations_, mm_ and the crop's size.
+    """Adds axis_x or axis_y, struct<lines, stations, bays, labels>, and end_x or end_y, the last given station, to models of
+    lines_, stations_, bays_, mm_ and the crop's size.
 
     Two lines or more in pixels carry the axis, and stations follow from them; else the given stations stay, read as
-    `axis_positions` does. Stations ascend on both axes. Each list is a column before the next one is made of it.
+    `axis_positions` does, or sums of the bays where fewer than two are given. Stations ascend on both axes.
     """
     side, height = F.col("width_px" if a == "x" else "height_px").cast("double"), F.col("height_px").cast("double")
-    rows = models.withColumn("__lines", spaced(_some(f"lines_{a}"), F.greatest(F.lit(8.0), side * 0.01)))
-    rows = rows.withColumn("__given", F.when(F.size("__lines") >= 2, station_list(F.col("__lines"), F.col(f"mm_{a}"), height, F.lit(a == "x"))).otherwise(_some(f"stations_{a}")))
-    rows = rows.withColumn("__stops", axis_positions(F.col("__given")))
-    names = F.filter(F.transform("__lines", lambda v, i: axis_labels(i, F.lit(a))), lambda t: t.isNotNull())
-    axis = F.struct(F.col("__lines").alias("lines"), F.col("__stops").alias("stations"), F.transform(widths(F.col("__stops")), lambda b: F.round(b, 1)).alias("bays"), names.alias("labels"))
-    return rows.withColumn(f"axis_{a}", axis).drop("__lines", "__given", "__stops")
+    origin, scale = (F.lit(0.0), F.col(f"mm_{a}")) if a == "x" else (height, F.when(height.isNotNull(), -F.col(f"mm_{a}")))
+    synced = ragged.synced(a == "y", STATION_TOL, MAX_LINES)
+    gap = F.greatest(F.lit(8.0), side * 0.01)
+    made = synced(_some(f"lines_{a}"), gap, F.coalesce(origin, F.lit(0.0)), F.coalesce(scale, F.lit(0.0)), _some(f"stations_{a}"), _some(f"bays_{a}"))
+    return models.withColumns({f"axis_{a}": made["axis"], f"end_{a}": made["end"]})
 
 
 def rebuilt_models(models: DataFrame) -> DataFrame:
@@ -186,13 +185,9 @@ def rebuilt_models(models: DataFrame) -> DataFrame:
     models = models.withColumn("mm_x", F.coalesce(positive("mm_x"), F.lit(1.0)))
     models = models.withColumn("mm_y", F.coalesce(positive("mm_y"), "mm_x"))
     for a in "xy":
-        models = models.withColumn("__given", axis_positions(_some(f"stations_{a}")))
-        given = F.col("__given")
-        sums = F.aggregate(_some(f"bays_{a}"), F.array(F.lit(0.0)), lambda acc, b: F.concat(acc, F.array(F.round(F.element_at(acc, -1) + b, 1))))
-        models = models.withColumn(f"stations_{a}", F.when((F.size(given) < 2) & (F.size(_some(f"bays_{a}")) > 0), sums).otherwise(given))
-        models = models.withColumn(f"span_{a}", F.greatest(F.coalesce(positive(f"span_{a}"), F.lit(1.0)), F.try_element_at(f"stations_{a}", F.lit(-1))))
         models = synced_axis(models, a)
-    return durable(models.drop("__given"), "grid-models")
+    spans = {f"span_{a}": F.greatest(F.coalesce(positive(f"span_{a}"), F.lit(1.0)), f"end_{a}") for a in "xy"}
+    return durable(models.withColumns(spans).drop(*(f"{c}_{a}" for a in "xy" for c in ("lines", "stations", "bays", "end"))), "grid-models")
 
 
 def extracted_models(axes: DataFrame, crops: DataFrame, by: list[str]) -> DataFrame:
@@ -200,11 +195,11 @@ def extracted_models(axes: DataFrame, crops: DataFrame, by: list[str]) -> DataFr
     of = lambda a, c: F.max(F.when(F.col("axis") == a, F.col(c)))
     flat = axes.groupBy(*by).agg(*(of(a, c).alias(f"{n}_{a}") for a in "xy" for c, n in (("lines", "lines"), ("mm_per_px", "mm"))))
     none = F.array().cast("array<double>")
-    rows = flat.join(crops.select(*by, "width_px", "height_px"), by).withColumns({"stations_x": none, "stations_y": none})
+    rows = flat.join(crops.select(*by, "width_px", "height_px"), by).withColumns({f"{c}_{a}": none for a in "xy" for c in ("stations", "bays")})
     for a in "xy":
         rows = synced_axis(rows, a)
         rows = rows.withColumn(f"span_{a}", F.coalesce(F.try_element_at(f"axis_{a}.stations", F.lit(-1)), F.lit(1.0)))
-    return durable(rows.drop("stations_x", "stations_y", "lines_x", "lines_y"), "grid-models")
+    return durable(rows.drop(*(f"{c}_{a}" for a in "xy" for c in ("lines", "stations", "bays", "end"))), "grid-models")
 
 
 def _snapped(points: DataFrame) -> DataFrame:
@@ -228,7 +223,8 @@ def rebuilt_columns(columns: DataFrame, models: DataFrame, by: list[str]) -> Dat
 
     Index i reads line i and station i of an axis. On y lines run down and stations up, as in the editor's own tables.
     """
-    rows = columns.join(models.select(*by, "width_px", "height_px", "axis_x", "axis_y"), by)
+    read = (F.struct(f"axis_{a}.lines", f"axis_{a}.stations").alias(f"axis_{a}") for a in "xy")
+    rows = columns.join(models.select(*by, "width_px", "height_px", *read), by)
     inside = lambda c, side: F.greatest(F.lit(0.0), F.least(F.col(side).cast("double"), F.col(c)))
     rows = _stations_at(_snapped(rows.withColumns({"x_px": inside("x_px", "width_px"), "y_px": inside("y_px", "height_px")})))
     return rows.withColumn("mark", F.coalesce(F.nullif("mark", F.lit("")), F.lit("C1"))).select(*by, "ord", "id", "mark", "x_px", "y_px", "x_mm", "y_mm", "ix", "iy")

@@ -72,7 +72,7 @@ def labelled_axes(spark, sf_dir):
 def _models(spark, sf_dir):
     """Edited models: places of the part numbers of an order as lines; orders of one line have bays instead."""
     rows = bindings.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 7 % 100 * 10).cast("double").alias("x"), (F.col("l_suppkey") * 13 % 50 * 20).cast("double").alias("y"), F.col("l_quantity").cast("double").alias("q"), "l_linenumber")
-    rows = rows.groupBy("page").agg(F.array_sort(F.collect_set("x")).alias("lines_x"), F.array_sort(F.collect_set("y")).alias("lines_y"), F.max("q").alias("q"))
+    rows = rows.groupBy("page").agg(F.sort_array(F.collect_set("x")).alias("lines_x"), F.sort_array(F.collect_set("y")).alias("lines_y"), F.max("q").alias("q"))
     none = F.lit(None).cast("array<double>")
     bays = F.array(F.col("q") * 100, F.col("q") * 50)
     return rows.withColumns({"stations_x": none, "stations_y": none, "bays_x": bays, "bays_y": bays, "mm_x": F.when(F.col("page") % 3 > 0, 5.0), "mm_y": F.when(F.col("page") % 2 > 0, 4.0), "span_x": F.lit(0.0), "span_y": F.lit(0.0), "width_px": F.lit(1000.0), "height_px": F.lit(1000.0)})

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from ferrolith.operators import cropgrid
+from ferrolith.operators import cropgrid, grid, ragged
 
 CROP = "page string, cx0 double, cy0 double, cx1 double, cy1 double, width_px double, height_px double, mm_per_pt double"
 SPAN = "page string, seq int, x0 double, y0 double, x1 double, y1 double, text string"
@@ -123,3 +123,45 @@ def test_sparse_analysis_starts_at_its_first_line(spark):
     crops = spark.createDataFrame([("a", [10.0, 110.5], [0.0, 20.0], 10.0), ("b", [3.0, 9.0], None, None)], "page string, lines_x array<double>, lines_y array<double>, mm_per_px double")
     found = {r["page"]: (r["x_text"], r["y_text"]) for r in cropgrid.sparse_analysis(crops).collect()}
     assert found == {"a": ("0, 1005", "0, 200"), "b": ("0, 1", "")}
+
+
+def test_axes_are_folded_by_batches_and_as_spark_would(spark):
+    """Axes of models come of one step a batch, without a lambda, and equal the folds of columns written out."""
+    import numpy as np
+
+    draw, r = np.random.default_rng(7), []
+    for i in range(400):
+        some = lambda n, by: None if draw.random() < 0.1 else [None if draw.random() < 0.03 else float(v) for v in draw.integers(-9, 60, draw.integers(0, n)) * by]
+        r.append((i, 1000.0, 800.0, some(9, 7.25), some(60, 14.75), some(70, 0.75), some(9, 333.35), some(4, 100.05), some(3, 0.55), float(draw.integers(1, 9)) / 4, 2.55, None, 9.0))
+    names = ("lines_x", "lines_y", "stations_x", "stations_y", "bays_x", "bays_y")
+    models = spark.createDataFrame(r, "page long, width_px double, height_px double, " + ", ".join(f"{n} array<double>" for n in names) + ", mm_x double, mm_y double, span_x double, span_y double")
+    for a in "xy":
+        plan = cropgrid.synced_axis(models, a)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+    c, known, empty = F.col, lambda n: F.coalesce(n, F.array().cast("array<double>")), F.array().cast("array<double>")
+    rows = models
+    for a in "xy":
+        start = F.array(F.lit(0.0))
+        sums = F.aggregate(known(f"bays_{a}"), start, lambda acc, b: F.concat(acc, F.array(F.round(F.element_at(acc, -1) + b, 1))))
+        rows = rows.withColumn(f"g{a}", grid.axis_positions(known(f"stations_{a}")))
+        rows = rows.withColumn(f"g{a}", F.when((F.size(f"g{a}") < 2) & (F.size(known(f"bays_{a}")) > 0), sums).otherwise(c(f"g{a}")))
+        gap = 10.0 if a == "x" else 8.0
+        far = lambda acc, v: (F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) >= gap)  # noqa: B023, E731
+        rows = rows.withColumn(f"l{a}", F.aggregate(F.array_sort(F.array_compact(known(f"lines_{a}"))), empty, lambda acc, v: F.when(far(acc, v), F.concat(acc, F.array(v))).otherwise(acc)))  # noqa: B023
+        stops = cropgrid.station_list(c(f"l{a}"), c(f"mm_{a}"), c("height_px"), F.lit(a == "x"))
+        rows = rows.withColumn(f"s{a}", grid.axis_positions(F.when(F.size(f"l{a}") >= 2, stops).otherwise(c(f"g{a}"))))
+        rows = rows.withColumn(f"b{a}", F.transform(grid.widths(c(f"s{a}")), lambda b: F.round(b, 1)))
+        rows = rows.withColumn(f"n{a}", F.filter(F.transform(f"l{a}", lambda v, i: grid.axis_labels(i, F.lit(a))), lambda t: t.isNotNull()))  # noqa: B023
+        rows = rows.withColumn(f"e{a}", F.greatest(F.coalesce(F.nullif(f"span_{a}", F.lit(0.0)), F.lit(1.0)), F.try_element_at(f"g{a}", F.lit(-1))))
+    expected = {r[0]: r[1:] for r in rows.select("page", *(f"{k}{a}" for a in "xy" for k in "lsbne")).collect()}
+    found = cropgrid.rebuilt_models(models).select("page", *(f for a in "xy" for f in (f"axis_{a}.lines", f"axis_{a}.stations", f"axis_{a}.bays", f"axis_{a}.labels", f"span_{a}"))).collect()
+    assert {r[0]: r[1:] for r in found} == expected
+
+
+def test_rounding_of_batches_is_that_of_spark(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    values = [*(draw.integers(-(10**6), 10**6, 500) / 20.0), *(draw.random(500) * 10.0 ** draw.integers(-6, 16, 500)), 0.25, 1.05, -0.05, -0.04, 2.675, 1e300, float("inf"), 1e22, 123456789012.25]
+    expected = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(F.round("v", 1)).collect()]
+    assert list(ragged.rounded(np.array(values, float), 1)) == expected
