@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .graph import durable
-from .grid import MAX_LINES, STATION_TOL, cluster_1d, cluster_weighted, once
+from .graph import dealt, durable
+from .grid import MAX_LINES, STATION_TOL, cluster_weighted, once
 from .region import to_pixel
 
 #: Straightness and length of major grid lines, bands of labels, lines an axis keeps (pixels, shares).
@@ -66,15 +66,21 @@ def bubble_labels(spans: DataFrame, crops: DataFrame, by: list[str]) -> DataFram
     the left edge label y, in either case. Texts whose middle is outside the crop have no place on it.
     """
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    rows = spans.join(crops, by).withColumns({"raw": F.upper(F.trim("text")), "mx": x, "my": y}).where("mx BETWEEN cx0 AND cx1 AND my BETWEEN cy0 AND cy1")
+    # Texts and places are columns before the join. A condition on them after it would go back before it and be written out
+    # with all that they are made of; what is no label is a group of its own, which is dropped.
+    told = spans.select(*by, F.upper(F.trim("text")).alias("raw"), x.alias("mx"), y.alias("my")).where(F.col("raw").rlike(f"{NUMBER}|{LETTER}"))
+    rows = told.join(crops, by)
     band_x, band_y = (F.col("cx1") - F.col("cx0")) * BAND, (F.col("cy1") - F.col("cy0")) * BAND
+    inside = (F.col("mx") >= F.col("cx0")) & (F.col("mx") <= F.col("cx1")) & (F.col("my") >= F.col("cy0")) & (F.col("my") <= F.col("cy1"))
     edge = (F.col("my") <= F.col("cy0") + band_y) | (F.col("my") >= F.col("cy1") - band_y)
-    axis = F.when(F.col("raw").rlike(NUMBER) & edge, "x").when(F.col("raw").rlike(LETTER) & (F.col("mx") <= F.col("cx0") + band_x), "y")
-    rows = rows.withColumn("axis", axis).where("axis IS NOT NULL")
+    axis = F.when(inside & edge & F.col("raw").rlike(NUMBER), "x").when(inside & (F.col("mx") <= F.col("cx0") + band_x) & F.col("raw").rlike(LETTER), "y")
+    rows = rows.withColumn("axis", axis)
     upright = F.col("axis") == "x"
     at = F.when(upright, to_pixel(F.col("mx"), "cx0", "cx1", F.col("width_px"))).otherwise(to_pixel(F.col("my"), "cy0", "cy1", F.col("height_px")))
-    label = F.when(upright, F.col("raw").try_cast("int").cast("string")).otherwise(F.col("raw"))
-    return rows.select(*by, "axis", label.alias("label"), at.alias("at")).groupBy(*by, "axis", "label").agg(F.avg("at").alias("at"))
+    label = F.when(upright, F.col("raw").try_cast("int").cast("string")).when(F.col("axis") == "y", F.col("raw"))
+    # a label tells its axis, which is therefore no key: conditions on keys go before the join as well
+    found = rows.select(*by, upright.alias("up"), label.alias("label"), at.alias("at")).groupBy(*by, "label").agg(F.max("up").alias("up"), F.avg("at").alias("at"))
+    return found.where("up IS NOT NULL").select(*by, F.when(F.col("up"), "x").otherwise("y").alias("axis"), "label", "at")
 
 
 def within_labels(lines: Column, labels: Column, side: Column) -> Column:
@@ -113,36 +119,37 @@ def crop_grid(segments: DataFrame, spans: DataFrame, crops: DataFrame, by: list[
         "side": F.when(upright, F.col("width_px")).otherwise(F.col("height_px")).cast("double"), "most": F.when(upright, MOST["x"]).otherwise(MOST["y"]),
         "click_gap": F.greatest(F.lit(12.0), F.least("width_px", "height_px") * 0.018), "mm_per_px": axis_scale(upright),
     })
-    vectors = long_vectors(segments, crops, by).select(*keys, "line")
-    sides = per_axis.select(*keys, "side")
-    coarse = cluster_1d(vectors.join(sides, keys).withColumn("tol", F.greatest(F.lit(10.0), F.col("side") * 0.025)), keys, "line", F.col("tol"))
-    kinds = [("vectors", vectors), ("coarse", coarse), ("labels", bubble_labels(spans, crops, by).withColumnRenamed("at", "line"))]
+    kinds = [("vectors", long_vectors(segments, crops, by)), ("labels", bubble_labels(spans, crops, by).withColumnRenamed("at", "line"))]
     if clicks is not None:
         gap = F.greatest(F.lit(14.0), F.col("side") * 0.022)
-        kinds.append(("clicks", cluster_1d(clicks.join(sides, keys).withColumn("tol", gap), keys, "at", F.col("tol"))))
+        # clicks at one place are one row with their number
+        places = clicks.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n")).join(per_axis.select(*keys, "side"), keys)
+        kinds.append(("clicks", cluster_weighted(places.withColumn("tol", gap), keys, "at", "n", F.col("tol"))))
     rows = None
     for kind, lines in kinds:
         part = lines.select(*keys, F.lit(kind).alias("kind"), "line")
         rows = part if rows is None else rows.unionByName(part)
     lists = rows.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("line")))).alias(k) for k, _ in kinds))
-    axes = per_axis.join(lists, keys, "left")
+    # an axis is few bytes and much work: axes are dealt to all partitions
+    axes = dealt(per_axis.join(lists, keys, "left"))
     axes = axes.withColumns({k: _some(k) for k, _ in kinds})
     labelled = F.size("labels") >= 2
-    # each list is a column before the next one is made of it, so that no fold is written out twice in a plan
-    axes = axes.withColumn("fitted", F.when(labelled, labelled_lines(F.col("labels"), F.col("vectors"), F.col("side"), F.col("most"))))
+    # Each list is a column before the next one is made of it, so that no fold is written out twice in a plan. Lists of an
+    # axis are clustered where they are, so that no axis is read twice.
+    lists = {"coarse": ragged.means(F.col("vectors"), F.greatest(F.lit(10.0), F.col("side") * 0.025)), "fitted": labelled_lines(F.col("labels"), F.col("vectors"), F.col("side"), F.col("most"))}
+    if clicks is not None:
+        lists["apart"] = spaced(F.col("clicks"), F.greatest(F.lit(14.0), F.col("side") * 0.022) * 0.5)
+    axes = axes.withColumns(lists)
     base = F.when(labelled, within_labels(F.col("fitted"), F.col("labels"), F.col("side")))
     axes = axes.withColumns({"lines": base.otherwise(thinned_lines(F.col("coarse"), F.col("side"), F.col("most"))), "n_labels": F.size("labels"), "source": F.when(labelled, "labels").otherwise("vectors")})
     if clicks is None:
         axes = axes.withColumn("n_clicks", F.lit(0))
     else:
         # the clusters of clicks join the lines; an axis of fewer than two lines has none
-        apart = spaced(F.col("clicks"), F.greatest(F.lit(14.0), F.col("side") * 0.022) * 0.5)
-        axes = axes.withColumn("added", F.when(F.size("lines") >= 2, apart).otherwise(F.array().cast("array<double>")))
-        both = axes.where(F.size("added") > 0).select(*keys, F.col("click_gap").alias("tol"), F.explode(F.concat("lines", "added")).alias("line"))
-        mixed = cluster_1d(both, keys, "line", F.col("tol")).groupBy(*keys).agg(F.sort_array(F.collect_list("line")).alias("mixed"))
-        mixed = axes.join(mixed, keys, "left")
-        kept = F.slice(spaced(F.col("mixed"), F.col("click_gap")), 1, F.col("most"))
-        axes = mixed.withColumns({"lines": F.when(F.col("mixed").isNotNull(), kept).otherwise(F.col("lines")), "n_clicks": F.size("added")})
+        axes = axes.withColumn("added", F.when(F.size("lines") >= 2, F.col("apart")).otherwise(F.array().cast("array<double>")))
+        mixed = ragged.means(F.concat("lines", "added"), F.col("click_gap"))
+        kept = F.slice(spaced(mixed, F.col("click_gap")), 1, F.col("most"))
+        axes = axes.withColumns({"lines": F.when(F.size("added") > 0, kept).otherwise(F.col("lines")), "n_clicks": F.size("added")})
     axes = axes.withColumn("lines", spaced(F.col("lines"), F.greatest(F.lit(8.0), F.col("click_gap") * 0.5)))
     return axes.select(*keys, "lines", station_list(F.col("lines"), F.col("mm_per_px"), F.col("height_px"), upright).alias("stations"), "mm_per_px", "n_labels", "n_clicks", "source")
 

@@ -165,3 +165,22 @@ def test_rounding_of_batches_is_that_of_spark(spark):
     values = [*(draw.integers(-(10**6), 10**6, 500) / 20.0), *(draw.random(500) * 10.0 ** draw.integers(-6, 16, 500)), 0.25, 1.05, -0.05, -0.04, 2.675, 1e300, float("inf"), 1e22, 123456789012.25]
     expected = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(F.round("v", 1)).collect()]
     assert list(ragged.rounded(np.array(values, float), 1)) == expected
+
+
+def test_an_axis_is_read_and_folded_once(spark):
+    segments, spans, crops = page(spark)
+    clicks = spark.createDataFrame([("a", "x", 700.0)], "page string, axis string, at double")
+    planned = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    grid_plan = planned(cropgrid.crop_grid(segments, spans, crops, ["page"], clicks))
+    # the strokes' clusters and the clicks' are chains of rows, all other clusters are of the lists of an axis
+    assert grid_plan.count("Window [") <= 4 and "aggregate(" not in grid_plan
+    # texts and places of labels are not written out again in each condition on them
+    plan = planned(cropgrid.bubble_labels(spans, crops, ["page"]))
+    assert plan.count("upper(trim(") <= 2 and plan.count("/ 2.0)") <= 2
+
+
+def test_many_clicks_at_one_place_weigh_as_many(spark):
+    segments, spans, crops = page(spark)
+    clicks = spark.createDataFrame([("a", "x", 700.0)] * 3 + [("a", "x", 710.0)], "page string, axis string, at double")
+    found = {(r["page"], r["axis"]): r for r in cropgrid.crop_grid(segments, spans, crops, ["page"], clicks).collect()}
+    assert found["a", "x"]["lines"] == [105.0, 495.0, 702.5, 905.0] and found["a", "x"]["n_clicks"] == 1
