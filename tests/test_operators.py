@@ -350,3 +350,21 @@ def test_samples_on_lines_are_clustered_by_cells(spark):
     assert found == {(r[0], r[1]): want.get(name(r[0], r[1]), name(r[0], r[1])) for r in rows} and len(set(found.values())) > 9
     crowd = spark.range(3000).select(F.lit(1).alias("bolt_id"), F.col("id").alias("sample_id"), *((F.rand(i) * 0.05).alias(f"p{a}") for i, a in enumerate("xyz")), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
     assert spatial.sure_links(crowd).count() < 12000
+
+
+def test_reach_counts_links_without_a_part_or_a_bolt(spark):
+    """As the query's SQL does: a part without an id touches its bolts' components, all bolts without ids are one bolt."""
+    import duckdb
+
+    from ferrolith.plans.searches import QUERIES
+
+    rng = random.Random(5)
+    some = lambda n: None if rng.random() < 0.15 else rng.randrange(n)
+    lines = [(1, 90, 100), (1, 91, 101), (2, None, 101), (2, 92, None), (3, 93, None), (3, 93, 102)] + [(some(30), some(60), some(50)) for _ in range(60)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE lineitem (l_orderkey INT, l_partkey INT, l_suppkey INT)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, ?)", lines)
+    table = spark.createDataFrame(lines, "assembly_id int, part_id int, bolt_id int")
+    found = bolts.reach_summary(table.select("assembly_id", "part_id"), table.select("bolt_id", "part_id"))
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted(con.sql(QUERIES["reach_bolts"][1]).fetchall(), key=repr) and None in {r[0] for r in got}
