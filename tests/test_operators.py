@@ -368,3 +368,45 @@ def test_reach_counts_links_without_a_part_or_a_bolt(spark):
     found = bolts.reach_summary(table.select("assembly_id", "part_id"), table.select("bolt_id", "part_id"))
     got = sorted(map(tuple, found.collect()), key=repr)
     assert got == sorted(con.sql(QUERIES["reach_bolts"][1]).fetchall(), key=repr) and None in {r[0] for r in got}
+
+
+@pytest.mark.parametrize("slices, spread", [(1, 4_000_000), (3, 40), (7, 1)])
+def test_bolts_of_neighbours_travel_by_slices(spark, monkeypatch, slices, spread):
+    """As the pairs, whatever the number of slices and groups: ids far apart, missing ids, crowds, parts in no assembly."""
+    from ferrolith.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "SHARE", 100)
+    monkeypatch.setattr(neighbours, "SPREAD", spread)
+    rng = random.Random(slices)
+    some = lambda n: None if rng.random() < 0.08 else rng.randrange(n)
+    far = lambda b: b if b is None or b % 3 else b * 10**15 - 10**16
+    members = [(some(60), some(150)) for _ in range(250)] + [(7, p) for p in range(40)]
+    links = [(far(some(90)), some(200)) for _ in range(250)] + [(b, 11) for b in range(80)]
+    tables = spark.createDataFrame(members + members[:30], "assembly_id long, part_id long"), spark.createDataFrame(links + links[:30], "bolt_id long, part_id long")
+    pairs = bolts.neighbourhood_bolts(*tables).groupBy("part_id").agg(F.count(F.lit(1)), F.min("bolt_id"), F.max("bolt_id"))
+    found = sorted(map(tuple, bolts.neighbourhood_summary(*tables, slices=slices).collect()), key=repr)
+    assert found == sorted(map(tuple, pairs.collect()), key=repr) and found[-1][0] is None
+
+
+def test_sets_are_packed_and_read_again():
+    import numpy as np
+
+    from ferrolith.operators import neighbours as n
+
+    sizes = np.array([0, 3, 0, 2, 1, 0])
+    values = np.array([0, 1, 2**64 - 1, 127, 128, 2**35], np.uint64)
+    raw, of_list = n._sets(values, sizes)
+    assert list(n.summed(n.unpacked(raw.tobytes()), sizes)) == list(values) and of_list.sum() == len(raw) and list(of_list[[0, 2, 5]]) == [0, 0, 0]
+    assert list(n.unpacked(b"")) == []
+
+
+def test_shuffles_of_a_slice_go_with_it(spark, tmp_path):
+    """Of seven slices no more than the last job's shuffle files may stand; the session's setting is as before."""
+    from ferrolith.operators import neighbours
+
+    before = spark.conf.get(neighbours._SWEEP)
+    lines = spark.range(3000).selectExpr("id % 700 AS assembly_id", "id % 611 AS part_id", "id % 97 AS bolt_id")
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    kept = tracker.shuffleStatuses().size()
+    bolts.neighbourhood_summary(lines.select("assembly_id", "part_id"), lines.select("bolt_id", "part_id"), slices=7)
+    assert tracker.shuffleStatuses().size() <= kept + 2 and spark.conf.get(neighbours._SWEEP) == before
