@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .graph import dealt, durable
 from .prompts import quantity_facts, quantity_groups, y_grid_lines
-from .textspec import LEGACY, broken_lines, level_rank, stated_levels
+from .textspec import LEGACY, broken_lines, level_rank, may_match, stated_levels, where_may
 
 NUMBER = r"(\d+(?:\.\d+)?)"
 #: The ways a text states the building's size, in order of preference, by name of the rule.
@@ -90,14 +90,15 @@ FIELDS = [f.split(" ", 1) for f in GROUP.split(", ")]
 SLAB = "slab_id string, top_level string, thickness_mm double, footprint string, x_min_mm double, x_max_mm double, y_min_mm double, y_max_mm double, rule string"
 
 
-def first_stated(text: Column, rules: dict[str, str], kind: str = "double") -> Column:
-    """struct<value, rule> by the first pattern that matches; null where none does. Case does not matter."""
-    ways = F.array(*(F.struct(F.regexp_extract(text, f"(?i){p}", 1).try_cast(kind).alias("value"), F.lit(rule).alias("rule")) for rule, p in rules.items()))
+def first_stated(text: Column, rules: dict[str, str], kind: str = "double", low: Column | None = None) -> Column:
+    """struct<value, rule> by the first pattern that matches; null where none does. Case does not matter. low: the text in
+    lower case, in which a pattern's pieces are looked for before the pattern runs."""
+    ways = F.array(*(F.struct(where_may(low, p, F.regexp_extract(text, f"(?i){p}", 1).try_cast(kind)).alias("value"), F.lit(rule).alias("rule")) for rule, p in rules.items()))
     return F.try_element_at(F.filter(ways, lambda w: w["value"].isNotNull()), F.lit(1))
 
 
-def _stretch(text: Column, heading: str) -> Column:
-    return F.regexp_extract(text, rf"(?i)(?:{heading})[\s\S]{{0,{REACH}}}", 0)
+def _stretch(text: Column, heading: str, low: Column | None = None) -> Column:
+    return where_may(low, heading, F.regexp_extract(text, rf"(?i)(?:{heading})[\s\S]{{0,{REACH}}}", 0))
 
 
 def _named(stretch: Column) -> Column:
@@ -119,14 +120,14 @@ def profile_after(text: Column, heading: str, default: str) -> Column:
     return _made(_key(_named(_stretch(text, heading))), default)
 
 
-def with_profiles(rows: DataFrame, text: Column, zoned: Column) -> DataFrame:
+def with_profiles(rows: DataFrame, text: Column, zoned: Column, low: Column | None = None) -> DataFrame:
     """`profile_after` for each heading of PROFILES as column p_<name>; those of zones only in texts that may have them.
 
     Each step is a column of its own, so that a pattern runs once a text however many groups use its profile.
     """
-    of = lambda n, h: F.when(zoned, _stretch(text, h)) if n in ZONE_PROFILES else _stretch(text, h)
+    of = lambda n, h: F.when(zoned, _stretch(text, h, low)) if n in ZONE_PROFILES else _stretch(text, h, low)
     rows = rows.withColumns({f"p_{n}": of(n, h) for n, (h, _) in PROFILES.items()})
-    rows = rows.withColumns({f"p_{n}": _named(F.col(f"p_{n}")) for n in PROFILES})
+    rows = rows.withColumns({f"p_{n}": F.when(F.col(f"p_{n}") != "", _named(F.col(f"p_{n}"))) for n in PROFILES})
     rows = rows.withColumns({f"p_{n}": _key(F.col(f"p_{n}")) for n in PROFILES})
     return rows.withColumns({f"p_{n}": _made(F.col(f"p_{n}"), default) for n, (_, default) in PROFILES.items()})
 
@@ -161,35 +162,36 @@ def _groups(rules: list[Rule]) -> Column:
 
 def _facts(prompts: DataFrame, levels: DataFrame, by: str) -> DataFrame:
     """One row a text (t) whose size is stated, with its facts and the names of its levels."""
-    t = F.col("t")
-    rows = prompts.select(by, "t", *(first_stated(t, rules).alias(f"f_{n}") for n, rules in SIZES.items()))
+    t, low = F.col("t"), F.col("low")
+    rows = prompts.select(by, "t", F.lower("t").alias("low")).select(by, "t", "low", *(first_stated(t, rules, low=low).alias(f"f_{n}") for n, rules in SIZES.items()))
     rows = rows.where(" AND ".join(f"f_{n} IS NOT NULL" for n in SIZES)).withColumns({n: F.col(f"f_{n}.value") for n in SIZES})
     rows = rows.withColumn("frames", F.bround(F.col("length_x_mm") / F.nullif("bay_spacing_x_mm", F.lit(0.0))).cast("int") + 1)
     whole = {"grid_columns", "girders", "joist_lines", "knees", "purlins", "girts", "webs", "level1_beams"}
-    rows = rows.withColumns({n: first_stated(t, rules, "int" if n in whole else "double") for n, rules in FACTS.items()})
+    rows = rows.withColumns({n: first_stated(t, rules, "int" if n in whole else "double", low) for n, rules in FACTS.items()})
     # of these a zero is as good as no statement
     kept = {n: F.coalesce(F.nullif(F.col(f"{n}.value"), F.lit(0).cast("int" if n in whole else "double")), F.lit(v)) for n, v in DEFAULTS.items()}
     rows = rows.withColumns({f"{n}_or": c for n, c in kept.items()})
-    rows = rows.withColumn("lines_y", y_grid_lines(t, F.col("width_y_mm"), F.col("grid_columns.value"), F.col("frames")))
+    rows = rows.withColumn("lines_y", y_grid_lines(t, F.col("width_y_mm"), F.col("grid_columns.value"), F.col("frames"), low))
 
-    front, back, rear = (F.regexp_extract(t, f"(?i){p}", 1).try_cast("int") for p in (FRONT, BACK, REAR))
+    front, back, rear = (where_may(low, p, F.regexp_extract(t, f"(?i){p}", 1).try_cast("int")) for p in (FRONT, BACK, REAR))
     count = lambda value, rule: F.struct(value.cast("int").alias("value"), F.lit(rule).alias("rule"))
     columns = F.coalesce(
-        first_stated(t, COLUMN_COUNTS, "int"), F.when(front.isNotNull() & back.isNotNull(), count(front + back, "walls")), F.when(t.rlike(f"(?i){HEADED}"), count(F.col("frames") * 2, "frames")), F.when(rear.isNotNull(), count(rear, "rear"))
+        first_stated(t, COLUMN_COUNTS, "int", low), F.when(front.isNotNull() & back.isNotNull(), count(front + back, "walls")), F.when(t.rlike(f"(?i){HEADED}"), count(F.col("frames") * 2, "frames")), F.when(rear.isNotNull(), count(rear, "rear"))
     )
     rows = rows.withColumn("columns", columns)
     both = F.col("spine_y_mm").isNotNull() & F.col("edge_y_mm").isNotNull()
     for name, part, default in (("spine", "spine_y_mm", CANTILEVER[0]), ("tip", "edge_y_mm", CANTILEVER[1])):
         rows = rows.withColumn(name, F.when(both, F.col(f"{part}.value")).otherwise(default))
-    projected = F.regexp_extract(t, f"(?i){PROJECTING}", 1) != ""
+    projected = where_may(low, PROJECTING, F.regexp_extract(t, f"(?i){PROJECTING}", 1) != "")
     rows = rows.withColumns({n: F.when(projected, F.regexp_extract(t, f"(?i){PROJECTING}", i + 1).try_cast("double")).otherwise(PROJECTION[i]) for i, n in enumerate(("deck_y0", "deck_y1"))})
     half, full = F.col("length_x_mm") / 2, F.col("length_x_mm")
-    rows = rows.withColumns({"from_to": _spans(t, FROM_TO), "spanning": _spans(t, SPANNING)})
+    rows = rows.withColumns({"from_to": _spans(t, FROM_TO, low), "spanning": _spans(t, SPANNING, low)})
     for level, start, end in ((1, F.lit(0.0), half), (2, half, full)):
         rows = rows.withColumn(f"span{level}", F.coalesce(_last_span("from_to", level), _last_span("spanning", level), F.struct(start.alias("x0"), end.alias("x1"))))
     zoned = F.col("zoned")
-    rows = rows.withColumns({"zoned": t.rlike(r"(?i)Level\s*1\b"), **{n: t.rlike(f"(?i){p}") for n, p in FLAGS.items()}, "upright_braced": t.rlike("(?i)Vertical Wall Bracing") & ~t.rlike(f"(?i){LEVEL_BRACED}")})
-    rows = quantity_facts(with_profiles(rows, t, zoned), t)
+    held = lambda p: may_match(low, p) & t.rlike(f"(?i){p}")
+    rows = rows.withColumns({"zoned": held(r"Level\s*1\b"), **{n: held(p) for n, p in FLAGS.items()}, "upright_braced": held("Vertical Wall Bracing") & ~held(LEVEL_BRACED)})
+    rows = quantity_facts(with_profiles(rows, t, zoned, low), t, low)
 
     z, name = F.col("elevation_mm"), F.col("name")
     at = lambda n, out: F.max(F.when(name == n, z)).alias(out)
@@ -201,17 +203,17 @@ def _facts(prompts: DataFrame, levels: DataFrame, by: str) -> DataFrame:
         F.max_by(F.when(~name.isin(*NO_DECK), name), F.when(~name.isin(*NO_DECK), last)).alias("deck_like"),
         F.sort_array(F.collect_list(F.struct(z.alias("z"), level_rank(name).alias("rank"), name.alias("name")))).alias("levels"),
     )
-    rows = rows.drop("t", "from_to", "spanning").join(held.hint("merge"), by)
+    rows = rows.drop("t", "low", "from_to", "spanning").join(held.hint("merge"), by)
     top = F.when(F.col("z_eave").isNotNull(), "Eave").when(F.col("z_column_top").isNotNull(), "ColumnTop").otherwise(F.col("highest"))
     return rows.withColumns({"top": top, "multi": F.col("z_level1").isNotNull() & zoned})
 
 
-def _spans(t: Column, pattern: str) -> Column:
-    """array<struct<n, x0, x1>> of all statements about stretches of levels; null in texts that name no level."""
+def _spans(t: Column, pattern: str, low: Column) -> Column:
+    """array<struct<n, x0, x1>> of all statements about stretches of levels; null in texts that can hold none."""
     part = lambda g: F.regexp_extract_all(t, F.lit(f"(?i){pattern}"), F.lit(g))
     start = part(2) if pattern == FROM_TO else F.transform(part(1), lambda x: F.lit("0"))
     rows = F.arrays_zip(part(1).alias("n"), start.alias("a"), part(3 if pattern == FROM_TO else 2).alias("b"))
-    return F.when(F.lower(t).contains("level"), F.transform(rows, lambda s: F.struct(s["n"].try_cast("int").alias("n"), s["a"].try_cast("double").alias("x0"), s["b"].try_cast("double").alias("x1"))))
+    return F.when(may_match(low, pattern), F.transform(rows, lambda s: F.struct(s["n"].try_cast("int").alias("n"), s["a"].try_cast("double").alias("x0"), s["b"].try_cast("double").alias("x1"))))
 
 
 def _last_span(spans: str, level: int) -> Column:
@@ -342,7 +344,8 @@ def _ddl(fields: str) -> str:
 
 
 def composed(prompts: DataFrame, by: str, text: str = "text") -> dict[str, DataFrame]:
-    """Tables grids, levels, groups and slabs of the texts that state length, width and bays and ask for some member.
+    """Tables grids, levels, groups and slabs of the texts that state length, width and bays and ask for some member, and
+    the groups and slabs beside their levels' heights and their text's grid (placed, placed_slabs), without a join.
 
     Groups carry their place in the text's order (seq) and the rule that asked for them; grids the rules that stated
     their sizes. Null and empty texts, and texts without a size or without a member, have no row in any table.
@@ -351,11 +354,16 @@ def composed(prompts: DataFrame, by: str, text: str = "text") -> dict[str, DataF
     prompts = durable(dealt(prompts.select(by, text)).select(by, broken_lines(F.col(text)).alias("t")), "intent-texts")
     levels = durable(stated_levels(prompts, by, "t"), "intent-levels")
     rows = durable(_facts(prompts, levels, by), "intent-facts")
-    rows = composed_groups(rows).withColumn("slabs", slab_array())
-    kept = [by, *SIZES, *(f"f_{n}" for n in SIZES), "lines_y", "groups", "slabs"]
+    rows = composed_groups(rows).withColumns({"slabs": slab_array(), "z_of": F.map_from_arrays("levels.name", "levels.z")})
+    kept = [by, *SIZES, *(f"f_{n}" for n in SIZES), "lines_y", "groups", "slabs", "z_of", "z_eave", "z_ridge"]
     rows = durable(rows.where(F.size("groups") > 0).select(*kept), "intents")  # read once, whatever is made of it
     empty = F.lit(None).cast("array<double>")
     grids = rows.select(by, *SIZES, empty.alias("frame_line_x_mm"), F.when(F.size("lines_y") > 0, F.col("lines_y")).alias("frame_line_y_mm"), *(F.col(f"f_{n}.rule").alias(f"{n.split('_')[0]}_rule") for n in SIZES))
     groups = rows.select(by, F.posexplode("groups").alias("seq", "g")).select(by, "seq", "g.*")
     slabs = rows.select(by, F.explode("slabs").alias("s")).select(by, "s.*")
-    return {"grids": grids, "levels": levels.join(rows.select(by).hint("merge"), by, "left_semi"), "groups": groups, "slabs": slabs}
+    z = lambda name: F.try_element_at("z_of", F.col(name))
+    lines = [*SIZES, empty.alias("frame_line_x_mm"), F.when(F.size("lines_y") > 0, F.col("lines_y")).alias("frame_line_y_mm"), F.col("z_eave").alias("eave"), F.col("z_ridge").alias("ridge")]
+    placed = rows.select(by, *lines, "z_of", F.explode("groups").alias("g"))
+    placed = placed.select(by, "g.*", z("g.start_level").alias("z0"), z("g.end_level").alias("z1"), *SIZES, "frame_line_x_mm", "frame_line_y_mm", "eave", "ridge").where("z0 IS NOT NULL AND z1 IS NOT NULL")
+    tops = rows.select(by, "length_x_mm", "width_y_mm", "z_of", F.explode("slabs").alias("s")).select(by, "s.*", z("s.top_level").alias("ez"), "length_x_mm", "width_y_mm").where("ez IS NOT NULL")
+    return {"placed": placed, "placed_slabs": tops, "grids": grids, "levels": levels.join(rows.select(by).hint("merge"), by, "left_semi"), "groups": groups, "slabs": slabs}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components, durable
+from .graph import connected_components, dealt, durable
 
 I_FAMILIES, U_FAMILIES = ("IPE", "HEB", "HEA", "HEM"), ("UPN", "UPE")
 #: Profiles that stand in for a family without a size.
@@ -186,12 +186,17 @@ def apply_catalog(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, colum
     return out.select(*rows.columns, F.col("__r.key").alias("key"), F.col("__r.family").alias("family"), F.col("__r.shape").alias("shape"), F.coalesce("__dims", "__r.dims").alias("dims"))
 
 
-def _x_array() -> Column:
-    """Frame lines along x: given ones if there are two, else even bays."""
+def _with_bays(rows: DataFrame) -> DataFrame:
+    """Rows beside the number and the size of even bays along x, as columns: a list of lines reads them once a line."""
     bays = F.greatest(F.lit(1), F.bround(F.col("length_x_mm") / F.col("bay_spacing_x_mm")).cast("int"))
-    even = F.transform(F.sequence(F.lit(0), bays), lambda i: i * (F.col("length_x_mm") / bays))
-    given = F.array_sort("frame_line_x_mm")
-    return F.when(F.size(given) >= 2, given).otherwise(even)
+    return rows if "__bay" in rows.columns else rows.withColumn("__bays", bays).withColumn("__bay", F.col("length_x_mm") / F.col("__bays"))
+
+
+def _x_array() -> Column:
+    """Frame lines along x, of rows `_with_bays`: given ones if there are two, else even bays."""
+    even = F.transform(F.sequence(F.lit(0), F.col("__bays")), lambda i: i * F.col("__bay"))
+    given = F.col("frame_line_x_mm")
+    return F.when(F.size(given) >= 2, F.array_sort(given)).otherwise(even)
 
 
 def _y_array() -> Column:
@@ -199,14 +204,23 @@ def _y_array() -> Column:
     return F.when(F.size(given) >= 1, given).otherwise(F.array(F.lit(0.0), F.col("width_y_mm")))
 
 
-def on_grid(groups: DataFrame, grids: DataFrame) -> DataFrame:
+def placed(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+    """Groups beside their model's grid, eave and ridge: what all expansions need, so that none has to join."""
+    lines = ["length_x_mm", "width_y_mm", "bay_spacing_x_mm", "frame_line_x_mm", "frame_line_y_mm"]
+    return groups.join(grids.select("model_id", *lines).hint("merge"), "model_id").join(_roof_levels(levels).hint("merge"), "model_id", "left")
+
+
+def on_grid(groups: DataFrame, grids: DataFrame | None) -> DataFrame:
     """Groups beside their model's size and frame lines (xs, ys), with the first and last of each.
 
-    The one join of an expansion, by sorted keys: tables of a model each are never collected for a broadcast.
+    The one join of an expansion, by sorted keys: tables of a model each are never collected for a broadcast. Without
+    grids the groups are `placed` ones.
     """
     end = lambda c, last: F.get(c, F.size(c) - 1 if last else F.lit(0))
-    sizes = grids.select("model_id", "length_x_mm", "width_y_mm", _x_array().alias("xs"), _y_array().alias("ys"))
     ends = {"last_ix": F.size("xs") - 1, "low_ix": end("xs", False), "high_ix": end("xs", True), "last_iy": F.size("ys") - 1, "low_iy": end("ys", False), "high_iy": end("ys", True)}
+    if grids is None:
+        return _with_bays(groups).withColumns({"xs": _x_array(), "ys": _y_array()}).withColumns(ends)
+    sizes = _with_bays(grids).select("model_id", "length_x_mm", "width_y_mm", _x_array().alias("xs"), _y_array().alias("ys"))
     return groups.join(sizes.hint("merge"), "model_id").withColumns(ends)
 
 
@@ -226,12 +240,15 @@ def with_levels(groups: DataFrame, levels: DataFrame) -> DataFrame:
 
 def _numbered(rows: DataFrame, *order: str, category: Column | None = None, most: str | None = None) -> DataFrame:
     """Members of each group, numbered; only as many of them as the column most says, if it is not null."""
+    if most is not None:  # only these need their numbers when members are counted
+        limited = _numbered(rows.where(F.col(most).isNotNull()).withColumn("__most", F.col(most)), *order, category=category)
+        return _numbered(rows.where(F.col(most).isNull()), *order, category=category).unionByName(limited)
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("model_id", "group_id").orderBy(*order)))
-    rows = rows if most is None else rows.where(F.col(most).isNull() | (F.col("n") <= F.col(most)))
+    rows = rows.where("n <= __most") if "__most" in rows.columns else rows
     return rows.select("model_id", "group_id", "n", F.concat("group_id", F.lit("_"), "n").alias("member_id"), (category if category is not None else F.col("category")).alias("category"), "profile", *(F.col(c).cast("double").alias(c) for c in ("sx", "sy", "sz", "ex", "ey", "ez")))
 
 
-def expand_vertical(groups: DataFrame, grids: DataFrame) -> DataFrame:
+def expand_vertical(groups: DataFrame, grids: DataFrame | None) -> DataFrame:
     """Columns at all crossings, the corners, or along the lowest or highest y line."""
     rows = _along_y(_along_x(on_grid(groups.where("orientation = 'vertical'"), grids)))
     edge_x, edge_y = F.col("ix").isin(0) | (F.col("ix") == F.col("last_ix")), F.col("iy").isin(0) | (F.col("iy") == F.col("last_iy"))
@@ -241,7 +258,7 @@ def expand_vertical(groups: DataFrame, grids: DataFrame) -> DataFrame:
     return _numbered(rows, "ix", "iy", category=F.lit("column"))
 
 
-def expand_horizontal(groups: DataFrame, grids: DataFrame) -> DataFrame:
+def expand_horizontal(groups: DataFrame, grids: DataFrame | None) -> DataFrame:
     """Members along x between neighbouring frame lines, spread over y, at one y line; members along y per frame,
     at frame ends, or spread over x. Limits on x and on the number of members apply."""
     g = on_grid(groups, grids)
@@ -249,18 +266,19 @@ def expand_horizontal(groups: DataFrame, grids: DataFrame) -> DataFrame:
     on = lambda c: c.withColumns({"sz": F.col("z0"), "ez": F.col("z1")})
     a, o = F.col("assigned_to_grid"), F.col("orientation")
     near = _along_x(g).where(inside)
-    before = Window.partitionBy("model_id", "group_id").orderBy("ix")
+    stations = F.filter("xs", lambda x: F.coalesce(x >= F.col("x_min_mm") - 0.5, F.lit(True)) & F.coalesce(x <= F.col("x_max_mm") + 0.5, F.lit(True)))
     own = F.array_sort("y_at_mm") if "y_at_mm" in groups.columns else F.lit(None).cast("array<double>")
-    bays = near.where((o == "horizontal_x") & a.isin("along_x_between_columns", "along_x_at_each_y_line")).withColumn("sx", F.lag("x").over(before)).where("sx IS NOT NULL")
+    bays = g.where((o == "horizontal_x") & a.isin("along_x_between_columns", "along_x_at_each_y_line")).withColumn("near", stations).where(F.size("near") > 1)
+    bays = bays.select("*", F.posexplode(F.slice("near", F.lit(2), F.size("near") - 1)).alias("ix", "x")).withColumn("sx", F.get("near", F.col("ix"))).where("sx IS NOT NULL")
     bays = bays.select("*", F.posexplode(F.coalesce(own, F.col("ys"))).alias("iy", "y"))
     out = [_numbered(on(bays.withColumns({"ex": F.col("x"), "sy": F.col("y"), "ey": F.col("y")})), "iy", "ix", most="member_count")]
-    reach = near.groupBy("model_id", "group_id").agg(F.min("x").alias("sx"), F.max("x").alias("ex"))
+    reaching = lambda rows: rows.withColumn("near", stations).where(F.size("near") > 0).withColumns({"sx": F.array_min("near"), "ex": F.array_max("near")})
     lo, hi = F.coalesce("y_min_mm", F.lit(0.0)), F.coalesce("y_max_mm", F.col("width_y_mm"))
     count = F.bround(F.greatest(hi - lo, F.lit(1e-6)) / F.col("spacing_mm")).cast("int")
-    spread = g.where((o == "horizontal_x") & (a == "distributed_along_y") & (F.col("spacing_mm") > 0)).join(reach.hint("merge"), ["model_id", "group_id"]).withColumn("i", F.explode(F.sequence(F.lit(0), count))).withColumn("sy", lo + F.col("i") * F.col("spacing_mm"))
+    spread = reaching(g.where((o == "horizontal_x") & (a == "distributed_along_y") & (F.col("spacing_mm") > 0))).withColumn("i", F.explode(F.sequence(F.lit(0), count))).withColumn("sy", lo + F.col("i") * F.col("spacing_mm"))
     spread = spread.where(((lo <= 1e-6) & (hi >= F.col("width_y_mm") - 1e-6)) | (F.col("sy") <= hi + 1e-6))
     out.append(_numbered(on(spread.withColumn("ey", F.col("sy"))), "i"))
-    top = g.where((o == "horizontal_x") & a.isin("along_x_at_y_max", "along_x_at_fixed_y")).join(reach.hint("merge"), ["model_id", "group_id"])
+    top = reaching(g.where((o == "horizontal_x") & a.isin("along_x_at_y_max", "along_x_at_fixed_y")))
     top = top.withColumn("sy", F.when(a == "along_x_at_y_max", F.col("high_iy")).otherwise(F.coalesce("y_max_mm", "y_min_mm", "low_iy"))).withColumn("ey", F.col("sy"))
     out.append(_numbered(on(top), "sy"))
     frames = near.where((o == "horizontal_y_per_frame") | ((o == "horizontal_y") & (a == "along_y_per_x_station")))
@@ -293,47 +311,58 @@ def roof_z(y: Column, width: Column, eave: Column, ridge: Column, ridge_y: Colum
     return F.when(y <= centre, eave + (ridge - eave) * (y / centre)).otherwise(ridge - (ridge - eave) * ((y - centre) / F.greatest(width - centre, F.lit(1e-6))))
 
 
-def roofs(grids: DataFrame, levels: DataFrame) -> DataFrame:
-    """Per model: eave and ridge levels (null where missing), the ridge line, the width, frame lines and outer walls."""
+def _roof_levels(levels: DataFrame) -> DataFrame:
     level = lambda n: F.max(F.when(F.col("name") == n, F.col("elevation_mm"))).cast("double").alias(n.lower())
-    named = levels.groupBy("model_id").agg(level("Eave"), level("Ridge"))
+    return levels.groupBy("model_id").agg(level("Eave"), level("Ridge"))
+
+
+def _under_roof(groups: DataFrame, grids: DataFrame | None, levels: DataFrame | None) -> DataFrame:
+    """Groups beside their model's eave and ridge levels (null where missing), the ridge line, the width, frame lines and
+    outer walls. Without grids the groups are `placed` ones."""
     lines = F.col("frame_line_y_mm")
     ridge_y = F.when(F.size(lines) >= 3, F.get(lines, F.floor(F.size(lines) / 2).cast("int"))).otherwise(F.col("width_y_mm") / 2)
-    return grids.select("model_id", F.col("width_y_mm").alias("width"), F.col("length_x_mm").alias("span"), ridge_y.alias("ridge_y"), _x_array().alias("xs"), F.get(_y_array(), F.lit(0)).alias("low_iy"), F.get(_y_array(), F.size(_y_array()) - 1).alias("high_iy")).join(named.hint("merge"), "model_id", "left").hint("merge")
+    columns = {"width": F.col("width_y_mm"), "span": F.col("length_x_mm"), "ridge_y": ridge_y, "xs": _x_array(), "low_iy": F.get(_y_array(), F.lit(0)), "high_iy": F.get(_y_array(), F.size(_y_array()) - 1)}
+    if grids is None:
+        return _with_bays(groups).withColumns(columns)
+    sizes = _with_bays(grids).select("model_id", *(c.alias(n) for n, c in columns.items()))
+    return groups.join(sizes.join(_roof_levels(levels).hint("merge"), "model_id", "left").hint("merge"), "model_id")
 
 
-def expand_rafters(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+def expand_rafters(groups: DataFrame, grids: DataFrame | None, levels: DataFrame | None) -> DataFrame:
     """Two rafters a frame, from both eaves to the ridge line."""
-    rows = _along_x(groups.where("orientation = 'inclined_dual_y'").join(roofs(grids, levels), "model_id"))
+    rows = _under_roof(groups.where("orientation = 'inclined_dual_y'"), grids, levels)
     e, r = F.coalesce("eave", "z0"), F.coalesce("ridge", "z1")
     side = lambda i, y0, za, y1, zb: F.struct(F.lit(i).alias("i"), y0.alias("sy"), za.alias("sz"), y1.alias("ey"), zb.alias("ez"))
     rows = rows.select("*", F.explode(F.array(side(0, F.lit(0.0), e, F.col("ridge_y"), r), side(1, F.col("ridge_y"), r, F.col("width"), e))).alias("s")).select("*", "s.*")
-    return _numbered(rows.withColumns({"sx": F.col("x"), "ex": F.col("x")}), "ix", "i")
+    return _numbered(_along_x(rows).withColumns({"sx": F.col("x"), "ex": F.col("x")}), "ix", "i")
 
 
-def expand_truss(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+def expand_truss(groups: DataFrame, grids: DataFrame | None, levels: DataFrame | None) -> DataFrame:
     """Web members of trusses over all frames: Warren panels, or verticals and alternating diagonals."""
-    rows = groups.where("orientation = 'truss_web_panels'").join(roofs(grids, levels), "model_id")
+    rows = _under_roof(groups.where("orientation = 'truss_web_panels'"), grids, levels)
     rows = rows.withColumns({"e": F.coalesce("eave", F.least("z0", "z1")), "r": F.coalesce("ridge", F.greatest("z0", "z1"))}).where("r > e + 1e-6")
     panels = F.greatest(F.lit(2), F.coalesce(F.nullif(F.col("member_count").cast("int"), F.lit(0)), F.greatest(F.lit(4), F.bround(F.col("width") / F.greatest(F.coalesce("spacing_mm", F.lit(2500.0)), F.lit(1.0))).cast("int"))))
     rows = rows.withColumn("panels", panels).withColumn("warren", F.lower("assigned_to_grid").contains("warren") | F.lower("group_id").contains("warren"))
-    rows = _along_x(rows).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("panels"))))
+    # one frame's members first: all frames have the same
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("panels"))))
     node = lambda i: F.col("width") * i / F.col("panels")
     high = lambda y: roof_z(y, F.col("width"), F.col("e"), F.col("r"), F.col("ridge_y"))
-    y0, y1 = node(F.col("i")), node(F.col("i") + 1)
+    rows = rows.withColumns({"y0": node(F.col("i")), "y1": node(F.col("i") + 1)}).withColumns({"h0": high(F.col("y0")), "h1": high(F.col("y1"))})
+    y0, y1, h0, h1, e = (F.col(c) for c in ("y0", "y1", "h0", "h1", "e"))
     web = lambda kind, a, za, b, zb: F.struct(F.lit(kind).alias("kind"), a.alias("sy"), za.alias("sz"), b.alias("ey"), zb.alias("ez"))
-    up, down, back = web(1, y0, F.col("e"), y1, high(y1)), web(1, y0, high(y0), y1, F.col("e")), web(1, y1, F.col("e"), y0, high(y0))
+    up, down, back = web(1, y0, e, y1, h1), web(1, y0, h0, y1, e), web(1, y1, e, y0, h0)
     even = F.col("i") % 2 == 0
-    diagonal = F.when(F.col("i") < F.col("panels"), F.when(even, up).when(~F.col("warren"), back).when(high(y0) > F.col("e") + 1e-6, down).otherwise(up))
-    upright_ = F.when(~F.col("warren") & F.col("i").between(1, F.col("panels") - 1) & (F.abs(high(y0) - F.col("e")) > 1e-6), web(0, y0, F.col("e"), y0, high(y0)))
-    rows = rows.select("*", F.explode(F.filter(F.array(upright_, diagonal), lambda m: m.isNotNull())).alias("m")).select("*", "m.*")
-    rows = rows.where((F.abs(F.col("sy") - F.col("ey")) > 1e-6) | (F.abs(F.col("sz") - F.col("ez")) > 1e-6)).withColumns({"sx": F.col("x"), "ex": F.col("x")})
+    diagonal = F.when(F.col("i") < F.col("panels"), F.when(even, up).when(~F.col("warren"), back).when(h0 > e + 1e-6, down).otherwise(up))
+    upright_ = F.when(~F.col("warren") & F.col("i").between(1, F.col("panels") - 1) & (F.abs(h0 - e) > 1e-6), web(0, y0, e, y0, h0))
+    rows = rows.select("*", F.explode(F.array(upright_, diagonal)).alias("m")).where("m IS NOT NULL").select("*", "m.*")
+    rows = rows.where((F.abs(F.col("sy") - F.col("ey")) > 1e-6) | (F.abs(F.col("sz") - F.col("ez")) > 1e-6))
+    rows = _along_x(rows).withColumns({"sx": F.col("x"), "ex": F.col("x")})
     return _numbered(rows, "ix", "kind", "i")
 
 
-def expand_purlins(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+def expand_purlins(groups: DataFrame, grids: DataFrame | None, levels: DataFrame | None) -> DataFrame:
     """Purlins on both slopes; girts at fixed heights on both outer walls."""
-    base = groups.join(roofs(grids, levels), "model_id")
+    base = _under_roof(groups.where(F.col("orientation").isin("roof_purlins_dual_slope", "wall_girts_fixed_z")), grids, levels)
     p = base.where("orientation = 'roof_purlins_dual_slope'").withColumn("k", F.coalesce(F.col("member_count").cast("int"), F.lit(6)))
     p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k"))))
     share = F.col("i") / (F.col("k") + 1)
@@ -346,7 +375,7 @@ def expand_purlins(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> Da
     return p.unionByName(_numbered(w, "i", "side"))
 
 
-def expand_diagonals(groups: DataFrame, grids: DataFrame) -> DataFrame:
+def expand_diagonals(groups: DataFrame, grids: DataFrame | None) -> DataFrame:
     """Braces in the first and last bay on every y line, or at the four corners."""
     g = on_grid(groups.where("orientation = 'diagonal_plan'"), grids).where("xs IS NOT NULL")
     bay = g.where("assigned_to_grid = 'first_and_last_bay_braces' AND last_ix >= 1").withColumn("k0", F.explode(F.array(F.lit(0), F.col("last_ix") - 1))).withColumn("k1", F.col("k0") + 1)
@@ -362,9 +391,9 @@ def expand_diagonals(groups: DataFrame, grids: DataFrame) -> DataFrame:
     return out.unionByName(_numbered(s, "ix", category=F.lit("brace")))
 
 
-def expand_roof_diagonals(groups: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+def expand_roof_diagonals(groups: DataFrame, grids: DataFrame | None, levels: DataFrame | None) -> DataFrame:
     """Braces in the roof planes of the first, the middle and the last frame, from both eaves to the ridge."""
-    g = groups.where("orientation = 'diagonal_plan' AND assigned_to_grid = 'roof_truss_diagonals'").join(roofs(grids, levels), "model_id").withColumn("last_ix", F.size("xs") - 1)
+    g = _under_roof(groups.where("orientation = 'diagonal_plan' AND assigned_to_grid = 'roof_truss_diagonals'"), grids, levels).withColumn("last_ix", F.size("xs") - 1)
     g = g.select("*", F.posexplode(F.array(F.lit(0), F.floor((F.col("last_ix") + 1) / 2).cast("int"), F.col("last_ix"))).alias("k", "ix")).withColumn("x", F.get("xs", F.col("ix"))).where("x IS NOT NULL")
     e, r = F.coalesce("eave", "z0"), F.coalesce("ridge", "z1")
     side = lambda i, y0, za, y1, zb: F.struct(F.lit(i).alias("i"), y0.alias("sy"), za.alias("sz"), y1.alias("ey"), zb.alias("ez"))
@@ -375,21 +404,32 @@ def expand_roof_diagonals(groups: DataFrame, grids: DataFrame, levels: DataFrame
 def slab_members(slabs: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
     """Slabs as members from their lower to their upper corner; without limits they cover the grid."""
     top = levels.select("model_id", F.col("name").alias("top_level"), F.col("elevation_mm").cast("double").alias("ez"))
-    rows = slabs.join(top.hint("merge"), ["model_id", "top_level"]).join(grids.select("model_id", "length_x_mm", "width_y_mm").hint("merge"), "model_id")
+    return expand_slabs(slabs.join(top.hint("merge"), ["model_id", "top_level"]).join(grids.select("model_id", "length_x_mm", "width_y_mm").hint("merge"), "model_id"))
+
+
+def expand_slabs(slabs: DataFrame) -> DataFrame:
+    """`slab_members` of slabs beside their top (ez) and their model's size."""
     low, high = {"sx": "x_min_mm", "sy": "y_min_mm"}, {"ex": ("x_max_mm", "length_x_mm"), "ey": ("y_max_mm", "width_y_mm")}
-    rows = rows.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in low.items()} | {k: F.coalesce(*v) for k, v in high.items()} | {"sz": F.col("ez") - F.col("thickness_mm")})
+    rows = slabs.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in low.items()} | {k: F.coalesce(*v) for k, v in high.items()} | {"sz": F.col("ez") - F.col("thickness_mm")})
     return _numbered(rows.withColumns({"group_id": F.col("slab_id"), "profile": F.lit("CONCRETE_SLAB")}), "sz", category=F.lit("slab"))
 
 
 def compile_intent(groups: DataFrame, grids: DataFrame, levels: DataFrame, slabs: DataFrame | None = None) -> DataFrame:
     """All groups, and slabs, of all models as members."""
-    g = durable(with_levels(groups, levels), "groups-at-levels")  # read by every expansion
-    rows = expand_vertical(g, grids)
-    for more in (expand_horizontal(g, grids), expand_rafters(g, grids, levels), expand_truss(g, grids, levels), expand_purlins(g, grids, levels), expand_diagonals(g, grids), expand_roof_diagonals(g, grids, levels)):
-        rows = rows.unionByName(more)
+    rows = compile_placed(placed(with_levels(groups, levels), grids, levels))
     return rows if slabs is None else rows.unionByName(slab_members(slabs, grids, levels))
 
 
+def compile_placed(groups: DataFrame) -> DataFrame:
+    """All `placed` groups as members. Their rows are few beside what each one expands to: they are dealt to all partitions,
+    as joins would leave as few tasks as their bytes ask for."""
+    g = durable(_with_bays(dealt(groups)), "placed-groups")  # read by every expansion
+    rows = expand_vertical(g, None)
+    for more in (expand_horizontal(g, None), expand_rafters(g, None, None), expand_truss(g, None, None), expand_purlins(g, None, None), expand_diagonals(g, None), expand_roof_diagonals(g, None, None)):
+        rows = rows.unionByName(more)
+    return rows
+
+
 def count_constraints(members: DataFrame, expected: DataFrame) -> DataFrame:
     """Violations: model_id, category, expected, actual."""
     actual = members.groupBy("model_id", "category").agg(F.count(F.lit(1)).alias("actual"))

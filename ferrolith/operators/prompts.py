@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .framing import section_profile
 from .graph import dealt
-from .textspec import level_rank
+from .textspec import level_rank, where_may
 
 #: The ways a text states a measure, in order of preference; group 1 is the number.
 MEASURES = {
@@ -48,9 +48,9 @@ RAIL, RAIL_PROFILE = "GUARDRAIL|guardrail|מעקה", "RHS50x50x4"
 EDGES = {"edge_at_x_min": ("horizontal_y", "along_y_at_x_min"), "edge_at_y_max": ("horizontal_x", "along_x_at_y_max"), "edge_at_x_max": ("horizontal_y", "along_y_at_x_max")}
 
 
-def stated(text: Column, patterns: tuple[str, ...], kind: str = "double") -> Column:
-    """The number of the first pattern that matches; case does not matter."""
-    return F.coalesce(*(F.regexp_extract(text, f"(?i){p}", 1).try_cast(kind) for p in patterns))
+def stated(text: Column, patterns: tuple[str, ...], kind: str = "double", low: Column | None = None) -> Column:
+    """The number of the first pattern that matches; case does not matter. low: the text in lower case."""
+    return F.coalesce(*(where_may(low, p, F.regexp_extract(text, f"(?i){p}", 1).try_cast(kind)) for p in patterns))
 
 
 def column_count(text: Column) -> Column:
@@ -69,9 +69,9 @@ def prompt_constraints(prompts: DataFrame, by: str, text: str = "text") -> DataF
     return stated_rows.select(by, F.explode(F.filter("rows", lambda r: r["value"].isNotNull())).alias("r")).select(by, "r.*")
 
 
-def y_grid_lines(text: Column, width: Column, columns: Column, frames: Column) -> Column:
+def y_grid_lines(text: Column, width: Column, columns: Column, frames: Column, low: Column | None = None) -> Column:
     """Stated y lines, ascending; without any, three lines where the columns are three to a frame, else none."""
-    found = [F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)), lambda x: x.cast("double")))) for p in GRID_Y]
+    found = [where_may(low, p, F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)), lambda x: x.cast("double"))))) for p in GRID_Y]
     triple = F.coalesce((frames >= 2) & (columns == frames * 3), F.lit(False))
     fallback = F.when(triple, F.array(F.lit(0.0), width / 2, width.cast("double"))).otherwise(F.array().cast("array<double>"))
     return F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).otherwise(fallback)
@@ -96,10 +96,10 @@ def quantity_rows(prompts: DataFrame, levels: DataFrame, by: str, text: str = "t
     return rows.select(by, quantity_groups(F.col("__width")).alias("all")).select(by, F.explode("all").alias("g")).select(by, "g.*")
 
 
-def quantity_facts(rows: DataFrame, t: Column) -> DataFrame:
+def quantity_facts(rows: DataFrame, t: Column, low: Column | None = None) -> DataFrame:
     """What `quantity_groups` needs of a text, each pattern read once: counts n_<group> and profiles q_<group> of all
-    groups, the stated spacing, whether it names a guardrail, and its profile."""
-    rows = rows.withColumns({**{f"n_{n}": stated(t, q[0], "int") for n, q in QUANTITIES.items()}, "every": stated(t, EVERY), "railed": t.rlike(f"(?i){RAIL}")})
+    groups, the stated spacing, whether it names a guardrail, and its profile. low: the text in lower case."""
+    rows = rows.withColumns({**{f"n_{n}": stated(t, q[0], "int", low) for n, q in QUANTITIES.items()}, "every": stated(t, EVERY, low=low), "railed": t.rlike(f"(?i){RAIL}")})
     profiles = {n: F.when(F.col(f"n_{n}").isNotNull(), section_profile(t, q[1], q[2])) for n, q in QUANTITIES.items()}
     return rows.withColumns({**{f"q_{n}": p for n, p in profiles.items()}, "q_rail": F.when(F.col("railed"), section_profile(t, "(?:GUARDRAIL|RHS50)", RAIL_PROFILE))})
 

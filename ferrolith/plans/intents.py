@@ -56,7 +56,7 @@ def intent_grids(spark, sf_dir):
 
 def intent_members(spark, sf_dir):
     tables = {k: v.withColumnRenamed("p_partkey", "model_id") for k, v in _composed(spark, sf_dir).items()}
-    rows = members.compile_intent(tables["groups"], tables["grids"], tables["levels"], tables["slabs"])
+    rows = members.compile_placed(tables["placed"]).unionByName(members.expand_slabs(tables["placed_slabs"]))
     return rows.groupBy("model_id", "group_id", "category").agg(F.count(F.lit(1)).alias("n_members"))
 
 

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrolith.operators import intent, members, prompts, textspec
+from ferrolith.plans.intents import texts as written
+
+from .conftest import SF
 
 HALL = """
 Three storeys under a gable roof
@@ -124,3 +127,27 @@ def test_members_of_many_models_need_no_broadcast(spark):
     made = members.compile_intent(groups, grids, levels)
     assert Counter(r.group_id for r in made.collect()) == {f"{o}_{a}": n for o, a, n in kinds}
     assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_placed_groups_expand_without_a_join(spark):
+    """The same members as by tables of groups, grids and levels; no expansion joins, so no few tasks expand everything."""
+    tables = {k: v.withColumnRenamed("p_partkey", "model_id") for k, v in intent.composed(written(spark, SF).where("p_partkey % 5 = 1"), "p_partkey").items()}
+    made = members.compile_placed(tables["placed"]).unionByName(members.expand_slabs(tables["placed_slabs"]))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    rows = lambda df: sorted(map(repr, df.select(*(F.bround(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes)).collect()))
+    found = rows(made)
+    assert len(found) > 5000 and found == rows(members.compile_intent(tables["groups"], tables["grids"], tables["levels"], tables["slabs"]))
+
+
+def test_patterns_run_only_where_their_pieces_stand(spark):
+    """A text that a pattern matches holds what the pattern needs, in any case; without pieces a pattern always runs."""
+    every = [p for rules in (*intent.SIZES.values(), *intent.FACTS.values(), intent.COLUMN_COUNTS) for p in rules.values()] + [*intent.FLAGS.values(), *(h for h, _ in intent.PROFILES.values())]
+    every += [intent.FRONT, intent.BACK, intent.REAR, intent.SPANNING, intent.FROM_TO, intent.PROJECTING, *prompts.GRID_Y, *prompts.EVERY, *(p for q in prompts.QUANTITIES.values() for p in q[0]), *(p.removeprefix("(?i)") for ps in textspec.LEVELS.values() for p in ps)]
+    every = list(dict.fromkeys(every))
+    rows = written(spark, SF).select("p_partkey", F.explode(F.array("text", F.upper("text"), F.lower("text"))).alias("t"))
+    low = F.lower("t")
+    pairs = [F.sum((F.col("t").rlike(f"(?i){p}") & ~textspec.may_match(low, p)).cast("int")) for p in every]
+    assert not any(rows.agg(*pairs).first())
+    assert textspec.needed(r"Web Members[\s\S]{0,9}?(\d+)\s*Units per frame") == (("units per frame",), ("web members",))
+    assert textspec.needed("VERTICAL COLUMNS|DUAL-GRID") == (("vertical columns", "dual-grid"),) and textspec.needed(r"(?:ab)?c\d|long") == ()
